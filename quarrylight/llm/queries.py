@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, mixing
+from quarrylight.llm import chat, mixing, packing, tokenbin
 from quarrylight.tables import table
 
 
@@ -24,8 +24,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_turns(turns)))
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.encode_and_read(table(spark, sf_dir, "documents"))
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_blocks": op1_token_blocks,
     "op2_source_mix": op2_source_mix,
+    "op4_pack_sequences": op4_pack_sequences,
     "op6_chat_format": op6_chat_format,
 }
 ORACLES = {
