@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, mixing, packing, tokenbin
+from quarrylight.llm import chat, mixing, packing, quality_classifier, quality_rules, tokenbin
 from quarrylight.tables import table
 
 
@@ -32,11 +32,21 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_importance_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_source_mix": op2_source_mix,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_quality_cascade": op5_quality_cascade,
     "op6_chat_format": op6_chat_format,
+    "op8_importance_classifier": op8_importance_classifier,
 }
 ORACLES = {
     "op2_source_mix": mixing.ORACLE_SQL,
