@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, mixing, packing, quality_classifier, quality_rules, tokenbin
+from quarrylight.llm import chat, fingerprints, mixing, packing, quality_classifier, quality_rules, tokenbin
 from quarrylight.tables import table
 
 
@@ -36,6 +36,10 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_importance_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_pack_sequences": op4_pack_sequences,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_chat_format": op6_chat_format,
+    "op7_exact_fingerprint": op7_exact_fingerprint,
     "op8_importance_classifier": op8_importance_classifier,
 }
 ORACLES = {
