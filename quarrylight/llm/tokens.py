@@ -1,21 +1,22 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
 The library's merges work inside one piece of its split pattern at a time, so the ids of a text are those of its pieces
-in a row. Pieces repeat far more than texts do: texts of plain Latin script are split here, each new piece is encoded by
-the library once, and its ids are kept in a bounded table. Any other text goes to the library whole.
+in a row. Pieces repeat far more than texts do: texts of plain Latin script are split here, each new piece goes to the
+library's model once (in the byte alphabet of byte-level BPE), and its ids are kept in a bounded table. Any other text
+goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Ranges whose letters, digits and white space have been settled for long: Latin and general punctuation.
 PLAIN = ((0x0000, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E))
 
@@ -38,8 +39,23 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(split), re.compile(other)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a visible character: itself if it is one, else one from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes; bounded, and emptied when full."""
+    """piece -> its ids as little-endian unsigned 32-bit bytes. Holds at most two generations of CACHE_PIECES: a full one
+    becomes the old one, from which pieces in use come back."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,16 +64,22 @@ class Encoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.alphabet, self.old = self.library.model, byte_alphabet(), {}
         self.split, self.other = _patterns()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        self[piece] = ids = self.whole(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            symbols = piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = packed([t.id for t in self.model.tokenize(symbols)])
+        self[piece] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text; null counts as empty."""
