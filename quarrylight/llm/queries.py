@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, fingerprints, mixing, packing, quality_classifier, quality_rules, tokenbin
+from quarrylight.llm import chat, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, tokenbin
 from quarrylight.tables import table
 
 
@@ -44,6 +44,10 @@ def op8_importance_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_setsketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_source_mix": op2_source_mix,
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_exact_fingerprint": op7_exact_fingerprint,
     "op8_importance_classifier": op8_importance_classifier,
+    "op10_setsketch_near": op10_setsketch_near,
 }
 ORACLES = {
     "op2_source_mix": mixing.ORACLE_SQL,
