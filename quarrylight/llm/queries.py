@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, tokenbin
+from quarrylight.llm import chat, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, substrings, tokenbin
 from quarrylight.tables import table
 
 
@@ -44,6 +44,11 @@ def op8_importance_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_setsketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_exact_fingerprint": op7_exact_fingerprint,
     "op8_importance_classifier": op8_importance_classifier,
+    "op9_seed_extend": op9_seed_extend,
     "op10_setsketch_near": op10_setsketch_near,
 }
 ORACLES = {
