@@ -26,9 +26,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quarrylight.tables import partitions_for, written
+from quarrylight.tables import partitions_for, release
 
 
 #: Colliding forms (several texts with one 128-bit hash) that are sent to every task; more would mean a broken hash.
@@ -60,19 +59,17 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def collisions(forms: DataFrame) -> DataFrame:
-    """hash, form, suffix: canonical forms that are not the first (in byte order) with their hash. forms: hash, form."""
+def shared_hashes(forms: DataFrame) -> DataFrame:
+    """hash: hashes that more than one canonical form has. forms: hash, form."""
     distinct = forms.groupBy("hash", "form").agg(F.count("*").alias("n"))
-    several = distinct.groupBy("hash").agg(F.count("*").alias("forms")).where("forms > 1").select("hash")
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy("form")) - 1
-    return distinct.join(several, "hash", "left_semi").select("hash", "form", rank.alias("suffix")).where("suffix > 0")
+    return distinct.groupBy("hash").agg(F.count("*").alias("forms")).where("forms > 1").select("hash")
 
 
 def _forms(docs: DataFrame) -> DataFrame:
     """hash and canonical form of each text; forms are shipped compressed (equal forms compress equally, others don't)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             forms = [canonical(t.as_py()) for t in batch.column(0)]
             hashes, pressed = [digest(f) for f in forms], [press.compress(f) for f in forms]
@@ -99,11 +96,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def verified_suffixes(docs: DataFrame) -> dict[bytes, int]:
-    """Form -> suffix for forms that share their hash with another; empty unless 128-bit hashes collide."""
-    found = collisions(_forms(docs)).limit(MAX_COLLISIONS + 1).collect()
-    if len(found) > MAX_COLLISIONS:
+    """Form -> suffix for forms that share their hash with an earlier one; empty unless 128-bit hashes collide."""
+    spark, forms = docs.sparkSession, _forms(docs)
+    shared = [r["hash"] for r in shared_hashes(forms).limit(MAX_COLLISIONS + 1).collect()]
+    if len(shared) > MAX_COLLISIONS:
         raise RuntimeError(f"more than {MAX_COLLISIONS} collisions of 128-bit hashes")
-    return {zstandard.ZstdDecompressor().decompress(r["form"]): r["suffix"] for r in found}
+    release(spark)
+    if not shared:
+        return {}
+    found, unpress = {}, zstandard.ZstdDecompressor()
+    for row in forms.where(F.col("hash").isin(shared)).groupBy("hash").agg(F.collect_set("form").alias("forms")).collect():
+        found |= {form: k for k, form in enumerate(sorted(unpress.decompress(f) for f in row["forms"])) if k}
+    return found
 
 
 def named(form: bytes, known: dict[bytes, int]) -> str:
@@ -127,7 +131,7 @@ def deal_with_next(docs: DataFrame, partition_mb: float = 8) -> DataFrame:
     lowest, last = (None if nulls else least), len(cuts)
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ranges, own, doc_ids, zs = [], [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
