@@ -1,11 +1,58 @@
-"""The corpus pipeline; its stages follow as their operators are done."""
+"""The corpus pipeline: documents to packed training sequences, each stage on all that the one before kept.
 
-STAGES = []
+STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
+columns of documents. Stages are written as Parquet and read again in between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarrylight.llm import mixing, near_duplicates, packing, quality_classifier, substrings
+from quarrylight.tables import table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance-resampling classifier: documents that it rejects go."""
+    return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SetSketch near-duplicates: one document of each group stays."""
+    return near_duplicates.dedup(docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Seed and extend: passages that repeat are cut."""
+    return substrings.cut(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Weighted fair queueing: each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shortest-pack-first packing: a row for each piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("near_dedup", near),
+    ("substring_dedup", substring),
+    ("source_mix", mixture),
+    ("packing", packed),
+]
+
+#: Hashed models and sketches can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{name}")
     return docs

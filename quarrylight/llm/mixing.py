@@ -7,6 +7,8 @@ All items are ordered by finish time and the mix is cut where the running total
 Running sums never gather a source into one task. Items are first dealt to fine buckets (of the shuffle hash, then of
 the finish time); bucket totals give each bucket's start, and only the rows of one bucket are sorted together.
 
+A column row_id, if there is one, numbers the rows; else they are numbered here.
+
 Defined results: null text counts as empty (size 0, nothing taken); null source is a source of its own, last in order;
 repeated rows are separate documents; an empty table gives an empty mix; extra columns are ignored.
 """
@@ -72,9 +74,10 @@ def mix(
     a later pass over a source has items if it starts before twice the target.
     """
     spark = docs.sparkSession
+    number = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
     sized = written(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            number.cast("bigint").alias("row_id"),
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -127,6 +130,15 @@ def mix(
     )
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as the mix takes it."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")), "mix-documents")
+    plain = rows.select("row_id", "doc.doc_id", "doc.source", "doc.text")
+    times = mix(plain, **how).where("taken AND size > 0").groupBy("row_id").agg(F.count("*").cast("int").alias("times"))
+    taken = rows.join(times, "row_id").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
+    return taken.select("doc.*")
+
+
 def taken_per_document(items: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each document of the mix's input."""
     return (

@@ -29,8 +29,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.llm.components import components
+from quarrylight.llm.rows import LEVEL, compress, numbered, restored
 from quarrylight.llm.words import MULTIPLIERS, Texts, chunks, mixed, windows
 from quarrylight.tables import written
 
@@ -119,37 +121,25 @@ def reach_limit(x: np.ndarray, y: np.ndarray) -> bool:
     return LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both)
 
 
-SKETCHED = "row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch binary, z binary"
-
-
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n (set size), d1, d2 (digest of the set), sketch, z (compressed text): written once, read by every step."""
+    """row, doc_id, rest, n (set size), d1, d2 (digest of the set), sketch, z (compressed text): written once, for every step."""
+    source = numbered(docs).select("row", "doc_id", "rest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            for part in chunks(batch, 2):
-                texts = Texts(part.column(2), lower=True)
+            for part in chunks(batch, 3):
+                texts = Texts(part.column("text"), lower=True)
                 sets = shingle_sets(texts)
-                digests = [
-                    np.array([mixed(s * np.uint64(m)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-                    for m in MULTIPLIERS
-                ]
-                pressed = [press.compress((t.as_py() or "").encode()) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        *[pa.array(d.view(np.int64)) for d in digests],
-                        pa.array([r.tobytes() for r in sketches(sets)], pa.binary()),
-                        pa.array(pressed, pa.binary()),
-                    ],
-                    names=[x.split()[0] for x in SKETCHED.split(", ")],
-                )
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return written(source.mapInArrow(run, SKETCHED), "sketched")
+                out = part.drop_columns(["text"]).append_column("n", pa.array([len(s) for s in sets], pa.int64()))
+                for name, m in zip(("d1", "d2"), MULTIPLIERS, strict=True):
+                    sums = [mixed(s * np.uint64(m)).sum(dtype=np.uint64) if len(s) else 0 for s in sets]
+                    out = out.append_column(name, pa.array(np.array(sums, np.uint64).view(np.int64)))
+                out = out.append_column("sketch", pa.array([r.tobytes() for r in sketches(sets)], pa.binary()))
+                yield out.append_column("z", compress(part.column("text"), press))
+
+    kinds = [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField(c, T.BinaryType()) for c in ("sketch", "z")]
+    return written(source.mapInArrow(run, T.StructType([*source.drop("text").schema.fields, *kinds])), "sketched")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -263,14 +253,15 @@ def rest_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
     return grouped.sortWithinPartitions("key", "block").mapInArrow(run, kind)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a document."""
-    sketched = sketch_documents(docs)
+def _components(sketched: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, first (the least (doc_id, row) of its component): one row a document."""
     known = sketched.where(F.col("doc_id").isNotNull())
     classes = known.groupBy("d1", "d2", "n").agg(
-        F.min(F.struct("row", "sketch")).alias("rep"), F.min("doc_id").alias("least_id")
+        F.min(F.struct("row", "sketch")).alias("rep"), F.min(F.struct("doc_id", "row")).alias("least")
+    )
+    classes = written(
+        classes.select("d1", "d2", "n", F.col("rep.row").alias("class"), F.col("rep.sketch").alias("sketch"), "least"), "classes"
     )
-    classes = written(classes.select("d1", "d2", "n", F.col("rep.row").alias("class"), F.col("rep.sketch").alias("sketch"), "least_id"), "classes")
     members = bucket_members(classes)
     stars = members.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     links = verify_pairs(filter_pairs(stars, classes), sketched)
@@ -278,13 +269,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = verify_pairs(rest_pairs(members, labels, classes), sketched)
     labels = components(links.union(more), "a", "b")
     labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
-        "d1", "d2", "n", "least_id", F.coalesce("component", "class").alias("component")
-    )
-    lowest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_class = labelled.join(lowest, "component").select("d1", "d2", "n", "component_id")
-    alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
-    found = sketched.select("doc_id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        "d1", "d2", "n", "least", F.coalesce("component", "class").alias("component")
     )
+    lowest = labelled.groupBy("component").agg(F.min("least").alias("lowest"))
+    by_class = labelled.join(lowest, "component").select("d1", "d2", "n", "lowest")
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    found = sketched.select("row", "doc_id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
+    first = F.when(alone, F.struct("doc_id", "row")).otherwise(F.col("lowest"))
+    return found.select("row", "doc_id", F.col("n").alias("n_shingles"), first["doc_id"].alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a document."""
+    found = _components(sketch_documents(docs))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The first document of each component, with all columns."""
+    sketched = sketch_documents(docs)
+    kept = _components(sketched).where(F.col("first.row") == F.col("row")).select("row")
+    return restored(sketched.select("row", "rest", "z").join(kept, "row", "left_semi"), docs)

@@ -20,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.llm.words import Texts, chunks
 from quarrylight.tables import written
@@ -188,10 +189,38 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
             return min(r["lo"] for r in found)
 
 
-def score(docs: DataFrame, labels: DataFrame, share: float | None = None, rows: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
-    """doc_id, n_grams, log_weight, key, kept: one row a document."""
+@dataclass
+class Draw:
+    """What decides about a document: the model, the seed of the noise, and the k-th largest key (None keeps none)."""
+
+    model: Model
+    seed: int
+    cut: float | None
+
+    def key(self, weight: str) -> Column:
+        lot = F.pmod(F.xxhash64(F.lit(self.seed), F.lit("gumbel"), F.col("doc_id")), F.lit(1 << 40))
+        return F.col(weight) - F.log(-F.log((lot.cast("double") + 0.5) / float(1 << 40)))
+
+    def kept(self, key: Column) -> Column:
+        return F.lit(False) if self.cut is None else key >= F.lit(self.cut)
+
+
+def draw(docs: DataFrame, labels: DataFrame, share: float | None, rows: int, seed: int) -> tuple[Draw, DataFrame] | None:
     model = fit(docs, labels, rows, seed)
     if model is None:
+        return None
+    out = Draw(model, seed, None)
+    scored = written(_weights(docs, model.weights).withColumn("key", out.key("log_weight")), "weights")
+    total, reached = scored.agg(F.count("*"), F.count_if(F.col("log_weight") >= F.lit(float(model.threshold)))).first()
+    k = reached if share is None else round(share * total)
+    out.cut = kth_largest(scored, "key", k) if k else None
+    return out, scored
+
+
+def score(docs: DataFrame, labels: DataFrame, share: float | None = None, rows: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
+    """doc_id, n_grams, log_weight, key, kept: one row a document."""
+    drawn = draw(docs, labels, share, rows, seed)
+    if drawn is None:
         return docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.lit(0).cast("bigint").alias("n_grams"),
@@ -199,16 +228,24 @@ def score(docs: DataFrame, labels: DataFrame, share: float | None = None, rows:
             F.lit(0.0).alias("key"),
             F.lit(True).alias("kept"),
         )
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.lit("gumbel"), F.col("doc_id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    scored = _weights(docs, model.weights).withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
-    scored = written(scored, "weights")
-    total, reached = scored.agg(F.count("*"), F.count_if(F.col("log_weight") >= F.lit(float(model.threshold)))).first()
-    k = reached if share is None else round(share * total)
-    cut = kth_largest(scored, "key", k) if k else None
-    return scored.withColumn("kept", F.lit(False) if cut is None else F.col("key") >= F.lit(cut))
+    out, scored = drawn
+    return scored.withColumn("kept", out.kept(F.col("key")))
+
+
+def keep(docs: DataFrame, labels: DataFrame, share: float | None = None, rows: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
+    """The documents that are drawn, with all their columns. Texts are weighed again where they are, not shuffled."""
+    drawn = draw(docs, labels, share, rows, seed)
+    if drawn is None:
+        return docs
+    out, _ = drawn
+    weights = out.model.weights.astype(np.float32)
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2):
+                _, w = weigh(Texts(part.column("text")), weights)
+                yield part.drop_columns(["text"]).append_column("weight", pa.array(np.round(w, 6)))
 
-def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that are drawn, with all their columns."""
-    chosen = score(docs, labels, **how).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kind = T.StructType([*source.drop("text").schema.fields, T.StructField("weight", T.DoubleType())])
+    return source.mapInArrow(run, kind).where(out.kept(out.key("weight"))).select("doc.*")

@@ -19,12 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylight.llm.anchors import Anchors, elect
+from quarrylight.llm.rows import opened, pressed, unpacked
 from quarrylight.llm.words import CHUNK_BYTES, Texts
 from quarrylight.tables import release, written
 
@@ -36,32 +37,6 @@ def word_anchors(texts: Texts, length: int = WINDOW, k: int = SEED) -> Anchors:
     return elect(texts.word_hashes(), texts.word_offsets, length, k)
 
 
-def pressed(docs: DataFrame, name: str) -> DataFrame:
-    """row, doc_id, z (compressed text): written once, so that rows keep their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            z = pa.array([c.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["row", "doc_id", "z"])
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return written(source.mapInArrow(run, "row bigint, doc_id bigint, z binary"), name)
-
-
-def opened(batches: Iterator[pa.RecordBatch], z: str = "z", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches with their texts, about `limit` bytes at a time."""
-    unpress = zstandard.ZstdDecompressor()
-    for batch in batches:
-        texts, at, size = [], 0, 0
-        for i, x in enumerate(batch.column(z)):
-            texts.append(unpress.decompress(x.as_py()))
-            size += len(texts[-1])
-            if size >= limit or i + 1 == batch.num_rows:
-                yield batch.slice(at, i + 1 - at), pa.array(texts, pa.large_binary())
-                texts, at, size = [], i + 1, 0
-
-
 def as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -185,12 +160,13 @@ def seeds_by_row(rows: DataFrame) -> DataFrame:
     return rows.select("row", "z").mapInArrow(run, "a bigint, c bigint, row bigint")
 
 
-CUT = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_text string"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (removed runs of words), kept_text (kept words joined by one space)."""
-    rows = pressed(docs, "texts")
+def _cut(docs: DataFrame, joined_always: bool) -> DataFrame:
+    """rest, n_words, n_removed, spans, text: kept words joined by a space, or the text itself where nothing is removed and
+    `joined_always` is not set."""
+    rows = written(pressed(docs), "texts")
     found = repeats_by_row(rows)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -222,17 +198,37 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 cuts.append(runs)
-                kept.append(b" ".join(left))
+                whole = len(left) == len(words) and not joined_always
+                kept.append(texts[d].as_py() if whole else b" ".join(left))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column("rest"),
                     pa.array(n_words, pa.int64()),
                     pa.array(n_removed, pa.int64()),
                     pa.array(cuts, kind),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
-                names=["doc_id", "n_words", "n_removed", "spans", "kept_text"],
+                names=["rest", "n_words", "n_removed", "spans", "text"],
             )
 
-    joined = rows.join(found, "row", "left").select("doc_id", "z", "spans", "starts")
-    return joined.mapInArrow(run, CUT)
+    joined = rows.join(found, "row", "left").select("rest", "z", "spans", "starts")
+    counts = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    out = [joined.schema["rest"], *counts, T.StructField("spans", SPANS), T.StructField("text", T.StringType())]
+    return joined.mapInArrow(run, T.StructType(out))
+
+
+def dedup_substrings(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (removed runs of words), kept_text (kept words joined by one space)."""
+    return _cut(docs, joined_always=True).select(
+        F.col("rest.doc_id").cast("bigint").alias("doc_id"), "n_words", "n_removed", "spans", F.col("text").alias("kept_text")
+    )
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The documents with repeats cut out of their texts (n_chars follows); one that loses all its words goes.
+
+    A text that loses nothing stays as it is; another is its kept words joined by one space.
+    """
+    found = _cut(docs, joined_always=False).where("n_removed = 0 OR n_removed < n_words")
+    out = unpacked(found, docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
