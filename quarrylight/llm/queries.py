@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, substrings, tokenbin
+from quarrylight.llm import byte_repeats, chat, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, substrings, tokenbin
 from quarrylight.tables import table
 
 
@@ -28,6 +28,12 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = byte_repeats.dedup_bytes(table(spark, sf_dir, "documents"))
+    spans = F.size("spans").cast("bigint").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_setsketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_source_mix": op2_source_mix,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_chat_format": op6_chat_format,
