@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from quarrylight.llm.anchors import Anchors, elect
 from quarrylight.llm.induced import END, repeated
 from quarrylight.llm.rows import opened, pressed
-from quarrylight.llm.words import Texts
+from quarrylight.llm.words import Texts, tidy
 from quarrylight.tables import partitions_for, release, written
 
 LENGTH, SEED = 50, 16
@@ -134,7 +134,7 @@ def seeds(rows: DataFrame, shards: int) -> DataFrame:
         if size:
             yield flush()
 
-    return rows.select("row", "doc_id", "z").mapInArrow(run, PARCEL)
+    return rows.select("row", "doc_id", "z").mapInArrow(tidy(run), PARCEL)
 
 
 def judged(parcels: DataFrame, shards: int) -> DataFrame:
@@ -161,7 +161,7 @@ def judged(parcels: DataFrame, shards: int) -> DataFrame:
         yield _batch([("ask", to, d) for to, d in _by(row[ask] >> ROW_BITS, row[ask], i[ask], a[ask])])
 
     whole = parcels.where("kind = 'whole'")
-    moved = parcels.where("kind = 'seed'").repartitionById(shards, F.col("to")).mapInArrow(run, PARCEL)
+    moved = parcels.where("kind = 'seed'").repartitionById(shards, F.col("to")).mapInArrow(tidy(run), PARCEL)
     return whole.union(moved)
 
 
@@ -250,7 +250,7 @@ def asked_spans(rows: DataFrame, asks: DataFrame, shards: int) -> DataFrame:
         if out:
             yield flush()
 
-    return _beside(rows, asks).mapInArrow(run, PARCEL)
+    return _beside(rows, asks).mapInArrow(tidy(run), PARCEL)
 
 
 def sorted_shards(spans: DataFrame, shards: int) -> DataFrame:
@@ -278,7 +278,7 @@ def sorted_shards(spans: DataFrame, shards: int) -> DataFrame:
         span = of[found]
         yield _batch([("window", to, d) for to, d in _by(row[span] >> ROW_BITS, row[span], found - head[span] + start[span])])
 
-    return spans.repartitionById(shards, F.col("to")).mapInArrow(run, PARCEL)
+    return spans.repartitionById(shards, F.col("to")).mapInArrow(tidy(run), PARCEL)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -340,4 +340,4 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 names=RESULT.fieldNames(),
             )
 
-    return _beside(rows, marks.where("kind = 'whole'").union(windows)).mapInArrow(run, RESULT)
+    return _beside(rows, marks.where("kind = 'whole'").union(windows)).mapInArrow(tidy(run), RESULT)

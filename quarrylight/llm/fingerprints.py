@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.words import tidy
 from quarrylight.tables import partitions_for, release
 
 
@@ -75,7 +76,7 @@ def _forms(docs: DataFrame) -> DataFrame:
             hashes, pressed = [digest(f) for f in forms], [press.compress(f) for f in forms]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(pressed, pa.binary())], names=["hash", "form"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "hash string, form binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "hash string, form binary")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
+    return source.mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, fingerprint string")
 
 
 def verified_suffixes(docs: DataFrame) -> dict[bytes, int]:
@@ -190,4 +191,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return deal_with_next(docs).select("range", "own", "doc_id", "z").mapInArrow(run, EDITED)
+    return deal_with_next(docs).select("range", "own", "doc_id", "z").mapInArrow(tidy(run), EDITED)

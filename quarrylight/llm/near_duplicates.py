@@ -5,7 +5,7 @@ REGISTERS truncated, exponentially spaced minima: register i is floor(1 - log_B(
 Sketches of sets merge by the maximum of each register.
 
 1. Equal sets (128-bit digest) form classes; a class goes on as one set, so copies cost one row a task.
-2. Bands of ROWS registers are bucket keys. In each bucket every class is paired with the least class.
+2. Bands of ROWS registers are bucket keys. A class is paired with the least class of each of its STARS largest buckets.
 3. Pairs whose likelihood estimate of the Jaccard similarity (from counts of greater, equal and lesser registers and the
    exact set sizes) is within Z standard errors of the limit are verified on full sets; components of the links follow.
 4. Buckets that still hold several components are gone through once more: classes outside the bucket's largest component
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.components import components
 from quarrylight.llm.rows import LEVEL, compress, numbered, restored
-from quarrylight.llm.words import MULTIPLIERS, Texts, chunks, mixed, windows
-from quarrylight.tables import written
+from quarrylight.llm.words import MULTIPLIERS, Texts, chunks, mixed, tidy, windows
+from quarrylight.tables import release, written
 
 SHINGLE, LIMIT = 5, (75, 100)
 ROWS, BANDS = 4, 36
@@ -42,6 +42,8 @@ REGISTERS = ROWS * BANDS
 B, RATE, TOP = 1.001, 20.0, 65_535
 Z = 4.0
 BLOCK = 1024
+#: Buckets of a class whose least class it is paired with at first; the rest of its buckets follow in step 4.
+STARS = 6
 _DRAW = np.random.default_rng(10)
 _FLIPS = _DRAW.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _ODD = _DRAW.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,9 +111,11 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     """Whether pairs can reach the limit: by size, and by estimate within Z standard errors."""
     t = LIMIT[0] / LIMIT[1]
     floor = t - Z * math.sqrt(t * (1 - t) / REGISTERS) - 1 / 48
-    by_size = LIMIT[1] * np.minimum(na, nb) >= LIMIT[0] * np.maximum(na, nb)
+    at = np.flatnonzero(LIMIT[1] * np.minimum(na, nb) >= LIMIT[0] * np.maximum(na, nb))
+    # with B near 1 equal registers are about as many as the similarity says: most pairs end here, two errors below
+    same = (a[at] == b[at]).sum(axis=1)
+    at = at[same >= REGISTERS * (floor - 2 * math.sqrt(t * (1 - t) / REGISTERS))]
     out = np.zeros(len(na), bool)
-    at = np.flatnonzero(by_size)
     out[at] = estimate(a[at], b[at], na[at], nb[at]) >= floor
     return out
 
@@ -139,7 +143,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 yield out.append_column("z", compress(part.column("text"), press))
 
     kinds = [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField(c, T.BinaryType()) for c in ("sketch", "z")]
-    return written(source.mapInArrow(run, T.StructType([*source.drop("text").schema.fields, *kinds])), "sketched")
+    return written(source.mapInArrow(tidy(run), T.StructType([*source.drop("text").schema.fields, *kinds])), "sketched")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -158,14 +162,18 @@ def filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 ok = plausible(_matrix(batch.column(4)), _matrix(batch.column(5)), *sizes)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def verify_pairs(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+def texts_of(members: DataFrame, sketched: DataFrame) -> DataFrame:
+    """row, z of the classes that share a bucket. Both sides grow with the corpus: they are never broadcast."""
+    needed = members.select(F.col("class").alias("row")).distinct().hint("merge")
+    return written(sketched.select("row", "z").join(needed, "row", "left_semi"), "bucket-texts")
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that reach the limit on full sets, built anew from the texts of the classes' first rows."""
     pairs = written(pairs.distinct(), "plausible")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = written(sketched.select("row", "z").join(needed, "row", "left_semi"), "texts")
     side = lambda k: texts.select(F.col("row").alias(k), F.col("z").alias(f"z{k}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "za", "zb")
 
@@ -181,7 +189,7 @@ def verify_pairs(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
                 ok.append(reach_limit(recent[1], sets[0]))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(joined.mapInArrow(run, "a bigint, b bigint"), "links")
+    return written(joined.mapInArrow(tidy(run), "a bigint, b bigint"), "links")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -190,7 +198,15 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)])
     bands = classes.where("n > 0").select("class", F.explode(keys).alias("key"))
     several = bands.groupBy("key").agg(F.min("class").alias("first"), F.count("*").alias("size")).where("size > 1")
-    return written(bands.join(several, "key"), "members")
+    return written(bands.join(several.hint("merge"), "key"), "members")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """a, b: each class with the least classes of its largest buckets."""
+    centers = F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("order"), "first")))
+    per = members.where("class <> first").groupBy("class").agg(centers.alias("centers"))
+    firsts = F.array_distinct(F.transform("centers", lambda c: c["first"]))
+    return per.select(F.explode(F.slice(firsts, 1, STARS)).alias("a"), F.col("class").alias("b"))
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -249,8 +265,9 @@ def rest_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
         if held:
             yield compare(held)
 
-    grouped = rows.select("key", "block", "class", "component", "n", "held", "sketch").repartition("key", "block")
-    return grouped.sortWithinPartitions("key", "block").mapInArrow(run, kind)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.select("key", "block", "class", "component", "n", "held", "sketch").repartition(n, "key", "block")
+    return grouped.sortWithinPartitions("key", "block").mapInArrow(tidy(run), kind)
 
 
 def _components(sketched: DataFrame) -> DataFrame:
@@ -263,10 +280,11 @@ def _components(sketched: DataFrame) -> DataFrame:
         classes.select("d1", "d2", "n", F.col("rep.row").alias("class"), F.col("rep.sketch").alias("sketch"), "least"), "classes"
     )
     members = bucket_members(classes)
-    stars = members.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    links = verify_pairs(filter_pairs(stars, classes), sketched)
+    texts = texts_of(members, sketched)
+    release(sketched.sparkSession)
+    links = verify_pairs(filter_pairs(star_pairs(members), classes), texts)
     labels = components(links, "a", "b")
-    more = verify_pairs(rest_pairs(members, labels, classes), sketched)
+    more = verify_pairs(rest_pairs(members, labels, classes), texts)
     labels = components(links.union(more), "a", "b")
     labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
         "d1", "d2", "n", "least", F.coalesce("component", "class").alias("component")

@@ -1,9 +1,10 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
 Two generative bag-of-n-grams models are counted: of target text (a bounded sample of labelled good documents) and of the
-raw text (all documents). n-grams are byte triples and words, each hashed to 65,536 buckets. A document's log weight is the
-sum over its n-grams of log p_target - log p_raw. Adding Gumbel noise (a function of seed and id) and keeping the k largest
-keys draws k documents without replacement, in proportion to their weights.
+raw text (all documents). n-grams are byte triples and words, each hashed to 65,536 buckets. A document's log ratio is the
+mean over its n-grams of log p_target - log p_raw, its log weight that times EFFECTIVE: as if each document had as many
+n-grams, so that length alone neither keeps nor rejects. Adding Gumbel noise (a function of seed and id) and keeping the k
+largest keys draws k documents without replacement, in proportion to their weights.
 
 k is the number of documents whose weight reaches a threshold set on labelled documents that the target model has not
 seen, unless a share is given. The k-th key is found by narrowing to ever finer slots of key values: a few grouped counts, no sort.
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.words import Texts, chunks
+from quarrylight.llm.words import Texts, chunks, tidy
 from quarrylight.tables import written
 
 #: Labelled documents used at most; half of the good ones fit the target model, the rest set the threshold.
 MAX_LABELLED = 6000
+#: n-grams that count in a log weight, whatever the document's length.
+EFFECTIVE = 100
 BITS = 16
 BLOCK = 2048
 SEED = 8
@@ -79,7 +82,7 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
         )
 
     kind = "block int, counts binary"
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(local, kind).repartition("block").mapInArrow(summed, kind)
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(tidy(local), kind).repartition("block").mapInArrow(tidy(summed), kind)
     out = np.zeros((2 << BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
     for row in sums.collect():  # at most 64 rows of 16 KB, whatever the corpus
         out[row["block"]] += np.frombuffer(row["counts"], np.int64)
@@ -104,7 +107,9 @@ def weigh(texts: Texts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = texts.offsets[:-1], np.maximum(texts.offsets[1:] - 2, texts.offsets[:-1])
     by_word = np.concatenate([[0.0], np.cumsum(weights[(1 << BITS) + word], dtype=np.float64)])
     at = texts.word_offsets
-    return hi - lo + np.diff(at), sums[hi] - sums[lo] + by_word[at[1:]] - by_word[at[:-1]]
+    n = hi - lo + np.diff(at)
+    total = sums[hi] - sums[lo] + by_word[at[1:]] - by_word[at[:-1]]
+    return n, EFFECTIVE * total / np.maximum(n, 1)
 
 
 def _weights(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -120,7 +125,7 @@ def _weights(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 )
 
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double")
+    return source.mapInArrow(tidy(run), "doc_id bigint, n_grams bigint, log_weight double")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
@@ -248,4 +253,4 @@ def keep(docs: DataFrame, labels: DataFrame, share: float | None = None, rows: i
                 yield part.drop_columns(["text"]).append_column("weight", pa.array(np.round(w, 6)))
 
     kind = T.StructType([*source.drop("text").schema.fields, T.StructField("weight", T.DoubleType())])
-    return source.mapInArrow(run, kind).where(out.kept(out.key("weight"))).select("doc.*")
+    return source.mapInArrow(tidy(run), kind).where(out.kept(out.key("weight"))).select("doc.*")

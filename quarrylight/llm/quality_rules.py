@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.words import Texts, chunks, mixed, windows, within
+from quarrylight.llm.words import Texts, chunks, mixed, tidy, windows, within
 
 #: Rows that the cost sample holds at most.
 SAMPLE_ROWS = 2000
@@ -198,4 +198,4 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
                     names=[x.split()[0] for x in RESULT.split(",")],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), RESULT)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.words import CHUNK_BYTES
+from quarrylight.llm.words import CHUNK_BYTES, tidy
 
 LEVEL = 3
 
@@ -36,7 +36,7 @@ def pressed(docs: DataFrame) -> DataFrame:
             yield batch.drop_columns(["text"]).append_column("z", compress(batch.column("text"), c))
 
     kind = T.StructType([*source.drop("text").schema.fields, T.StructField("z", T.BinaryType())])
-    return source.mapInArrow(run, kind)
+    return source.mapInArrow(tidy(run), kind)
 
 
 def compress(texts: pa.Array, c: zstandard.ZstdCompressor) -> pa.Array:
@@ -65,7 +65,7 @@ def restored(rows: DataFrame, like: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rest"), texts.cast(pa.large_string()).cast(pa.string())], names=["rest", "text"])
 
     kind = T.StructType([source.schema["rest"], T.StructField("text", T.StringType())])
-    return unpacked(source.mapInArrow(run, kind), like)
+    return unpacked(source.mapInArrow(tidy(run), kind), like)
 
 
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:

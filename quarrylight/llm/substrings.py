@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from quarrylight.llm.anchors import Anchors, elect
 from quarrylight.llm.rows import opened, pressed, unpacked
-from quarrylight.llm.words import CHUNK_BYTES, Texts
+from quarrylight.llm.words import CHUNK_BYTES, Texts, tidy
 from quarrylight.tables import release, written
 
 WINDOW, SEED = 35, 8
@@ -70,7 +70,7 @@ def seeds(rows: DataFrame, find: Callable[[Texts], Anchors], rank: str, limit: i
         if size:
             yield combined()
 
-    return rows.select(rank, "z").mapInArrow(run, "a bigint, c bigint, n bigint, r bigint")
+    return rows.select(rank, "z").mapInArrow(tidy(run), "a bigint, c bigint, n bigint, r bigint")
 
 
 def repeated_classes(occurrences: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def unclear_windows(rows: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     joined = rows.join(wanted, "row").select("row", "z", "wanted")
-    return joined.mapInArrow(run, "w1 bigint, w2 bigint, row bigint, start bigint, alone boolean")
+    return joined.mapInArrow(tidy(run), "w1 bigint, w2 bigint, row bigint, start bigint, alone boolean")
 
 
 def repeats_by_row(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def seeds_by_row(rows: DataFrame) -> DataFrame:
                 [as_signed(a[new]), as_signed(c[new]), pa.array(batch.column(0).to_numpy()[d[new]])], names=["a", "c", "row"]
             )
 
-    return rows.select("row", "z").mapInArrow(run, "a bigint, c bigint, row bigint")
+    return rows.select("row", "z").mapInArrow(tidy(run), "a bigint, c bigint, row bigint")
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -214,7 +214,7 @@ def _cut(docs: DataFrame, joined_always: bool) -> DataFrame:
     joined = rows.join(found, "row", "left").select("rest", "z", "spans", "starts")
     counts = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     out = [joined.schema["rest"], *counts, T.StructField("spans", SPANS), T.StructField("text", T.StringType())]
-    return joined.mapInArrow(run, T.StructType(out))
+    return joined.mapInArrow(tidy(run), T.StructType(out))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

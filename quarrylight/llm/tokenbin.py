@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.llm.tokens import encoder, tokenizer_path
+from quarrylight.llm.words import tidy
 from quarrylight.tables import fresh_path, partitions_for
 
 BLOCK, LANES = 1024, 32
@@ -175,7 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_mb: float
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(shard, "kind string, frame binary")
+        .mapInArrow(tidy(shard), "kind string, frame binary")
         .select("kind", F.col("frame").cast("string").alias("value"))
         .write.partitionBy("kind")
         .text(path)
@@ -231,7 +232,7 @@ def read_tokens(spark, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .load(f"{path}/kind=shard")
         .select("path", "content")
-        .mapInArrow(documents, "part bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        .mapInArrow(tidy(documents), "part bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     )
     return read.join(totals, F.col("part") == F.col("p")).select(
         "doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32"

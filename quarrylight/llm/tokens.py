@@ -16,7 +16,7 @@ from array import array
 from functools import lru_cache
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Ranges whose letters, digits and white space have been settled for long: Latin and general punctuation.
 PLAIN = ((0x0000, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E))
 

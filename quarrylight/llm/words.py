@@ -7,14 +7,16 @@ sums. They depend on nothing but the content, so every executor and run agrees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -159,6 +161,18 @@ def chunks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterat
         yield batch.slice(at)
 
 
+def tidy(run: Callable) -> Callable:
+    """A task function that gives its memory back at the end: a worker serves many tasks, and its executor has a limit."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def within(offsets: np.ndarray, k: int, total: int) -> np.ndarray:
     """Which of the windows of k words starting at 0..total-k lie in one document."""
     ok = np.ones(max(total - k + 1, 0), bool)
