@@ -34,9 +34,9 @@ from quarrylight.tables import partitions_for, release, written
 
 LENGTH, SEED = 50, 16
 CHUNK = 512 << 10
-SHARD_MB = 10
-FLUSH = 1_000_000
-SORT_BUDGET = 128 << 20
+SHARD_MB = 6
+FLUSH = 500_000
+SORT_BUDGET = 64 << 20
 #: monotonically_increasing_id holds the partition above this bit
 ROW_BITS = 33
 

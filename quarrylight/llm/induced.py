@@ -1,7 +1,6 @@
 """External induced sorting of suffixes, as far as `DEPTH` bytes, with disk-backed bucket queues.
 
-The suffixes at LMS positions (an S-type after an L-type) are the base. They are sorted by their first bytes in runs and
-merged; all other suffixes are induced from them: a pass up the buckets puts each L-type suffix behind the suffix that
+The suffixes at LMS positions (an S-type after an L-type) are the base. They are sorted by their first bytes; all other suffixes are induced from them: a pass up the buckets puts each L-type suffix behind the suffix that
 follows it in the text, a pass down does the same for S-types. A bucket is a queue of suffix positions; the queues together
 hold `budget` bytes in memory and keep the rest in scratch files, which are gone when the sort ends.
 
@@ -20,6 +19,8 @@ import numpy as np
 
 DEPTH = 56
 END = 0xFF
+#: Positions that are read from a scratch file at once.
+READ = 1 << 20
 
 
 class Budget:
@@ -51,23 +52,24 @@ class Queue:
             self.budget.used -= x.nbytes
         self.held = []
 
-    def arrays(self) -> list[np.ndarray]:
-        """All arrays in order; they stay in the queue."""
-        return list(self)
-
     def __iter__(self) -> Iterator[np.ndarray]:
-        """In order; arrays that are appended meanwhile come too."""
-        at = k = 0
+        """In order, all that is there at a time as one array (from a file READ positions); what comes meanwhile comes too."""
+        done = 0
         while True:
-            if k < len(self.spilled):
-                self.file.seek(at)
-                x = np.frombuffer(self.file.read(8 * self.spilled[k]), np.int64)
-            elif k - len(self.spilled) < len(self.held):
-                x = self.held[k - len(self.spilled)]
+            in_file = sum(self.spilled)
+            if done < in_file:
+                self.file.seek(8 * done)
+                x = np.frombuffer(self.file.read(8 * min(READ, in_file - done)), np.int64)
             else:
-                return
-            k += 1
-            at += x.nbytes  # where the next one is if it has gone to the file by then
+                skip, fresh = done - in_file, []
+                for held in self.held:
+                    if skip < len(held):
+                        fresh.append(held[skip:])
+                    skip = max(0, skip - len(held))
+                if not fresh:
+                    return
+                x = np.concatenate(fresh)
+            done += len(x)
             yield x
 
     def backwards(self) -> Iterator[np.ndarray]:
@@ -95,21 +97,32 @@ def words(text: np.ndarray) -> np.ndarray:
     return np.ndarray(len(text) - 8, ">u8", text.data, 0, (1,))
 
 
-def sorted_base(eight: np.ndarray, lms: np.ndarray, run: int = 1 << 20) -> np.ndarray:
-    """LMS positions in order of their first DEPTH bytes: sorted runs, merged two by two."""
-
-    def sort(x: np.ndarray) -> np.ndarray:
-        keys = [eight[np.minimum(x + o, len(eight) - 1)].astype(np.uint64) for o in range(0, DEPTH, 8)]
-        return x[np.lexsort(keys[::-1])]
-
-    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        both = np.concatenate([a, b])
-        return sort(both)  # timsort-like stable passes over two sorted runs
-
-    runs = [sort(lms[i : i + run]) for i in range(0, len(lms), run)] or [lms]
-    while len(runs) > 1:
-        runs = [merge(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
-    return runs[0]
+def sorted_base(eight: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """LMS positions in order of their first DEPTH bytes.
+
+    Five bytes at a time: positions that earlier bytes leave equal have one group number; number and next bytes together are
+    one sort key, and only positions of groups of two or more go on.
+    """
+    order = lms.copy()
+    group = np.zeros(len(lms), np.uint64)  # number of the first place of the group in the order
+    left = np.arange(len(lms))  # places in the order that are not settled
+    for o in range(0, DEPTH, 5):
+        if len(left) < 2:
+            break
+        key = eight[np.minimum(order[left] + o, len(eight) - 1)].astype(np.uint64) >> np.uint64(24)
+        _, dense = np.unique(group[left], return_inverse=True)
+        if dense[-1] >= 1 << 24:  # more groups than the key has room for
+            sort = np.lexsort((key, dense))
+        else:
+            sort = np.argsort((dense.astype(np.uint64) << np.uint64(40)) | key)
+        order[left] = order[left][sort]
+        key, dense = key[sort], dense[sort]
+        new = np.ones(len(left), bool)
+        new[1:] = (key[1:] != key[:-1]) | (dense[1:] != dense[:-1])
+        group[left] = left[np.flatnonzero(new)][np.cumsum(new) - 1]
+        alone = new & np.concatenate([new[1:], [True]])
+        left = left[~alone]
+    return order
 
 
 def _deal(queues: list[Queue], text: np.ndarray, found: np.ndarray) -> None:
@@ -147,7 +160,7 @@ def sorted_suffixes(text: np.ndarray, budget: int = 256 << 20) -> Iterator[np.nd
             _deal(high, text, before(x, True))
         for x in low[c].backwards():
             _deal(high, text, before(x, True))
-        out = [*low[c].arrays(), *high[c].backwards()]
+        out = [*low[c], *high[c].backwards()]
         if out:
             yield np.concatenate(out)
 
@@ -166,11 +179,11 @@ def equal_runs(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
 
 def repeated(text: np.ndarray, rank: np.ndarray, length: int, budget: int = 256 << 20) -> np.ndarray:
     """Positions whose next `length` bytes (no END among them) also start at a position of smaller rank."""
-    ends = np.flatnonzero(text == END)
+    at = np.where(text == END, np.arange(len(text)), len(text))
+    room = np.minimum.accumulate(at[::-1])[::-1] - np.arange(len(text))  # bytes before the next END
     out = []
     for order in sorted_suffixes(text, budget):
-        order = order[text[order] != END]
-        order = order[ends[np.searchsorted(ends, order)] - order >= length]
+        order = order[room[order] >= length]
         if len(order) > 1:
             new = ~equal_runs(text, order, length)
             group = np.cumsum(new) - 1
