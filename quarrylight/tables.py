@@ -63,3 +63,18 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
+
+
+#: Rows and bytes of a batch that goes to a Python worker, where the session does not say.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches to Python workers small: the defaults (10,000 rows, 64 MB) hold too much off-heap memory for long texts.
+
+    A session that sets either figure itself keeps it.
+    """
+    defaults = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES)}
+    for key, (default, value) in defaults.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
