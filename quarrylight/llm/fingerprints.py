@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.words import tidy
-from quarrylight.tables import partitions_for, release
+from quarrylight.tables import bounded_batches, partitions_for, release
 
 
 #: Colliding forms (several texts with one 128-bit hash) that are sent to every task; more would mean a broken hash.
@@ -98,7 +98,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def verified_suffixes(docs: DataFrame) -> dict[bytes, int]:
     """Form -> suffix for forms that share their hash with an earlier one; empty unless 128-bit hashes collide."""
-    spark, forms = docs.sparkSession, _forms(docs)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    forms = _forms(docs)
     shared = [r["hash"] for r in shared_hashes(forms).limit(MAX_COLLISIONS + 1).collect()]
     if len(shared) > MAX_COLLISIONS:
         raise RuntimeError(f"more than {MAX_COLLISIONS} collisions of 128-bit hashes")
@@ -122,6 +124,7 @@ def deal_with_next(docs: DataFrame, partition_mb: float = 8) -> DataFrame:
     A range starts at an id of the table, so the documents of that id go to the range before as well (own false); those of
     the lowest id also go behind the last range. z is the text, compressed. At most one number a partition goes to the driver.
     """
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     n = partitions_for(docs, partition_mb)
     places = [i / n for i in range(1, n)] or [0.5]

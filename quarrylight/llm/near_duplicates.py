@@ -9,8 +9,9 @@ Sketches of sets merge by the maximum of each register.
 3. Pairs whose likelihood estimate of the Jaccard similarity (from counts of greater, equal and lesser registers and the
    exact set sizes) is within Z standard errors of the limit are verified on full sets; components of the links follow.
 4. Buckets that still hold several components are gone through once more: classes outside the bucket's largest component
-   meet all of the bucket in blocks of bounded size, compared by sketch inside the task; only pairs that pass the estimate
-   and join different components come out. They are verified in the same way, and components follow again.
+   meet all of the bucket in blocks of bounded size. They are compared by sketch inside the task, and pairs that pass the
+   estimate are verified there on full sets, each in the first bucket that both share. Only links that join components come
+   out, so a task gives fewer links than it has classes; components follow again.
 
 So no pairs of a group are listed, and no link between classes in a common bucket is lost but by the estimate (Z = 4).
 A pair at the limit shares a bucket with probability 1 - (1 - 0.75**ROWS)**BANDS > 1 - 2e-6.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.components import components
+from quarrylight.operators.graph import components
 from quarrylight.llm.rows import LEVEL, compress, numbered, restored
 from quarrylight.llm.words import MULTIPLIERS, Texts, chunks, mixed, tidy, windows
 from quarrylight.tables import release, written
@@ -193,10 +194,10 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """key, class, first (least class of the bucket), size: members of buckets of two or more."""
+    """band, key, class, first (least class of the bucket), size: members of buckets of two or more."""
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)])
-    bands = classes.where("n > 0").select("class", F.explode(keys).alias("key"))
+    bands = classes.where("n > 0").select("class", F.posexplode(keys).alias("band", "key"))
     several = bands.groupBy("key").agg(F.min("class").alias("first"), F.count("*").alias("size")).where("size > 1")
     return written(bands.join(several.hint("merge"), "key"), "members")
 
@@ -209,11 +210,54 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return per.select(F.explode(F.slice(firsts, 1, STARS)).alias("a"), F.col("class").alias("b"))
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Plausible pairs across components inside buckets that hold several: each class outside the bucket's largest
-    component against all classes of the bucket, in blocks of about BLOCK."""
+class _Forest:
+    """Components that links found so far have joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _links_of_block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Links between components in one block of a bucket: guests (held false) against those the block holds."""
+    t = pa.Table.from_batches(rows).combine_chunks()
+    band, cls, comp, n = (t.column(c).to_numpy() for c in ("band", "class", "component", "n"))
+    is_held = t.column("held").to_numpy(zero_copy_only=False).astype(bool)
+    sketch, inside = _matrix(t.column("sketch")), np.flatnonzero(is_held)
+    size, z, unpress = n.astype(float), t.column("z"), zstandard.ZstdDecompressor()
+    forest, sets, out = _Forest(), {}, []
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_sets(Texts(pa.array([unpress.decompress(z[i].as_py())], pa.binary()), lower=True))[0]
+        return sets[i]
+
+    for g in np.flatnonzero(~is_held):
+        others = inside[(comp[inside] != comp[g]) & (cls[inside] != cls[g])]
+        if not len(others):
+            continue
+        near = others[plausible(sketch[others], np.broadcast_to(sketch[g], (len(others), REGISTERS)), size[others], np.full(len(others), size[g]))]
+        shared = (sketch[near] == sketch[g]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        for i in near[shared == band[g]].tolist():
+            if forest.root(int(comp[i])) != forest.root(int(comp[g])) and reach_limit(set_of(i), set_of(int(g))):
+                forest.join(int(comp[i]), int(comp[g]))
+                out.append((int(cls[i]), int(cls[g])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links inside buckets that hold several components, each class outside the bucket's largest component against all
+    classes of the bucket, in blocks of about BLOCK."""
     labelled = members.join(labels, F.col("class") == F.col("node"), "left").select(
-        "key", "class", "size", F.coalesce("component", "class").alias("component")
+        "band", "key", "class", "size", F.coalesce("component", "class").alias("component")
     )
     per = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
     largest = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("m", "component")).alias("top")).where("comps > 1")
@@ -225,49 +269,32 @@ def rest_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
     )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    columns = ("key", "class", "component", "outside")
+    columns = ("band", "key", "class", "component")
     held = mixed_keys.select(*columns, mine.alias("block"), F.lit(True).alias("held"))
     guests = mixed_keys.where("outside").select(
         *columns, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("held")
     )
-    rows = held.union(guests).join(classes.select("class", "n", "sketch"), "class")
-    kind = "a bigint, b bigint"
+    about = classes.select("class", "n", "sketch").join(texts, F.col("class") == F.col("row"))
+    rows = held.union(guests).join(about, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(rows)
-            cls, comp, n = (t.column(c).to_numpy() for c in ("class", "component", "n"))
-            is_held = t.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            s, inside = _matrix(t.column("sketch").combine_chunks()), np.flatnonzero(is_held)
-            out_a, out_b = [], []
-            for g in np.flatnonzero(~is_held):
-                others = inside[(comp[inside] != comp[g]) & (cls[inside] != cls[g])]
-                if len(others):
-                    size = np.full(len(others), float(n[g]))
-                    ok = others[plausible(s[others], np.broadcast_to(s[g], (len(others), REGISTERS)), n[others].astype(float), size)]
-                    out_a.append(np.minimum(cls[ok], cls[g]))
-                    out_b.append(np.maximum(cls[ok], cls[g]))
-            empty = np.zeros(0, np.int64)
-            pairs = np.unique(np.stack([np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
         held, at = [], None
         for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            keys = np.stack([batch.column("key").to_numpy(), batch.column("block").to_numpy()])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi > lo:
                     if at is not None and at != tuple(keys[:, lo]):
-                        yield compare(held)
+                        yield _links_of_block(held)
                         held = []
                     at = tuple(keys[:, lo])
                     held.append(batch.slice(lo, hi - lo))
         if held:
-            yield compare(held)
+            yield _links_of_block(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = rows.select("key", "block", "class", "component", "n", "held", "sketch").repartition(n, "key", "block")
-    return grouped.sortWithinPartitions("key", "block").mapInArrow(tidy(run), kind)
+    grouped = rows.select(*columns, "block", "held", "n", "sketch", "z").repartition(n, "key", "block")
+    return grouped.sortWithinPartitions("key", "block").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _components(sketched: DataFrame) -> DataFrame:
@@ -284,7 +311,7 @@ def _components(sketched: DataFrame) -> DataFrame:
     release(sketched.sparkSession)
     links = verify_pairs(filter_pairs(star_pairs(members), classes), texts)
     labels = components(links, "a", "b")
-    more = verify_pairs(rest_pairs(members, labels, classes), texts)
+    more = written(rest_links(members, labels, classes, texts), "more-links")
     labels = components(links.union(more), "a", "b")
     labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
         "d1", "d2", "n", "least", F.coalesce("component", "class").alias("component")

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from quarrylight.llm.tokens import encoder, tokenizer_path
 from quarrylight.llm.words import tidy
-from quarrylight.tables import written
+from quarrylight.tables import bounded_batches, written
 
 SEQUENCE = 1024
 END_ID = 0
@@ -93,6 +93,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataF
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(cut), PIECES)
 
 

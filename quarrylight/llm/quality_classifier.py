@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm.words import Texts, chunks, tidy
-from quarrylight.tables import written
+from quarrylight.tables import bounded_batches, written
 
 #: Labelled documents used at most; half of the good ones fit the target model, the rest set the threshold.
 MAX_LABELLED = 6000
@@ -211,6 +211,7 @@ class Draw:
 
 
 def draw(docs: DataFrame, labels: DataFrame, share: float | None, rows: int, seed: int) -> tuple[Draw, DataFrame] | None:
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, rows, seed)
     if model is None:
         return None

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.words import Texts, chunks, mixed, tidy, windows, within
+from quarrylight.tables import bounded_batches
 
 #: Rows that the cost sample holds at most.
 SAMPLE_ROWS = 2000
@@ -171,6 +172,7 @@ RESULT = (
 
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Counts and verdict for each document; failed_rule is the first rule that failed (base first), in cascade order."""
+    bounded_batches(docs.sparkSession)
     order = order or [name for name, _, _ in cost_order(docs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

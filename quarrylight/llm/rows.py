@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm.words import CHUNK_BYTES, tidy
+from quarrylight.tables import bounded_batches
 
 LEVEL = 3
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """row, doc_id, text, rest: rest is a struct of all columns but the text, whatever their names."""
+    bounded_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     return docs.select(
         F.monotonically_increasing_id().alias("row"),

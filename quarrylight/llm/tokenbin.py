@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from quarrylight.llm.tokens import encoder, tokenizer_path
 from quarrylight.llm.words import tidy
-from quarrylight.tables import fresh_path, partitions_for
+from quarrylight.tables import bounded_batches, fresh_path, partitions_for
 
 BLOCK, LANES = 1024, 32
 PERCENTILES = (50, 75, 90, 95, 98, 100)
@@ -171,6 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_mb: float
             yield row("shard", encode_index(doc_ids, counts))
             yield row("totals", f"{len(doc_ids)} {sum(counts)}".encode())
 
+    bounded_batches(docs.sparkSession)
     n = partitions_for(docs, partition_mb)
     (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
