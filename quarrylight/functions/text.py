@@ -60,26 +60,23 @@ def known(text: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(UNKNOWN))
 
 
-_AUTHORITY = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)"
-
-
-def _whole_url(url: Column) -> Column:
-    """With a scheme: "host/path" becomes "https://host/path"."""
-    text = strip(url)
-    has_scheme = text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | text.startswith("//")
-    return F.when(has_scheme, text).otherwise(F.concat(F.lit("https://"), text))
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
+#: "host/path" is taken as "https://host/path"; "scheme:rest" without "//" has no host.
+_HOST = rf"(?i)^\s*(?!{_SCHEME}(?!//))(?:(?:{_SCHEME})?//)?(?:www\.)?([^/?#\s]*)"
+_PATH = rf"(?s)^\s*(?:{_SCHEME}(?://[^/?#]*)?|//[^/?#]*|[^/?#]*)([^?#;]*?)\s*(?:[?#;].*)?$"
 
 
 def url_scheme(url: Column) -> Column:
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(_whole_url(url), _AUTHORITY, 1)), F.lit("")), F.lit("https"))
+    found = F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    return F.coalesce(F.nullif(F.lower(found), F.lit("")), F.lit("https"))
 
 
 def url_netloc(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(_whole_url(url), _AUTHORITY, 2)), r"^www\.", "")
+    return F.lower(F.regexp_extract(url, _HOST, 1))
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(_whole_url(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1)
+    return F.regexp_extract(url, _PATH, 1)
 
 
 def is_known_url(url: Column) -> Column:
@@ -94,12 +91,8 @@ def normalize_url(url: Column) -> Column:
 
 def domain(url: Column) -> Column:
     """The last two labels of the host, or three under a country's second level."""
-    parts = F.split(url_netloc(url), r"\.")
-    n = F.size(parts)
-    deep = (n >= 3) & (F.element_at(parts, -1) == "br") & F.element_at(parts, -2).isin(*SECOND_LEVEL)
-    take = F.when(deep, 3).otherwise(2)
-    short = F.array_join(F.slice(parts, F.greatest(n - take + 1, F.lit(1)), take), ".")
-    return F.when(is_known_url(url), known(F.when(n >= 2, short).otherwise(url_netloc(url)))).otherwise(F.lit(UNKNOWN))
+    ending = rf"([^.]+\.(?:{'|'.join(SECOND_LEVEL)})\.br|[^.]+\.[^.]+|[^.]+)$"
+    return F.when(is_known_url(url), known(F.regexp_extract(url_netloc(url), ending, 1))).otherwise(F.lit(UNKNOWN))
 
 
 def origin(url: Column) -> Column:

@@ -182,10 +182,10 @@ ORACLES = {
         CASE WHEN conflict THEN 'human_review' WHEN classification = 'non_ai' THEN 'low' WHEN classification = 'ai_enabled' THEN 'medium'
              WHEN confidence >= 0.8 AND has_gap THEN 'urgent' ELSE 'medium' END AS urgency FROM y""",
     "gap_taxonomy": f"WITH {GAPS}, {STACKS} SELECT gap_type, startups, document_id, stack_name FROM (SELECT gap_type, count(*) AS startups FROM gaps WHERE gap_type <> 'unknown' GROUP BY 1) JOIN stacks USING (gap_type)",
-    "gap_space": f"""WITH {GAPS}, {STACKS}, t AS (SELECT gap_type, string_agg(document_id, ',' ORDER BY document_id) AS targets FROM stacks GROUP BY 1),
+    "gap_space": f"""WITH {GAPS}, {STACKS}, tg AS (SELECT gap_type, string_agg(document_id, ',' ORDER BY document_id) AS targets FROM stacks GROUP BY 1),
       x AS (SELECT startup, gap_type, coalesce(targets, '') AS targets, concat_ws(',', CASE WHEN targets IS NULL THEN 'unsupported_gap_type' END,
         CASE WHEN startup % 4 = 0 THEN 'missing_observed_gap_evidence' END, CASE WHEN startup % 6 = 2 THEN 'high_wrapper_risk' END) AS review_reasons
-        FROM gaps LEFT JOIN t USING (gap_type) WHERE gap_type <> 'unknown')
+        FROM gaps LEFT JOIN tg USING (gap_type) WHERE gap_type <> 'unknown')
       SELECT *, CASE WHEN targets = '' THEN 'unsupported' WHEN review_reasons <> '' THEN 'hypothesis' ELSE 'supported' END AS support_status FROM x""",
     "recommend_rank": f"""WITH {RECOMMENDED}, r AS (SELECT *, row_number() OVER (PARTITION BY startup ORDER BY score DESC, gap_type, document_id) AS rank FROM rec WHERE state = 'supported')
       SELECT startup, gap_type, document_id, rank, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY startup, gap_type ORDER BY rank) = 1""",
@@ -206,7 +206,7 @@ ORACLES = {
     "json_payload_overlay": "SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events",
     "three_way_join_filter": """SELECT c_nationkey, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
       JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 30 GROUP BY 1""",
-    "events_stream": "SELECT date_trunc('hour', ts)::TIMESTAMPTZ AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL",
+    "events_stream": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL",
     "candidate_scores": f"""SELECT page_id AS pos, 'company' AS source_type, upper(d[1]) || lower(d[2:]) AS name, {SCHEME} || '://' || {HOST} AS primary_url, 0.9::DOUBLE AS score
       FROM (SELECT *, string_split({DOMAIN}, '.')[1] AS d FROM pages)""",
 }

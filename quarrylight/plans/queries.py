@@ -386,7 +386,7 @@ def three_way_join_filter(spark, sf):
 
 
 def events_stream(spark, sf):
-    return stream.stream_hourly(spark, sf)
+    return stream.stream_hourly(spark, sf).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00"))
 
 
 def search_budget(spark, sf):

@@ -10,6 +10,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's size: file sizes for a scan, without running a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of a plan's size: file sizes for a scan, without running a job.
+
+    Where it has none (rows made in memory, or by a Python function), the bytes of the text column are summed.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 55:
+        return size
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]) // 2
 
 
 def partitions_for(df: DataFrame, target_mb: float, least: int | None = None) -> int:
