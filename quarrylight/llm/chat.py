@@ -97,6 +97,10 @@ LAYOUTS = (
 )
 
 
+def _any_has(items: Column, field: str) -> Column:
+    return F.exists(items, lambda x: x[field].isNotNull())
+
+
 def present_paths(col: Column, kind: T.StructType, prefix: str = "") -> list[Column]:
     """For each leaf of a struct, its path if it holds a value, else null."""
     out = []
@@ -106,8 +110,7 @@ def present_paths(col: Column, kind: T.StructType, prefix: str = "") -> list[Col
             out += present_paths(at, f.dataType, path + ".")
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             for g in f.dataType.elementType.fieldNames():
-                found = F.exists(at, lambda x, g=g: x[g].isNotNull())
-                out.append(F.when(found, F.lit(f"{path}[].{g}")))
+                out.append(F.when(_any_has(at, g), F.lit(f"{path}[].{g}")))
         else:
             out.append(F.when(at.isNotNull(), F.lit(path)))
     return out
@@ -116,10 +119,12 @@ def present_paths(col: Column, kind: T.StructType, prefix: str = "") -> list[Col
 def canonical_turns(records: DataFrame, key: str, record: str = "rec", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """key, fingerprint, layout, turn, pos, role, text: a row for each turn; a row with layout null for a record of no layout.
 
-    `record` is a column of RECORD_SCHEMA (any subset of its fields), or a JSON string.
+    `record` is a column of RECORD_SCHEMA (any subset of its fields), or a JSON string. A struct without any value is a turn
+    without role and text; a JSON record that says nothing any layout knows is of no layout.
     """
     kind = records.schema[record].dataType
-    if isinstance(kind, T.StringType):
+    is_json = isinstance(kind, T.StringType)
+    if is_json:
         records = records.withColumn(record, F.from_json(record, RECORD_SCHEMA))
         kind = RECORD_SCHEMA
     known = {f.name: f for f in RECORD_SCHEMA.fields}
@@ -133,7 +138,8 @@ def canonical_turns(records: DataFrame, key: str, record: str = "rec", layouts:
     rows = rows.withColumn("fingerprint", F.md5(F.array_join(paths, "\n")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in reversed(layouts):
-        hit = F.col("fingerprint").isin(x.fingerprints())
+        known_prints = [p for p in x.fingerprints() if not (is_json and p == fingerprint_of([]))]
+        hit = F.col("fingerprint").isin(known_prints)
         layout, turns = F.when(hit, F.lit(x.name)).otherwise(layout), F.when(hit, F.expr(x.turns)).otherwise(turns)
     rows = rows.select("key", "fingerprint", layout.alias("layout"), F.col("rec.turn").alias("turn"), turns.alias("turns"))
     rows = rows.select("key", "fingerprint", "layout", "turn", F.posexplode_outer("turns").alias("pos", "t"))
