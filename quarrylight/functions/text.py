@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: White space as Python's str.strip() sees it, for patterns of the JVM.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]"
+#: White space as Python's str.strip() sees it.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+SPACE = f"[{SPACES}]"
 # Tokens and phrases that end a company's name without naming it.
 LEGAL_SUFFIXES = ("brasil", "company", "inc", "ltda", "s a", "sa", "startup", "startups", "tecnologia")
 # Domains under which a company registers one level deeper.
@@ -22,26 +23,27 @@ STOP_TOKENS = ("need", "needs", "support", "supported", "supporting", "supports"
 
 @lru_cache(1)
 def _folds() -> tuple[str, str]:
-    """Characters of the basic plane whose compatibility form, without marks, is one other character, and that form."""
-    pairs = []
+    """Characters of the basic plane whose compatibility form, without marks, is one other character, and that form; then the
+    marks, which have none (translate() drops what has no counterpart)."""
+    pairs, marks = [], []
     for code in range(0x80, 0x10000):
         if 0xD800 <= code < 0xE000:
             continue
         bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if len(bare) == 1 and bare != chr(code):
             pairs.append((chr(code), bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        elif not bare:
+            marks.append(chr(code))
+    return "".join([a for a, _ in pairs] + marks), "".join(b for _, b in pairs)
 
 
 def fold(text: Column) -> Column:
     """Accents off, lower case, stripped. Ligatures and fractions (more than one character) stay as they are."""
-    source, target = _folds()
-    bare = F.regexp_replace(F.translate(text, source, target), r"\p{M}", "")
-    return strip(F.lower(bare))
+    return strip(F.lower(F.translate(text, *_folds())))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -115,9 +117,9 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def snippet(text: Column, value: Column, window: int = 160) -> Column:
+def snippet(text: Column, value: Column, window: int = 160, folded: Column | None = None) -> Column:
     """`window` characters around the value's place in the folded text, else the first ones."""
-    at = F.instr(fold(text), fold(value))
+    at = F.instr(fold(text) if folded is None else folded, fold(value))
     start = F.greatest(at - 1 - window // 2, F.lit(0))
     end = F.least(at - 1 + F.char_length(value) + window // 2, F.char_length(text))
     near = F.substring(text, start + 1, end - start)

@@ -37,10 +37,18 @@ REQUIRED = ("company_name", "official_site", "company_summary", "sector", "produ
 READY = {"candidates": 1, "official_site_rate": 0.7, "complete_profile_rate": 0.6, "average_evidences": 3.0}
 
 
-def labelled_value(text: Column, label: str) -> Column:
-    """What follows "label:" at the start of a sentence or line; null if nothing does."""
-    found = F.regexp_extract(text, rf"(?iu)(?:^|[.;\n])\s*{re.escape(label)}\s*:\s*([^.;\n]+)", 1)
-    return F.nullif(strip(found), F.lit(""))
+def labelled_pairs(text: Column, labels: tuple[str, ...]) -> Column:
+    """array<struct<label, value>>: what follows "label:" at the start of a sentence or line, all labels in one pass."""
+    pattern = F.lit(rf"(?iu)(?:^|[.;\n])\s*({'|'.join(map(re.escape, labels))})\s*:\s*([^.;\n]+)")
+    group = lambda k: F.regexp_extract_all(text, pattern, F.lit(k))
+    pairs = F.arrays_zip(F.transform(group(1), F.lower).alias("label"), F.transform(group(2), strip).alias("value"))
+    return F.when(F.contains(text, F.lit(":")), pairs)
+
+
+def first_value(pairs: Column, labels: tuple[str, ...]) -> Column:
+    """The first value of the first label that has one; null if none has."""
+    of = lambda label: F.get(F.filter(pairs, lambda p: (p["label"] == label.lower()) & (p["value"] != "")), F.lit(0))["value"]
+    return F.coalesce(*[of(x) for x in labels])
 
 
 def profile_fields(pages: DataFrame, labels: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -50,16 +58,18 @@ def profile_fields(pages: DataFrame, labels: dict[str, tuple[str, ...]] | None =
     A field is observed where a label or title gives it, inferred where words of the text do, else unknown.
     """
     labels = labels or LABELS
-    evidence = lambda v: F.struct("url", "title", snippet(F.col("main_text"), v).alias("snippet"), "collected_at", F.lit("collected_page").alias("source_type"))
+    near = lambda v: snippet(F.col("main_text"), v, folded=F.col("_plain"))
+    evidence = lambda v: F.struct("url", "title", near(v).alias("snippet"), "collected_at", F.lit("collected_page").alias("source_type"))
     first = lambda v: F.min(F.when(v.isNotNull(), F.struct("pos", v.alias("value"), evidence(v).alias("e"))))
     text = F.when(F.col("main_text") != UNKNOWN, F.col("main_text"))
-    plain = fold(F.coalesce(F.col("main_text"), F.lit("")))
+    plain = F.col("_plain")
     title = F.nullif(strip(F.regexp_extract(F.col("title"), r"^(.*?)(?:\s+[|-]\s+.*)?$", 1)), F.lit(""))
-    found = {f: F.coalesce(*[labelled_value(text, x) for x in words]) for f, words in labels.items()}
+    found = {f: first_value(F.col("_pairs"), words) for f, words in labels.items()}
     words = F.array_compact(F.array(*[F.when(F.contains(plain, F.lit(w)), F.lit(w)) for w in AI_WORDS]))
     sector = F.coalesce(*[F.when(F.contains(plain, F.lit(w)), F.struct(F.lit(w).alias("word"), F.lit(s).alias("sector"))) for w, s in SECTOR_WORDS.items()])
     # every expression once a page, then the first page that has it: no second pass over texts
-    per_page = pages.select("*", F.when(title != UNKNOWN, title).alias("_title"), words.alias("_ai"), sector.alias("_by_word"), *[v.alias(f"_{f}") for f, v in found.items()])
+    read = pages.select("*", fold(F.coalesce("main_text", F.lit(""))).alias("_plain"), labelled_pairs(text, tuple(x for ws in labels.values() for x in ws)).alias("_pairs"))
+    per_page = read.select("*", F.when(title != UNKNOWN, title).alias("_title"), words.alias("_ai"), sector.alias("_by_word"), *[v.alias(f"_{f}") for f, v in found.items()])
     grouped = per_page.groupBy("key").agg(
         F.max("name").alias("name"),
         F.min(F.struct("pos", evidence(origin(F.col("url"))).alias("e"), origin(F.col("url")).alias("value"))).alias("site"),
