@@ -101,8 +101,8 @@ def robots_decisions(urls: DataFrame, robots: DataFrame, agent: str = "*", conse
 
         for batch in batches:
             out = []
-            for body, group in batch.groupby(batch["body"].fillna("\0"), sort=False):
-                if body == "\0":
+            for body, group in batch.groupby(batch["body"].fillna("\x01"), sort=False):
+                if body == "\x01":  # could not be read
                     out += [(u, not conservative, "robots_unavailable" if conservative else "allowed", None) for u in group["url"]]
                     continue
                 rules = RobotFileParser()
