@@ -130,21 +130,24 @@ def unknown_fields(fields: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "field")))  # as many rows as fields
 
 
-def collection_quality(candidates: Column | int, fields: DataFrame) -> DataFrame:
-    """One row: counts, rates (unrounded) and whether the run is ready, with the reasons if not."""
+def collection_quality(candidates: DataFrame | int, fields: DataFrame) -> DataFrame:
+    """One row: counts, rates (unrounded) and whether the run is ready, with the reasons if not. candidates: how many, or a
+    row of that number."""
     per = fields.groupBy("key").agg(
         F.bool_and(F.when(F.col("field").isin(*REQUIRED), F.col("value") != UNKNOWN)).alias("complete"),
         F.bool_or((F.col("field") == "official_site") & (F.col("value") != UNKNOWN)).alias("site"),
         F.sum(F.size("evidences")).alias("evidences"),
     )
-    n = candidates if isinstance(candidates, Column) else F.lit(candidates)
     total = per.agg(
-        n.cast("bigint").alias("candidates"),
         F.count("*").alias("profiles"),
         F.count_if("site").alias("official_sites"),
         F.count_if("complete").alias("complete_profiles"),
         F.coalesce(F.sum("evidences"), F.lit(0)).alias("evidences"),
     )
+    if isinstance(candidates, int):
+        total = total.withColumn("candidates", F.lit(candidates).cast("bigint"))
+    else:
+        total = total.crossJoin(F.broadcast(candidates.toDF("candidates")))  # one row each
     total = (
         total.withColumn("official_site_rate", ratio(F.col("official_sites"), F.col("candidates")))
         .withColumn("complete_profile_rate", ratio(F.col("complete_profiles"), F.col("candidates")))
