@@ -34,6 +34,7 @@ AI_WORDS = (
 FIELDS = ("company_name", "official_site", *LABELS)
 # Fields a profile needs, and when a run is ready to be assessed.
 REQUIRED = ("company_name", "official_site", "company_summary", "sector", "product", "ai_signals")
+EVIDENCE = "struct<url:string,title:string,snippet:string,collected_at:string,source_type:string>"
 READY = {"candidates": 1, "official_site_rate": 0.7, "complete_profile_rate": 0.6, "average_evidences": 3.0}
 
 
@@ -55,52 +56,49 @@ def profile_fields(pages: DataFrame, labels: dict[str, tuple[str, ...]] | None =
     """key, field, value, claim_source, evidences: the fields of each profile key, one row a field.
 
     pages: key, pos, url, title, main_text, collected_at, and name (what to call the company if no title does).
-    A field is observed where a label or title gives it, inferred where words of the text do, else unknown.
+    A field is observed where a label or title gives it, inferred where words of the text do, else unknown. Each text is read
+    once; past that, rows are what was found, not texts.
     """
     labels = labels or LABELS
-    near = lambda v: snippet(F.col("main_text"), v, folded=F.col("_plain"))
-    evidence = lambda v: F.struct("url", "title", near(v).alias("snippet"), "collected_at", F.lit("collected_page").alias("source_type"))
-    first = lambda v: F.min(F.when(v.isNotNull(), F.struct("pos", v.alias("value"), evidence(v).alias("e"))))
     text = F.when(F.col("main_text") != UNKNOWN, F.col("main_text"))
-    plain = F.col("_plain")
-    title = F.nullif(strip(F.regexp_extract(F.col("title"), r"^(.*?)(?:\s+[|-]\s+.*)?$", 1)), F.lit(""))
-    found = {f: first_value(F.col("_pairs"), words) for f, words in labels.items()}
-    words = F.array_compact(F.array(*[F.when(F.contains(plain, F.lit(w)), F.lit(w)) for w in AI_WORDS]))
-    sector = F.coalesce(*[F.when(F.contains(plain, F.lit(w)), F.struct(F.lit(w).alias("word"), F.lit(s).alias("sector"))) for w, s in SECTOR_WORDS.items()])
-    # every expression once a page, then the first page that has it: no second pass over texts
-    read = pages.select("*", fold(F.coalesce("main_text", F.lit(""))).alias("_plain"), labelled_pairs(text, tuple(x for ws in labels.values() for x in ws)).alias("_pairs"))
-    per_page = read.select("*", F.when(title != UNKNOWN, title).alias("_title"), words.alias("_ai"), sector.alias("_by_word"), *[v.alias(f"_{f}") for f, v in found.items()])
-    grouped = per_page.groupBy("key").agg(
-        F.max("name").alias("name"),
-        F.min(F.struct("pos", evidence(origin(F.col("url"))).alias("e"), origin(F.col("url")).alias("value"))).alias("site"),
-        first(F.col("_title")).alias("company_name"),
-        F.min(F.when(F.col("_by_word").isNotNull(), F.struct("pos", F.col("_by_word.sector").alias("value"), evidence(F.col("_by_word.word")).alias("e")))).alias("i_sector"),
-        F.array_sort(F.collect_list(F.when(F.size("_ai") > 0, F.struct("pos", F.transform("_ai", lambda w: F.struct(w.alias("w"), evidence(w).alias("e"))).alias("ws"))))).alias("i_ai"),
-        *[first(F.col(f"_{f}")).alias(f"o_{f}") for f in labels],
+    every_label = tuple(x for words in labels.values() for x in words)
+    read = pages.select(
+        "key", "pos", "url", "title", "main_text", "collected_at",
+        fold(F.coalesce("main_text", F.lit(""))).alias("plain"), labelled_pairs(text, every_label).alias("pairs"),
+    )
+    claim = lambda f, v, word, order, observed: F.when(
+        v.isNotNull(), F.struct(F.lit(f).alias("field"), v.alias("value"), word.alias("word"), F.lit(order).alias("order"), F.lit(observed).alias("observed"))
     )
-    none = F.array().cast("array<struct<url:string,title:string,snippet:string,collected_at:string,source_type:string>>")
-    row = lambda f, v, s, e: F.struct(F.lit(f).alias("field"), v.alias("value"), s.alias("claim_source"), e.alias("evidences"))
-    seen = F.lit("observed")
-    all_ai = F.flatten(F.transform("i_ai", lambda p: p["ws"]))
-    distinct = F.array_distinct(F.transform(all_ai, lambda w: w["w"]))
-    firsts = F.transform(distinct, lambda w: F.get(F.filter(all_ai, lambda x: x["w"] == w), F.lit(0))["e"])
-    fields = [
-        F.when(F.col("company_name").isNotNull(), row("company_name", F.col("company_name.value"), seen, F.array("company_name.e")))
-        .when(F.coalesce("name", F.lit(UNKNOWN)) != UNKNOWN, row("company_name", F.col("name"), F.lit("inferred"), none))
-        .otherwise(row("company_name", F.lit(UNKNOWN), F.lit(UNKNOWN), none)),
-        F.when(F.col("site.value") != UNKNOWN, row("official_site", F.col("site.value"), seen, F.array("site.e"))).otherwise(
-            row("official_site", F.lit(UNKNOWN), F.lit(UNKNOWN), none)
-        ),
-    ]
-    for f in labels:
-        o = F.col(f"o_{f}")
-        out = F.when(o.isNotNull(), row(f, o["value"], seen, F.array(o["e"])))
-        if f == "sector":
-            out = out.when(F.col("i_sector").isNotNull(), row(f, F.col("i_sector.value"), F.lit("inferred"), F.array("i_sector.e")))
-        if f == "ai_signals":
-            out = out.when(F.size(distinct) > 0, row(f, F.array_join(distinct, ", "), F.lit("inferred"), firsts))
-        fields.append(out.otherwise(row(f, F.lit(UNKNOWN), F.lit(UNKNOWN), none)))
-    return grouped.select("key", F.explode(F.array(*fields)).alias("x")).select("key", "x.*")
+    title = F.nullif(strip(F.regexp_extract("title", r"^(.*?)(?:\s+[|-]\s+.*)?$", 1)), F.lit(""))
+    name, site = F.when(F.col("title") != UNKNOWN, title), origin(F.col("url"))
+    said = [claim("company_name", name, name, 0, True), claim("official_site", site, site, 0, True)]
+    said += [claim(f, v := first_value(F.col("pairs"), words), v, 0, True) for f, words in labels.items()]
+    told = lambda word, value: F.when(F.contains("plain", F.lit(word)), F.lit(value))
+    said += [claim("sector", told(w, sector), F.lit(w), i, False) for i, (w, sector) in enumerate(SECTOR_WORDS.items())]
+    said += [claim("ai_signals", told(w, w), F.lit(w), i, False) for i, w in enumerate(AI_WORDS)]
+    claims = read.withColumn("c", F.explode(F.array_compact(F.array(*said)))).select(
+        "key", "pos", "c.field", "c.value", "c.order", "c.observed",
+        F.struct("url", "title", snippet(F.col("main_text"), F.col("c.word"), folded=F.col("plain")).alias("snippet"), "collected_at", F.lit("collected_page").alias("source_type")).alias("e"),
+    )
+    guess = F.collect_list(F.when(~F.col("observed"), F.struct("pos", "order", "value", "e")))
+    found = claims.groupBy("key", "field").agg(
+        F.min(F.when(F.col("observed"), F.struct("pos", "value", "e"))).alias("o"), F.array_sort(guess).alias("guesses")
+    )
+    profile = pages.groupBy("key").agg(F.max("name").alias("name")).withColumn("field", F.explode(F.array(*map(F.lit, ("company_name", "official_site", *labels)))))
+    joined = profile.join(found, ["key", "field"], "left")
+    words = F.array_distinct(F.transform("guesses", lambda g: g["value"]))
+    one = lambda v: F.get(F.filter("guesses", lambda g: g["value"] == v), F.lit(0))["e"]
+    first = F.get("guesses", F.lit(0))
+    none = F.array().cast(f"array<{EVIDENCE}>")
+    row = lambda v, source, es: F.struct(v.alias("value"), F.lit(source).alias("claim_source"), es.alias("evidences"))
+    out = (
+        F.when(F.col("o").isNotNull() & (F.col("o.value") != UNKNOWN), row(F.col("o.value"), "observed", F.array("o.e")))
+        .when((F.col("field") == "company_name") & (F.coalesce("name", F.lit(UNKNOWN)) != UNKNOWN), row(F.col("name"), "inferred", none))
+        .when((F.col("field") == "ai_signals") & (F.size("guesses") > 0), row(F.array_join(words, ", "), "inferred", F.transform(words, one)))
+        .when((F.col("field") == "sector") & (F.size("guesses") > 0), row(first["value"], "inferred", F.array(first["e"])))
+        .otherwise(row(F.lit(UNKNOWN), UNKNOWN, none))
+    )
+    return joined.select("key", "field", out.alias("x")).select("key", "field", "x.*")
 
 
 def evidence_groups(claims: DataFrame) -> DataFrame:
