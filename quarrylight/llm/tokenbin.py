@@ -143,7 +143,7 @@ def frames(shard: bytes) -> Iterator[tuple[bytes, int, int, int, memoryview]]:
         at += size + 1
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_mb: float = 12) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_mb: float = 6) -> None:
     """Encode all documents (doc_id, text) and write shards and totals under `path`."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
