@@ -170,18 +170,13 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
 
     A span is (turn, start, length): the turn's place in the conversation, and code points in that turn's rendering.
     """
-    role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
-    rows = turns.where(F.col("layout").isNotNull()).select(
-        "key",
-        F.struct(
-            "turn",
-            "pos",
-            F.coalesce("role", F.lit("")).isin(*learn).alias("learn"),
-            role.alias("role"),
-            text.alias("text"),
-        ).alias("t"),
-    )
+    said = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    rows = turns.where(F.col("layout").isNotNull()).select("key", F.struct("turn", "pos", *said).alias("t"))
     grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    escaped = lambda t: F.struct(
+        t["role"].isin(*learn).alias("learn"), escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")
+    )
+    grouped = grouped.select("key", F.transform("ts", escaped).alias("ts"))
     piece = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END))
     span = lambda t, i: F.when(
         t["learn"],

@@ -7,10 +7,9 @@ All items are ordered by finish time and the mix is cut where the running total
 Running sums never gather a source into one task. Items are first dealt to fine buckets (of the shuffle hash, then of
 the finish time); bucket totals give each bucket's start, and only the rows of one bucket are sorted together.
 
-A column row_id, if there is one, numbers the rows; else they are numbered here.
-
-Defined results: null text counts as empty (size 0, nothing taken); null source is a source of its own, last in order;
-repeated rows are separate documents; an empty table gives an empty mix; extra columns are ignored.
+Defined results: null text counts as empty; a document without words has size 0, takes no place in the order (finish and
+running are null) and is not taken; null source is a source of its own, last in order; repeated rows are separate documents;
+an empty table gives an empty mix; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylight.llm.running import starts as running_starts
 from quarrylight.tables import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,18 +66,18 @@ def mix(
     max_repeats: int = 3,
     share: float = 1.0,
     seed: int = 20,
+    number: Column | None = None,
 ) -> DataFrame:
-    """All items of the mix, range-sorted by virtual finish time.
+    """All items of the mix, range-sorted by virtual finish time. `number` numbers the rows of docs; else they are numbered here.
 
     Returns row_id, doc_id, source, epoch, size, source_size, target, finish, running (words up to and with this
     item), taken (whether the item is within the budget of share x all words). Every document has its item of epoch 0;
     a later pass over a source has items if it starts before twice the target.
     """
     spark = docs.sparkSession
-    number = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
     sized = written(
         docs.select(
-            number.cast("bigint").alias("row_id"),
+            (F.monotonically_increasing_id() if number is None else number).cast("bigint").alias("row_id"),
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -87,7 +87,8 @@ def mix(
     )
     targets = written(source_targets(sized, weights, max_repeats, share).coalesce(1), "mix-targets")
     bits = max(4, math.ceil(math.log2(max(1, sized.count()) / ROWS_A_BUCKET + 1)))
-    sized = sized.withColumn("b", F.shiftright("h", HASH_BITS - bits))
+    wordless = sized.where("size = 0")
+    sized = sized.where("size > 0").withColumn("b", F.shiftright("h", HASH_BITS - bits))
 
     starts = sized.groupBy("source", "b").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,37 +105,41 @@ def mix(
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     epochs = F.filter(
         F.sequence(F.lit(0), F.lit(max_repeats - 1)),
-        lambda e: (e == 0) | (e * F.col("source_size") <= 2 * F.col("target")),
-    )
-    items = placed.withColumn("epoch", F.explode(epochs)).withColumn(
-        "finish",
-        F.when(F.col("target") > 0, (F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")).otherwise(0.0),
+        lambda e: (e == 0) | ((F.col("target") > 0) & (e * F.col("source_size") <= 2 * F.col("target"))),
     )
+    # a target is 0 only if the share is: then nothing is taken, and any order will do
+    finish = (F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double") / F.when(F.col("target") > 0, F.col("target")).otherwise(F.col("source_size"))
+    items = placed.withColumn("epoch", F.explode(epochs)).withColumn("finish", finish)
     # Finish times to 2 get even buckets; later ones, which only sources far above their target have, get buckets a part of an octave wide.
     slots = 1 << bits
     late = F.log2(F.greatest(F.col("finish"), F.lit(2.0)) / 2) * (slots / 4)
     items = items.withColumn("v", F.floor(F.when(F.col("finish") < 2, F.col("finish") * slots).otherwise(2 * slots + late)))
     items = written(items, "mix-items")
-    v_starts = items.groupBy("v").agg(F.sum("size").alias("n"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    v_starts = v_starts.select(F.col("v").alias("s_v"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("v_start"))
+    v_starts = running_starts(items.groupBy("v").agg(F.sum("size").alias("n")), "v", "n")
+    v_starts = v_starts.select(F.col("v").alias("s_v"), F.col("start").alias("v_start"))
     order = ("finish", "source", "doc_id", "epoch", "size", "row_id")
     in_v = Window.partitionBy("v").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return (
+    queued = (
         items.join(v_starts, F.col("v") == F.col("s_v"))
         .repartitionByRange(n, "v")
         .withColumn("running", F.col("v_start") + F.sum("size").over(in_v))
         .withColumn("taken", F.col("running") <= F.col("budget"))
         .select("row_id", "doc_id", "source", "epoch", "size", "source_size", "target", "finish", "running", "taken")
     )
+    return queued.union(
+        wordless.join(by_source, F.col("source").eqNullSafe(F.col("t_source"))).select(
+            "row_id", "doc_id", "source", F.lit(0).alias("epoch"), "size", "source_size", "target",
+            F.lit(None).cast("double").alias("finish"), F.lit(None).cast("bigint").alias("running"), F.lit(False).alias("taken"),
+        )
+    )
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix takes it."""
     rows = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")), "mix-documents")
     plain = rows.select("row_id", "doc.doc_id", "doc.source", "doc.text")
-    times = mix(plain, **how).where("taken AND size > 0").groupBy("row_id").agg(F.count("*").cast("int").alias("times"))
+    times = mix(plain, number=F.col("row_id"), **how).where("taken AND size > 0").groupBy("row_id").agg(F.count("*").cast("int").alias("times"))
     taken = rows.join(times, "row_id").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
     return taken.select("doc.*")
 
@@ -177,13 +182,15 @@ t AS (
 cum AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.budget,
          (sum(s.size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS cum
-  FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+  FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size > 0),
 items AS (
-  SELECT *, CASE WHEN target > 0 THEN (epoch * source_size + cum)::DOUBLE / target ELSE 0 END AS finish
+  SELECT *, (epoch * source_size + cum)::DOUBLE / target AS finish
   FROM cum, (VALUES (0), (1), (2)) e(epoch) WHERE epoch = 0 OR epoch * source_size <= 2 * target),
 run AS (
   SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, doc_id NULLS FIRST, epoch, size ROWS UNBOUNDED PRECEDING) AS running FROM items)
 SELECT doc_id, size, source_size, target,
        (sum(CASE WHEN running <= budget THEN size ELSE 0 END))::BIGINT AS taken
 FROM run GROUP BY doc_id, size, source_size, target
+UNION ALL
+SELECT s.doc_id, s.size, t.source_size, t.target, 0::BIGINT FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size = 0
 """

@@ -10,12 +10,14 @@ k is the number of documents whose weight reaches a threshold set on labelled do
 seen, unless a share is given. The k-th key is found by narrowing to ever finer slots of key values: a few grouped counts, no sort.
 
 Defined results: null and empty texts have no n-grams and weight 0; repeated rows get equal keys and share their fate; if
-no labelled good document is found every document is kept with weight 0; an empty table gives no rows. A document labelled
-more than once counts by its lowest label. Extra columns are ignored by `score`; `keep` returns the input's columns.
+no labelled good document is found every document is kept with weight 0; if the labelled documents held out for the threshold
+are all good, all bad or none, nothing tells what a cut would cost, and every document is kept (a share still draws); an
+empty table gives no rows. A document labelled more than once counts by its lowest label. Extra columns are ignored by `score`; `keep` returns the input's columns.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,9 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED, seed: int
 
 
 def best_threshold(good: list[float], bad: list[float], loss_of_good: float = 20.0) -> float:
-    """The cut with the least cost of rejected good and kept bad documents; halfway in the gap where the least is."""
+    """The cut with the least cost of rejected good and kept bad documents; halfway in the gap where the least is.
+    Without documents of both kinds there is no cut: all are kept."""
     if not bad or not good:
-        return min(good, default=0.0) - 1.0
+        return -math.inf
     cuts = sorted({*good, *bad})
     cuts = [cuts[0] - 1.0, *cuts, cuts[-1] + 1.0]
     good_a, bad_a = np.sort(good), np.sort(bad)

@@ -166,12 +166,12 @@ def cost_order(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, floa
 
 RESULT = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
-    " base_failed boolean, kept boolean, failed_rule string"
+    " base_failed boolean, kept boolean"
 )
 
 
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Counts and verdict for each document; failed_rule is the first rule that failed (base first), in cascade order."""
+    """Counts and verdict for each document."""
     bounded_batches(docs.sparkSession)
     order = order or [name for name, _, _ in cost_order(docs)]
 
@@ -179,13 +179,9 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, 1):
                 c = count(Texts(part.column(1)))
-                failed = np.full(c.texts.n, None, object)
-                failed[c.base_failed] = "base"
                 left = np.flatnonzero(~c.base_failed)
                 for name in order:
-                    passed = RULES[name](c, left)
-                    failed[left[~passed]] = name
-                    left = left[passed]
+                    left = left[RULES[name](c, left)]
                 kept = np.zeros(c.texts.n, bool)
                 kept[left] = True
                 numbers = (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)
@@ -195,7 +191,6 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
                         *[pa.array(x.astype(np.int64)) for x in numbers],
                         pa.array(c.base_failed),
                         pa.array(kept),
-                        pa.array(failed.tolist(), pa.string()),
                     ],
                     names=[x.split()[0] for x in RESULT.split(",")],
                 )

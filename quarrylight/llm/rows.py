@@ -17,14 +17,15 @@ LEVEL = 3
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text, rest: rest is a struct of all columns but the text, whatever their names."""
+    """row, doc_id, text, rest: rest.doc is a struct of all columns but the text, whatever their names; rest.present says
+    whether the text was not null."""
     bounded_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.struct(*others, F.col("text").isNotNull().alias("has text")).alias("rest"),
+        F.struct(F.struct(*others).alias("doc"), F.col("text").isNotNull().alias("present")).alias("rest"),
     )
 
 
@@ -71,5 +72,5 @@ def restored(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
-    text = F.when(F.col("rest")["has text"], F.col("text"))
-    return df.select(*[(text if c == "text" else F.col("rest")[c]).alias(c) for c in like.columns])
+    text = F.when(F.col("rest.present"), F.col("text"))
+    return df.select(*[(text if c == "text" else F.col("rest.doc")[c]).alias(c) for c in like.columns])

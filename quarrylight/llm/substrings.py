@@ -220,7 +220,7 @@ def _cut(docs: DataFrame, joined_always: bool) -> DataFrame:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed runs of words), kept_text (kept words joined by one space)."""
     return _cut(docs, joined_always=True).select(
-        F.col("rest.doc_id").cast("bigint").alias("doc_id"), "n_words", "n_removed", "spans", F.col("text").alias("kept_text")
+        F.col("rest.doc.doc_id").cast("bigint").alias("doc_id"), "n_words", "n_removed", "spans", F.col("text").alias("kept_text")
     )
 
 

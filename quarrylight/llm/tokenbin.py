@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quarrylight.llm import running
 from quarrylight.llm.tokens import encoder, tokenizer_path
 from quarrylight.llm.words import tidy
 from quarrylight.tables import bounded_batches, fresh_path, partitions_for
@@ -227,8 +227,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     totals = spark.read.text(f"{path}/kind=totals").select(
         name(F.col("_metadata.file_name")).alias("p"), F.split("value", " ")[1].cast("bigint").alias("n")
     )
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    totals = running.starts(totals, "p", "n").withColumnRenamed("start", "shard_start")
     read = (
         spark.read.format("binaryFile")
         .load(f"{path}/kind=shard")

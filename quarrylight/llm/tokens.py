@@ -3,7 +3,7 @@
 The library's merges work inside one piece of its split pattern at a time, so the ids of a text are those of its pieces
 in a row. Pieces repeat far more than texts do: texts of plain Latin script are split here, each new piece goes to the
 library's model once (in the byte alphabet of byte-level BPE), and its ids are kept in a bounded table. Any other text
-goes to the library whole.
+goes to the library whole, and so does a text that holds the string of an added token: the library makes it that token's id.
 """
 
 from __future__ import annotations
@@ -63,9 +63,9 @@ class Encoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.alphabet, self.old = self.library.model, byte_alphabet(), {}
         self.split, self.other = _patterns()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
@@ -85,7 +85,7 @@ class Encoder(dict):
         """The ids of a text; null counts as empty."""
         if not text:
             return b""
-        if self.other.search(text):
+        if self.other.search(text) or any(a in text for a in self.added):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.split.findall(text)))
 

@@ -7,7 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quarrylight.llm import (
@@ -19,13 +21,14 @@ from quarrylight.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    running,
     substrings,
     tokenbin,
     tokens,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, z string, size string, rest string, weight double"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, z string, size string, rest string, weight double, `has text` int, row_id string, present int, doc string"
 PASSAGE = " ".join(f"w{i}é" for i in range(60))
 LONG = " ".join(f"long{i % 997} x{i}" for i in range(12000))
 TEXTS = [
@@ -50,12 +53,13 @@ TEXTS = [
     (17, "漢字 かな " * 30),
     (18, PASSAGE),
     (19, " ".join(f"w{i}é" for i in range(58)) + " new words"),
+    (20, "a <|endoftext|> b<|endoftext|>"),
 ]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(d, t, "en", s, None, 1, "z", "s", "r", 0.5) for (d, t), s in zip(TEXTS, itertools.cycle(["b", "a", None, "b"]), strict=False)]
+    rows = [(d, t, "en", s, None, 1, "z", "s", "r", 0.5, 1, "same", 0, "d") for (d, t), s in zip(TEXTS, itertools.cycle(["b", "a", None, "b"]), strict=False)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -73,7 +77,6 @@ def library(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -107,7 +110,7 @@ def test_encoder_is_the_library():
     rng = np.random.default_rng(2)
     pool = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x2000, 0x2070)] + list(" \n'strelm12") * 40 + ["漢"]
     for _ in range(500):
-        text = "".join(rng.choice(pool, rng.integers(0, 60)))
+        text = "".join(rng.choice(pool, rng.integers(0, 60))) + "<|endoftext|>" * int(rng.integers(0, 20) == 0) + " z"
         assert enc.ids(text) == library(text)[:-1].tobytes()
 
 
@@ -126,6 +129,19 @@ def test_mix(spark, docs, none):
     assert out.columns == docs.columns
     assert out.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
     assert mixing.mixed_documents(none).count() == 0
+    wordless = docs.where("text IS NULL OR doc_id = 7")
+    assert [(r["size"], r["taken"]) for r in mixing.taken_per_document(mixing.mix(wordless)).collect()] == [(0, 0)] * 3
+    assert mixing.mixed_documents(wordless).count() == 0
+    assert mixing.mix(wordless).count() == 3  # one item a document, however often its source would repeat
+    nothing = mixing.taken_per_document(mixing.mix(docs, share=0.0))
+    assert nothing.agg(F.sum("taken")).first()[0] == 0 and nothing.count() == len(TEXTS)
+
+
+def test_running_starts(spark):
+    values = {k: (k * 7) % 11 for k in range(0, 300, 3)}
+    table = spark.createDataFrame(list(values.items()), "k bigint, v bigint")
+    got = dict(running.starts(table, "k", "v", fan=8).collect())
+    assert got == {k: sum(v for j, v in values.items() if j < k) for k in values}
 
 
 def test_mix_targets(spark):
@@ -150,8 +166,9 @@ def test_byte_repeats(docs, none):
         for p in range(len(b) - 49):
             if d is not None and first[b[p : p + 50]] < d:
                 m[p : p + 50] = True
-        want.append((str(d), len(b), int(m.sum()), np.frombuffer(b, np.uint8)[~m].tobytes()))
-    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in byte_repeats.dedup_bytes(docs).collect()]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], m, [0]]))).reshape(-1, 2).tolist()
+        want.append((str(d), len(b), int(m.sum()), np.frombuffer(b, np.uint8)[~m].tobytes(), edges))
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], bytes(r["kept"]), [list(x) for x in r["spans"]]) for r in byte_repeats.dedup_bytes(docs).collect()]
     assert sorted(got) == sorted(want)
     assert byte_repeats.dedup_bytes(none).count() == 0
 
@@ -170,8 +187,14 @@ def test_packing(docs, none):
             assert offset == at
             at += length
         assert at <= 64
-    crcs = collections.Counter(zlib.crc32(k[4 * s : 4 * s + 256]) for k, n in ids.items() for s in range(0, len(k) // 4, 64) for _ in range(n))
-    assert collections.Counter(r["ids_crc32"] for r in rows) == crcs
+    pieces = collections.Counter()
+    for d, t in TEXTS:
+        k = library(t).tobytes()
+        for s in range(0, len(k) // 4, 64):
+            pieces[d, s, len(k[4 * s : 4 * s + 256]) // 4, zlib.crc32(k[4 * s : 4 * s + 256]), len(k) // 4] += 1
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert collections.Counter(tuple(r[n] for n in names) for r in rows) == pieces
+    assert 64 * len(by) < total + 64 * 3  # little padding: what is left over fills no three sequences
     assert packing.pack(none).count() == 0
 
 
@@ -204,7 +227,27 @@ def test_quality_rules(docs, none):
     rows = quality_rules.judge(docs).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert sorted((str(r["doc_id"]), *[r[n] for n in names]) for r in rows) == sorted((str(d), *base(t)) for d, t in TEXTS)
-    assert not any(r["kept"] and r["base_failed"] for r in rows)
+    def kept(t):
+        n_words, chars, symbols, copies, _, failed = base(t)
+        w = words(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        letters = [c for c in t or "" if c.isascii() and c.isalpha()]
+        return (
+            not failed
+            and 10 * symbols <= n_words
+            and 2 * sum(c.isupper() for c in letters) <= max(len(letters), 1)
+            and copies <= 0.7 * max(lines, 1)
+            and sum(any(c.isalpha() if c.isascii() else True for c in x) for x in w) >= 0.6 * len(w)
+            and 2 <= chars / n_words <= 16
+        )
+
+    more = [(30, "AB CD " * 10 + " ".join(f"W{i} x" for i in range(60))), (31, " ".join(f"{i}" for i in range(90)))]
+    more += [(32, "\n".join(["same line here"] * 2 + [f"l{i} a{i} b" for i in range(40)])), (33, " ".join(f"{'w' * 20}{i}" for i in range(60)))]
+    more += [(34, " ".join(f"w{i} x ##" for i in range(60))), (35, " ".join(f"plain{i} words" for i in range(60)))]
+    table = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id bigint, text string"))
+    verdicts = sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in quality_rules.judge(table).collect())
+    assert verdicts == sorted((str(d), len(words(t)), kept(t)) for d, t in [*TEXTS, *more])
+    assert {v for _, _, v in verdicts} == {True, False}
     order = list(quality_rules.RULES)
     turned = quality_rules.judge(docs, order[::-1]).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in rows) == sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in turned)
@@ -238,6 +281,10 @@ def test_chat(spark):
     back = {r["key"]: r for r in read.collect()}
     assert [tuple(t) for t in back[1]["turns"]] == [("us\ner<|\\n", hostile), ("assistant", hostile), ("assistant", "")]
     assert back[1]["loss_texts"] == [hostile, ""] and back[2]["loss_texts"] == [] and back[3]["loss_texts"] == ["é" * 9]
+    ties = [(1, 0, "user", "b"), (1, 0, "assistant", "z"), (1, 0, "system", "s"), (1, 0, "user", "a<|"), (1, 0, "user", "a<\\"), (1, 0, "user", "b")]
+    table = spark.createDataFrame([(k, (t, r, x), "clash", x) for k, t, r, x in ties], "conv_id bigint, rec struct<turn:bigint,role:string,text:string>, layout string, text string")
+    back = chat.read_back(chat.format_turns(chat.canonical_turns(table, "conv_id"))).first()
+    assert [tuple(t) for t in back["turns"]] == sorted((r, x) for _, _, r, x in ties)
     empty = spark.createDataFrame([], kind)
     assert chat.digests(chat.read_back(chat.format_turns(chat.canonical_turns(empty, "conv_id")))).count() == 0
 
@@ -256,9 +303,16 @@ def test_fingerprints(spark, docs, none):
         assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (mark(t), mark(edited))
         assert (got[d]["near_edited"], got[d]["near_next"]) == (float(mark(t) == mark(edited)), float(mark(t) == mark(n)))
-    assert fingerprints.edited_fingerprints(docs).count() == len(TEXTS)
+    press = zstandard.ZstdCompressor(level=3)
+    order = sorted(((d, t or "") for d, t in TEXTS), key=lambda r: (r[0] is not None, r[0] or 0, press.compress(r[1].encode())))
+    want = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), mark(t), mark(edited), float(mark(t) == mark(edited)), float(mark(t) == mark(n))))
+    assert sorted((str(r[0]), *r[1:]) for r in fingerprints.edited_fingerprints(docs).collect()) == sorted(want)
     assert fingerprints.edited_fingerprints(none).count() == 0
-    assert fingerprints.fingerprints(docs).count() == len(TEXTS)
+    plain = sorted((str(r["doc_id"]), r["n_chars"], r["fingerprint"]) for r in fingerprints.fingerprints(docs).collect())
+    assert plain == sorted((str(d), len(t or ""), mark(t or "")) for d, t in TEXTS)
 
 
 def test_fingerprint_collisions(spark, monkeypatch):
@@ -280,6 +334,49 @@ def test_classifier(spark, docs, none):
     assert quality_classifier.keep(docs, labels.limit(0)).count() == len(TEXTS)
     empty = quality_classifier.score(none, labels)
     assert empty.count() == 0
+    assert quality_classifier.keep(none, labels).count() == 0
+    for few in ([(0, 1)], [(0, 1), (1, 1)], [(0, 1), (100, 0)], [(100, 0)], [(777, 1)]):
+        some = spark.createDataFrame(few, "doc_id bigint, quality int")
+        kept_ids = [r[0] for r in quality_classifier.keep(table, some).select("doc_id").collect()]
+        assert {d for d, _, _ in good} <= set(kept_ids)  # a handful of labels never drops the good ones
+
+
+def test_classifier_weights_and_draw(spark):
+    """Weights from plain counts, keys from the stated noise, and the k largest keys."""
+    texts = [(i, " ".join(f"{'good' if i % 3 else 'bad!'}{(i * k) % 17}" for k in range(20 + i))) for i in range(60)]
+    table = spark.createDataFrame([*texts, (90, None), (91, "é")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality_classifier.score(table, labels, share=0.5).collect()}
+    fits = {r["doc_id"] for r in quality_classifier.labelled_sample(table, labels).where("fits").collect()}
+
+    def buckets(t):
+        b = (t or "").encode()
+        triples = [((((b[i] << 16) | (b[i + 1] << 8) | b[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(b) - 2)]
+        from quarrylight.llm.words import Texts
+
+        one = Texts(pa.array([t or ""], pa.string()))
+        return triples + [65536 + int(h >> np.uint64(48)) for h in one.word_hashes()]
+
+    raw, target = np.ones(2 << 16), np.ones(2 << 16)
+    for d, t in [*texts, (90, None), (91, "é")]:
+        for k in buckets(t):
+            raw[k] += 1
+            target[k] += d in fits
+    logs = [np.log(x.reshape(2, -1) / x.reshape(2, -1).sum(axis=1, keepdims=True)).reshape(-1) for x in (target, raw)]
+    for d, t in [*texts, (90, None), (91, "é")]:
+        found = buckets(t)
+        weight = 100 * float((logs[0] - logs[1])[found].mean()) if found else 0.0
+        assert got[d]["n_grams"] == len(found) and abs(got[d]["log_weight"] - weight) < 1e-3
+    noise = spark.createDataFrame([(d,) for d in got], "doc_id bigint").select("doc_id", F.pmod(F.xxhash64(F.lit(quality_classifier.SEED), F.lit("gumbel"), F.col("doc_id")), F.lit(1 << 40)).alias("lot"))
+    for r in noise.collect():
+        gumbel = -np.log(-np.log((r["lot"] + 0.5) / (1 << 40)))
+        assert abs(got[r["doc_id"]]["key"] - got[r["doc_id"]]["log_weight"] - gumbel) < 1e-6
+    keys = sorted((r["key"] for r in got.values()), reverse=True)
+    assert {d for d, r in got.items() if r["kept"]} == {d for d, r in got.items() if r["key"] >= keys[len(got) // 2 - 1]}
+
+
+def test_classifier_keeps_columns(spark, docs):
+    labels = spark.createDataFrame([(12, 0), (8, 1), (9, 1)], "doc_id bigint, quality int")
     out = quality_classifier.keep(docs.union(docs.where("false")), labels)
     assert out.columns == docs.columns
 
@@ -297,6 +394,7 @@ def test_substrings(docs, none):
     got = [(str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.dedup_substrings(docs).collect()]
     assert sorted(got) == sorted(want)
     assert substrings.dedup_substrings(none).count() == 0
+    assert substrings.cut(none).count() == 0
     out = substrings.cut(docs)
     assert out.columns == docs.columns
     assert out.where("doc_id = 3").first()["text"] is None
@@ -326,6 +424,7 @@ def test_near_duplicates(docs, none):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in near_duplicates.near_duplicates(docs).collect())
     assert got == want
     assert near_duplicates.near_duplicates(none).count() == 0
+    assert near_duplicates.dedup(none).count() == 0
     out = near_duplicates.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(least)
 
