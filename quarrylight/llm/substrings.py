@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quarrylight.llm.anchors import Anchors, elect
 from quarrylight.llm.rows import opened, pressed, unpacked
@@ -74,10 +73,15 @@ def seeds(rows: DataFrame, find: Callable[[Texts], Anchors], rank: str, limit: i
 
 
 def repeated_classes(occurrences: DataFrame) -> DataFrame:
-    """a, c, n, r, classes: classes that repeat, or whose anchor has other classes too."""
-    by_class = occurrences.repartition("a").groupBy("a", "c").agg(F.sum("n").alias("n"), F.min("r").alias("r"))
-    counted = by_class.withColumn("classes", F.count("*").over(Window.partitionBy("a")))
-    return counted.where("n > 1 OR classes > 1")
+    """a, c, n, r, several: classes that repeat, or whose anchor has several classes.
+
+    Classes are dealt by anchor and class, and anchors with several classes come from partial counts, so an anchor that stands
+    in very many contexts is split like any other; the join that brings both together is one that AQE splits where it is skewed.
+    """
+    by_class = occurrences.groupBy("a", "c").agg(F.sum("n").alias("n"), F.min("r").alias("r"))
+    several = by_class.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("several"))
+    found = by_class.join(several.hint("merge"), "a", "left").where("n > 1 OR several")
+    return found.select("a", "c", "n", "r", F.coalesce("several", F.lit(False)).alias("several"))
 
 
 def matching(found: Anchors, wanted: list[dict], doc: int) -> np.ndarray:
@@ -91,7 +95,7 @@ def matching(found: Anchors, wanted: list[dict], doc: int) -> np.ndarray:
 def unclear_windows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """w1, w2, row, start, alone: windows of one occurrence of each class whose anchor has several classes."""
     wanted = (
-        classes.where("classes > 1")
+        classes.where("several")
         .groupBy(F.col("r").alias("row"))
         .agg(F.collect_list(F.struct("a", "c", (F.col("n") == 1).alias("alone"))).alias("wanted"))
     )
