@@ -21,13 +21,14 @@ _PLACE_BITS = 28  # a chunk has fewer symbols than 2**28
 
 @dataclass
 class Anchors:
-    """Occurrences in order: document, first and last window start, anchor hash, class hash."""
+    """Occurrences in order: document, first and last window start, the anchor's place, anchor hash, class hash."""
 
     symbols: np.ndarray
     length: int
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
     anchor: np.ndarray
     kind: np.ndarray
 
@@ -35,6 +36,18 @@ class Anchors:
     def _sums(self) -> list[np.ndarray]:
         return [prefix_sums(self.symbols, m) for m in MULTIPLIERS]
 
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Hashes of the k-gram with so many symbols before it, and behind it, as 32 bits; 0 where no window of the occurrence
+        reaches that far. A window lies `half` or more before its anchor, or it reaches as far behind: so equal windows of two
+        classes have one of the hashes in common. Returns left, right, half."""
+        half = (self.length - k + 1) // 2
+        left, right = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        has = np.flatnonzero(self.first <= self.at - half)
+        left[has] = stretches(self._sums[0], self.at[has] - half, self.at[has] + k, MULTIPLIERS[0]) >> np.uint64(32)
+        has = np.flatnonzero(self.last > self.at - half)
+        right[has] = stretches(self._sums[0], self.at[has], self.at[has] + k + half, MULTIPLIERS[0]) >> np.uint64(32)
+        return left, right, half
+
     def window_hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the windows that start there."""
         return tuple(
@@ -64,7 +77,7 @@ def elect(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Anch
     n = len(symbols) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return Anchors(symbols, length, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Anchors(symbols, length, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     grams = windows(symbols, k)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     keys = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
@@ -77,7 +90,7 @@ def elect(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Anch
     np.add.at(room, np.minimum(ends[has], n), -1)
     starts = np.flatnonzero(np.cumsum(room)[:n] > 0)
     if not len(starts):
-        return Anchors(symbols, length, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Anchors(symbols, length, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     place = place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -87,4 +100,4 @@ def elect(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Anch
     sums = prefix_sums(symbols, MULTIPLIERS[1])
     span = stretches(sums, first, last + length, MULTIPLIERS[1])
     kind = mixed(span + (place[at] - first).astype(np.uint64) * np.uint64(MULTIPLIERS[0]))
-    return Anchors(symbols, length, doc, first, last, grams[place[at]], kind)
+    return Anchors(symbols, length, doc, first, last, place[at], grams[place[at]], kind)

@@ -4,13 +4,16 @@ The corpus is far larger than any memory, so suffixes are dealt to shards by con
 induced sorting (induced.py). Dealing all suffixes would move LENGTH bytes for each byte; so first
 
 1. each document elects winnowed byte anchors (anchors.py): equal strings elect equal anchors at the same place;
-2. occurrences are dealt by anchor hash, in packed arrays, after a task has dropped those it sees to repeat a smaller id.
-   Occurrences with equal spans are in one class: all but those of the least id are removed in full;
-3. where an anchor has several classes, the spans of each class's least id are the shard's strings. Their suffixes are sorted,
-   runs with a common prefix of LENGTH bytes are grouped, and suffixes whose id is not the least of their run are marked;
+2. occurrences are dealt by anchor, in packed arrays, after a task has dropped those it sees to repeat a smaller id.
+   Occurrences with equal spans are copies of one string, and go on as one string with the least id: all windows of the others
+   start in a smaller id too;
+3. strings of one anchor that agree in what lies before or behind it (17 bytes each, and an equal window holds one of both)
+   may have a window in common: those parts of them are dealt to shards by that context, so an anchor that stands in very many
+   contexts is split. A shard's suffixes are sorted, runs with a common prefix of LENGTH bytes are grouped, and suffixes whose
+   id is not the least of their run are marked;
 4. documents meet their marks by the partition they were written from, and the covered bytes are cut.
 
-Nothing is listed in pairs and nothing is collected; a task holds the packed arrays of its shard (SHARD_MB of input each).
+Nothing is listed in pairs and nothing is collected; a sorting task holds SORT_BUDGET bytes, whatever its shard's size.
 
 Defined results: null and empty texts have no bytes; documents with a null id neither lose bytes nor count as earlier ones;
 rows with one id do not count as earlier than each other; an empty table gives no rows; extra columns are ignored.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm.anchors import Anchors, elect
-from quarrylight.llm.induced import END, repeated
+from quarrylight.llm.induced import END, Budget, Queue, Symbols, equal_runs, sorted_suffixes
 from quarrylight.llm.rows import opened, pressed
 from quarrylight.llm.words import Texts, tidy
 from quarrylight.tables import partitions_for, release, written
@@ -91,17 +94,19 @@ def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 PARCEL = "kind string, to int, data binary"
 
 
-def _classes(a, c, r, row, i):  # noqa: ANN001, ANN202
-    """Sorts occurrences by anchor, class, id; returns the sorted columns and where classes start."""
-    order = np.lexsort((i, row, r, c, a))
-    a, c, r, row, i = (x[order] for x in (a, c, r, row, i))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    return a, c, r, row, i, new
+def _classes(c, left, right, r, row, i):  # noqa: ANN001, ANN202
+    """Sorts occurrences by class, id; returns the sorted columns and where classes start. Equal spans agree in 64 bits of the
+    span and in 32 bits of each context."""
+    context = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+    order = np.lexsort((r, context, c))
+    c, context, left, right, r, row, i = (x[order] for x in (c, context, left, right, r, row, i))
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (context[1:] != context[:-1])
+    return c, left, right, r, row, i, new
 
 
 def seeds(rows: DataFrame, shards: int) -> DataFrame:
-    """Parcels "seed" for the shard of an anchor (a, c, r, row, i) and "whole" for the partition of a row (row, i): an
+    """Parcels "seed" for the shard of an anchor (c, left, right, r, row, i) and "whole" for the partition of a row (row, i): an
     occurrence that repeats a smaller id inside this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +114,15 @@ def seeds(rows: DataFrame, shards: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            a, c, r, row, i, new = _classes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            shard, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            least = r[np.flatnonzero(new)][np.cumsum(new) - 1]
-            first = r == least
-            out = [("whole", to, d) for to, d in _by(row[~first] >> ROW_BITS, row[~first], i[~first])]
-            shard = (a[first].astype(np.uint64) % np.uint64(shards)).astype(np.int32)
-            return _batch(out + [("seed", to, d) for to, d in _by(shard, *(x[first] for x in (a, c, r, row, i)))])
+            out = []
+            for s in np.unique(shard).tolist():
+                c, left, right, r, row, i, new = _classes(*(x[shard == s] for x in columns))
+                first = r == r[np.flatnonzero(new)][np.cumsum(new) - 1]
+                out += [("whole", to, d) for to, d in _by(row[~first] >> ROW_BITS, row[~first], i[~first])]
+                out.append(("seed", s, packed(*(x[first] for x in (c, left, right, r, row, i)))))
+            return _batch(out)
 
         for batch, texts in opened(batches, CHUNK):
             found = byte_anchors(Texts(texts))
@@ -124,9 +131,9 @@ def seeds(rows: DataFrame, shards: int) -> DataFrame:
             doc = found.doc[known]
             place = np.arange(len(found.doc)) - np.searchsorted(found.doc, found.doc)
             rank, row = ids.fill_null(0).to_numpy()[doc], batch.column("row").to_numpy()[doc]
-            # 44 and 56 bits: enough beside the shard number, and fewer planes to move
-            a, c = (found.anchor[known] >> np.uint64(20)).astype(np.int64), (found.kind[known] >> np.uint64(8)).astype(np.int64)
-            held.append((a, c, rank, row, place[known]))
+            left, right, _ = found.contexts(SEED)
+            shard = (found.anchor[known] % np.uint64(shards)).astype(np.int32)
+            held.append((shard, found.kind[known].view(np.int64), left[known], right[known], rank, row, place[known]))
             size += len(doc)
             if size >= FLUSH:
                 yield flush()
@@ -137,9 +144,19 @@ def seeds(rows: DataFrame, shards: int) -> DataFrame:
     return rows.select("row", "doc_id", "z").mapInArrow(tidy(run), PARCEL)
 
 
+def _meeting(context: np.ndarray, least: np.ndarray, shards: int) -> np.ndarray:
+    """For each class the shard (from 1) where it meets classes of its context with other least ids, or 0."""
+    order = np.argsort(context)
+    start = np.flatnonzero(np.append(True, np.diff(context[order]) != 0))
+    spread = np.minimum.reduceat(least[order], start) < np.maximum.reduceat(least[order], start)
+    out = np.zeros(len(context), np.int64)
+    out[order] = np.repeat(spread, np.diff(np.append(start, len(order))))
+    return out * (context != 0) * (1 + context * 0x9E3779B1 % (1 << 40) // 64 % shards)
+
+
 def judged(parcels: DataFrame, shards: int) -> DataFrame:
-    """From all parcels of `seeds`: "whole" as they were and for what repeats across tasks, and "ask" (row, i, a) for the
-    least occurrences of classes whose anchor has another class with another id."""
+    """From all parcels of `seeds`: "whole" as they were and for what repeats across tasks, and "ask" (row, i, left, right) for
+    the least occurrences of classes that share a context with a class of another least id: the shards to meet in, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
@@ -147,18 +164,15 @@ def judged(parcels: DataFrame, shards: int) -> DataFrame:
             parts += batch.column("data").to_pylist()
         if not parts:
             return
-        a, c, r, row, i, new = _classes(*_gathered(parts))
-        at = np.flatnonzero(new)
+        _, left, right, r, row, i, new = _classes(*_gathered(parts))
+        parts.clear()
+        at, of = np.flatnonzero(new), np.cumsum(new) - 1
         least = r[at]
-        first = r == least[np.cumsum(new) - 1]
+        first = r == least[of]
         yield _batch([("whole", to, d) for to, d in _by(row[~first] >> ROW_BITS, row[~first], i[~first])])
-        # anchors with several classes, of different least ids
-        anchor = a[at]
-        start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        spread = np.minimum.reduceat(least, start) < np.maximum.reduceat(least, start)
-        several = np.repeat(spread, np.diff(np.concatenate([start, [len(at)]])))
-        ask = first & several[np.cumsum(new) - 1]
-        yield _batch([("ask", to, d) for to, d in _by(row[ask] >> ROW_BITS, row[ask], i[ask], a[ask])])
+        to_left, to_right = (_meeting(x[at], least, shards)[of] for x in (left, right))
+        ask = first & ((to_left > 0) | (to_right > 0))
+        yield _batch([("ask", to, d) for to, d in _by(row[ask] >> ROW_BITS, row[ask], i[ask], to_left[ask], to_right[ask])])
 
     whole = parcels.where("kind = 'whole'")
     moved = parcels.where("kind = 'seed'").repartitionById(shards, F.col("to")).mapInArrow(tidy(run), PARCEL)
@@ -211,8 +225,9 @@ def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Marks, pa.R
                 yield marks, part, texts
 
 
-def asked_spans(rows: DataFrame, asks: DataFrame, shards: int) -> DataFrame:
-    """Parcels "span" for a shard: numbers (r, row, start, size) and the spans' bytes, each behind a line of its own."""
+def asked_spans(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """Parcels "span" for a shard: numbers (r, row, start, size) and the spans' bytes. Windows that reach far before the anchor
+    go to the shard of the left context, the others to that of the right one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, list] = {}
@@ -236,14 +251,16 @@ def asked_spans(rows: DataFrame, asks: DataFrame, shards: int) -> DataFrame:
             found = byte_anchors(t)
             firsts = np.searchsorted(found.doc, np.arange(t.n))
             ids, row_numbers = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            half = (LENGTH - SEED + 1) // 2
             for k, d in enumerate(todo):
-                places, anchors = wanted[d]
+                places, to_left, to_right = wanted[d]
                 at = firsts[k] + places
-                start, end = found.first[at], found.last[at] + LENGTH
-                for s, e, a in zip(start.tolist(), end.tolist(), anchors.tolist(), strict=True):
-                    data = t.bytes[s:e].tobytes()
-                    out.setdefault(a % shards, []).append((ids[d], row_numbers[d], s - int(t.offsets[k]), e - s, data))
-                    size += e - s
+                begin, middle, end = found.first[at], found.at[at] - half, found.last[at]
+                for to, start, stop in ((to_left, begin, np.minimum(end, middle)), (to_right, np.maximum(begin, middle + 1), end)):
+                    for x in np.flatnonzero(to).tolist():
+                        s, e = int(start[x]), int(stop[x]) + LENGTH
+                        out.setdefault(int(to[x]) - 1, []).append((ids[d], row_numbers[d], s - int(t.offsets[k]), e - s, t.bytes[s:e].tobytes()))
+                        size += e - s
             if size > 8 << 20:
                 yield flush()
                 size = 0
@@ -253,34 +270,77 @@ def asked_spans(rows: DataFrame, asks: DataFrame, shards: int) -> DataFrame:
     return _beside(rows, asks).mapInArrow(tidy(run), PARCEL)
 
 
+SPAN = np.dtype([("r", "<i8"), ("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
+
+
+def repeated(spans: Iterator[tuple[np.ndarray, np.ndarray]], budget: Budget, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """row and start of the strings of `length` bytes that a span of a smaller rank holds too.
+
+    spans: pieces of (numbers r, row, start, size as columns; the spans' bytes one behind another). All go through the budget:
+    texts and numbers lie on disk where they pass it.
+    """
+    text, numbers, total = Queue(budget, np.uint8), Queue(budget, SPAN), 0
+    for (r, row, start, size), raw in spans:
+        x = np.full(len(raw) + len(size), END, np.uint8)
+        x[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw  # one END behind each span
+        text.append(x)
+        n = np.zeros(len(size), SPAN)
+        n["r"], n["row"] = r, row
+        n["end"] = total + np.cumsum(size + 1) - 1
+        n["start"] = start - (n["end"] - size)  # the document's place of a byte less its place in the shard
+        total += len(x)
+        numbers.append(n)
+    if not total:
+        return
+    symbols, known = Symbols(budget, total, 8), budget.array(numbers.size, SPAN)
+    for queue, to in ((text, symbols.data), (numbers, known)):
+        at = 0
+        for x in queue.chunks():
+            to[at : at + len(x)] = x
+            at += len(x)
+        queue.drop()
+    ends = budget.array(len(known), np.int64)
+    ends[:] = known["end"]
+    for pos, run in equal_runs(sorted_suffixes(symbols, budget, length), length):
+        of = np.searchsorted(ends, pos)
+        whole = ends[of] - pos >= length
+        pos, run, of = pos[whole], run[whole], of[whole]
+        if len(pos):
+            start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            r = known["r"][of]
+            later = r > np.repeat(np.minimum.reduceat(r, start), np.diff(np.append(start, len(r))))
+            yield known["row"][of[later]], known["start"][of[later]] + pos[later]
+
+
 def sorted_shards(spans: DataFrame, shards: int) -> DataFrame:
     """Parcels "window" (row, start) for the partition of a row: strings of LENGTH bytes that a smaller id has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, pieces = [], []
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                n = int.from_bytes(data[:8], "little")
-                numbers.append(data[8 : 8 + n])
-                pieces.append(data[8 + n :])
-        if not numbers:
-            return
-        r, row, start, size = _gathered(numbers)
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        pieces.clear()
-        begin = np.cumsum(size) - size
-        at = np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)  # one END behind each span
-        text = np.full(len(raw) + len(size), END, np.uint8)
-        text[at] = raw
-        head = begin + np.arange(len(size))
-        of = np.repeat(np.arange(len(size)), size + 1)
-        found = repeated(text, r[of], LENGTH, SORT_BUDGET)
-        span = of[found]
-        yield _batch([("window", to, d) for to, d in _by(row[span] >> ROW_BITS, row[span], found - head[span] + start[span])])
+        def pieces() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for batch in batches:
+                for data in batch.column("data"):
+                    held = memoryview(data.as_buffer())
+                    n = int.from_bytes(held[:8], "little")
+                    yield unpacked(bytes(held[8 : 8 + n])), np.frombuffer(held, np.uint8, offset=8 + n)
+
+        held, size = [], 0
+        for found in repeated(pieces(), Budget(SORT_BUDGET)):
+            held.append(found)
+            size += len(found[0])
+            if size >= FLUSH:
+                yield _windows(held)
+                held, size = [], 0
+        if size:
+            yield _windows(held)
 
     return spans.repartitionById(shards, F.col("to")).mapInArrow(tidy(run), PARCEL)
 
 
+def _windows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+    return _batch([("window", to, d) for to, d in _by(row >> ROW_BITS, row, start)])
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 RESULT = T.StructType(
     [
@@ -300,7 +360,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     rows = written(pressed(docs).select("row", "doc_id", "z"), "texts")
     marks = written(judged(seeds(rows, shards), shards), "marks")
     release(spark)
-    windows = written(sorted_shards(asked_spans(rows, marks.where("kind = 'ask'"), shards), shards), "windows")
+    windows = written(sorted_shards(asked_spans(rows, marks.where("kind = 'ask'")), shards), "windows")
     release(spark)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -16,6 +18,7 @@ from quarrylight.llm import (
     byte_repeats,
     chat,
     fingerprints,
+    induced,
     mixing,
     near_duplicates,
     packing,
@@ -173,6 +176,62 @@ def test_byte_repeats(docs, none):
     assert byte_repeats.dedup_bytes(none).count() == 0
 
 
+def _sorted(text: bytes, depth: int, limit: int) -> tuple[list[int], list[int], induced.Budget]:
+    budget = induced.Budget(limit)
+    symbols = induced.Symbols(budget, len(text), 8)
+    symbols.data[: len(text)] = np.frombuffer(text, np.uint8)
+    found = list(induced.sorted_suffixes(symbols, budget, depth))
+    return [x for p, _ in found for x in p.tolist()], [x for _, v in found for x in v.tolist()], budget
+
+
+def test_induced_sorting(monkeypatch):
+    """Order and carried common prefixes against sorting whole suffixes: few and many symbols, periods, spills, small blocks."""
+    rng = np.random.default_rng(6)
+    spilled = 0
+    for _ in range(150):
+        monkeypatch.setattr(induced, "CHUNK", int(rng.choice([1, 3, 64, 1 << 17])))
+        monkeypatch.setattr(induced, "BLOCK", int(rng.choice([1, 4, 50, 1 << 18])))
+        some = bytes(rng.integers(97, 97 + rng.integers(1, 6), rng.integers(1, 60)).astype(np.uint8))
+        text = [some, some * 9, b"".join(some[: rng.integers(1, len(some) + 1)] + b"\xff" * int(rng.integers(0, 2)) for _ in range(9))][rng.integers(0, 3)] + b"\xff"
+        depth = int(rng.choice([8, 12, 50]))
+        pos, shared, budget = _sorted(text, depth, int(rng.choice([200, 2000, 1 << 20])))
+        spilled += budget.spilled > 0
+        assert sorted(pos) == list(range(len(text)))
+        until = lambda p: (text[p : p + depth] + b"\xff").split(b"\xff")[0]
+        for x, y, n in zip(pos, pos[1:], shared[1:], strict=False):
+            a, b = until(x), until(y)
+            common = len(os.path.commonprefix([a, b]))
+            assert text[x : x + depth] >= text[y : y + depth] or a == b
+            assert n == common or (a == b and n > common)  # what stands behind an END does not matter
+    assert spilled > 30
+
+
+def test_induced_sorting_beyond_memory(monkeypatch):
+    """A text eight times the budget: what is held at once stays below the text's own size, and the rest goes through disk."""
+    monkeypatch.setattr(induced, "CHUNK", 1 << 12)
+    monkeypatch.setattr(induced, "BLOCK", 1 << 12)
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    strings = [b" ".join(words[i] for i in rng.integers(0, 3000, 12))[:80] for _ in range(110_000)]
+    strings += [s[:60] for s in strings[:500]]
+    sizes = np.array([len(s) for s in strings])
+    numbers = [np.arange(len(strings)), np.arange(len(strings)), np.zeros(len(strings), np.int64), sizes]
+    total = int(sizes.sum())
+    pieces = [([x[i : i + 100] for x in numbers], np.frombuffer(b"".join(strings[i : i + 100]), np.uint8)) for i in range(0, len(strings), 100)]
+    budget = induced.Budget(total // 8)
+    tracemalloc.start()
+    found = [(int(a), int(b)) for row, start in byte_repeats.repeated(iter(pieces), budget) for a, b in zip(row, start, strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first, want = {}, []
+    for k, s in enumerate(strings):
+        for p in range(len(s) - 49):
+            if first.setdefault(s[p : p + 50], k) < k:
+                want.append((k, p))
+    assert sorted(found) == want and len(want) >= 5000
+    assert budget.spilled > 10 * total and peak < 0.9 * total
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs, length=64).collect()
     ids = collections.Counter(library(t).tobytes() for _, t in TEXTS)
