@@ -78,7 +78,7 @@ def repeated_classes(occurrences: DataFrame) -> DataFrame:
     Classes are dealt by anchor and class, and anchors with several classes come from partial counts, so an anchor that stands
     in very many contexts is split like any other; the join that brings both together is one that AQE splits where it is skewed.
     """
-    by_class = occurrences.groupBy("a", "c").agg(F.sum("n").alias("n"), F.min("r").alias("r"))
+    by_class = written(occurrences.groupBy("a", "c").agg(F.sum("n").alias("n"), F.min("r").alias("r")), "by-class")
     several = by_class.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("several"))
     found = by_class.join(several.hint("merge"), "a", "left").where("n > 1 OR several")
     return found.select("a", "c", "n", "r", F.coalesce("several", F.lit(False)).alias("several"))
