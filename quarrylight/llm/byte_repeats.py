@@ -401,3 +401,23 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
             )
 
     return _beside(rows, marks.where("kind = 'whole'").union(windows)).mapInArrow(tidy(run), RESULT)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (
+  SELECT rid, doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS h
+  FROM (SELECT rid, doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d WHERE length(x) >= 100 AND doc_id IS NOT NULL)),
+least AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM win JOIN least USING (h) WHERE doc_id > first),
+step AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50, true) AS fresh FROM hit),
+run AS (
+  SELECT rid, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM step) GROUP BY rid, k),
+piece AS (
+  SELECT rid, a AS pos, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS lo, a AS hi FROM run
+  UNION ALL SELECT d.rid, length(x) // 2, coalesce(e, 0), length(x) // 2 FROM d LEFT JOIN (SELECT rid, max(b) AS e FROM run GROUP BY rid) USING (rid)),
+kept AS (SELECT rid, string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY pos) AS t FROM piece JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN (SELECT rid, sum(b - a) AS n, count(*) AS spans FROM run GROUP BY rid) USING (rid)
+"""

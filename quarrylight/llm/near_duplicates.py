@@ -335,3 +335,28 @@ def dedup(docs: DataFrame) -> DataFrame:
     sketched = sketch_documents(docs)
     kept = _components(sketched).where(F.col("first.row") == F.col("row")).select("row")
     return restored(sketched.select("row", "rest", "z").join(kept, "row", "left_semi"), docs)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT rid, md5_number(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sets AS (SELECT rid, count(*) AS n, md5(string_agg(g::VARCHAR, ',' ORDER BY g)) AS c FROM sh GROUP BY rid),
+rep AS (SELECT c, any_value(n) AS n, min(rid) AS node FROM sets JOIN d USING (rid) WHERE doc_id IS NOT NULL GROUP BY c),
+gr AS (SELECT node, n, g, row_number() OVER (PARTITION BY node ORDER BY df, g) AS pos
+       FROM (SELECT node, n, g, count(*) OVER (PARTITION BY g) AS df FROM rep JOIN sh ON rid = node)),
+head AS (SELECT * FROM gr WHERE pos <= n - ceil(0.75 * n) + 1),
+cand AS (SELECT DISTINCT x.node AS a, y.node AS b FROM head x JOIN head y ON x.g = y.g AND x.node < y.node AND 4 * x.n >= 3 * y.n AND 4 * y.n >= 3 * x.n),
+link AS (
+  SELECT a, b FROM (SELECT a, b, any_value(x.n) AS na, count(*) AS both_ FROM cand JOIN gr x ON x.node = a JOIN gr y ON y.node = b AND y.g = x.g GROUP BY a, b)
+  JOIN rep ON rep.node = b WHERE 100 * both_ >= 75 * (na + n - both_)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT node AS a, node AS b FROM rep UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+least AS (SELECT sets.c, min(doc_id) AS low FROM sets JOIN d USING (rid) WHERE doc_id IS NOT NULL GROUP BY sets.c),
+comp AS (SELECT ra.c, min(low) AS component_id FROM reach JOIN rep ra ON ra.node = reach.a JOIN rep rb ON rb.node = reach.b JOIN least ON least.c = rb.c GROUP BY ra.c),
+found AS (SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END AS component_id
+          FROM d LEFT JOIN sets USING (rid) LEFT JOIN comp ON comp.c = sets.c)
+SELECT *, component_id IS NOT DISTINCT FROM doc_id AS kept FROM found
+"""

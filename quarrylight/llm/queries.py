@@ -74,5 +74,9 @@ QUERIES = {
 }
 ORACLES = {
     "op2_source_mix": mixing.ORACLE_SQL,
+    "op3_suffix_dedup": byte_repeats.ORACLE_SQL,
+    "op5_quality_cascade": quality_rules.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
+    "op9_seed_extend": substrings.ORACLE_SQL,
+    "op10_setsketch_near": near_duplicates.ORACLE_SQL,
 }

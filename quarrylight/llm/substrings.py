@@ -236,3 +236,24 @@ def cut(docs: DataFrame) -> DataFrame:
     found = _cut(docs, joined_always=False).where("n_removed = 0 OR n_removed < n_words")
     out = unpacked(found, docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+hit AS (SELECT rid, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+step AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 35, true) AS fresh FROM hit),
+run AS (
+  SELECT rid, min(i) AS a, max(i) + 35 AS b
+  FROM (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM step) GROUP BY rid, k),
+piece AS (
+  SELECT rid, a AS pos, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 1) AS lo, a AS hi FROM run
+  UNION ALL SELECT d.rid, len(w) + 1, coalesce(e, 1), len(w) + 1 FROM d LEFT JOIN (SELECT rid, max(b) AS e FROM run GROUP BY rid) USING (rid)),
+kept AS (
+  SELECT rid, string_agg(array_to_string(w[lo:hi - 1], ' '), ' ' ORDER BY pos) FILTER (WHERE hi > lo) AS t FROM piece JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN (SELECT rid, sum(b - a) AS n FROM run GROUP BY rid) USING (rid)
+"""
