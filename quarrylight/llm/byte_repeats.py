@@ -40,6 +40,8 @@ CHUNK = 512 << 10
 SHARD_MB = 6
 FLUSH = 500_000
 SORT_BUDGET = 64 << 20
+#: Shards of step 2 to one of step 3: what is left to sort is a part of the text.
+SEEDS_A_SORT = 3
 #: monotonically_increasing_id holds the partition above this bit
 ROW_BITS = 33
 
@@ -161,7 +163,7 @@ def _meeting(context: np.ndarray, least: np.ndarray, shards: int) -> np.ndarray:
     return out * (context != 0) * (1 + context * 0x9E3779B1 % (1 << 40) // 64 % shards)
 
 
-def judged(parcels: DataFrame, shards: int) -> DataFrame:
+def judged(parcels: DataFrame, shards: int, sorts: int) -> DataFrame:
     """From all parcels of `seeds`: "whole" as they were and for what repeats across tasks, and "ask" (row, i, left, right) for
     the least occurrences of classes that share a context with a class of another least id: the shards to meet in, from 1."""
 
@@ -175,7 +177,7 @@ def judged(parcels: DataFrame, shards: int) -> DataFrame:
         parts.clear()
         first = r == least[of]
         yield _batch([("whole", to, d) for to, d in _by(row[~first] >> ROW_BITS, row[~first], i[~first])])
-        to_left, to_right = (_meeting(x[at], least, shards)[of] for x in (left, right))
+        to_left, to_right = (_meeting(x[at], least, sorts)[of] for x in (left, right))
         ask = first & ((to_left > 0) | (to_right > 0))
         yield _batch([("ask", to, d) for to, d in _by(row[ask] >> ROW_BITS, row[ask], i[ask], to_left[ask], to_right[ask])])
 
@@ -362,10 +364,11 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the bytes that stay)."""
     spark = docs.sparkSession
     shards = partitions_for(docs, SHARD_MB)
+    sorts = max(spark.sparkContext.defaultParallelism, -(-shards // SEEDS_A_SORT))
     rows = written(pressed(docs).select("row", "doc_id", "z"), "texts")
-    marks = written(judged(seeds(rows, shards), shards), "marks")
+    marks = written(judged(seeds(rows, shards), shards, sorts), "marks")
     release(spark)
-    windows = written(sorted_shards(asked_spans(rows, marks.where("kind = 'ask'")), shards), "windows")
+    windows = written(sorted_shards(asked_spans(rows, marks.where("kind = 'ask'")), sorts), "windows")
     release(spark)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
