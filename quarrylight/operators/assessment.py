@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import UNKNOWN, fold, has_any
+from quarrylight.functions.text import UNKNOWN, fold, has_any, ratio
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,7 @@ class Vocabulary:
 
 DEFAULT = Vocabulary()
 GAP_CONFIDENCE = 0.72
+INSUFFICIENT = "insufficient_evidence"
 CRITERIA = ("ai_product_centrality", "ai_architecture_depth", "proprietary_data_loop", "production_readiness", "scale_governance_need")
 # Fields whose conflicts block, and unknown fields that call for review.
 CRITICAL_FIELDS = ("ai_signals", "product", "technologies_used")
@@ -77,13 +78,16 @@ def criteria(profiles: DataFrame, text: str = "text", signals: str | None = None
     return seen.select("*", *[status(ok).alias(c) for c, ok in holds.items()])
 
 
-def classify(found: DataFrame) -> DataFrame:
-    """classification and confidence from the criteria."""
+def classify(found: DataFrame, ready: Column | None = None) -> DataFrame:
+    """classification and confidence from the criteria. ready: whether the run's collection is good enough; where it is not,
+    nothing is judged (insufficient_evidence, confidence 0)."""
+    enough = F.lit(True) if ready is None else F.coalesce(ready, F.lit(False))
     positives = sum((F.when(F.col(c) == "positive", 1).otherwise(0) for c in CRITERIA), F.lit(0))
     depth = sum((F.when(F.col(c) == "positive", 1).otherwise(0) for c in CRITERIA[1:4]), F.lit(0))
     central, native = F.col(CRITERIA[0]) == "positive", depth >= 2
-    kind = F.when(F.col(CRITERIA[0]) == UNKNOWN, "non_ai").when(central & native, "ai_native").otherwise("ai_enabled")
-    sure = F.when(F.col(CRITERIA[0]) == UNKNOWN, 0.72).when(~central, 0.58).when(native, F.least(F.bround(0.72 + 0.04 * positives, 2), F.lit(0.92))).otherwise(0.64)
+    silent = F.col(CRITERIA[0]) == UNKNOWN
+    kind = F.when(~enough, INSUFFICIENT).when(silent, "non_ai").when(central & native, "ai_native").otherwise("ai_enabled")
+    sure = F.when(~enough, 0.0).when(silent, 0.72).when(~central, 0.58).when(native, F.least(F.bround(0.72 + 0.04 * positives, 2), F.lit(0.92))).otherwise(0.64)
     return found.withColumn("classification", kind).withColumn("confidence", sure)
 
 
@@ -95,6 +99,12 @@ def criterion_rows(found: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
 
 
+def positive_signals(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, signal_type, confidence: a signal for each criterion that speaks for AI."""
+    rows = criterion_rows(found, *keys).where((F.col("status") == "positive") & (F.col("criterion") != "evidence_quality"))
+    return rows.select(*keys, F.col("criterion").alias("signal_type"), "confidence")
+
+
 def wrapper_risks(classified: DataFrame, *keys: str) -> DataFrame:
     """Risks of a product that only wraps others' models: one row each, or an unknown one where there is no AI."""
     row = lambda name, severity, sure, guess: F.struct(F.lit(name).alias("risk_type"), severity.alias("severity"), sure.alias("confidence"), guess.alias("is_hypothesis"))
@@ -105,7 +115,7 @@ def wrapper_risks(classified: DataFrame, *keys: str) -> DataFrame:
         row("no_production_inference_evidence", F.when(p, "low").otherwise("medium"), F.when(p, 0.78).otherwise(0.55), ~p),
     )
     none = F.array(row(UNKNOWN, F.lit(UNKNOWN), F.lit(0.0), F.lit(True)))
-    return classified.select(*keys, F.explode(F.when(F.col("classification") == "non_ai", none).otherwise(risks)).alias("x")).select(*keys, "x.*")
+    return classified.select(*keys, F.explode(F.when(F.col("classification").isin("non_ai", INSUFFICIENT), none).otherwise(risks)).alias("x")).select(*keys, "x.*")
 
 
 def technical_gaps(classified: DataFrame, *keys: str, words: Vocabulary = DEFAULT) -> DataFrame:
@@ -113,7 +123,7 @@ def technical_gaps(classified: DataFrame, *keys: str, words: Vocabulary = DEFAUL
     row = lambda name, severity, sure, guess: F.struct(F.lit(name).alias("gap_type"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), F.lit(guess).alias("is_hypothesis"))
     found = F.array_compact(F.array(*[F.when(has_any(F.col("_t"), terms), row(g, s, GAP_CONFIDENCE, False)) for g, (terms, s) in words.gaps.items()]))
     none = F.array(row(UNKNOWN, UNKNOWN, 0.0, True))
-    gaps = F.when((F.col("classification") == "non_ai") | (F.size(found) == 0), none).otherwise(found)
+    gaps = F.when(F.col("classification").isin("non_ai", INSUFFICIENT) | (F.size(found) == 0), none).otherwise(found)
     return classified.select(*keys, F.explode(gaps).alias("x")).select(*keys, "x.*")
 
 
@@ -129,7 +139,7 @@ def diagnosis(classified: DataFrame, gaps: DataFrame, risks: DataFrame, conflict
     kind, sure = F.col("classification"), F.col("confidence")
     unsure = F.exists(F.array(*CRITERIA), lambda s: s == UNKNOWN) & (kind != "non_ai")
     rules = F.array_compact(F.array(
-        F.when(kind.isin("non_ai", "insufficient_evidence"), "not_a_recommendation_candidate"),
+        F.when(kind.isin("non_ai", INSUFFICIENT), "not_a_recommendation_candidate"),
         F.when(sure < 0.75, "classification_confidence_below_threshold"),
         F.when(F.coalesce("no_gap", F.lit(True)), "no_specific_gap"),
         F.when(F.coalesce("high_risk", F.lit(False)), "high_wrapper_dependency_risk"),
@@ -137,7 +147,7 @@ def diagnosis(classified: DataFrame, gaps: DataFrame, risks: DataFrame, conflict
     ))
     reasons = F.concat(F.coalesce("cs", F.array().cast("array<string>")), rules)
     out = joined.withColumn("reasons", reasons)
-    review = F.col("cs").isNotNull() | F.array_contains("reasons", "unknown_assessment_criteria")
+    review = (kind == INSUFFICIENT) | F.col("cs").isNotNull() | F.array_contains("reasons", "unknown_assessment_criteria")
     urgency = (
         F.when(review, "human_review").when(kind == "non_ai", "low").when(kind == "ai_enabled", "medium")
         .when((kind == "ai_native") & (sure >= 0.8) & F.coalesce("specific", F.lit(False)), "urgent").otherwise("medium")
@@ -145,6 +155,22 @@ def diagnosis(classified: DataFrame, gaps: DataFrame, risks: DataFrame, conflict
     return out.select(key, "classification", "confidence", "reasons", ((F.size("reasons") == 0) & (kind == "ai_native")).alias("ready"), review.alias("human_review"), urgency.alias("urgency"))
 
 
+def gap_space_metrics(mappings: DataFrame, commercial: DataFrame, key: str = "startup") -> DataFrame:
+    """One row a startup over its gap mappings (key, targets, review_reasons, support_status) and commercial ones (key, targets):
+    how many there are, how many the taxonomy covers, and how often each review reason occurs (a map)."""
+    gaps = mappings.groupBy(key).agg(
+        F.count("*").alias("gaps"), F.count_if(F.size("targets") > 0).alias("covered_gaps"),
+        F.count_if(F.col("support_status") == "unsupported").alias("unsupported_gaps"),
+    )
+    why = mappings.select(key, F.explode("review_reasons").alias("reason")).groupBy(key, "reason").agg(F.count("*").alias("n"))
+    why = why.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reason_counts"))
+    sold = commercial.groupBy(key).agg(F.count("*").alias("opportunities"), F.count_if(F.size("targets") > 0).alias("covered_opportunities"))
+    joined = gaps.join(sold, key, "full_outer").join(why, key, "left")
+    counts = ("gaps", "covered_gaps", "unsupported_gaps", "opportunities", "covered_opportunities")
+    zero = joined.select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("reason_counts", F.create_map().cast("map<string,bigint>")).alias("reason_counts"))
+    return zero.withColumn("gap_coverage", ratio(F.col("covered_gaps"), F.col("gaps")))
+
+
 def opportunities(profiles: DataFrame, key: str, ready: str, words: Vocabulary = DEFAULT) -> DataFrame:
     """Program opportunities that the folded text (_t) speaks of; surer where the assessment is ready."""
     return profiles.where(has_any(F.col("_t"), words.program)).select(

@@ -129,7 +129,7 @@ def unknown_fields(fields: DataFrame) -> DataFrame:
 
 
 def collection_quality(candidates: DataFrame | int, fields: DataFrame) -> DataFrame:
-    """One row: counts, rates (unrounded) and whether the run is ready, with the reasons if not. candidates: how many, or a
+    """One row: counts, rates at two places and whether the run is ready, with the reasons if not. candidates: how many, or a
     row of that number."""
     per = fields.groupBy("key").agg(
         F.bool_and(F.when(F.col("field").isin(*REQUIRED), F.col("value") != UNKNOWN)).alias("complete"),
@@ -147,12 +147,12 @@ def collection_quality(candidates: DataFrame | int, fields: DataFrame) -> DataFr
     else:
         total = total.crossJoin(F.broadcast(candidates.toDF("candidates")))  # one row each
     total = (
-        total.withColumn("official_site_rate", ratio(F.col("official_sites"), F.col("candidates")))
-        .withColumn("complete_profile_rate", ratio(F.col("complete_profiles"), F.col("candidates")))
-        .withColumn("average_evidences", ratio(F.col("evidences"), F.col("profiles")))
+        total.withColumn("official_site_rate", F.bround(ratio(F.col("official_sites"), F.col("candidates")), 2))
+        .withColumn("complete_profile_rate", F.bround(ratio(F.col("complete_profiles"), F.col("candidates")), 2))
+        .withColumn("average_evidences", F.bround(ratio(F.col("evidences"), F.col("profiles")), 2))
     )
     names = {"candidates": "not_enough_candidates", "official_site_rate": "official_site_coverage_below_threshold", "complete_profile_rate": "minimum_profile_coverage_below_threshold", "average_evidences": "average_evidence_below_threshold"}
-    reasons = F.array_compact(F.array(*[F.when(F.bround(F.col(k).cast("double"), 2) < v, names[k]) for k, v in READY.items()]))
+    reasons = F.array_compact(F.array(*[F.when(F.col(k) < v, names[k]) for k, v in READY.items()]))
     return total.withColumn("reasons", reasons).withColumn("ready", F.size("reasons") == 0)
 
 

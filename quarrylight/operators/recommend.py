@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylight.functions.text import UNKNOWN, known, slug
+from quarrylight.functions.text import UNKNOWN, fold, known, ratio, slug
 
 # Needs and programs that rules cover, thresholds of the gates.
 COVERED_GAPS = ("model_serving", "llm_customization", "data_acceleration", "computer_vision")
@@ -14,9 +14,10 @@ COVERED_PROGRAMS = ("inception_program_fit", "partner_ecosystem")
 LEAST_CONFIDENCE, TOO_MANY_UNKNOWN = 0.60, 3
 # Connective words that a narrative may use beyond its prompt.
 CONNECTIVES = (
-    "a an and are as at based briefing but by claim claims evidence for from has have in is it next no of on or public "
-    "recommend recommendation review risk should source startup that the this to unknown use validated with"
-).split()
+    "a", "an", "and", "are", "as", "at", "based", "briefing", "but", "by", "claim", "claims", "evidence", "for", "from", "has",
+    "have", "in", "is", "it", "next", "no", "of", "on", "or", "public", "recommend", "recommendation", "review", "risk",
+    "should", "source", "startup", "that", "the", "this", "to", "unknown", "use", "validated", "with",
+)
 
 
 def severity_score(severity: Column) -> Column:
@@ -37,9 +38,17 @@ def program_score(confidence: Column, source: Column, score: Column) -> Column:
     return confidence * 10 + source_quality(source) * 5 + F.least(F.greatest(score, F.lit(0.0)), F.lit(10.0)) / 10.0
 
 
-def blocking_reasons(ready: Column, assessed: Column, conflict: Column, high_risk: Column, unknown: Column, unknown_names: Column, gap_ready: Column) -> Column:
-    """Reasons in order; unknown: how many field values are unknown, over the run as the default."""
-    many = unknown >= TOO_MANY_UNKNOWN
+# Fixed value: a reason of the gap space that speaks for it.
+GAP_SPACE_READY = "gap_space_ready_for_recommendation"
+
+
+def blocking_reasons(
+    ready: Column, assessed: Column, conflict: Column, high_risk: Column, unknown: Column, unknown_names: Column, gap_ready: Column,
+    gap_reasons: Column | None = None,
+) -> Column:
+    """Reasons in order; unknown: how many field values are unknown, over the run as the default; the gap space's own reasons come
+    last."""
+    many, none = unknown >= TOO_MANY_UNKNOWN, F.array().cast("array<string>")
     first = F.array(
         F.when(~ready, "collection_quality_not_ready"),
         F.when(~assessed, "assessment_not_ready_for_recommendation"),
@@ -47,9 +56,10 @@ def blocking_reasons(ready: Column, assessed: Column, conflict: Column, high_ris
         F.when(high_risk, "high_wrapper_risk"),
         F.when(many, "excessive_unknown_fields"),
     )
-    names = F.when(many, F.transform(unknown_names, lambda n: F.concat(F.lit("unknown_field:"), n))).otherwise(F.array().cast("array<string>"))
+    names = F.when(many, F.transform(unknown_names, lambda n: F.concat(F.lit("unknown_field:"), n))).otherwise(none)
     last = F.array(F.when(~gap_ready, "gap_space_not_ready_for_recommendation"))
-    return F.array_compact(F.concat(first, names, last))
+    own = F.coalesce(F.filter(gap_reasons, lambda r: r != GAP_SPACE_READY), none) if gap_reasons is not None else none
+    return F.array_compact(F.concat(first, names, last, F.when(~gap_ready, own).otherwise(none)))
 
 
 def gate(blocked: Column, evidences: Column, gap_type: Column, official: Column, confidence: Column) -> Column:
@@ -118,8 +128,8 @@ def recommendation_id(*parts: Column) -> Column:
 
 
 def metrics(recommendations: DataFrame) -> DataFrame:
-    """One row: counts by state, with official citation, with evidence (state, official, evidences)."""
-    return recommendations.agg(
+    """One row: counts by state, with official citation, with evidence (state, official, evidences), and their shares."""
+    n = recommendations.agg(
         F.count("*").alias("recommendations"),
         F.count_if(F.col("state") == "supported").alias("supported"),
         F.count_if(F.col("state") == "hypothesis").alias("hypotheses"),
@@ -127,6 +137,8 @@ def metrics(recommendations: DataFrame) -> DataFrame:
         F.count_if("official").alias("official_cited"),
         F.count_if(F.col("evidences") > 0).alias("with_evidence"),
     )
+    share = lambda c: ratio(F.col(c), F.col("recommendations")).alias(f"{c}_share")
+    return n.select("*", *map(share, ("supported", "official_cited", "with_evidence")))
 
 
 def outcome(startups: DataFrame) -> DataFrame:
@@ -161,6 +173,39 @@ def human_review(blocked: DataFrame, unknown: DataFrame, conflicts: DataFrame) -
     return filled.withColumn("questions", ask)
 
 
+def first_retrieval(asked: DataFrame, retrievals: DataFrame, key: str, kind: str, topics: str = "topics") -> DataFrame:
+    """asked (key, kind, ...) with query_id of the earliest retrieval (key, query_id, pos, query, topics) that speaks of its kind: a
+    result's topic is the kind, or the folded query holds it in words. Without one: null.
+
+    A startup has few retrievals and few gaps: both sides meet on its key, and one is kept a gap.
+    """
+    words = F.replace(F.col(kind), F.lit("_"), F.lit(" "))
+    held = retrievals.select(F.col(key), "query_id", F.col("pos").alias("r_pos"), fold(F.col("query")).alias("r_query"), F.col(topics).alias("r_topics"))
+    said = F.contains("r_query", words) | F.coalesce(F.array_contains("r_topics", F.col(kind)), F.lit(False))
+    best = asked.select(key, kind).distinct().join(held, key).where(said).groupBy(key, kind).agg(F.min_by("query_id", "r_pos").alias("query_id"))
+    return asked.join(best, [key, kind], "left")
+
+
+def program_opportunities(gaps: DataFrame, opportunities: DataFrame, retrievals: DataFrame, key: str = "startup") -> DataFrame:
+    """key, opportunity_type, gap_type, description, confidence, is_hypothesis: a program opportunity for each sourced gap of a
+    startup that has a retrieval on the program (has_program) and none of that opportunity's type yet."""
+    kind = "inception_program_fit"
+    ready = retrievals.where("has_program").select(key).distinct()
+    already = opportunities.where(F.col("opportunity_type") == kind).select(key).distinct()
+    able = gaps.where((F.col("gap_type") != UNKNOWN) & (F.col("evidences") > 0)).join(ready, key, "left_semi").join(already, key, "left_anti")
+    text = F.concat(F.lit("Program support for "), "gap_type", F.lit(": "), "description")
+    return able.select(key, F.lit(kind).alias("opportunity_type"), "gap_type", text.alias("description"), "confidence", "is_hypothesis")
+
+
+def rank_programs(scored: DataFrame, by: str = "startup") -> DataFrame:
+    """rank of each program recommendation: by score, then opportunity type, document and chunk; and whether it leads its type."""
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "opportunity_type", "document_id", "chunk_index")
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    leads = F.row_number().over(Window.partitionBy(by, "opportunity_type").orderBy("rank")) == 1
+    label = F.when(leads, "top_recommendation_for_opportunity").otherwise("alternative_recommendation_for_opportunity")
+    return ranked.withColumn("selection", label)
+
+
 def narrative_terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0))
 

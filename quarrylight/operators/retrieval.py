@@ -8,12 +8,17 @@ Scores are ranked at nine places, so that a sum in another order can't change a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions.text import STOP_TOKENS, strip, tokens
 from quarrylight.functions.vectors import cosine, norm
+from quarrylight.tables import written
 
 # BM25 and fusion constants.
 K1, B = 1.5, 0.75
@@ -40,23 +45,37 @@ def index_stats(chunks: DataFrame, stop: tuple[str, ...] = STOP_TOKENS) -> DataF
     return found.groupBy("token").agg(F.count("*").alias("df"))
 
 
+#: Tokens that queries ask for are broadcast up to this many; more are joined as Spark sees fit.
+BROADCAST_TOKENS = 200_000
+_KEYS = ("chunk_id", "document_id", "chunk_index")
+
+
+def _matches(chunks: DataFrame, asked: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """uid, keys, length, token, tf: how often a chunk holds a token that some query has, from one pass over the texts, written
+    once. Each chunk also has a row for the empty token, which no text holds: those rows count chunks and their lengths."""
+    wanted = asked.select("token").distinct().union(asked.sparkSession.range(1).select(F.lit("").alias("token")))
+    if wanted.count() <= BROADCAST_TOKENS:
+        wanted = F.broadcast(wanted)
+    terms = index_terms(chunks, stop).withColumn("uid", F.monotonically_increasing_id())
+    each = terms.select("uid", *_KEYS, "length", F.explode(F.concat("terms", F.array(F.lit("")))).alias("token"))
+    return written(each.join(wanted, "token").groupBy("uid", *_KEYS, "length", "token").agg(F.count("*").alias("tf")), "matches")
+
+
+def _sizes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """token, df; and one row: n, mean."""
+    df = found.where("token <> ''").groupBy("token").agg(F.count("*").alias("df"))
+    return df, found.where("token = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 3, stop: tuple[str, ...] = STOP_TOKENS) -> DataFrame:
     """The k best chunks of each query with a positive score.
 
-    Only tokens of some query are ever exploded past the scan, so the shuffle grows with matches, not with the corpus.
+    Texts are read once; only tokens of some query are shuffled, so the shuffle grows with matches, not with the corpus.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"), stop)).alias("token"))
     asked = asked.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    terms = index_terms(chunks, stop).withColumn("uid", F.monotonically_increasing_id())
-    wanted = asked.select("token").distinct()
-    found = (
-        terms.select("uid", "chunk_id", "document_id", "chunk_index", "length", F.explode("terms").alias("token"))
-        .join(wanted, "token")
-        .groupBy("uid", "chunk_id", "document_id", "chunk_index", "length", "token")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    size = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    found = _matches(chunks, asked, stop)
+    df, size = _sizes(found)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     shape = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.nullif("mean", F.lit(0.0)))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / shape
@@ -64,14 +83,40 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 3, stop: tuple[str, ...
         found.join(df, "token")
         .join(asked, "token")
         .crossJoin(F.broadcast(size))
-        .groupBy("query_id", "uid", "chunk_id", "document_id", "chunk_index")
+        .groupBy("query_id", "uid", *_KEYS)
         .agg(F.round(F.sum(part), 9).alias("score"))
         .where("score > 0")
     )
-    best = scored.groupBy("query_id", "chunk_id", "document_id", "chunk_index").agg(F.max("score").alias("score"))
+    best = scored.groupBy("query_id", *_KEYS).agg(F.max("score").alias("score"))
     return top(best, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("bm25_lexical"))
 
 
+# Fixed value: share of the mean idf that a token in more than half of all chunks gets instead of a negative one.
+OKAPI_FLOOR = 0.25
+
+
+def okapi(chunks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """BM25 in the Okapi form: idf is the log odds of a token, negative ones are replaced by a share of the mean idf over all
+    tokens of the corpus. No stop tokens, a chunk that occurs twice counts twice, scores above 0 only."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"), ())).alias("token"))
+    asked = asked.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    found = _matches(chunks, asked, ())
+    df, size = _sizes(found)
+    odds = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = index_stats(chunks, ()).crossJoin(F.broadcast(size)).agg(F.avg(odds).alias("mean_odds"))
+    idf = F.when(odds < 0, OKAPI_FLOOR * F.col("mean_odds")).otherwise(odds)
+    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.nullif("mean", F.lit(0.0))))
+    scored = (
+        found.join(df, "token")
+        .join(asked, "token")
+        .crossJoin(F.broadcast(size.crossJoin(mean)))  # one row
+        .groupBy("query_id", "uid", *_KEYS)
+        .agg(F.round(F.sum(part), 9).alias("score"))
+        .where("score > 0")
+    )
+    return top(scored, k, "document_id", "chunk_index", "chunk_id", "uid").drop("uid").withColumn("strategy", F.lit("rank_bm25_lexical"))
+
+
 def top(scored: DataFrame, k: int, *ties: str, by: str = "query_id", score: str = "score") -> DataFrame:
     """The first k of each group by descending score, then the tie columns."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), *ties)
@@ -111,6 +156,131 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, least: float = 0
     return top(once, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("vector_similarity"))
 
 
+def vector_store(
+    vectors: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame, index: dict[str, object], k: int = 3, least: float = 0.0
+) -> DataFrame:
+    """The k nearest stored vectors of each query: only those whose index fields have the values of `index` (corpus version,
+    provider, model, version, dimension, metric), whose chunk and document are stored in the same corpus version, and whose
+    similarity is above `least`, before the cut and again at six places after it.
+
+    vectors: corpus_version, chunk_id, the index fields, embedding; chunks: corpus_version, chunk_id, document_id, chunk_index;
+    documents: corpus_version, document_id. Filters reach the scans; no vector without a chunk is compared.
+    """
+    held = vectors
+    for field, value in index.items():
+        held = held.where(F.col(field) == F.lit(value))
+    placed = chunks.where(F.col("corpus_version") == F.lit(index["corpus_version"])).select("chunk_id", "document_id", "chunk_index")
+    known = documents.where(F.col("corpus_version") == F.lit(index["corpus_version"])).select("document_id")
+    stored = held.select("chunk_id", "embedding").join(placed, "chunk_id").join(known, "document_id", "left_semi")
+    found = nearest(stored, queries, k, least).withColumn("score", F.round("score", 6))
+    return found.where(F.col("score") > least)
+
+
+def index_rows(vectors: DataFrame, metadata: dict[str, object]) -> DataFrame:
+    """Vectors (chunk_id, embedding) as rows of a vector store: each has the index's six key fields; a vector of another size than
+    the stated dimension fails."""
+    checked = check_dimension(vectors, int(metadata["dimension"]))
+    return checked.select(*[F.lit(v).alias(f) for f, v in metadata.items()], "chunk_id", "embedding")
+
+
+class Retriever(Protocol):
+    """What the workflow asks of a retriever: results (query_id, chunk keys, score, strategy, rank) of queries (query_id, query)."""
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Lexical:
+    chunks: DataFrame
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        return bm25(self.chunks, queries, k)
+
+
+@dataclass(frozen=True)
+class Okapi:
+    chunks: DataFrame
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        return okapi(self.chunks, queries, k)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Neighbours in a vector store; `embed` turns a query's text into its vector."""
+
+    vectors: DataFrame
+    chunks: DataFrame
+    documents: DataFrame
+    index: dict[str, object]
+    embed: Callable[[Column], Column]
+    least: float = 0.0
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        asked = queries.where(F.col("query") != "").select("query_id", self.embed(F.col("query")).alias("embedding"))
+        return vector_store(self.vectors, self.chunks, self.documents, asked, self.index, k, self.least)
+
+
+@dataclass(frozen=True)
+class Hybrid:
+    """Fusion of any lexical side with any vector side."""
+
+    lexical: Retriever
+    vector: Retriever
+    pool: tuple[int, int] = (3, 3)
+    weights: tuple[float, float] = (1.0, 1.0)
+    rrf_k: int = RRF_K
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        sides = self.lexical.retrieve(queries, self.pool[0]), self.vector.retrieve(queries, self.pool[1])
+        return fuse(*sides, k, self.rrf_k, self.weights)
+
+
+# Fixed value: candidates that a reranker sees at least.
+LEAST_POOL = 30
+
+
+def pooled(retriever: Retriever, queries: DataFrame, scores: Callable[[DataFrame], DataFrame], k: int = 3) -> DataFrame:
+    """Two stages: a pool of at least LEAST_POOL hybrid candidates, then the k best by other scores."""
+    candidates = retriever.retrieve(queries, max(k, LEAST_POOL))
+    return rerank(candidates, scores(candidates), k)
+
+
+def choose_retriever(
+    chunks: DataFrame | None, given: Retriever | None = None, vector: Retriever | None = None
+) -> Retriever | None:
+    """The retriever of a run: a given one, else hybrid where there are texts and vectors, else lexical; none without texts."""
+    if given is not None or chunks is None:
+        return given
+    return Lexical(chunks) if vector is None else Hybrid(Lexical(chunks), vector)
+
+
+def route(skip: Column, has_results: Column, has_preset: Column, has_retriever: Column) -> Column:
+    """Where a startup's retrievals come from: skipped for review, what it has, what was preset, a retriever, or an error."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(yes(skip), "skipped").when(yes(has_results), "kept").when(yes(has_preset), "preset")
+        .when(yes(has_retriever), "retrieved").otherwise("missing_knowledge_input")
+    )
+
+
+def routed(queries: DataFrame, kept: DataFrame, preset: DataFrame, retriever: Retriever | None, k: int) -> tuple[DataFrame, DataFrame]:
+    """Results of queries (query_id, query, skip) by their route, and errors (query_id, error_type, reason) of those without one.
+
+    kept, preset: results stored for some queries. Only queries that need it go to the retriever.
+    """
+    has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
+    marked = queries.join(has(kept, "has_kept"), "query_id", "left").join(has(preset, "has_preset"), "query_id", "left")
+    marked = marked.withColumn("route", route(F.col("skip"), F.col("has_kept"), F.col("has_preset"), F.lit(retriever is not None)))
+    on = lambda name: marked.where(F.col("route") == name).select("query_id", "route")
+    out = kept.join(on("kept"), "query_id").unionByName(preset.join(on("preset"), "query_id"), allowMissingColumns=True)
+    if retriever is not None:
+        found = retriever.retrieve(marked.where("route = 'retrieved'").select("query_id", "query"), k)
+        out = out.unionByName(found.withColumn("route", F.lit("retrieved")), allowMissingColumns=True)
+    missing = marked.where("route = 'missing_knowledge_input'")
+    return out, missing.select("query_id", F.col("route").alias("error_type"), F.lit("retrieval_skipped_missing_corpus_or_fixture").alias("reason"))
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = 3, rrf_k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Reciprocal rank fusion: sum of weight / (rrf_k + rank) over the sources that found a chunk."""
     keys = ["query_id", "chunk_id", "document_id", "chunk_index"]
@@ -141,18 +311,38 @@ def invented(candidates: DataFrame, reranked: DataFrame) -> DataFrame:
 
 
 def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """reasons: what makes an index that was built with one metadata row unfit for another, in a fixed order."""
+    """reasons: what makes an index that was built with one metadata row unfit for another, in a fixed order; other columns of
+    `before` stay."""
     fields = ("corpus_version", "provider", "model", "version", "dimension", "metric", "chunking_fingerprint")
     a, b = before.alias("a"), after.alias("b")
     found = F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f"{f}_changed")) for f in fields])
-    return a.crossJoin(F.broadcast(b.limit(1))).select(F.array_compact(found).alias("reasons"))
+    others = [F.col(f"a.{c}") for c in before.columns if c not in fields]
+    return a.crossJoin(F.broadcast(b.limit(1))).select(*others, F.array_compact(found).alias("reasons"))
+
+
+def check_index(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of `before` that fit; a retrieval over an index that does not fails with the reasons."""
+    judged = index_changes(before, after)
+    wrong = F.raise_error(F.concat(F.lit("embedding_index_incompatible:"), F.array_join("reasons", ",")))
+    return judged.where(F.when(F.size("reasons") > 0, wrong.cast("boolean")).otherwise(F.lit(True)))
+
+
+#: Rows that are hashed together before their hashes are.
+HASH_RANGE = 4096
 
 
 def chunking_fingerprint(chunks: DataFrame) -> DataFrame:
-    """sha256 over chunk fields in the corpus's order (column pos): fields end in \\0, chunks in \\1."""
-    row = F.concat(F.concat_ws("\0", "chunk_id", "document_id", F.col("chunk_index").cast("string"), "topic", "text"), F.lit("\x01"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", row.alias("r"))))
-    return chunks.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["r"]), ""), 256).alias("fingerprint"))
+    """sha256 over chunk fields in the corpus's order (column pos, from 0): a tree of hashes, so that no task sees the corpus. Rows
+    are hashed, ranges of HASH_RANGE row hashes in order are, and so on to the top."""
+    row = F.sha2(F.concat_ws("\0", "chunk_id", "document_id", F.col("chunk_index").cast("string"), "topic", "text"), 256)
+    level = chunks.select(F.col("pos").cast("bigint").alias("pos"), row.alias("h"))
+    top_row = level.agg(F.max("pos")).first()[0] or 0
+    while True:
+        up = level.groupBy(F.floor(F.col("pos") / HASH_RANGE).alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("hs"))
+        level = up.select("pos", F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256).alias("h"))
+        top_row //= HASH_RANGE
+        if not top_row:
+            return level.select(F.col("h").alias("fingerprint"))
 
 
 def official_quality(results: DataFrame, queries: DataFrame) -> DataFrame:

@@ -26,8 +26,19 @@ def first_alias(text: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(*found, F.lit(UNKNOWN))
 
 
+# The theme of a query that only says "AI", and the results that are asked for without a limit.
+BARE_THEMES = {"ia": "artificial_intelligence", "ai": "artificial_intelligence"}
+DEFAULT_LIMIT = 10
+
+
+def result_limit(limit: Column) -> Column:
+    """The limit of a request: ten if it has none; one below 1 fails."""
+    wrong = F.raise_error(F.lit("limit must be greater than zero")).cast("int")
+    return F.when(limit.isNull(), DEFAULT_LIMIT).when(limit < 1, wrong).otherwise(limit.cast("int"))
+
+
 def parse_queries(queries: DataFrame, regions: DataFrame) -> DataFrame:
-    """query_id, query with region, region_type, theme and stage.
+    """query_id, query with region, region_type, theme, stage and limit (queries may have a column limit).
 
     regions: alias, region, region_type, priority — a dimension in the order of trial (qualified places first), since aliases
     overlap; the first that stands in the query as whole words wins.
@@ -35,13 +46,15 @@ def parse_queries(queries: DataFrame, regions: DataFrame) -> DataFrame:
     plain = F.concat(F.lit(" "), F.regexp_replace(fold(F.col("query")), r"[^\w-]+", " "), F.lit(" "))
     hits = queries.join(F.broadcast(regions), F.contains(plain, F.concat(F.lit(" "), F.col("alias"), F.lit(" "))), "left")
     best = hits.groupBy("query_id").agg(F.min_by(F.struct("region", "region_type"), "priority").alias("r"))
+    limit = F.col("limit") if "limit" in queries.columns else F.lit(None).cast("int")
     return queries.join(best, "query_id").select(
         "query_id",
         collapse(F.col("query")).alias("query"),
         F.coalesce("r.region", F.lit(UNKNOWN)).alias("region"),
         F.coalesce("r.region_type", F.lit(UNKNOWN)).alias("region_type"),
-        first_alias(F.col("query"), THEMES).alias("theme"),
+        first_alias(F.col("query"), THEMES | BARE_THEMES).alias("theme"),
         first_alias(F.col("query"), STAGES).alias("stage"),
+        result_limit(limit).alias("limit"),
     )
 
 

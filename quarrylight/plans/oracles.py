@@ -30,10 +30,17 @@ COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(
 VECTORS = f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({COSINE}, 9) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near WHERE score > 0
-       QUALIFY rank <= 3),
-lab AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, 1.0 / (1.0 + abs(b.vec_id - a.vec_id)) AS score
-        FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.label = b.label),
-ll AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lab QUALIFY rank <= 3),
+       QUALIFY rank <= 3)"""
+BM25 = f"""d AS (SELECT doc_id, {_tokens("text")} AS ts FROM docs), n AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM d),
+  q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens("text")}) AS token FROM benchmark) GROUP BY ALL),
+  tf AS (SELECT doc_id, token, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(ts) AS l, unnest(ts) AS token FROM d) WHERE token IN (SELECT token FROM q) GROUP BY ALL),
+  df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE /
+    (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 9) AS score FROM tf JOIN df USING (token) JOIN q USING (token), n GROUP BY ALL),
+  ll AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM s WHERE score > 0 QUALIFY rank <= 3)"""
+HYBRID = f"""{DOCS}, {BM25}, v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({COSINE}, 9) AS score FROM v a JOIN benchmark ON item_id = a.vec_id, v b),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near WHERE score > 0 QUALIFY rank <= 3),
 both_ AS (SELECT coalesce(l.query_id, n.query_id) AS query_id, coalesce(l.chunk_id, n.chunk_id) AS chunk_id, l.rank AS lexical_rank,
           n.rank AS vector_rank, round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + n.rank), 0), 12) AS score
           FROM ll l FULL JOIN nn n ON l.query_id = n.query_id AND l.chunk_id = n.chunk_id),
@@ -130,27 +137,21 @@ ORACLES = {
       UNION ALL SELECT document_id, 'chunk_topic_mismatch:' || chunk_id FROM own WHERE doc_id % 5 <> 3 AND topic <> 't'
       UNION ALL SELECT document_id, 'unsupported_gap_type:weather' FROM ok WHERE doc_id % 13 = 4""",
     "index_stats": f"""WITH {DOCS} SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_tokens("text")})) AS token FROM docs) GROUP BY 1""",
-    "bm25_topk": f"""WITH {DOCS}, d AS (SELECT doc_id, {_tokens("text")} AS ts FROM docs), n AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM d),
-      q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens("text")}) AS token FROM benchmark) GROUP BY ALL),
-      tf AS (SELECT doc_id, token, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(ts) AS l, unnest(ts) AS token FROM d) WHERE token IN (SELECT token FROM q) GROUP BY ALL),
-      df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-      s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE /
-        (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 9) AS score FROM tf JOIN df USING (token) JOIN q USING (token), n GROUP BY ALL)
-      SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY rank <= 3""",
+    "bm25_topk": f"WITH {DOCS}, {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ll",
     "bm25_no_match": "SELECT 0::BIGINT AS query_id, 0::BIGINT AS chunk_id, 0::BIGINT AS rank, 0::DOUBLE AS score WHERE false",
     "vector_topk": f"WITH {VECTORS} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM nn",
     "zero_vector": "SELECT vec_id AS chunk_id, 0.0::DOUBLE AS score FROM embeddings",
-    "hybrid_rrf": f"WITH {VECTORS} SELECT query_id, chunk_id, rank, lexical_rank, vector_rank, round(score, 9) AS score FROM hy",
-    "rerank_topk": f"WITH {VECTORS} SELECT query_id, chunk_id, rank, original_rank, rerank_score FROM rr",
-    "retrieval_cases": f"""WITH {VECTORS}, {_cases("nn", "c")} SELECT query_id AS expectation_id, expected, retrieved, matched, top_1, matched = expected AS covered,
+    "hybrid_rrf": f"WITH {HYBRID} SELECT query_id, chunk_id, rank, lexical_rank, vector_rank, round(score, 9) AS score FROM hy",
+    "rerank_topk": f"WITH {HYBRID} SELECT query_id, chunk_id, rank, original_rank, rerank_score FROM rr",
+    "retrieval_cases": f"""WITH {HYBRID}, {_cases("hy", "c")} SELECT query_id AS expectation_id, expected, retrieved, matched, top_1, matched = expected AS covered,
       concat_ws(',', CASE WHEN retrieved = 0 THEN 'no_retrieved_citation' END, CASE WHEN matched < expected THEN 'expected_citation_not_retrieved' END,
       CASE WHEN retrieved > 0 AND matched < retrieved THEN 'unexpected_retrieved_citation' END) AS failure_reasons FROM c""",
-    "retrieval_summary": f"WITH {VECTORS}, {_cases('nn', 'c')} {_summary('c')}",
-    "strategy_comparison": f"""WITH {VECTORS}, l1 AS (SELECT * FROM ll WHERE rank = 1), {_cases("nn", "a")}, {_cases("l1", "b")}, {_cases("hy", "h")},
-      s AS (SELECT 'vector' AS strategy, 0 AS pos, * FROM ({_summary("a")}) UNION ALL SELECT 'label', 1, * FROM ({_summary("b")}) UNION ALL SELECT 'hybrid', 2, * FROM ({_summary("h")}))
-      SELECT (SELECT strategy FROM s ORDER BY f1 DESC, coverage DESC, precision DESC, top_1 DESC, pos LIMIT 1) AS best_f1,
-             (SELECT strategy FROM s ORDER BY top_1 DESC, f1 DESC, coverage DESC, precision DESC, pos LIMIT 1) AS best_top_1""",
-    "rerank_delta": f"""WITH {VECTORS}, {_cases("hy", "a")}, {_cases("rr", "b")}, x AS ({_summary("a")}), y AS ({_summary("b")})
+    "retrieval_summary": f"WITH {HYBRID}, {_cases('hy', 'c')} {_summary('c')}",
+    "strategy_comparison": f"""WITH {HYBRID}, l1 AS (SELECT * FROM hy WHERE rank = 1), {_cases("nn", "a")}, {_cases("l1", "b")}, {_cases("hy", "h")},
+      sm AS (SELECT 'vector' AS strategy, 0 AS pos, * FROM ({_summary("a")}) UNION ALL SELECT 'first', 1, * FROM ({_summary("b")}) UNION ALL SELECT 'hybrid', 2, * FROM ({_summary("h")}))
+      SELECT (SELECT strategy FROM sm ORDER BY f1 DESC, coverage DESC, precision DESC, top_1 DESC, pos LIMIT 1) AS best_f1,
+             (SELECT strategy FROM sm ORDER BY top_1 DESC, f1 DESC, coverage DESC, precision DESC, pos LIMIT 1) AS best_top_1""",
+    "rerank_delta": f"""WITH {HYBRID}, {_cases("hy", "a")}, {_cases("rr", "b")}, x AS ({_summary("a")}), y AS ({_summary("b")})
       SELECT {", ".join(f"x.{m} AS {m}_before, y.{m} AS {m}_after, y.{m} - x.{m} AS {m}_delta" for m in ("top_1", "recall", "precision", "f1", "coverage"))} FROM x, y""",
     "evidence_conflicts": """WITH v AS (SELECT source AS key, upper(lang) AS value, min(doc_id) AS pos FROM documents GROUP BY ALL)
       SELECT key, arg_min(value, pos) AS value, string_agg(value, ',' ORDER BY pos) AS values, count(*) > 1 AS has_conflict FROM v GROUP BY 1""",
@@ -165,7 +166,7 @@ ORACLES = {
         bool_or(field = 'official_site' AND value <> 'unknown') AS site, sum(evidences) AS evidences FROM f GROUP BY 1),
       t AS (SELECT count(*) AS candidates, count(*) AS profiles, count(*) FILTER (WHERE site) AS official_sites, count(*) FILTER (WHERE complete) AS complete_profiles,
         sum(evidences)::BIGINT AS evidences FROM p),
-      r AS (SELECT *, official_sites / candidates AS official_site_rate, complete_profiles / candidates AS complete_profile_rate, evidences / profiles AS average_evidences FROM t),
+      r AS (SELECT *, round_even(official_sites / candidates, 2) AS official_site_rate, round_even(complete_profiles / candidates, 2) AS complete_profile_rate, round_even(evidences / profiles, 2) AS average_evidences FROM t),
       x AS (SELECT *, concat_ws(',', CASE WHEN official_site_rate < 0.695 THEN 'official_site_coverage_below_threshold' END,
         CASE WHEN complete_profile_rate < 0.595 THEN 'minimum_profile_coverage_below_threshold' END, CASE WHEN average_evidences < 2.995 THEN 'average_evidence_below_threshold' END) AS reasons FROM r)
       SELECT *, reasons = '' AS ready FROM x""",
@@ -201,12 +202,22 @@ ORACLES = {
     "replace_by_key": """SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 5 <> 0
       UNION ALL SELECT o_custkey, max(o_orderkey), 0.0::DOUBLE FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1""",
     "latest_version": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels",
-    "input_fingerprint": """SELECT run, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT doc_id % 10 AS run,
-      sha256('=' || doc_id || chr(1) || '=' || quality || chr(1) || '=' || toxic) AS h FROM labels) GROUP BY 1""",
+    "input_fingerprint": """SELECT run, sha256(string_agg(h, '' ORDER BY part)) AS fingerprint FROM (SELECT run, substr(h, 1, 3) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT doc_id % 10 AS run,
+      sha256('=' || doc_id || chr(1) || '=' || quality || chr(1) || '=' || toxic) AS h FROM labels) GROUP BY ALL) GROUP BY 1""",
     "json_payload_overlay": "SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events",
     "three_way_join_filter": """SELECT c_nationkey, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
       JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 30 GROUP BY 1""",
     "events_stream": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL",
-    "candidate_scores": f"""SELECT page_id AS pos, 'company' AS source_type, upper(d[1]) || lower(d[2:]) AS name, {SCHEME} || '://' || {HOST} AS primary_url, 0.9::DOUBLE AS score
-      FROM (SELECT *, string_split({DOMAIN}, '.')[1] AS d FROM pages)""",
+    "candidate_scores": f"""SELECT page_id AS pos, CASE WHEN page_id % 4 = 0 THEN 'company' ELSE 'directory' END AS source_type,
+      CASE WHEN page_id % 4 = 0 THEN upper(d[1]) || lower(d[2:]) ELSE 'Acme ' || d END AS name, CASE WHEN page_id % 4 = 0 THEN 'https://' || d || '.com' ELSE 'https://startse.com/' || page_id END AS primary_url,
+      CASE WHEN page_id % 4 = 0 THEN 0.9 ELSE 0.75 END::DOUBLE AS score FROM (SELECT *, string_split({HOST}, '.')[1] AS d FROM pages) WHERE page_id % 4 < 2""",
+    "entity_dedup": f"""WITH c AS (SELECT page_id, string_split({HOST}, '.')[1] AS d FROM pages WHERE page_id % 4 = 0),
+      g AS (SELECT d, min(page_id) AS pos, count(*) AS n FROM c GROUP BY 1),
+      a AS (SELECT page_id, d FROM (SELECT page_id, string_split({HOST}, '.')[1] AS d FROM pages WHERE page_id % 4 = 1)), x AS (SELECT d, min(page_id) AS pos, count(*) AS n FROM a GROUP BY 1)
+      SELECT pos, upper(d[1]) || lower(d[2:]) AS name, 'https://' || d || '.com' AS primary_url, CASE WHEN n = 1 THEN 0.9 WHEN n = 2 THEN 0.95 ELSE 0.99 END::DOUBLE AS score, 'company' AS source_types, n AS evidences, n::INT AS members FROM g
+      UNION ALL SELECT pos, 'Acme ' || d, 'https://startse.com/' || pos, CASE WHEN n = 1 THEN 0.75 WHEN n = 2 THEN 0.8 ELSE 0.85 END::DOUBLE, 'directory', n, n::INT FROM x""",
+    "search_budget": """WITH RECURSIVE p AS (SELECT page_id % 7 AS run_id, page_id % 5 + 1 AS priority, least(count(*), 4) AS n FROM pages GROUP BY ALL),
+      t AS (SELECT run_id, 1::BIGINT AS priority, least(n, greatest(12 - 4, 0)) AS take, least(n, greatest(12 - 4, 0)) AS used FROM p WHERE priority = 1
+        UNION ALL SELECT p.run_id, p.priority, least(p.n, greatest(12 - t.used - (5 - p.priority), 0)), t.used + least(p.n, greatest(12 - t.used - (5 - p.priority), 0)) FROM t JOIN p ON p.run_id = t.run_id AND p.priority = t.priority + 1)
+      SELECT run_id, priority, page FROM (SELECT page_id % 7 AS run_id, page_id % 5 + 1 AS priority, page_id AS page, row_number() OVER (PARTITION BY page_id % 7, page_id % 5 ORDER BY page_id) AS nth FROM pages) JOIN t USING (run_id, priority) WHERE nth <= take""",
 }

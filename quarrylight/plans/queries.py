@@ -10,7 +10,7 @@ from quarrylight.functions import vectors as vec
 from quarrylight.operators import assessment, corpus, entities, metrics, pages, policy, profiles, recommend, retrieval, search
 from quarrylight.sources import store
 from quarrylight.streaming import events as stream
-from quarrylight.tables import table
+from quarrylight.tables import table, written
 
 #: Terms of the invented texts, in place of a real vocabulary.
 WORDS = assessment.Vocabulary(
@@ -131,18 +131,23 @@ def zero_vector(spark, sf):
     return _vectors(spark, sf).select("chunk_id", vec.cosine(F.col("embedding"), zero).alias("score"))
 
 
-def _by_label(spark, sf, k=3):
-    """A lexical side for vectors: ids in order of their distance from the query's id, among the query's label."""
-    held = _vectors(spark, sf).select("chunk_id", "document_id", "chunk_index", "label")
-    asked = held.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("q_label"))
-    scored = held.join(asked, F.col("label") == F.col("q_label")).select(
-        "query_id", "chunk_id", "document_id", "chunk_index", (1.0 / (1.0 + F.abs(F.col("chunk_id") - F.col("query_id")))).alias("score")
-    )
-    return retrieval.top(scored, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("bm25_lexical"))
+def _lexical(spark, sf):
+    return retrieval.Lexical(_chunks(spark, sf))
+
+
+class _ById:
+    """A vector side for the asked passages: a passage's vector is the one with its id."""
+
+    def __init__(self, spark, sf):
+        self.vectors = _vectors(spark, sf)
+
+    def retrieve(self, queries, k):
+        asked = queries.select("query_id").join(self.vectors.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
+        return retrieval.nearest(self.vectors, asked, k)
 
 
 def _hybrid(spark, sf, k=3):
-    return retrieval.fuse(_by_label(spark, sf), _neighbours(spark, sf), k)
+    return written(retrieval.Hybrid(_lexical(spark, sf), _ById(spark, sf)).retrieve(_asked(spark, sf), k), "hybrid")
 
 
 def hybrid_rrf(spark, sf):
@@ -152,52 +157,57 @@ def hybrid_rrf(spark, sf):
     )
 
 
-def _reranked(spark, sf):
-    candidates = _hybrid(spark, sf)
-    scores = candidates.select("query_id", "chunk_id", F.pmod(F.col("chunk_id") * 7919 + F.col("query_id"), F.lit(101)).cast("double").alias("rerank_score"))
-    return retrieval.rerank(candidates, scores, 2)
+def _rerank_scores(candidates):
+    return candidates.select("query_id", "chunk_id", F.pmod(F.col("chunk_id") * 7919 + F.col("query_id"), F.lit(101)).cast("double").alias("rerank_score"))
+
+
+def _rerank(candidates):
+    return retrieval.rerank(candidates, _rerank_scores(candidates), 2)
 
 
 def rerank_topk(spark, sf):
-    return _reranked(spark, sf).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.col("original_rank").cast("bigint").alias("original_rank"), "rerank_score")
+    return _rerank(_hybrid(spark, sf)).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.col("original_rank").cast("bigint").alias("original_rank"), "rerank_score")
 
 
 def _expectations(spark, sf):
-    """Each query vector expects the three ids of its label that are nearest to its own."""
-    held = _by_label(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("expected_chunk_ids"))
+    """Each passage expects the documents that BM25 ranks first to third."""
+    held = bm25_topk(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("expected_chunk_ids"))
     return held.select(F.col("query_id").alias("expectation_id"), "query_id", "expected_chunk_ids", F.array().cast("array<bigint>").alias("expected_document_ids"))
 
 
-def _cases(spark, sf, results):
-    return metrics.cases(_expectations(spark, sf), results)
+def _cases(spark, sf, *runs):
+    """Cases of each run of results; what is expected is found once."""
+    wanted = written(_expectations(spark, sf), "expectations")
+    return [metrics.cases(wanted, r) for r in runs]
+
+
+def _nearest(spark, sf):
+    return _ById(spark, sf).retrieve(_asked(spark, sf), 3)
 
 
 def retrieval_cases(spark, sf):
-    return _cases(spark, sf, _neighbours(spark, sf)).select(
+    return _cases(spark, sf, _hybrid(spark, sf))[0].select(
         "expectation_id", "expected", "retrieved", "matched", "top_1", "covered", F.array_join("failure_reasons", ",").alias("failure_reasons")
     )
 
 
 def retrieval_summary(spark, sf):
-    return metrics.summary(_cases(spark, sf, _neighbours(spark, sf)))
-
-
-def _summaries(spark, sf):
-    runs = {"vector": _neighbours(spark, sf), "label": _by_label(spark, sf, 1), "hybrid": _hybrid(spark, sf)}
-    out = None
-    for pos, (name, found) in enumerate(runs.items()):
-        one = metrics.summary(_cases(spark, sf, found)).select(F.lit(name).alias("strategy"), F.lit(pos).alias("pos"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.summary(_cases(spark, sf, _hybrid(spark, sf))[0])
 
 
 def strategy_comparison(spark, sf):
-    return metrics.best_strategies(_summaries(spark, sf))
+    hybrid = _hybrid(spark, sf)
+    names = ("vector", "first", "hybrid")
+    found = _cases(spark, sf, _nearest(spark, sf), hybrid.where("rank = 1"), hybrid)
+    rows = [metrics.summary(c).select(F.lit(name).alias("strategy"), F.lit(pos).alias("pos"), "*") for pos, (name, c) in enumerate(zip(names, found, strict=True))]
+    return metrics.best_strategies(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 def rerank_delta(spark, sf):
-    after = _reranked(spark, sf).select("query_id", "chunk_id", "document_id", "rank", F.lit("rerank").alias("strategy"))
-    return metrics.rerank_delta(metrics.summary(_cases(spark, sf, _hybrid(spark, sf))), metrics.summary(_cases(spark, sf, after)))
+    hybrid = _hybrid(spark, sf)
+    after = _rerank(hybrid).select("query_id", "chunk_id", "document_id", "rank", F.lit("rerank").alias("strategy"))
+    before, then = _cases(spark, sf, hybrid, after)
+    return metrics.rerank_delta(metrics.summary(before), metrics.summary(then))
 
 
 def _extracted(spark, sf):
@@ -230,10 +240,16 @@ def crawl_bfs(spark, sf):
 
 
 def _results(spark, sf):
-    return table(spark, sf, "pages").select(
-        F.col("page_id").alias("pos"), F.lit("").alias("title"), "url", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("snippet"),
-        F.lit("web").alias("source_name"), F.initcap(F.get(F.split(tx.url_netloc(F.col("url")), r"\."), F.lit(0))).alias("discovered_name"),
+    """Search results of every kind: a company's site, a directory's entry, an article with a list for a title, a personal profile."""
+    n, label = F.col("page_id"), F.get(F.split(tx.url_netloc(F.col("url")), r"\."), F.lit(0))
+    url = (
+        F.when(n % 4 == 0, F.concat(F.lit("https://www."), label, F.lit(".com/p"), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("https://startse.com/"), n.cast("string")))
+        .when(n % 4 == 2, "https://exame.com/x").otherwise("https://linkedin.com/in/x")
     )
+    name = F.when(n % 4 == 0, F.initcap(label)).when(n % 4 == 1, F.concat(F.lit("Acme "), label)).when(n % 4 == 2, "10 startups para acompanhar").otherwise("Jane")
+    return table(spark, sf, "pages").select(
+        n.alias("pos"), F.lit("").alias("title"), url.alias("url"), F.concat(F.lit("page "), n.cast("string")).alias("snippet"), F.lit("web").alias("source_name"), name.alias("discovered_name")
+    )
 
 
 def candidate_scores(spark, sf):
@@ -320,14 +336,15 @@ def gap_taxonomy(spark, sf):
 
 def gap_space(spark, sf):
     gaps = term_gaps(spark, sf).withColumn("evidences", (F.col("startup") % 4).cast("int"))
-    targets = corpus.stack_targets(gaps.select("gap_type").distinct(), _stacks(spark))
+    targets = corpus.stack_targets(spark.createDataFrame([(g,) for g in WORDS.gaps], "gap_type string"), _stacks(spark))
     context = _docs(spark, sf).where("doc_id % 6 = 2").select(F.col("doc_id").alias("startup"), F.array(F.lit("high_wrapper_risk")).alias("reasons"))
     out = assessment.gap_space(gaps, targets, context, "startup")
     return out.select("startup", "gap_type", F.array_join("targets", ",").alias("targets"), F.array_join("review_reasons", ",").alias("review_reasons"), "support_status")
 
 
 def _recommendations(spark, sf):
-    held = term_gaps(spark, sf).where("gap_type <> 'unknown'").join(corpus.stack_targets(term_gaps(spark, sf).select("gap_type").distinct(), _stacks(spark)), "gap_type")
+    stacks = corpus.stack_targets(spark.createDataFrame([(g,) for g in WORDS.gaps], "gap_type string"), _stacks(spark))  # a row or two a gap type
+    held = term_gaps(spark, sf).join(F.broadcast(stacks), "gap_type")
     source = F.when(F.col("document_id") == "d1", "documentation").when(F.col("document_id") == "d2", "developer page").otherwise("blog")
     hit = (F.pmod(F.col("startup"), F.lit(13))).cast("double")
     score = recommend.technical_score(F.col("severity"), F.col("confidence"), F.lit(0.8), source, hit)

@@ -88,16 +88,33 @@ class _SearchReader(DataSourceReader):
 
 
 def ingest(spark: SparkSession, store: RunStore, path: str, official: OfficialSources) -> dict[str, int]:
-    """Read, check and upsert a corpus file; fails with its issues if it has any. Returns row counts."""
+    """Read, check and upsert a corpus file, documents and chunks in one commit; fails with its issues if it has any (the first 50
+    are named). Returns row counts."""
     head, documents, chunks = read_corpus(spark, path)
     issues = corpus_issues(head, documents, chunks, official).limit(50).collect()
     if issues:
         raise ValueError("invalid_corpus:" + ", ".join(f"{i['document_id']}:{i['reason']}" for i in issues))
-    store.upsert("kb_documents", documents, "corpus_version", "document_id")
-    store.upsert("kb_chunks", chunks, "corpus_version", "chunk_id")
+    with store.transaction() as t:
+        t.upsert("kb_documents", documents, "corpus_version", "document_id", partitions=("corpus_version",))
+        t.upsert("kb_chunks", chunks, "corpus_version", "chunk_id", partitions=("corpus_version",))
     return {"documents": documents.count(), "chunks": chunks.count()}
 
 
+def load_corpus(store: RunStore, corpus_version: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of a corpus version, in order of their ids; fails if there is none."""
+    documents = store.read("kb_documents", corpus_version=corpus_version)
+    if documents.isEmpty():
+        raise KeyError(corpus_version)
+    chunks = store.read("kb_chunks", corpus_version=corpus_version)
+    return documents.orderBy("document_id"), chunks.orderBy("document_id", "chunk_index", "chunk_id")
+
+
+def index_vectors(store: RunStore, vectors: DataFrame) -> None:
+    """Upsert rows of a vector index (retrieval.index_rows): one row a chunk and index."""
+    keys = ("corpus_version", "provider", "model", "version", "dimension", "metric", "chunk_id")
+    store.upsert("kb_vectors", vectors, *keys, partitions=("corpus_version",))
+
+
 def write_all(rows: DataFrame, *sinks: Callable[[DataFrame], None]) -> None:
     """The same rows to several sinks, computed once."""
     held = rows.persist()

@@ -1,10 +1,11 @@
 """A run store on Parquet: tables partitioned by key, replaced key by key, upserted, versioned and reused by fingerprint.
 
-A write goes to a fresh version folder and a commit marker names it afterwards, so a reader never sees half a write.
+Changes to any number of tables become visible in one commit.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +39,15 @@ def row_fingerprint(*columns: str) -> Column:
 
 
 def fingerprint(rows: DataFrame, by: list[str], *columns: str) -> DataFrame:
-    """by, fingerprint: sha256 over the group's row fingerprints in order, so that row order does not matter."""
-    hashed = rows.select(*by, row_fingerprint(*columns).alias("h"))
-    return hashed.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"))
+    """by, fingerprint: sha256 over the hashes of the group's rows in order, so that row order does not matter.
+
+    Rows are dealt by the first three digits of their hash: each part is hashed in order of its rows, then the parts' hashes in
+    order of their digits. No task holds a group, and at most 4,096 parts of it meet.
+    """
+    hashed = rows.select(*by, row_fingerprint(*columns).alias("h")).withColumn("part", F.substring("h", 1, 3))
+    parts = hashed.groupBy(*by, "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "h")))
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("fingerprint"))
 
 
 def reusable(artifacts: DataFrame, corpus_version: str, wanted: str | None = None) -> DataFrame:
@@ -52,44 +59,206 @@ def reusable(artifacts: DataFrame, corpus_version: str, wanted: str | None = Non
 
 
 class RunStore:
-    """Tables under one folder: <root>/<table>/v-<id>/..., and <root>/<table>/_current naming the version in force."""
+    """Tables under one folder, in numbered commits that span tables.
+
+    <root>/<table>/v-<id>/...     versions of a table's partitions, written before the commit that names them
+    <root>/_commits/<n>.json      for each table the folders that make it up after commit n
+
+    A commit file is written under another name and renamed to the next number, which fails if that number is taken: of two
+    writers one has to try again, a reader sees all of a commit or nothing, and a writer that dies leaves the old state. Versions
+    that no commit names are litter that `vacuum` removes.
+    """
+
+    ATTEMPTS = 20
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._rename_mode = jvm.org.apache.hadoop.fs.Options
 
-    def _file(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+    # commits
 
-    def _version(self, table: str) -> str | None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._file(table))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(self._file(table)).first()[0]
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.root}/_commits")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def create(self, table: str, rows: DataFrame, *partitions: str) -> None:
-        """Write a new table; fails if it is there."""
-        if self._version(table) is not None:
-            raise FileExistsError(f"{table} exists in {self.root}")
-        self._put(table, rows, partitions)
+    def _state(self, number: int | None = None) -> tuple[int, dict[str, list[str]]]:
+        """The last commit's number and, by table, its folders; 0 and nothing before the first."""
+        number = max(self._numbers(), default=0) if number is None else number
+        if not number:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/_commits/{number}.json"))
+        try:
+            return number, json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
-    def _put(self, table: str, rows: DataFrame, partitions: tuple[str, ...]) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partitions).parquet(f"{self.root}/{table}/{name}")
-        self.spark.createDataFrame([(name,)], "v string").coalesce(1).write.mode("overwrite").text(self._file(table))
+    def _commit(self, number: int, state: dict[str, list[str]]) -> bool:
+        """Whether commit `number` could be made."""
+        draft = self._path(f"{self.root}/_commits/draft-{uuid.uuid4().hex}")
+        final = self._path(f"{self.root}/_commits/{number}.json")
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+        stream.close()
+        done = not self._fs.exists(final) and self._fs.rename(draft, final)
+        if not done:
+            self._fs.delete(draft, False)
+        return done
+
+    def transaction(self) -> Transaction:
+        """with store.transaction() as t: t.replace(...); ... — all tables change in one commit, or none if the block fails."""
+        return Transaction(self)
+
+    def vacuum(self) -> int:
+        """Remove versions that the last commit does not name; returns how many. Not beside running writers or readers."""
+        _, state = self._state()
+        kept, gone = {f.split("/")[0] for folders in state.values() for f in folders}, 0
+        for table in self.tables(state):
+            for f in self._fs.listStatus(self._path(f"{self.root}/{table}")):
+                name = f.getPath().getName()
+                if name.startswith("v-") and name not in kept:
+                    gone += bool(self._fs.delete(f.getPath(), True))
+        return gone
+
+    # tables
 
-    def read(self, table: str) -> DataFrame:
-        version = self._version(table)
-        if version is None:
+    def tables(self, state: dict[str, list[str]] | None = None) -> list[str]:
+        return sorted(self._state()[1] if state is None else state)
+
+    def read(self, table: str, **where: object) -> DataFrame:
+        """A table as of the last commit, with the rows that have the given values; partitions without them are not read."""
+        return self._read(self._state()[1], table, **where)
+
+    def _read(self, state: dict[str, list[str]], table: str, **where: object) -> DataFrame:
+        if table not in state:
             raise KeyError(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        out = None
+        for folder in state[table]:
+            part = self.spark.read.option("basePath", f"{self.root}/{table}/{folder.split('/')[0]}").parquet(f"{self.root}/{table}/{folder}")
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        for column, value in where.items():
+            out = out.where(F.col(column) == F.lit(value))
+        return out
+
+    def create(self, table: str, rows: DataFrame, *partitions: str) -> None:
+        """Write a new table; fails if it is there."""
+        with self.transaction() as t:
+            t.create(table, rows, *partitions)
 
     def replace(self, table: str, rows: DataFrame, *keys: str, partitions: tuple[str, ...] = ()) -> None:
         """Replace the rows of the keys that `rows` has; the table is made if it is not there."""
-        have = self._version(table)
-        self._put(table, rows if have is None else replace_by_key(self.read(table), rows, *keys), partitions)
+        with self.transaction() as t:
+            t.replace(table, rows, *keys, partitions=partitions)
+
+    def upsert(self, table: str, rows: DataFrame, *keys: str, partitions: tuple[str, ...] = ()) -> None:
+        with self.transaction() as t:
+            t.upsert(table, rows, *keys, partitions=partitions)
+
+
+class Transaction:
+    """Changes to tables of a store, visible to nobody until the block ends well."""
+
+    def __init__(self, store: RunStore):
+        self.store, self.steps = store, []
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def create(self, table: str, rows: DataFrame, *partitions: str) -> None:
+        self.steps.append((table, rows, (), partitions, "create"))
+
+    def replace(self, table: str, rows: DataFrame, *keys: str, partitions: tuple[str, ...] = ()) -> None:
+        self.steps.append((table, rows, keys, partitions, "replace"))
 
     def upsert(self, table: str, rows: DataFrame, *keys: str, partitions: tuple[str, ...] = ()) -> None:
-        have = self._version(table)
-        self._put(table, rows if have is None else upsert(self.read(table), rows, *keys), partitions)
+        self.steps.append((table, rows, keys, partitions, "upsert"))
+
+    def __exit__(self, kind, value, trace) -> None:  # noqa: ANN001
+        if kind is not None:
+            return
+        for _ in range(self.store.ATTEMPTS):
+            number, state = self.store._state()
+            for step in self.steps:
+                self._apply(state, *step)
+            if self.store._commit(number + 1, state):
+                return
+        raise RuntimeError(f"{self.store.ATTEMPTS} other writers were faster")
+
+    def _apply(self, state: dict[str, list[str]], table: str, rows: DataFrame, keys: tuple[str, ...], partitions: tuple[str, ...], how: str) -> None:
+        """Writes the table's next version; where it is partitioned by its first key, only the partitions that `rows` touches."""
+        if how == "create" and table in state:
+            raise FileExistsError(f"{table} exists in {self.store.root}")
+        name = f"v-{uuid.uuid4().hex}"
+        folders = state.get(table, [])
+        if how == "create" or not folders:
+            fresh, kept = (upsert(rows.limit(0), rows, *keys) if how == "upsert" else rows), []
+        elif partitions and partitions[0] in keys:
+            column = partitions[0]
+            touched = {f"{column}={_folder(v[0])}" for v in rows.select(F.col(column).cast("string")).distinct().collect()}  # a run or two
+            whole = [f for f in folders if "/" not in f]
+            split = [f"{f}/{p}" for f in whole for p in self._parts(table, f)] + [f for f in folders if "/" in f]
+            kept = [f for f in split if f.split("/")[1] not in touched]
+            old = [f for f in split if f.split("/")[1] in touched]
+            fresh = rows if not old else self._merged(state, table, old, rows, keys, how)
+        else:
+            kept, fresh = [], self._merged(state, table, folders, rows, keys, how)
+        writer = fresh.write.partitionBy(*partitions) if partitions else fresh.write
+        writer.parquet(f"{self.store.root}/{table}/{name}")
+        state[table] = [*kept, name]
+
+    def _merged(self, state: dict[str, list[str]], table: str, folders: list[str], rows: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+        have = self.store._read(state | {table: folders}, table)
+        return upsert(have, rows, *keys) if how == "upsert" else replace_by_key(have, rows, *keys)
+
+    def _parts(self, table: str, folder: str) -> list[str]:
+        at = self.store._path(f"{self.store.root}/{table}/{folder}")
+        return [f.getPath().getName() for f in self.store._fs.listStatus(at) if "=" in f.getPath().getName()]
+
+
+def _folder(value: str | None) -> str:
+    """A partition value as Spark writes it in a folder's name."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\\x7f{[]^" or ord(c) < 0x20 else c for c in value)
+
+
+def fetch_run(store: RunStore, tables: tuple[str, ...], run_id: str, order: dict[str, tuple[str, ...]] | None = None, **where: object) -> dict[str, DataFrame]:
+    """The rows of a run in each table that has any, in the table's order; only the run's partitions are read. All tables are as of
+    one commit."""
+    _, state = store._state()
+    out = {}
+    for table in tables:
+        if table in state:
+            rows = store._read(state, table, run_id=run_id, **where)
+            out[table] = rows.orderBy(*order[table]) if order and table in order else rows
+    return out
+
+
+def snapshot(run_id: str, startup: str, **artifacts: DataFrame) -> DataFrame:
+    """Artifacts of a run as rows that no store is needed to understand: run_id, startup, kind, corpus_version, pos, payload (JSON
+    with sorted keys). Each artifact is a frame with any columns, corpus_version among them or not."""
+    out = None
+    for kind, rows in artifacts.items():
+        version = F.col("corpus_version").cast("string") if "corpus_version" in rows.columns else F.lit("unknown")
+        payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]))
+        one = rows.select(F.lit(run_id).alias("run_id"), F.lit(startup).alias("startup"), F.lit(kind).alias("kind"), version.alias("corpus_version"), payload.alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def save_json(rows: DataFrame, folder: str, name: str, raw: bool = False) -> str:
+    """Rows as JSON lines under <folder>/raw or <folder>/processed; fails if they are there. Returns the path."""
+    path = f"{folder.rstrip('/')}/{'raw' if raw else 'processed'}/{name}"
+    rows.write.mode("error").json(path)
+    return path
+
+
+def load_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON lines or documents that were saved before; with the schema that is expected of them, or the one they show."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(path)

@@ -1,14 +1,21 @@
 """Golden cases of the operators, from the written rules."""
 
+import json
 import random
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylight import service
+from quarrylight.functions import embedding, secrets
 from quarrylight.functions import text as tx
 from quarrylight.functions import vectors as vec
 from quarrylight.operators import assessment, corpus, entities, metrics, pages, policy, profiles, recommend, retrieval, search
 from quarrylight.operators.graph import components
+from quarrylight.sources import language
 from quarrylight.sources.store import RunStore, reusable
 
 
@@ -132,6 +139,8 @@ def test_html():
     html = "<title>T &amp; u</title><script>var x='<p>no</p>'</script><style>p{}</style><p>Hello <b>world</b><noscript>js</noscript><a href='/x'>l</a><a>n</a>"
     assert pages.read_html(html) == ("T & u", "Hello world l n", ["/x"])
     assert pages.read_html(None) == ("unknown", "unknown", [])
+    odd = "<title>a</title><script><b>x</b></script></script>kept<style>p<noscript>q</style>r</noscript>s<a href=''>e</a><a href='/1' href='/2'>f</a></title>t"
+    assert pages.read_html(odd) == ("a", "kept r s e f t", ["/2"])  # a style holds text only
 
 
 def test_crawl(spark):
@@ -146,13 +155,41 @@ def test_crawl(spark):
 
 
 def fold_all(rows):
-    """The sequential fold, all candidates in one block."""
-    groups = []
-    for pos, name, key, url, domain, kind, score, e in rows:
-        new = {"pos": pos, "name": name, "key": key, "url": url, "domain": domain, "alias": key, "score": score, "types": [kind], "evidences": {e}, "members": [pos]}
-        at = next((g for g in groups if entities._match(g, new)), None)
-        groups.append(new) if at is None else entities._merge(at, new)
-    return sorted((g["pos"], sorted(g["members"]), g["name"], g["url"], round(g["score"], 2)) for g in groups)
+    """The sequential rules, stated once more: each newcomer is held against what all members so far make of an entity."""
+
+    def view(members):
+        names, urls, company, score, seen = [], "unknown", False, 0.0, []
+        for _, name, key, url, domain, kind, s, e in members:
+            names.append((len(name), len(names), name, key))
+            if urls == "unknown" or (kind == "company" and not company and url != "unknown"):
+                urls = url
+            bonus = 0.05 if seen and e not in seen and len(seen) < 3 else 0.0
+            score = min(round(max(score, s) + bonus, 2), 0.99) if seen else s
+            seen += [e] if e not in seen else []
+            company = company or kind == "company"
+        _, _, name, key = min(names)
+        return name, key, urls, company, score
+
+    entities_so_far = []
+    for row in rows:
+        _, _, key, url, _, kind, _, _ = row
+        for members in entities_so_far:
+            _, have_key, have_url, have_company, _ = view(members)
+            sites_known = kind == "company" and have_company and "unknown" not in (url, have_url)
+            words, have = key.split(), have_key.split()
+            n = min(len(words), len(have))
+            same_name = key == have_key and not (sites_known and url != have_url)
+            beginning = url == have_url == "unknown" and n >= 2 and words[:n] == have[:n]
+            if (sites_known and url == have_url) or same_name or beginning:
+                members.append(row)
+                break
+        else:
+            entities_so_far.append([row])
+    out = []
+    for members in entities_so_far:
+        name, _, url, _, score = view(members)
+        out.append((members[0][0], sorted(m[0] for m in members), name, url, round(score, 2)))
+    return sorted(out)
 
 
 def test_dedup_in_blocks_is_the_sequential_fold(spark):
@@ -229,6 +266,68 @@ def test_search(spark):
     assert {r["query_id"]: (r["region"], r["theme"], r["stage"]) for r in search.parse_queries(asked, regions).collect()} == {1: ("SP", "generative_ai", "early_stage"), 2: ("unknown", "unknown", "unknown")}
 
 
+def test_secrets():
+    env = {"X_API_KEY": " abcd ", "DATABASE_URL": "postgres://u:pass@h/db", "PLAIN": "zzzz", "MY_TOKEN": "abc", "NAMED": "other1"}
+    assert secrets.secret_values(env, ("NAMED",)) == ("abcd", "postgres://u:pass@h/db", "pass", "other1")
+
+
+def test_service():
+    runs = service.Runs(lambda options: {"seen": options["query"]} if options["limit"] else 1 / 0)
+    server = service.serve(runs, port=0, matrix=lambda only: {"only": list(only)})
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(base + path, json.dumps(body).encode() if body is not None else None, timeout=10) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("/health") == (200, {"status": "ok"})
+        code, made = call("/api/runs", {"query": "q", "render_js": "yes"})
+        assert (code, made["status"], made["result"], made["options"]["render_js"]) == (201, "completed", {"seen": "q"}, True)
+        assert call(f"/api/runs/{made['run_id']}")[1]["run_id"] == made["run_id"]
+        assert call("/api/runs", {"startup_url": "u", "limit": 0})[1]["status"] == "failed"
+        for bad, why in (({}, "provide_exactly_one_of_startup_url_or_query"), ({"query": "q", "limit": "x"}, "limit_must_be_integer"), ({"query": "q", "render_js": 7}, "render_js_must_be_boolean"), ({"query": "q", "robots_policy": "x"}, "robots_policy_must_be_one_of:conservative,permissive-on-error,off")):
+            assert call("/api/runs", bad) == (400, {"detail": why})
+        assert call("/api/runs/none") == (404, {"detail": "run_not_found"})
+        assert call("/api/check-matrix?only=a,%20b,a") == (200, {"only": ["a", "b"]})
+    finally:
+        server.shutdown()
+
+
+def test_language_models():
+    with pytest.raises(ValueError, match="unsupported"):
+        language.Settings("none", "m")
+    settings = language.Settings.of({"P_PROVIDER": "LiteLLM", "P_MODEL": "m", "P_TEMPERATURE": "0.5"}, "P_")
+    seen = {}
+
+    def call(**kwargs):
+        seen.update(kwargs)
+        return {"choices": [{"message": {"content": "said"}}]}
+
+    assert language.Provided(settings, call).complete("p") == "said" and seen == {"messages": [{"role": "user", "content": "p"}], "model": "m", "temperature": 0.5}
+    with pytest.raises(RuntimeError):
+        language.Provided(settings).complete("p")
+
+
+def test_embedding_dimension(spark):
+    rows = spark.createDataFrame([("a",)], "t string")
+    about = embedding.Metadata("p", "m", "1", 3)
+    with pytest.raises(Exception, match="embedding_dimension_mismatch"):
+        embedding.embed(rows, "t", lambda: lambda texts: [[1.0] for _ in texts], about).collect()
+    index = about.index("c1")
+    with pytest.raises(Exception, match="embedding_dimension_mismatch"):
+        retrieval.index_rows(rows.select(F.col("t").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding")), index).collect()
+    meta = lambda **k: spark.createDataFrame([k], ", ".join(f"{f} string" for f in k))
+    fields = {"corpus_version": "v", "provider": "p", "model": "m", "version": "1", "dimension": "3", "metric": "cosine", "chunking_fingerprint": "f"}
+    assert retrieval.check_index(meta(**fields), meta(**fields)).count() == 1
+    with pytest.raises(Exception, match="embedding_index_incompatible:model_changed"):
+        retrieval.check_index(meta(**fields), meta(**(fields | {"model": "x"}))).collect()
+
+
 def test_store(spark, tmp_path):
     store = RunStore(spark, f"file://{tmp_path}/store")
     rows = lambda *r: spark.createDataFrame(list(r), "run string, k int, v string")
@@ -240,6 +339,23 @@ def test_store(spark, tmp_path):
     assert sorted(map(tuple, store.read("t").select("run", "k", "v").collect())) == [("a", 2, "new"), ("b", 1, "changed"), ("b", 2, "more")]
     with pytest.raises(KeyError):
         store.read("none")
+    before = store.read("t")
+    with pytest.raises(RuntimeError, match="half way"), store.transaction() as t:
+        t.replace("t", rows(("a", 9, "lost")), "run")
+        raise RuntimeError("half way")
+    assert sorted(map(tuple, store.read("t").collect())) == sorted(map(tuple, before.collect()))
+    with store.transaction() as t:  # another writer commits in between: this one tries again on what it left
+        t.replace("t", rows(("a", 3, "later")), "run")
+        t.create("u", rows(("a", 1, "x")))
+        store.replace("t", rows(("c", 1, "first")), "run")
+    assert {r["run"] for r in store.read("t").collect()} == {"a", "b", "c"} and store.read("t", run="a").first()["v"] == "later"
+    assert store.tables() == ["t", "u"] and store.vacuum() > 0 and store.read("t").count() == 4
+    store.create("p", rows(("a", 1, "x"), ("b", 1, "y"), ("c/d", 1, "z")), "run")
+    store.replace("p", rows(("c/d", 2, "new"), ("e", 1, "w")), "run", partitions=("run",))
+    store.upsert("p", rows(("b", 1, "up"), ("b", 2, "more")), "run", "k", partitions=("run",))
+    assert sorted((r["run"], r["k"], r["v"]) for r in store.read("p").collect()) == [("a", 1, "x"), ("b", 1, "up"), ("b", 2, "more"), ("c/d", 2, "new"), ("e", 1, "w")]
+    left = len(list((tmp_path / "store" / "p").glob("v-*/run=a")))
+    assert left == 1  # an untouched partition is not written again
     held = spark.createDataFrame([("1", "f"), ("1", "f")], "corpus_version string, fingerprint string")
     assert [reusable(held, v, f).count() for v, f in (("1", None), ("1", "f"), ("2", None), ("1", "g"))] == [2, 2, 0, 0]
     assert reusable(held.where("false"), "1").count() == 0

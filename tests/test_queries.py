@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarrylight.plans.oracles import ORACLES
-from quarrylight.plans.queries import QUERIES
+from quarrylight.plans import oracles, queries, registry
 from verify import TABLES, canon
 
+QUERIES, ORACLES = queries.QUERIES | registry.QUERIES, oracles.ORACLES | registry.ORACLES
+
 
 @pytest.fixture(scope="module")
 def con(small):
