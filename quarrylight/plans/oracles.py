@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.operators import policy, profiles, recommend
+from quarrylight.operators import pages, policy, profiles, recommend
 from quarrylight.plans.queries import WORDS
 
 SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1))"
@@ -109,7 +109,23 @@ RECOMMENDED = f"""{GAPS}, {STACKS}, rec AS (
     CASE WHEN startup % 4 = 0 THEN 'blocked' WHEN gap_type NOT IN ({_in(recommend.COVERED_GAPS)}) THEN 'hypothesis' WHEN document_id = 'd3' THEN 'hypothesis' ELSE 'supported' END AS state
   FROM gaps JOIN stacks USING (gap_type))"""
 
+TITLED = "array_to_string(list_transform(string_split(d, '-'), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+#: A page's text by patterns: enough for pages whose elements are closed or cut off at the end.
+TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*(>|$)', ' ', 'g'),
+  '&amp;?', chr(1), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), chr(1), '&'), '\s+', ' ', 'g'))"""
+WORDS_OF_PATHS = "[" + ", ".join(f"'{w}'" for w in pages.PATH_WORDS) + "]"
+LINKS = f"""own AS (SELECT url, {SCHEME} || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
+  made AS (SELECT url, 'https://' || {HOST} || '/' || unnest([{", ".join(f"{WORDS_OF_PATHS}[1 + (page_id + {k}) % {len(pages.PATH_WORDS)}]" for k in (0, 5, 11))}]) AS link FROM pages),
+  named AS (SELECT DISTINCT {SCHEME} || '://' || {HOST} || regexp_replace({PATH}, '/+$', '') AS url, regexp_replace(replace(link, '://www.', '://'), '/+$', '') AS link FROM (FROM own UNION ALL FROM made) WHERE link IS NOT NULL),
+  front AS (SELECT url, link, list_position(list_transform({WORDS_OF_PATHS}, lambda w: contains(strip_accents(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#;]*)', 1))), w)), true) AS priority FROM named)"""
+
 ORACLES = {
+    "page_extract": f"""SELECT page_id, title, md5(main_text) AS text_md5, length(main_text) AS length, len(regexp_extract_all(html, '<a href="[^"]+"'))::INT AS links, false AS needs_js
+      FROM (SELECT page_id, html, trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&'), '&quot;', '"'), '\\s+', ' ', 'g')) AS title, {TEXT} AS main_text FROM pages)""",
+    "link_frontier": f"WITH {LINKS} SELECT url, link, priority FROM front WHERE priority > 0",
+    "crawl_bfs": f"""WITH {LINKS}, site AS (SELECT DISTINCT {SCHEME} || '://' || {HOST} || regexp_replace({PATH}, '/+$', '') AS url FROM pages),
+      child AS (SELECT url, link, row_number() OVER (PARTITION BY url ORDER BY priority, link) AS pos FROM front WHERE priority > 0 AND link <> url)
+      SELECT url AS site, url, 0 AS depth, 0::BIGINT AS pos, NULL::VARCHAR AS error FROM site UNION ALL SELECT url, link, 1, pos, NULL FROM child WHERE pos <= 2""",
     "norm_url_domain": f"""SELECT page_id, {SCHEME} || '://' || {HOST} || regexp_replace({PATH}, '/+$', '') AS normalized, {DOMAIN} AS domain,
       {SCHEME} || '://' || {HOST} AS origin FROM pages""",
     "source_type_counts": f"""SELECT CASE WHEN {DOMAIN} IN ({_in(policy.PERSONAL_DOMAINS)}) OR contains(lower({PATH}), '/in/') THEN 'personal_profile'
@@ -209,12 +225,12 @@ ORACLES = {
       JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 30 GROUP BY 1""",
     "events_stream": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL",
     "candidate_scores": f"""SELECT page_id AS pos, CASE WHEN page_id % 4 = 0 THEN 'company' ELSE 'directory' END AS source_type,
-      CASE WHEN page_id % 4 = 0 THEN upper(d[1]) || lower(d[2:]) ELSE 'Acme ' || d END AS name, CASE WHEN page_id % 4 = 0 THEN 'https://' || d || '.com' ELSE 'https://startse.com/' || page_id END AS primary_url,
+      CASE WHEN page_id % 4 = 0 THEN {TITLED} ELSE 'Acme ' || d END AS name, CASE WHEN page_id % 4 = 0 THEN 'https://' || d || '.com' ELSE 'https://startse.com/' || page_id END AS primary_url,
       CASE WHEN page_id % 4 = 0 THEN 0.9 ELSE 0.75 END::DOUBLE AS score FROM (SELECT *, string_split({HOST}, '.')[1] AS d FROM pages) WHERE page_id % 4 < 2""",
     "entity_dedup": f"""WITH c AS (SELECT page_id, string_split({HOST}, '.')[1] AS d FROM pages WHERE page_id % 4 = 0),
       g AS (SELECT d, min(page_id) AS pos, count(*) AS n FROM c GROUP BY 1),
       a AS (SELECT page_id, d FROM (SELECT page_id, string_split({HOST}, '.')[1] AS d FROM pages WHERE page_id % 4 = 1)), x AS (SELECT d, min(page_id) AS pos, count(*) AS n FROM a GROUP BY 1)
-      SELECT pos, upper(d[1]) || lower(d[2:]) AS name, 'https://' || d || '.com' AS primary_url, CASE WHEN n = 1 THEN 0.9 WHEN n = 2 THEN 0.95 ELSE 0.99 END::DOUBLE AS score, 'company' AS source_types, n AS evidences, n::INT AS members FROM g
+      SELECT pos, {TITLED} AS name, 'https://' || d || '.com' AS primary_url, CASE WHEN n = 1 THEN 0.9 WHEN n = 2 THEN 0.95 ELSE 0.99 END::DOUBLE AS score, 'company' AS source_types, n AS evidences, n::INT AS members FROM g
       UNION ALL SELECT pos, 'Acme ' || d, 'https://startse.com/' || pos, CASE WHEN n = 1 THEN 0.75 WHEN n = 2 THEN 0.8 ELSE 0.85 END::DOUBLE, 'directory', n, n::INT FROM x""",
     "search_budget": """WITH RECURSIVE p AS (SELECT page_id % 7 AS run_id, page_id % 5 + 1 AS priority, least(count(*), 4) AS n FROM pages GROUP BY ALL),
       t AS (SELECT run_id, 1::BIGINT AS priority, least(n, greatest(12 - 4, 0)) AS take, least(n, greatest(12 - 4, 0)) AS used FROM p WHERE priority = 1

@@ -220,15 +220,17 @@ def page_extract(spark, sf):
 
 
 def link_frontier(spark, sf):
-    return pages.frontier(_site_links(spark, sf))
+    found = pages.frontier(_site_links(spark, sf))
+    return found.select(tx.normalize_url(F.col("url")).alias("url"), "link", "priority").distinct()
 
 
 def _site_links(spark, sf):
-    """Links of the pages' own HTML, and from each page to the pages of its host under an article path."""
+    """Links of the pages' own HTML, and from each page to three of its host under paths worth following."""
     own = pages.resolve_links(_extracted(spark, sf))
-    urls = table(spark, sf, "pages").select("url", tx.url_netloc(F.col("url")).alias("host"))
-    word = F.element_at(F.array(*map(F.lit, pages.PATH_WORDS)), (F.pmod(F.xxhash64("url"), F.lit(len(pages.PATH_WORDS))) + 1).cast("int"))
-    return own.unionByName(urls.select("url", F.concat(F.lit("https://"), "host", F.lit("/"), word).alias("link")))
+    words = F.array(*map(F.lit, pages.PATH_WORDS))
+    some = F.array(*[F.element_at(words, ((F.col("page_id") + k) % len(pages.PATH_WORDS) + 1).cast("int")) for k in (0, 5, 11)])
+    made = table(spark, sf, "pages").select("url", tx.url_netloc(F.col("url")).alias("host"), F.explode(some).alias("word"))
+    return own.unionByName(made.select("url", F.concat(F.lit("https://"), "host", F.lit("/"), "word").alias("link")))
 
 
 def crawl_bfs(spark, sf):
