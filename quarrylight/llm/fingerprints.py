@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.words import tidy
-from quarrylight.tables import bounded_batches, partitions_for, release
+from quarrylight.tables import bounded_batches, partitions_for, written
 
 
 #: Colliding forms (several texts with one 128-bit hash) that are sent to every task; more would mean a broken hash.
@@ -101,10 +101,9 @@ def verified_suffixes(docs: DataFrame) -> dict[bytes, int]:
     spark = docs.sparkSession
     bounded_batches(spark)
     forms = _forms(docs)
-    shared = [r["hash"] for r in shared_hashes(forms).limit(MAX_COLLISIONS + 1).collect()]
+    shared = [r["hash"] for r in written(shared_hashes(forms), "shared-hashes").limit(MAX_COLLISIONS + 1).collect()]
     if len(shared) > MAX_COLLISIONS:
         raise RuntimeError(f"more than {MAX_COLLISIONS} collisions of 128-bit hashes")
-    release(spark)
     if not shared:
         return {}
     found, unpress = {}, zstandard.ZstdDecompressor()

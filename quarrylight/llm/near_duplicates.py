@@ -9,7 +9,7 @@ Sketches of sets merge by the maximum of each register.
 3. Pairs whose likelihood estimate of the Jaccard similarity (from counts of greater, equal and lesser registers and the
    exact set sizes) is within Z standard errors of the limit are verified on full sets; components of the links follow.
 4. Buckets that still hold several components are gone through once more: classes outside the bucket's largest component
-   meet all of the bucket in blocks of bounded size. They are compared by sketch inside the task, and pairs that pass the
+   meet those of the bucket whose set sizes allow it, in blocks of bounded size. They are compared by sketch inside the task, and pairs that pass the
    estimate are verified there on full sets, each in the first bucket that both share. Only links that join components come
    out, so a task gives fewer links than it has classes; components follow again.
 
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from quarrylight.operators.graph import components
 from quarrylight.llm.rows import LEVEL, compress, numbered, restored
 from quarrylight.llm.words import MULTIPLIERS, Texts, chunks, mixed, tidy, windows
-from quarrylight.tables import release, written
+from quarrylight.tables import written
 
 SHINGLE, LIMIT = 5, (75, 100)
 ROWS, BANDS = 4, 36
@@ -254,8 +254,8 @@ def _links_of_block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: links inside buckets that hold several components, each class outside the bucket's largest component against all
-    classes of the bucket, in blocks of about BLOCK."""
+    """a, b: links inside buckets that hold several components, each class outside the bucket's largest component against the
+    classes of the bucket of about its size, in blocks of about BLOCK."""
     labelled = members.join(labels, F.col("class") == F.col("node"), "left").select(
         "band", "key", "class", "size", F.coalesce("component", "class").alias("component")
     )
@@ -267,20 +267,22 @@ def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts:
         ),
         "mixed",
     )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    # sets that reach the limit are within 3/4 of each other in size: a guest meets blocks of its own size class and its neighbours
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(LIMIT[1] / LIMIT[0])).cast("int")
+    sized = mixed_keys.join(classes.select("class", size_class.alias("sc")), "class")
+    counts = sized.groupBy("key", "sc").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     columns = ("band", "key", "class", "component")
-    held = mixed_keys.select(*columns, mine.alias("block"), F.lit(True).alias("held"))
-    guests = mixed_keys.where("outside").select(
-        *columns, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("held")
-    )
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    held = sized.join(counts, ["key", "sc"]).select(*columns, "sc", mine.alias("block"), F.lit(True).alias("held"))
+    near = sized.where("outside").withColumn("sc", F.explode(F.array(*[F.col("sc") + d for d in (-1, 0, 1)]))).join(counts, ["key", "sc"])
+    guests = near.select(*columns, "sc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("held"))
     about = classes.select("class", "n", "sketch").join(texts, F.col("class") == F.col("row"))
     rows = held.union(guests).join(about, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
-            keys = np.stack([batch.column("key").to_numpy(), batch.column("block").to_numpy()])
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "sc", "block")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi > lo:
@@ -293,8 +295,8 @@ def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts:
             yield _links_of_block(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = rows.select(*columns, "block", "held", "n", "sketch", "z").repartition(n, "key", "block")
-    return grouped.sortWithinPartitions("key", "block").mapInArrow(tidy(run), "a bigint, b bigint")
+    grouped = rows.select(*columns, "sc", "block", "held", "n", "sketch", "z").repartition(n, "key", "sc", "block")
+    return grouped.sortWithinPartitions("key", "sc", "block").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _components(sketched: DataFrame) -> DataFrame:
@@ -308,7 +310,6 @@ def _components(sketched: DataFrame) -> DataFrame:
     )
     members = bucket_members(classes)
     texts = texts_of(members, sketched)
-    release(sketched.sparkSession)
     links = verify_pairs(filter_pairs(star_pairs(members), classes), texts)
     labels = components(links, "a", "b")
     more = written(rest_links(members, labels, classes, texts), "more-links")
@@ -316,7 +317,9 @@ def _components(sketched: DataFrame) -> DataFrame:
     labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
         "d1", "d2", "n", "least", F.coalesce("component", "class").alias("component")
     )
-    lowest = labelled.groupBy("component").agg(F.min("least").alias("lowest"))
+    labelled = written(labelled, "labelled")
+    # written apart: a join of two plain tables is one that AQE splits where a component holds very many classes
+    lowest = written(labelled.groupBy("component").agg(F.min("least").alias("lowest")), "lowest").hint("merge")
     by_class = labelled.join(lowest, "component").select("d1", "d2", "n", "lowest")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     found = sketched.select("row", "doc_id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
