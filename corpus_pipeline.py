@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm import mixing, near_duplicates, packing, quality_classifier, substrings
-from quarrylight.tables import table, written
+from quarrylight.tables import made, remove, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
+            done = [f for f in made() if f not in before or "/pipeline-" in f]  # what this stage wrote and read in between
             docs = written(docs, f"pipeline-{name}")
+            remove(done)
     return docs

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import math
 import tempfile
-import time
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,23 +53,57 @@ def _remove_local(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+#: Folders for results in between that this process has named and not removed.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for results in between; gone when the driver ends, or when `remove` is told."""
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write as Parquet in the shared folder and read back. Survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now instead of when the driver's heap happens to fill."""
-    for _ in range(2):  # the cleaner works on references that a first collection has queued
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    """Cut the lineage: write as Parquet in the shared folder and read back. Survives lost executors.
+
+    The shuffle files of the write go as soon as it is done: its result is what later steps read.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def made() -> list[str]:
+    """The folders that are there now; pass what was there before a step and is not needed any more to `remove`."""
+    return list(_made)
+
+
+def remove(paths: list[str]) -> None:
+    """Remove folders of `fresh_path`; frames that read them can't be used after."""
+    jvm = SparkContext._jvm
+    active = SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active else jvm.org.apache.hadoop.conf.Configuration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def _sweep() -> None:
+    with contextlib.suppress(Exception):  # the driver ends; a store that can't be reached any more is no reason to fail
+        remove(made())
 
 
 #: Rows and bytes of a batch that goes to a Python worker, where the session does not say.
