@@ -10,11 +10,10 @@ windows are equal, pair by pair.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 
-from quarrylight.llm.words import MULTIPLIERS, mixed, prefix_sums, stretches, windows
+from quarrylight.llm.words import MULTIPLIERS, mixed, powers, prefix_sums, stretches
 
 _PLACE_BITS = 28  # a chunk has fewer symbols than 2**28
 
@@ -31,10 +30,7 @@ class Anchors:
     at: np.ndarray
     anchor: np.ndarray
     kind: np.ndarray
-
-    @cached_property
-    def _sums(self) -> list[np.ndarray]:
-        return [prefix_sums(self.symbols, m) for m in MULTIPLIERS]
+    sums: list[np.ndarray]  # prefix sums of the symbols for each multiplier
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Hashes of the k-gram with so many symbols before it, and behind it, as 32 bits; 0 where no window of the occurrence
@@ -43,15 +39,15 @@ class Anchors:
         half = (self.length - k + 1) // 2
         left, right = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
         has = np.flatnonzero(self.first <= self.at - half)
-        left[has] = stretches(self._sums[0], self.at[has] - half, self.at[has] + k, MULTIPLIERS[0]) >> np.uint64(32)
+        left[has] = stretches(self.sums[0], self.at[has] - half, self.at[has] + k, MULTIPLIERS[0]) >> np.uint64(32)
         has = np.flatnonzero(self.last > self.at - half)
-        right[has] = stretches(self._sums[0], self.at[has], self.at[has] + k + half, MULTIPLIERS[0]) >> np.uint64(32)
+        right[has] = stretches(self.sums[0], self.at[has], self.at[has] + k + half, MULTIPLIERS[0]) >> np.uint64(32)
         return left, right, half
 
     def window_hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the windows that start there."""
         return tuple(
-            stretches(s, starts, starts + self.length, m) for s, m in zip(self._sums, MULTIPLIERS, strict=True)
+            stretches(s, starts, starts + self.length, m) for s, m in zip(self.sums, MULTIPLIERS, strict=True)
         )
 
     def starts_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,29 +71,30 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 def elect(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Anchors:
     """symbols: uint64; document d is symbols[offsets[d]:offsets[d + 1]]."""
     n = len(symbols) - length + 1
-    none = np.zeros(0, np.int64)
+    none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    empty = Anchors(symbols, length, none, none, none, none, nothing, nothing, [np.zeros(1, np.uint64)] * 2)
     if n <= 0:
-        return Anchors(symbols, length, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    grams = windows(symbols, k)
-    low = np.uint64((1 << _PLACE_BITS) - 1)
-    keys = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
-    place = (low - (_least(keys, length - k + 1) & low)).astype(np.int64)
+        return empty
     # starts from which a window stays in its document
-    room = np.zeros(n + 1, np.int64)
-    ends = np.maximum(offsets[1:] - length + 1, offsets[:-1])
-    has = ends > offsets[:-1]
-    np.add.at(room, offsets[:-1][has], 1)
-    np.add.at(room, np.minimum(ends[has], n), -1)
-    starts = np.flatnonzero(np.cumsum(room)[:n] > 0)
+    inside = np.ones(n, bool)
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        inside[max(lo, hi - length + 1) : hi] = False
+    starts = np.flatnonzero(inside)
     if not len(starts):
-        return Anchors(symbols, length, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return empty
+    sums = [prefix_sums(symbols, m) for m in MULTIPLIERS]
+    _, down = powers(MULTIPLIERS[0], len(symbols) - k + 1)
+    grams = mixed((sums[0][k:] - sums[0][:-k]) * down)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    keys = grams & ~low
+    keys |= low - np.arange(len(grams), dtype=np.uint64)
+    place = (low - (_least(keys, length - k + 1) & low)).astype(np.int64)
     place = place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
     first, last = starts[at], starts[np.concatenate([at[1:], [len(starts)]]) - 1]
     doc = np.searchsorted(offsets, first, side="right") - 1
-    sums = prefix_sums(symbols, MULTIPLIERS[1])
-    span = stretches(sums, first, last + length, MULTIPLIERS[1])
+    span = stretches(sums[1], first, last + length, MULTIPLIERS[1])
     kind = mixed(span + (place[at] - first).astype(np.uint64) * np.uint64(MULTIPLIERS[0]))
-    return Anchors(symbols, length, doc, first, last, place[at], grams[place[at]], kind)
+    return Anchors(symbols, length, doc, first, last, place[at], grams[place[at]], kind, sums)

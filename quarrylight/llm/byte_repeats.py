@@ -36,7 +36,7 @@ from quarrylight.llm.words import Texts, tidy
 from quarrylight.tables import partitions_for, written
 
 LENGTH, SEED = 50, 16
-CHUNK = 512 << 10
+CHUNK = 64 << 10
 SHARD_MB = 6
 FLUSH = 500_000
 SORT_BUDGET = 64 << 20

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,16 +41,24 @@ def powers(multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    part = h >> np.uint64(30)
+    out = h ^ part
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(out, np.uint64(27), out=part)
+    out ^= part
+    out *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(out, np.uint64(31), out=part)
+    out ^= part
+    return out
 
 
 def prefix_sums(symbols: np.ndarray, multiplier: int) -> np.ndarray:
     """sums[i]: the polynomial of symbols[:i]; symbols: uint64, none of them 0 for its own sake."""
     up, _ = powers(multiplier, len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[: len(symbols)], out=out[1:])
+    out = np.empty(len(symbols) + 1, np.uint64)
+    out[0] = 0
+    np.multiply(symbols, up[: len(symbols)], out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
