@@ -8,22 +8,24 @@ Scores are ranked at nine places, so that a sum in another order can't change a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions.text import STOP_TOKENS, strip, tokens
-from quarrylight.functions.vectors import cosine, norm
-from quarrylight.tables import written
+from quarrylight.tables import bounded_batches, written
 
 # BM25 and fusion constants.
 K1, B = 1.5, 0.75
 RRF_K = 60
-#: Query vectors are broadcast up to this many rows; more are dealt in blocks.
+#: Query vectors go to the tasks up to this many rows; more are dealt in blocks.
 BROADCAST_QUERIES = 20_000
 
 
@@ -136,26 +138,72 @@ def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.0, repeated: bool = False) -> DataFrame:
     """The k vectors of the largest cosine, above `least`, for each query (query_id, embedding): exact.
 
-    Queries are a stated set; they are broadcast behind a check of their number, in blocks beyond it. Each task keeps its
-    own best k before rows move. Set `repeated` if chunk ids can occur twice; then each counts once, at its best.
+    Queries are a stated set: at most BROADCAST_QUERIES of them go to the tasks at once, more take another pass over the vectors
+    each. A task multiplies matrices batch by batch and keeps the best k of a batch (and what ties with the last) for each query,
+    so rows that move grow with batches, not with vectors times queries. Vectors of another size than a query's are not compared
+    with it. Set `repeated` if chunk ids can occur twice; then each counts once, at its best, and batches are not cut.
     """
-    double = F.col("embedding").cast("array<double>")
-    held = vectors.select("chunk_id", "document_id", "chunk_index", double.alias("v")).withColumn("vn", norm(F.col("v")))
-    asked = queries.select("query_id", double.alias("q")).withColumn("qn", norm(F.col("q")))
-    number = asked.count()
-    blocks = -(-number // BROADCAST_QUERIES) or 1
-    score = F.round(cosine(F.col("q"), F.col("v"), F.col("qn"), F.col("vn")), 9)
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", *_KEYS)) + ", score double"
+    held = vectors.select(*_KEYS, F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = -(-asked.count() // BROADCAST_QUERIES) or 1
     out = None
     for block in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        hits = held.crossJoin(F.broadcast(part)).select("query_id", "chunk_id", "document_id", "chunk_index", score.alias("score"))
-        hits = hits.where(F.col("score") > least)
+        hits = held.mapInArrow(_Neighbours(part.toArrow(), None if repeated else k, least), schema)
         out = hits if out is None else out.unionByName(hits)
     first = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"))
     once = out if not repeated else out.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
     return top(once, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("vector_similarity"))
 
 
+#: Queries that meet a batch of vectors at once.
+QUERY_TILE = 512
+
+
+def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size, the rows of a list column that have it (without nulls) and their vectors."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1), np.int64)
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        flat = np.asarray(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
+        whole = ~np.isnan(flat).any(axis=1)
+        out[size] = rows[whole], flat[whole]
+    return out
+
+
+class _Neighbours:
+    """A task's part of `nearest`: batches of vectors to the queries' best among them."""
+
+    def __init__(self, queries: pa.Table, k: int | None, least: float):
+        self.ids = queries.column("query_id").combine_chunks()
+        self.queries, self.k, self.least = _matrices(queries.column("v")), k, least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrices(batch.column("v"))
+            for size, (q_rows, q) in self.queries.items():
+                rows, v = vectors.get(size, (np.zeros(0, np.int64), None))
+                for at in range(0, len(q_rows) if len(rows) else 0, QUERY_TILE):
+                    qi, vi, score = self._best(q[at : at + QUERY_TILE], v)
+                    columns = [batch.column(c).take(pa.array(rows[vi])) for c in _KEYS]
+                    yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(q_rows[at + qi])), *columns, pa.array(score)], names=["query_id", *_KEYS, "score"])
+
+    def _best(self, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+        score = np.where(norms == 0, 0.0, np.round((q @ v.T) / np.where(norms == 0, 1.0, norms), 9))
+        good = score > self.least
+        if self.k is not None and score.shape[1] > self.k:
+            good &= score >= np.partition(score, -self.k, axis=1)[:, -self.k][:, None]
+        qi, vi = np.nonzero(good)
+        return qi, vi, score[qi, vi]
+
+
 def vector_store(
     vectors: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame, index: dict[str, object], k: int = 3, least: float = 0.0
 ) -> DataFrame:

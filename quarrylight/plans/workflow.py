@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylight.functions.text import UNKNOWN
 from quarrylight.operators import assessment, corpus, entities, profiles, recommend, retrieval
 from quarrylight.operators.assessment import Vocabulary
-from quarrylight.operators.policy import OfficialSources
+from quarrylight.operators.pages import extract
+from quarrylight.operators.policy import OfficialSources, scrape_reason
+from quarrylight.sources.connectors import fetch, http_get
+
+
+def profile_pages(html: DataFrame) -> DataFrame:
+    """Collected HTML (key, url, html, collected_at, name) as pages that profiles are read from, in order of their URLs."""
+    order = Window.partitionBy("key").orderBy("url")
+    return extract(html).withColumn("pos", F.row_number().over(order) - 1).select("key", "pos", "url", "title", "main_text", "collected_at", "name")
+
+
+def controlled_run(spark: SparkSession, url: str, name: str = UNKNOWN, get: Callable[[str], tuple[str, int, str]] = http_get, blocked: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """One known site without a search: its candidate, pages, profile fields, evidence groups and quality. A site that the policy
+    refuses, or that is not known, has no pages but an error."""
+    site = spark.range(1).select(entities.known_site(F.lit(url), F.lit(name)).alias("c")).select(F.lit(0).cast("bigint").alias("pos"), "c.*")
+    judged = site.select("primary_url", scrape_reason(F.col("primary_url"), blocked).alias("reason")).first()
+    asked = site.where(F.lit(judged["reason"] == "allowed")).where(F.col("primary_url") != UNKNOWN)
+    got = fetch(asked.select(F.lit(url).alias("url")), get)
+    failed = got.where("is_error").select("url", "error_category")
+    refused = site.select(F.col("primary_url").alias("url"), F.lit("missing_primary_url" if judged["primary_url"] == UNKNOWN else judged["reason"]).alias("error_category"))
+    errors = failed if judged["reason"] == "allowed" and judged["primary_url"] != UNKNOWN else refused
+    html = got.where("NOT is_error").select(F.lit(0).cast("bigint").alias("key"), "url", "html", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("collected_at"), F.lit(name).alias("name"))
+    read = profile_pages(html)
+    fields = profiles.profile_fields(read)
+    return {
+        "candidates": site, "pages": read, "errors": errors, "profile_fields": fields, "evidence_groups": profiles.evidence_groups(fields.withColumn("pos", F.lit(0))),
+        "quality": profiles.collection_quality(1, fields),
+    }
 
 
 def run_intelligence(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators.policy import OfficialSources
+from quarrylight.plans import workflow
 from quarrylight.plans.workflow import run_intelligence
 from quarrylight.sources import connectors
 from quarrylight.sources.store import RunStore
@@ -71,3 +72,21 @@ def test_ingest(spark, corpus_path, tmp_path):
     assert store.read("kb_documents").count() == store.read("kb_chunks").count() == 1
     with pytest.raises(ValueError, match="source_url_not_official"):
         connectors.ingest(spark, store, corpus_path, OfficialSources(("other.com",)))
+
+
+def test_controlled_run(spark):
+    html = "<title>Acme Labs | home</title><p>Setor: fintech. Produto: motor de risco.</p>"
+
+    def get(url):
+        if "down" in url:
+            raise TimeoutError(url)
+        return url, 200, html
+
+    found = workflow.controlled_run(spark, "https://www.acme-labs.io/", get=get)
+    assert tuple(found["candidates"].first())[1:4] == ("Acme Labs", "acme labs", "https://acme-labs.io")
+    values = {r["field"]: r["value"] for r in found["profile_fields"].collect()}
+    assert (values["company_name"], values["sector"], values["product"]) == ("Acme Labs", "fintech", "motor de risco")
+    assert found["errors"].count() == 0 and found["quality"].first()["profiles"] == 1
+    for url, why in (("https://down.io", "timeout"), ("unknown", "missing_primary_url"), ("https://x.io", "blocked_domain")):
+        lost = workflow.controlled_run(spark, url, get=get, blocked=("x.io",))
+        assert [r["error_category"] for r in lost["errors"].collect()] == [why] and lost["pages"].count() == 0
