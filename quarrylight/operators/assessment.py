@@ -194,3 +194,11 @@ def gap_space(gaps: DataFrame, targets: DataFrame, context: DataFrame, key: str,
     out = joined.select(key, "gap_type", F.coalesce("targets", empty).alias("targets"), "confidence", reasons.alias("review_reasons"))
     status = F.when(F.array_contains("review_reasons", "unsupported_gap_type"), "unsupported").when(F.size("review_reasons") > 0, "hypothesis").otherwise("supported")
     return out.withColumn("support_status", status)
+
+
+def retrieval_requests(mappings: DataFrame, signals: DataFrame, key: str) -> DataFrame:
+    """key, gap_type, query: what to ask the knowledge base for each gap that the taxonomy covers; signals: key, signals (text).
+    Gaps that are not supported ask nothing."""
+    words = F.replace(F.col("gap_type"), F.lit("_"), F.lit(" "))
+    asked = mappings.where((F.col("support_status") != "unsupported") & (F.size("targets") > 0)).join(signals, key, "left")
+    return asked.select(key, "gap_type", F.concat_ws(" ", words, F.nullif("signals", F.lit(""))).alias("query"))

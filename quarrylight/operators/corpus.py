@@ -126,10 +126,13 @@ def stack_profiles(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def citations(results: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Results with what a citation needs; a result whose document is not there goes."""
-    excerpt = chunks.select("chunk_id", F.col("text").alias("excerpt"))
+    """Results with what a citation needs; a result whose document is not there goes, one that names another document than its
+    chunk's fails."""
+    excerpt = chunks.select("chunk_id", F.col("text").alias("excerpt"), F.col("document_id").alias("chunk_document"))
     source = documents.select("document_id", F.col("title").alias("document_title"), "source_url", "source_type", "ingested_at")
-    return results.join(excerpt, "chunk_id").join(source, "document_id")
+    wrong = F.raise_error(F.concat(F.lit("citation_document_mismatch:"), F.col("chunk_id").cast("string"))).cast("boolean")
+    matched = results.join(excerpt, "chunk_id").where(F.when(F.col("document_id") != F.col("chunk_document"), wrong).otherwise(F.lit(True)))
+    return matched.drop("chunk_document").join(source, "document_id")
 
 
 def stack_targets(gaps: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -48,7 +48,9 @@ def cases(expectations: DataFrame, results: DataFrame) -> DataFrame:
     document = F.size(F.filter("expected_document_ids", lambda d: F.array_contains(of("document_id"), d)))
     first = F.get("rs", F.lit(0))
     top = F.array_contains("expected_chunk_ids", first["chunk_id"]) | F.array_contains("expected_document_ids", first["document_id"])
+    found = F.concat(F.array_intersect("expected_chunk_ids", of("chunk_id")), F.array_intersect("expected_document_ids", of("document_id")))
     out = joined.select(
+        F.array_sort(found).alias("matched_ids"),
         "expectation_id",
         "query_id",
         F.coalesce("strategy", F.lit("no_results")).alias("strategy"),

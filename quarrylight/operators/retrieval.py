@@ -339,23 +339,33 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = 3, rrf_k: int = RRF_K,
     return top(both, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("hybrid"))
 
 
-def rerank(candidates: DataFrame, scores: DataFrame, k: int = 3) -> DataFrame:
+def rerank(candidates: DataFrame, scores: DataFrame, k: int = 3, by: str = "rerank_score") -> DataFrame:
     """Candidates (of fuse) in the order of other scores (query_id, chunk_id, rerank_score); none can be added.
 
-    original_rank and original_score stay; candidates without a score go.
+    original_rank and original_score stay, and the rationale says by what it was reranked; candidates without a score go.
     """
     wrong = F.when(F.col("strategy") != "hybrid", F.raise_error(F.lit("rerank_requires_hybrid_candidates")))
     kept = candidates.where(wrong.isNull()).withColumnRenamed("rank", "original_rank").withColumnRenamed("score", "original_score")
     joined = kept.join(scores, ["query_id", "chunk_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "original_rank", "document_id", "chunk_index", "chunk_id")
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    why = F.col("rationale") if "rationale" in candidates.columns else F.lit("Found by hybrid retrieval.")
+    ranked = joined.withColumn("rationale", F.concat(why, F.lit(f" Reranked by {by}.")))
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def invented(candidates: DataFrame, reranked: DataFrame) -> DataFrame:
-    """query_id, chunk_id, reason: what a reranker returned that it may not have: an unknown chunk, or one twice."""
+    """query_id, chunk_id, reason: what a reranker returned that it may not have: an unknown chunk, one twice, or one whose other
+    columns (those that both frames have, but ranks and scores) are not the candidate's."""
     extra = reranked.join(candidates, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit("unknown_chunk").alias("reason"))
     twice = reranked.groupBy("query_id", "chunk_id").count().where("count > 1").select("query_id", "chunk_id", F.lit("repeated_chunk").alias("reason"))
-    return extra.unionByName(twice)
+    free = {"query_id", "chunk_id", "rank", "score", "rationale", "strategy"}
+    both = [c for c in candidates.columns if c in reranked.columns and c not in free]
+    if not both:
+        return extra.unionByName(twice)
+    a = candidates.select("query_id", "chunk_id", F.struct(*both).alias("a"))
+    b = reranked.select("query_id", "chunk_id", F.struct(*both).alias("b"))
+    other = a.join(b, ["query_id", "chunk_id"]).where(~F.col("a").eqNullSafe(F.col("b"))).select("query_id", "chunk_id", F.lit("changed_chunk").alias("reason"))
+    return extra.unionByName(twice).unionByName(other)
 
 
 def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:

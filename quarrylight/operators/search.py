@@ -85,10 +85,13 @@ def budgeted(results: DataFrame, per_term: int, total: int) -> DataFrame:
     held = results.where(F.col("position") <= per_term)
     sizes = held.groupBy("run_id", "priority").agg(F.count("*").alias("n"), F.max("items").alias("items"))
     items = sizes.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("priority", "n", "items"))).alias("xs"))  # a plan is short
-    step = lambda acc, x: F.struct(
-        (acc["used"] + F.least(x["n"], F.greatest(F.lit(total) - acc["used"] - (x["items"] - x["priority"]), F.lit(0)))).alias("used"),
-        F.concat(acc["takes"], F.array(F.least(x["n"], F.greatest(F.lit(total) - acc["used"] - (x["items"] - x["priority"]), F.lit(0))))).alias("takes"),
-    )
+
+    def take(acc: Column, x: Column) -> Column:
+        left, later = F.lit(total) - acc["used"], x["items"] - x["priority"]
+        now = F.greatest(left - F.least(later, F.greatest(left - 1, F.lit(0))), F.lit(1))  # while anything is left, one at least
+        return F.when(left > 0, F.least(x["n"], now)).otherwise(F.lit(0).cast("bigint"))
+
+    step = lambda acc, x: F.struct((acc["used"] + take(acc, x)).alias("used"), F.concat(acc["takes"], F.array(take(acc, x))).alias("takes"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("takes"))
     typed = F.transform("xs", lambda x: F.struct(x["priority"].cast("bigint").alias("priority"), x["n"].cast("bigint").alias("n"), x["items"].cast("bigint").alias("items")))
     takes = items.select("run_id", typed.alias("xs"), F.aggregate(typed, start, step)["takes"].alias("takes"))
@@ -96,3 +99,17 @@ def budgeted(results: DataFrame, per_term: int, total: int) -> DataFrame:
     order = Window.partitionBy("run_id", "priority").orderBy("position")
     joined = held.join(allowed, ["run_id", "priority"]).withColumn("nth", F.row_number().over(order))
     return joined.where("nth <= take").drop("take", "nth")
+
+
+def traced(results: DataFrame) -> DataFrame:
+    """Results (term, target_source, position, snippet, ...) whose snippets say where they come from."""
+    mark = F.concat(F.lit(" [search_term="), "term", F.lit("; source="), "target_source", F.lit("; position="), F.col("position").cast("string"), F.lit("]"))
+    return results.withColumn("snippet", F.concat("snippet", mark))
+
+
+def search_errors(plan_items: DataFrame, answers: DataFrame) -> DataFrame:
+    """run_id, term, target_source, error_type, message: plan items whose search failed (answers: run_id, term, body, error; an error
+    is "Type: message")."""
+    failed = answers.where(F.col("error").isNotNull()).select("run_id", "term", "error")
+    kind, message = F.substring_index("error", ": ", 1), F.regexp_replace("error", r"^[^:]*: ", "")
+    return plan_items.join(failed, ["run_id", "term"]).select("run_id", "term", "target_source", kind.alias("error_type"), message.alias("message"))

@@ -161,7 +161,8 @@ ORACLES = {
     "rerank_topk": f"WITH {HYBRID} SELECT query_id, chunk_id, rank, original_rank, rerank_score FROM rr",
     "retrieval_cases": f"""WITH {HYBRID}, {_cases("hy", "c")} SELECT query_id AS expectation_id, expected, retrieved, matched, top_1, matched = expected AS covered,
       concat_ws(',', CASE WHEN retrieved = 0 THEN 'no_retrieved_citation' END, CASE WHEN matched < expected THEN 'expected_citation_not_retrieved' END,
-      CASE WHEN retrieved > 0 AND matched < retrieved THEN 'unexpected_retrieved_citation' END) AS failure_reasons FROM c""",
+      CASE WHEN retrieved > 0 AND matched < retrieved THEN 'unexpected_retrieved_citation' END) AS failure_reasons,
+      coalesce((SELECT string_agg(l.chunk_id, ',' ORDER BY l.chunk_id) FROM ll l JOIN hy h ON l.query_id = h.query_id AND l.chunk_id = h.chunk_id WHERE l.query_id = c.query_id), '') AS matched_ids FROM c""",
     "retrieval_summary": f"WITH {HYBRID}, {_cases('hy', 'c')} {_summary('c')}",
     "strategy_comparison": f"""WITH {HYBRID}, l1 AS (SELECT * FROM hy WHERE rank = 1), {_cases("nn", "a")}, {_cases("l1", "b")}, {_cases("hy", "h")},
       sm AS (SELECT 'vector' AS strategy, 0 AS pos, * FROM ({_summary("a")}) UNION ALL SELECT 'first', 1, * FROM ({_summary("b")}) UNION ALL SELECT 'hybrid', 2, * FROM ({_summary("h")}))
@@ -211,7 +212,8 @@ ORACLES = {
       p AS (SELECT *, CASE WHEN NOT ok THEN CASE WHEN guess OR blocked THEN 'human_review' ELSE 'low' END WHEN medium THEN 'medium' ELSE 'low' END AS final_priority FROM s)
       SELECT startup, final_priority, CASE WHEN ok AND final_priority = 'medium' THEN 'prepare_technical_outreach' WHEN guess THEN 'validate_fit_with_human'
         WHEN blocked THEN 'resolve_blocking_evidence' ELSE 'deprioritize_for_now' END AS next_action FROM p""",
-    "recommendation_gates": f"WITH {RECOMMENDED} SELECT state, count(*) AS n FROM rec GROUP BY 1",
+    "recommendation_gates": f"""WITH {RECOMMENDED} SELECT state, CASE state WHEN 'blocked' THEN 'missing_startup_gap_evidence' WHEN 'hypothesis' THEN
+      CASE WHEN gap_type NOT IN ({_in(recommend.COVERED_GAPS)}) THEN 'gap_type_not_covered_by_recommendation_rules' ELSE 'missing_official_citation' END END AS reason, count(*) AS n FROM rec GROUP BY ALL""",
     "narrative_guard": f"""WITH c AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN text END, ' ' ORDER BY turn) AS p, string_agg(CASE WHEN role = 'assistant' THEN text END, ' ' ORDER BY turn) AS a FROM conversations GROUP BY 1)
       SELECT conv_id, len(list_filter(list_distinct(regexp_extract_all(lower(coalesce(a, '')), '[a-z0-9_]+')), lambda t: NOT list_contains(regexp_extract_all(lower(coalesce(p, '')), '[a-z0-9_]+'), t)
         AND NOT list_contains([{_in(tuple(recommend.CONNECTIVES))}], t))) AS unsupported FROM c""",
@@ -233,7 +235,8 @@ ORACLES = {
       SELECT pos, {TITLED} AS name, 'https://' || d || '.com' AS primary_url, CASE WHEN n = 1 THEN 0.9 WHEN n = 2 THEN 0.95 ELSE 0.99 END::DOUBLE AS score, 'company' AS source_types, n AS evidences, n::INT AS members FROM g
       UNION ALL SELECT pos, 'Acme ' || d, 'https://startse.com/' || pos, CASE WHEN n = 1 THEN 0.75 WHEN n = 2 THEN 0.8 ELSE 0.85 END::DOUBLE, 'directory', n, n::INT FROM x""",
     "search_budget": """WITH RECURSIVE p AS (SELECT page_id % 7 AS run_id, page_id % 5 + 1 AS priority, least(count(*), 4) AS n FROM pages GROUP BY ALL),
-      t AS (SELECT run_id, 1::BIGINT AS priority, least(n, greatest(12 - 4, 0)) AS take, least(n, greatest(12 - 4, 0)) AS used FROM p WHERE priority = 1
-        UNION ALL SELECT p.run_id, p.priority, least(p.n, greatest(12 - t.used - (5 - p.priority), 0)), t.used + least(p.n, greatest(12 - t.used - (5 - p.priority), 0)) FROM t JOIN p ON p.run_id = t.run_id AND p.priority = t.priority + 1)
-      SELECT run_id, priority, page FROM (SELECT page_id % 7 AS run_id, page_id % 5 + 1 AS priority, page_id AS page, row_number() OVER (PARTITION BY page_id % 7, page_id % 5 ORDER BY page_id) AS nth FROM pages) JOIN t USING (run_id, priority) WHERE nth <= take""",
+      t AS (SELECT total, run_id, 0::BIGINT AS priority, 0::BIGINT AS take, 0::BIGINT AS used FROM (SELECT DISTINCT run_id FROM p), (VALUES (12), (4)) x(total)
+        UNION ALL SELECT total, p.run_id, p.priority, CASE WHEN total > used THEN least(p.n, greatest(total - used - least(5 - p.priority, total - used - 1), 1)) ELSE 0 END,
+          used + CASE WHEN total > used THEN least(p.n, greatest(total - used - least(5 - p.priority, total - used - 1), 1)) ELSE 0 END FROM t JOIN p ON p.run_id = t.run_id AND p.priority = t.priority + 1)
+      SELECT total, run_id, priority, page FROM (SELECT page_id % 7 AS run_id, page_id % 5 + 1 AS priority, page_id AS page, row_number() OVER (PARTITION BY page_id % 7, page_id % 5 ORDER BY page_id) AS nth FROM pages) JOIN t USING (run_id, priority) WHERE nth <= take""",
 }

@@ -187,7 +187,8 @@ def _nearest(spark, sf):
 
 def retrieval_cases(spark, sf):
     return _cases(spark, sf, _hybrid(spark, sf))[0].select(
-        "expectation_id", "expected", "retrieved", "matched", "top_1", "covered", F.array_join("failure_reasons", ",").alias("failure_reasons")
+        "expectation_id", "expected", "retrieved", "matched", "top_1", "covered", F.array_join("failure_reasons", ",").alias("failure_reasons"),
+        F.array_join(F.col("matched_ids").cast("array<string>"), ",").alias("matched_ids"),
     )
 
 
@@ -351,7 +352,7 @@ def _recommendations(spark, sf):
     hit = (F.pmod(F.col("startup"), F.lit(13))).cast("double")
     score = recommend.technical_score(F.col("severity"), F.col("confidence"), F.lit(0.8), source, hit)
     gate = recommend.gate(F.array().cast("array<string>"), F.col("startup") % 4, F.col("gap_type"), F.col("document_id") != "d3", F.col("confidence"))
-    return held.select("startup", "gap_type", "document_id", F.lit(0).alias("chunk_index"), "severity", "confidence", score.alias("score"), gate["state"].alias("state"))
+    return held.select("startup", "gap_type", "document_id", F.lit(0).alias("chunk_index"), "severity", "confidence", score.alias("score"), gate["state"].alias("state"), gate["reason"].alias("reason"))
 
 
 def recommend_rank(spark, sf):
@@ -366,7 +367,7 @@ def final_priority(spark, sf):
 
 
 def recommendation_gates(spark, sf):
-    return _recommendations(spark, sf).groupBy("state").agg(F.count("*").alias("n"))
+    return _recommendations(spark, sf).groupBy("state", "reason").agg(F.count("*").alias("n"))
 
 
 def narrative_guard(spark, sf):
@@ -413,7 +414,8 @@ def search_budget(spark, sf):
     from pyspark.sql.window import Window
 
     placed = rows.withColumn("position", F.row_number().over(Window.partitionBy("run_id", "priority").orderBy("page")))
-    return search.budgeted(placed, 4, 12).select("run_id", "priority", "page")
+    some = [search.budgeted(placed, 4, total).select(F.lit(total).alias("total"), "run_id", "priority", "page") for total in (12, 4)]
+    return some[0].unionByName(some[1])
 
 
 QUERIES = {

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import urllib.error
+
 from pyspark.sql import functions as F
 
 from quarrylight.functions.embedding import Metadata, embed
-from quarrylight.operators import assessment, briefing, corpus, entities, recommend, retrieval
+from quarrylight.operators import assessment, briefing, corpus, entities, recommend, retrieval, search
 from quarrylight.plans import queries as q
 from quarrylight.plans.oracles import BM25, COSINE, DOCS, HYBRID
 from quarrylight.plans.registry import query
 from quarrylight.plans.rules import _docs, _id, _pick
-from quarrylight.sources import adapters, language, store
+from quarrylight.sources import adapters, connectors, language, store
 from quarrylight.tables import fresh_path, table
 
 
@@ -386,3 +388,49 @@ def best_extraction(spark, sf):
 
     found = adapters.extract_best(pages, {"one": one, "two": two})
     return found.select("page_id", "strategy", "main_text", "title", (F.col("needs_js") & (n % 3 == 2)).alias("needs_js"))
+
+
+@query("""SELECT page_id, 'https://s' || page_id || '.com' AS url, CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS status_code, CASE page_id % 3 WHEN 1 THEN 'unavailable' WHEN 2 THEN 'timeout' END AS error_category FROM pages""")
+def fetched_pages(spark, sf):
+    """Pages through an injected fetcher: what fails is a row with its category."""
+
+    def get(url):
+        n = int(url.removeprefix("https://s").removesuffix(".com"))
+        if n % 3 == 1:
+            raise urllib.error.HTTPError(url, 404, "gone", None, None)
+        if n % 3 == 2:
+            raise TimeoutError(url)
+        return url, 200, "<p>x</p>"
+
+    urls = table(spark, sf, "pages").select(F.concat(F.lit("https://s"), F.col("page_id").cast("string"), F.lit(".com")).alias("url"))
+    found = connectors.fetch(urls, get)
+    return found.select(F.regexp_extract("url", r"s(\d+)", 1).cast("bigint").alias("page_id"), "url", "status_code", "error_category")
+
+
+@query("""SELECT page_id AS run_id, 'found [search_term=t' || page_id || '; source=web; position=1]' AS snippet, NULL AS error_type, NULL AS message FROM pages WHERE page_id % 3 > 0
+  UNION ALL SELECT page_id, NULL, 'URLError', 'no route: host' FROM pages WHERE page_id % 3 = 0""")
+def search_runs(spark, sf):
+    """Executed plans: results say where they come from, searches that failed are rows of their own."""
+    n = F.col("page_id")
+    items = table(spark, sf, "pages").select(n.alias("run_id"), F.concat(F.lit("t"), n.cast("string")).alias("term"), F.lit("web").alias("target_source"))
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("found").alias("description"))).alias("results")).alias("web")))
+    answers = items.select("run_id", "term", F.when(F.col("run_id") % 3 > 0, body).alias("body"), F.when(F.col("run_id") % 3 == 0, "URLError: no route: host").alias("error"))
+    found = search.response_results(answers.where("body IS NOT NULL"), 5).join(items, ["run_id", "term"])
+    none = F.lit(None).cast("string")
+    good = search.traced(found).select("run_id", "snippet", none.alias("error_type"), none.alias("message"))
+    return good.unionByName(search.search_errors(items, answers).select("run_id", none.alias("snippet"), "error_type", "message"))
+
+
+@query("""SELECT doc_id AS startup, 'model_serving' AS gap_type, 'model serving' || CASE WHEN doc_id % 2 = 0 THEN ' ' || lang ELSE '' END AS query FROM documents WHERE doc_id % 3 > 0""")
+def retrieval_requests(spark, sf):
+    status = _pick(_id(), "unsupported", "hypothesis", "supported")
+    mapped = _docs(spark, sf).select(_id().alias("startup"), F.lit("model_serving").alias("gap_type"), F.array(F.lit("d")).alias("targets"), status.alias("support_status"))
+    signals = _docs(spark, sf).where("doc_id % 4 <> 1").select(_id().alias("startup"), F.when(_id() % 2 == 0, F.col("lang")).otherwise("").alias("signals"))
+    return assessment.retrieval_requests(mapped, signals, "startup")
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN 'unknown_chunk' ELSE 'changed_chunk' END AS reason FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 3""")
+def rerank_checks(spark, sf):
+    rows = _docs(spark, sf).select((_id() % 5).alias("query_id"), _id().alias("chunk_id"), F.col("lang").alias("document_id"))
+    changed = rows.withColumn("document_id", F.when(F.col("chunk_id") % 7 == 3, "other").otherwise(F.col("document_id")))
+    return retrieval.invented(rows.where("chunk_id % 10 <> 0"), changed).select("chunk_id", "reason")
