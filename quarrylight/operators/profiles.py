@@ -183,3 +183,11 @@ def strategy_quality(pages: DataFrame, low_text: int = 80) -> DataFrame:
         ratio(F.col("low_texts"), got).alias("low_rate"),
         ratio(F.col("characters"), got).alias("average_length"),
     )
+
+
+def with_records(profiles: DataFrame, groups: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Profiles (key, company_name, ...) with their evidence groups (key, field, value, has_conflict) as a list in order of fields, and
+    the assessment (company_name, pos, classification) of their company's name: of several with one name the last counts."""
+    held = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("field", "value", "has_conflict"))).alias("groups"))
+    last = assessments.groupBy("company_name").agg(F.max_by("classification", "pos").alias("classification"))
+    return profiles.join(held, "key", "left").join(last, "company_name", "left")

@@ -329,8 +329,21 @@ def routed(queries: DataFrame, kept: DataFrame, preset: DataFrame, retriever: Re
     return out, missing.select("query_id", F.col("route").alias("error_type"), F.lit("retrieval_skipped_missing_corpus_or_fixture").alias("reason"))
 
 
+def _same(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Both frames; reading the second fails where it has a value in one of the columns that the first has not."""
+    for c in columns:
+        if c in a.columns and c in b.columns:
+            first = a.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))  # one row
+            wrong = F.raise_error(F.lit(f"hybrid_{c}_mismatch")).cast("boolean")
+            fits = F.col("lo").isNull() | ((F.col("lo") == F.col(c)) & (F.col("hi") == F.col(c)))
+            b = b.crossJoin(F.broadcast(first)).where(F.when(~fits, wrong).otherwise(F.lit(True))).drop("lo", "hi")
+    return a, b
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = 3, rrf_k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Reciprocal rank fusion: sum of weight / (rrf_k + rank) over the sources that found a chunk."""
+    """Reciprocal rank fusion: sum of weight / (rrf_k + rank) over the sources that found a chunk. Where both sides say of what run or
+    corpus version they are, they must agree."""
+    lexical, vector = _same(lexical, vector, ("run_id", "corpus_version"))
     keys = ["query_id", "chunk_id", "document_id", "chunk_index"]
     side = lambda df, name: df.select(*keys, F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"))
     both = side(lexical, "lexical").join(side(vector, "vector"), keys, "full_outer")

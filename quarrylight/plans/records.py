@@ -7,7 +7,7 @@ import urllib.error
 from pyspark.sql import functions as F
 
 from quarrylight.functions.embedding import Metadata, embed
-from quarrylight.operators import assessment, briefing, corpus, entities, recommend, retrieval, search
+from quarrylight.operators import assessment, briefing, corpus, entities, profiles, recommend, retrieval, search
 from quarrylight.plans import queries as q
 from quarrylight.plans.oracles import BM25, COSINE, DOCS, HYBRID
 from quarrylight.plans.registry import query
@@ -434,3 +434,44 @@ def rerank_checks(spark, sf):
     rows = _docs(spark, sf).select((_id() % 5).alias("query_id"), _id().alias("chunk_id"), F.col("lang").alias("document_id"))
     changed = rows.withColumn("document_id", F.when(F.col("chunk_id") % 7 == 3, "other").otherwise(F.col("document_id")))
     return retrieval.invented(rows.where("chunk_id % 10 <> 0"), changed).select("chunk_id", "reason")
+
+
+@query("""WITH r AS (SELECT doc_id, sha256(concat_ws(chr(0), 'c' || doc_id, 'd' || doc_id, doc_id % 3, source, lang)) AS h FROM documents), a AS (SELECT doc_id // 4096 AS p, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY 1)
+  SELECT CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS fingerprint FROM a""")
+def chunking_fingerprint(spark, sf):
+    chunks = _docs(spark, sf).select(
+        _id().alias("pos"), F.concat(F.lit("c"), _id().cast("string")).alias("chunk_id"), F.concat(F.lit("d"), _id().cast("string")).alias("document_id"), (_id() % 3).alias("chunk_index"),
+        F.col("source").alias("topic"), F.col("lang").alias("text"),
+    )
+    return retrieval.chunking_fingerprint(chunks)
+
+
+@query("""SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'f0=' || lang || ',f1=x' ELSE '' END AS groups, CASE WHEN doc_id % 5 < 3 THEN 'last' END AS classification FROM documents""")
+def profile_records(spark, sf):
+    docs = _docs(spark, sf)
+    rows = docs.select(_id().alias("key"), (_id() % 5).alias("company_name"))
+    groups = docs.where("doc_id % 2 = 0").select(_id().alias("key"), F.explode(F.array(F.struct(F.lit("f1").alias("field"), F.lit("x").alias("value")), F.struct(F.lit("f0").alias("field"), F.col("lang").alias("value")))).alias("g"))
+    groups = groups.select("key", "g.*", F.lit(False).alias("has_conflict"))
+    judged = spark.range(6).select((F.col("id") % 3).alias("company_name"), F.col("id").alias("pos"), F.when(F.col("id") < 3, "first").otherwise("last").alias("classification"))
+    said = F.array_join(F.transform("groups", lambda g: F.concat(g["field"], F.lit("="), g["value"])), ",")
+    return profiles.with_records(rows, groups, judged).select("key", F.coalesce(said, F.lit("")).alias("groups"), "classification")
+
+
+@query("""SELECT 'raw_pages' AS artifact, page_id AS id, url AS said FROM pages UNION ALL SELECT 'quality', doc_id, lang FROM documents WHERE doc_id % 2 = 0""")
+def run_folder(spark, sf):
+    """A run's artifacts as a folder with a manifest, read back by it."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("said"))
+    half = _docs(spark, sf).where("doc_id % 2 = 0").select(_id().alias("id"), F.col("lang").alias("said"))
+    folder = store.save_run(spark, fresh_path(spark, "runs"), "run-1", {"raw_pages": pages}, {"downstream/a/quality": half})
+    found = store.load_run(spark, folder, dict.fromkeys(("raw_pages", "downstream/a/quality"), "id bigint, said string"))
+    part = lambda name, label: found[name].select(F.lit(label).alias("artifact"), "id", "said")
+    return part("raw_pages", "raw_pages").unionByName(part("downstream/a/quality", "quality"))
+
+
+@query("""SELECT 'a' AS run_id, 2 AS n UNION ALL SELECT 'b', 1""")
+def run_rows(spark, sf):
+    """Runs are appended under ids of their own; ids that the store gives are new."""
+    runs = _store(spark)
+    given = [store.new_run(runs, x, kind=x[0]) for x in ("a1", "b1")] + [store.new_run(runs, kind="a")]
+    kept = runs.read("runs")
+    return kept.where(F.col("run_id").isin(given)).groupBy(F.col("kind").alias("run_id")).agg(F.count("*").cast("int").alias("n"))

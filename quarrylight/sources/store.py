@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,6 +252,43 @@ def snapshot(run_id: str, startup: str, **artifacts: DataFrame) -> DataFrame:
     return out
 
 
+def new_run(store: RunStore, run_id: str | None = None, **about: object) -> str:
+    """Append a run to the table `runs` and return its id: a given one, which must be new, or one of the time and a random part."""
+    name = run_id or f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:12]}"
+    row = store.spark.range(1).select(F.lit(name).alias("run_id"), F.current_timestamp().alias("created_at"), *[F.lit(v).alias(k) for k, v in about.items()])
+    if "runs" in store.tables() and not store.read("runs", run_id=name).isEmpty():
+        raise FileExistsError(name)
+    store.upsert("runs", row, "run_id")
+    return name
+
+
+def save_run(spark: SparkSession, root: str, run_id: str, raw: dict[str, DataFrame], processed: dict[str, DataFrame]) -> str:
+    """A run as a folder of JSON lines: raw/NAME, processed/NAME (a name may have folders of its own) and manifest.json, which is
+    written last. Fails if the folder is there; a run that fails half way leaves none."""
+    folder = f"{root.rstrip('/')}/{run_id}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(folder)):
+        raise FileExistsError(folder)
+    try:
+        files = [save_json(rows, folder, name, part is raw) for part in (raw, processed) for name, rows in part.items()]
+        manifest = {"run_id": run_id, "artifacts": sorted(f.removeprefix(f"{folder}/") for f in files)}
+        stream = fs.create(path(f"{folder}/manifest.json"), False)
+        stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        stream.close()
+    except Exception:
+        fs.delete(path(folder), True)
+        raise
+    return folder
+
+
+def load_run(spark: SparkSession, folder: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """All artifacts of a run's folder by name, as its manifest lists them."""
+    manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+    names = {a.split("/", 1)[1]: f"{folder}/{a}" for a in manifest["artifacts"]}
+    return {name: load_json(spark, at, (schemas or {}).get(name)) for name, at in names.items()}
+
+
 def save_json(rows: DataFrame, folder: str, name: str, raw: bool = False) -> str:
     """Rows as JSON lines under <folder>/raw or <folder>/processed; fails if they are there. Returns the path."""
     path = f"{folder.rstrip('/')}/{'raw' if raw else 'processed'}/{name}"

@@ -16,7 +16,7 @@ from quarrylight.functions import vectors as vec
 from quarrylight.operators import assessment, corpus, entities, metrics, pages, policy, profiles, recommend, retrieval, search
 from quarrylight.operators.graph import components
 from quarrylight.sources import language
-from quarrylight.sources.store import RunStore, reusable
+from quarrylight.sources.store import RunStore, load_run, new_run, reusable, save_run
 
 
 def one(spark, column, **values):
@@ -361,6 +361,34 @@ def test_store(spark, tmp_path):
     assert reusable(held.where("false"), "1").count() == 0
 
 
+def test_run_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "x int")
+    folder = save_run(spark, f"file://{tmp_path}/runs", "r", {"a": rows}, {"b": rows})
+    assert sorted(load_run(spark, folder)) == ["a", "b"]
+    with pytest.raises(FileExistsError):
+        save_run(spark, f"file://{tmp_path}/runs", "r", {}, {})
+    with pytest.raises(Exception, match="broken"):
+        save_run(spark, f"file://{tmp_path}/runs", "s", {"a": rows, "b": rows.select(F.raise_error(F.lit("broken")).alias("x"))}, {})
+    assert not (tmp_path / "runs" / "s").exists()
+    kept = RunStore(spark, f"file://{tmp_path}/store")
+    assert new_run(kept, "x") == "x" and new_run(kept) != new_run(kept)
+    with pytest.raises(FileExistsError):
+        new_run(kept, "x")
+
+
+def test_hybrid_sides_must_fit(spark):
+    side = lambda v: spark.createDataFrame([(1, "c", "d", 0, 1, 0.5, v)], "query_id int, chunk_id string, document_id string, chunk_index int, rank int, score double, corpus_version string")
+    assert retrieval.fuse(side("v1"), side("v1")).count() == 1
+    with pytest.raises(Exception, match="hybrid_corpus_version_mismatch"):
+        retrieval.fuse(side("v1"), side("v2")).collect()
+    docs = spark.createDataFrame([("d", "t", "u", "p", "n"), ("e", "t", "u", "p", "n")], "document_id string, title string, source_url string, source_type string, ingested_at string")
+    pieces = spark.createDataFrame([("c", "d", "x")], "chunk_id string, document_id string, text string")
+    hit = lambda d: spark.createDataFrame([(1, "c", d)], "query_id int, chunk_id string, document_id string")
+    assert corpus.citations(hit("d"), pieces, docs).count() == 1
+    with pytest.raises(Exception, match="citation_document_mismatch:c"):
+        corpus.citations(hit("e"), pieces, docs).collect()
+
+
 def test_corpus_file(spark, tmp_path):
     path = tmp_path / "corpus.json"
     path.write_text('{"schema_version":"v1","corpus_version":"c1","documents":[{"schema_version":"v1","corpus_version":"c1","document_id":"d","title":"t","source_url":"https://v.com/x","source_type":"page","ingested_at":"2024","metadata":{"stack_id":"s","stack_name":"n","topic":"model_serving","brief_description":"b","technical_description":"t","categories":["c"],"use_cases":["u"],"supported_gap_types":["model_serving"]}}],"chunks":[{"schema_version":"v1","corpus_version":"c1","chunk_id":"d:0","document_id":"d","chunk_index":0,"topic":"model_serving","text":"x"}]}')
