@@ -50,12 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), made()
     for k, (name, stage) in enumerate(STAGES):
-        before = made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            done = [f for f in made() if f not in before or "/pipeline-" in f]  # what this stage wrote and read in between
+            done = [f for f in made() if f not in others]  # what this run has written so far: the next table replaces it
             docs = written(docs, f"pipeline-{name}")
             remove(done)
     return docs

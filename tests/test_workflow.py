@@ -90,3 +90,16 @@ def test_controlled_run(spark):
     for url, why in (("https://down.io", "timeout"), ("unknown", "missing_primary_url"), ("https://x.io", "blocked_domain")):
         lost = workflow.controlled_run(spark, url, get=get, blocked=("x.io",))
         assert [r["error_category"] for r in lost["errors"].collect()] == [why] and lost["pages"].count() == 0
+
+
+def test_folders_in_between(spark):
+    from quarrylight import tables
+
+    kept = tables.written(spark.range(5), "kept")
+    gone = tables.written(spark.range(5), "gone")
+    assert {"kept", "gone"} <= {f.rsplit("/", 1)[1].split("-")[0] for f in tables.made()}
+    tables.remove([f for f in tables.made() if "/gone-" in f])
+    assert kept.count() == 5 and not any("/gone-" in f for f in tables.made())
+    with pytest.raises(Exception, match="(?i)not.*exist|FileNotFound"):
+        gone.collect()
+    assert spark.conf.get(tables.CLEANUP) in ("false", None)
