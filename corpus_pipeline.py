@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm import mixing, near_duplicates, packing, quality_classifier, substrings
-from quarrylight.tables import made, remove, table, written
+from quarrylight.tables import made, made_since, remove, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            done = [f for f in made() if f not in others]  # what this run has written so far: the next table replaces it
+            done = made_since(others)  # what this run has written so far: the next table replaces it
             docs = written(docs, f"pipeline-{name}")
             remove(done)
     return docs

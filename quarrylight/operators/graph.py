@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.tables import written
+from quarrylight.tables import made, made_since, remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: for every node that has a link, the least node that can be reached."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    before = None
+    before, others = None, made()
     while True:
+        last = made_since(others)
         edges = written(_small_star(_large_star(edges)), "edges")
+        remove(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import math
 import tempfile
+import threading
 import uuid
 
 from pyspark import SparkContext
@@ -53,16 +54,25 @@ def _remove_local(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
-#: Folders for results in between that this process has named and not removed.
+#: Folders for results in between that this process has named and not removed, and those of each thread.
 _made: list[str] = []
+_mine = threading.local()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder for results in between; gone when the driver ends, or when `remove` is told."""
     if not _made:
         atexit.register(_sweep)
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for held in (_made, _of_thread()):
+        held.append(path)
+    return path
+
+
+def _of_thread() -> list[str]:
+    if not hasattr(_mine, "paths"):
+        _mine.paths = []
+    return _mine.paths
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -85,8 +95,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def made() -> list[str]:
-    """The folders that are there now; pass what was there before a step and is not needed any more to `remove`."""
-    return list(_made)
+    """The folders that this thread has named so far."""
+    return list(_of_thread())
+
+
+def made_since(before: list[str]) -> list[str]:
+    """Those it has named since; a step that has written its result passes what that replaces to `remove`."""
+    return [f for f in _of_thread() if f not in before]
 
 
 def remove(paths: list[str]) -> None:
@@ -97,13 +112,14 @@ def remove(paths: list[str]) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-        if path in _made:
-            _made.remove(path)
+        for held in (_made, _of_thread()):
+            if path in held:
+                held.remove(path)
 
 
 def _sweep() -> None:
     with contextlib.suppress(Exception):  # the driver ends; a store that can't be reached any more is no reason to fail
-        remove(made())
+        remove(list(_made))
 
 
 #: Rows and bytes of a batch that goes to a Python worker, where the session does not say.
