@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from quarrylight.operators.graph import components
 from quarrylight.llm.rows import LEVEL, compress, numbered, restored
 from quarrylight.llm.words import MULTIPLIERS, Texts, chunks, mixed, tidy, windows
-from quarrylight.tables import written
+from quarrylight.tables import made, made_since, remove, written
 
 SHINGLE, LIMIT = 5, (75, 100)
 ROWS, BANDS = 4, 36
@@ -301,6 +301,7 @@ def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts:
 
 def _components(sketched: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, component_id, first (the least (doc_id, row) of its component): one row a document."""
+    others = made()
     known = sketched.where(F.col("doc_id").isNotNull())
     classes = known.groupBy("d1", "d2", "n").agg(
         F.min(F.struct("row", "sketch")).alias("rep"), F.min(F.struct("doc_id", "row")).alias("least")
@@ -317,7 +318,9 @@ def _components(sketched: DataFrame) -> DataFrame:
     labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
         "d1", "d2", "n", "least", F.coalesce("component", "class").alias("component")
     )
+    done = made_since(others)
     labelled = written(labelled, "labelled")
+    remove(done)
     # written apart: a join of two plain tables is one that AQE splits where a component holds very many classes
     lowest = written(labelled.groupBy("component").agg(F.min("least").alias("lowest")), "lowest").hint("merge")
     by_class = labelled.join(lowest, "component").select("d1", "d2", "n", "lowest")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quarrylight.llm.anchors import Anchors, elect
 from quarrylight.llm.rows import opened, pressed, unpacked
 from quarrylight.llm.words import CHUNK_BYTES, Texts, tidy
-from quarrylight.tables import written
+from quarrylight.tables import made, made_since, remove, written
 
 WINDOW, SEED = 35, 8
 FLUSH = 1_000_000
@@ -134,13 +134,16 @@ def unclear_windows(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def repeats_by_row(rows: DataFrame) -> DataFrame:
     """row, spans (array of a, c), starts (array): what repeats in each document that has a repeat."""
     spark = rows.sparkSession
+    others = made()
     classes = written(repeated_classes(seeds(rows, word_anchors, "row")), "classes")
     windows = written(unclear_windows(rows, classes), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     starts = windows.where("alone").join(twice, ["w1", "w2"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
     in_rows = seeds_by_row(rows).join(classes.where("n > 1").select("a", "c"), ["a", "c"])
     spans = in_rows.groupBy("row").agg(F.collect_list(F.struct("a", "c")).alias("spans"))
+    done = made_since(others)
     out = written(spans.join(starts, "row", "full_outer"), "repeats")
+    remove(done)
     return out
 
 
