@@ -47,76 +47,133 @@ def index_stats(chunks: DataFrame, stop: tuple[str, ...] = STOP_TOKENS) -> DataF
     return found.groupBy("token").agg(F.count("*").alias("df"))
 
 
-#: Tokens that queries ask for are broadcast up to this many; more are joined as Spark sees fit.
-BROADCAST_TOKENS = 200_000
 _KEYS = ("chunk_id", "document_id", "chunk_index")
+#: Tokens and query rows that go to the tasks at once; more queries take another pass over the texts.
+QUERY_ROWS = 200_000
+#: Queries and chunks whose scores are one matrix product.
+QUERY_TILE, CHUNK_TILE = 512, 256
+# Fixed value: share of the mean idf that a token in more than half of all chunks gets instead of a negative one.
+OKAPI_FLOOR = 0.25
 
 
-def _matches(chunks: DataFrame, asked: DataFrame, stop: tuple[str, ...]) -> DataFrame:
-    """uid, keys, length, token, tf: how often a chunk holds a token that some query has, from one pass over the texts, written
-    once. Each chunk also has a row for the empty token, which no text holds: those rows count chunks and their lengths."""
-    wanted = asked.select("token").distinct().union(asked.sparkSession.range(1).select(F.lit("").alias("token")))
-    if wanted.count() <= BROADCAST_TOKENS:
-        wanted = F.broadcast(wanted)
-    terms = index_terms(chunks, stop).withColumn("uid", F.monotonically_increasing_id())
-    each = terms.select("uid", *_KEYS, "length", F.explode(F.concat("terms", F.array(F.lit("")))).alias("token"))
-    return written(each.join(wanted, "token").groupBy("uid", *_KEYS, "length", "token").agg(F.count("*").alias("tf")), "matches")
+def _matches(chunks: DataFrame, wanted: pa.Array, stop: tuple[str, ...]) -> DataFrame:
+    """keys, length, ids, tfs: for each chunk the places in `wanted` of the tokens that it holds, and how often, from one pass over
+    the texts without a shuffle; written once."""
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in _KEYS)
+    terms = index_terms(chunks, stop).select(*_KEYS, "terms")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("terms")
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+            places = pc.index_in(column.flatten(), value_set=wanted)
+            hit = np.flatnonzero(np.asarray(places.is_valid()))
+            row = np.repeat(np.arange(len(lengths)), lengths)[hit]
+            key, tf = np.unique(row * len(wanted) + places.take(pa.array(hit)).to_numpy().astype(np.int64), return_counts=True)
+            at = np.searchsorted(key, np.arange(len(lengths) + 1) * len(wanted)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (key % len(wanted), tf)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in _KEYS], pa.array(lengths), *lists], names=[*_KEYS, "length", "ids", "tfs"])
+
+    return written(terms.mapInArrow(run, f"{kinds}, length bigint, ids array<int>, tfs array<int>"), "matches")
+
+
+class _Scores:
+    """A task's part of BM25: batches of matches to the best chunks in them for each query."""
+
+    def __init__(self, rows: pa.Table, idf: np.ndarray, mean: float, k: int, once: bool):
+        """rows: query_id, id (place of a token), qtf. once: whether a chunk id that occurs twice counts once."""
+        codes = rows.column("query_id").combine_chunks().dictionary_encode()
+        self.names, self.mean, self.k, self.once, self.size = codes.dictionary, mean, k, once, len(idf)
+        query, token, qtf = codes.indices.to_numpy(), rows.column("id").to_numpy(), rows.column("qtf").to_numpy()
+        self.tiles = []
+        for at in range(0, len(self.names), QUERY_TILE):
+            mine = (query >= at) & (query < at + QUERY_TILE)
+            local, column = np.unique(token[mine], return_inverse=True)
+            weights = np.zeros((len(local), min(QUERY_TILE, len(self.names) - at)))
+            weights[column, query[mine] - at] = qtf[mine] * idf[token[mine]]
+            self.tiles.append((at, local, weights))
 
-def _sizes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """token, df; and one row: n, mean."""
-    df = found.where("token <> ''").groupBy("token").agg(F.count("*").alias("df"))
-    return df, found.where("token = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK_TILE):
+                yield from self._tile(batch.slice(lo, CHUNK_TILE))
+
+    def _tile(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, tf = (part.column(c).flatten().to_numpy() for c in ("ids", "tfs"))
+        row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column("ids")), np.int64))
+        length = part.column("length").to_numpy()[row]
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (self.mean or 1.0)))
+        cut = self.k if not self.once or len(pc.unique(part.column("chunk_id"))) == part.num_rows else None
+        place = np.full(self.size, -1)
+        for at, local, weights in self.tiles:
+            place[local] = np.arange(len(local))
+            column = place[ids]
+            place[local] = -1
+            has = column >= 0
+            matrix = np.zeros((part.num_rows, len(local)))
+            matrix[row[has], column[has]] = weight[has]
+            score = np.round(matrix @ weights, 9).T
+            good = score > 0
+            if cut is not None and part.num_rows > cut:
+                good &= score >= np.partition(score, -cut, axis=1)[:, -cut][:, None]
+            q, c = np.nonzero(good)
+            columns = [part.column(x).take(pa.array(c)) for x in _KEYS]
+            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(at + q)), *columns, pa.array(score[q, c])], names=["query_id", *_KEYS, "score"])
+
+
+def _ranked(chunks: DataFrame, queries: DataFrame, k: int, stop: tuple[str, ...], weigh: Callable[[np.ndarray, int], np.ndarray], once: bool) -> DataFrame:
+    """query_id, keys, score: at least the k best chunks of each query. weigh: idf of tokens from their document frequencies and
+    the number of chunks."""
+    spark = chunks.sparkSession
+    bounded_batches(spark)
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"), stop)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    asked = written(asked, "asked")
+    kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema.fields, queries.schema["query_id"])}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", *_KEYS)) + ", score double"
+    blocks, out = -(-asked.count() // QUERY_ROWS) or 1, None
+    for block in range(blocks):
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
+        wanted = pc.unique(rows.column("token"))
+        wanted = wanted.combine_chunks() if isinstance(wanted, pa.ChunkedArray) else wanted
+        if not len(wanted):
+            continue
+        found = _matches(chunks, wanted, stop)
+        n, mean = found.agg(F.count("*"), F.avg("length")).first()
+        df = np.zeros(len(wanted), np.int64)
+        for r in found.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect():  # a row a wanted token
+            df[r["id"]] = r["n"]
+        rows = rows.append_column("id", pc.index_in(rows.column("token"), value_set=wanted))
+        hits = found.mapInArrow(_Scores(rows, weigh(df, n), mean or 0.0, k, once), schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 3, stop: tuple[str, ...] = STOP_TOKENS) -> DataFrame:
     """The k best chunks of each query with a positive score.
 
-    Texts are read once; only tokens of some query are shuffled, so the shuffle grows with matches, not with the corpus.
+    Texts are read once, without a shuffle; a task scores its chunks by matrix products and keeps the best k of each tile (and what
+    ties with the last), so rows that move grow with tiles, not with matches.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"), stop)).alias("token"))
-    asked = asked.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    found = _matches(chunks, asked, stop)
-    df, size = _sizes(found)
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    shape = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.nullif("mean", F.lit(0.0)))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / shape
-    scored = (
-        found.join(df, "token")
-        .join(asked, "token")
-        .crossJoin(F.broadcast(size))
-        .groupBy("query_id", "uid", *_KEYS)
-        .agg(F.round(F.sum(part), 9).alias("score"))
-        .where("score > 0")
-    )
+    idf = lambda df, n: np.log1p((n - df + 0.5) / (df + 0.5))
+    scored = _ranked(chunks, queries, k, stop, idf, once=True)
     best = scored.groupBy("query_id", *_KEYS).agg(F.max("score").alias("score"))
     return top(best, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("bm25_lexical"))
 
 
-# Fixed value: share of the mean idf that a token in more than half of all chunks gets instead of a negative one.
-OKAPI_FLOOR = 0.25
-
-
 def okapi(chunks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """BM25 in the Okapi form: idf is the log odds of a token, negative ones are replaced by a share of the mean idf over all
     tokens of the corpus. No stop tokens, a chunk that occurs twice counts twice, scores above 0 only."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"), ())).alias("token"))
-    asked = asked.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    found = _matches(chunks, asked, ())
-    df, size = _sizes(found)
-    odds = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = index_stats(chunks, ()).crossJoin(F.broadcast(size)).agg(F.avg(odds).alias("mean_odds"))
-    idf = F.when(odds < 0, OKAPI_FLOOR * F.col("mean_odds")).otherwise(odds)
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.nullif("mean", F.lit(0.0))))
-    scored = (
-        found.join(df, "token")
-        .join(asked, "token")
-        .crossJoin(F.broadcast(size.crossJoin(mean)))  # one row
-        .groupBy("query_id", "uid", *_KEYS)
-        .agg(F.round(F.sum(part), 9).alias("score"))
-        .where("score > 0")
-    )
-    return top(scored, k, "document_id", "chunk_index", "chunk_id", "uid").drop("uid").withColumn("strategy", F.lit("rank_bm25_lexical"))
+    held: list[float] = []
+
+    def idf(df: np.ndarray, n: int) -> np.ndarray:
+        if not held:
+            odds = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+            held.append(index_stats(chunks, ()).agg(F.avg(odds)).first()[0] or 0.0)
+        odds = np.log(n - df + 0.5) - np.log(df + 0.5)
+        return np.where(odds < 0, OKAPI_FLOOR * held[0], odds)
+
+    scored = _ranked(chunks, queries, k, (), idf, once=False)
+    return top(scored, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("rank_bm25_lexical"))
 
 
 def top(scored: DataFrame, k: int, *ties: str, by: str = "query_id", score: str = "score") -> DataFrame:
@@ -160,10 +217,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, least: float = 0
     return top(once, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("vector_similarity"))
 
 
-#: Queries that meet a batch of vectors at once.
-QUERY_TILE = 512
-
-
 def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By size, the rows of a list column that have it (without nulls) and their vectors."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
