@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import byte_repeats, chat, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, substrings, tokenbin
+from quarrylight.llm import byte_repeats, chat, fingerprints, mixing, near_duplicates, packing, pieces, quality_classifier, quality_rules, resampling, substrings, tokenbin, vector_codes
 from quarrylight.tables import table
 
 
@@ -60,6 +60,23 @@ def op10_setsketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_and_decode(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_source_mix": op2_source_mix,
@@ -71,6 +88,9 @@ QUERIES = {
     "op8_importance_classifier": op8_importance_classifier,
     "op9_seed_extend": op9_seed_extend,
     "op10_setsketch_near": op10_setsketch_near,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_target_resampling": op13_target_resampling,
 }
 ORACLES = {
     "op2_source_mix": mixing.ORACLE_SQL,
@@ -79,4 +99,6 @@ ORACLES = {
     "op6_chat_format": chat.ORACLE_SQL,
     "op9_seed_extend": substrings.ORACLE_SQL,
     "op10_setsketch_near": near_duplicates.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_target_resampling": resampling.ORACLE_SQL,
 }

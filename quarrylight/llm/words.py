@@ -80,7 +80,9 @@ def windows(symbols: np.ndarray, k: int, multiplier: int = MULTIPLIERS[0]) -> np
 
 
 class Texts:
-    """Some documents' texts: bytes, words and their hashes. Null texts are empty."""
+    """Some documents' texts: bytes, words and their hashes. Null texts are empty. gaps: the bytes between words."""
+
+    gaps = _SPACE
 
     def __init__(self, column: pa.Array, lower: bool = False):
         column = column.cast(pa.large_binary())
@@ -102,7 +104,7 @@ class Texts:
 
     @cached_property
     def _edges(self) -> tuple[np.ndarray, np.ndarray]:
-        inside = ~_SPACE[self.bytes]
+        inside = ~self.gaps[self.bytes]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         firsts = self.offsets[:-1][np.diff(self.offsets) > 0]
