@@ -185,7 +185,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_mb: float
 
 
 def _part(path: str) -> int:
-    return int(re.search(r"part-(\d+)", path)[1])
+    """The number in a shard's own file name, whatever the folders above it are called."""
+    return int(re.match(r"part-(\d+)", path.rpartition("/")[2])[1])
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -223,7 +224,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                     names=["part", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    name = lambda c: F.regexp_extract(c, r"part-(\d+)", 1).cast("bigint")
+    name = lambda c: F.regexp_extract(c, r"^part-(\d+)", 1).cast("bigint")
     totals = spark.read.text(f"{path}/kind=totals").select(
         name(F.col("_metadata.file_name")).alias("p"), F.split("value", " ")[1].cast("bigint").alias("n")
     )
@@ -234,8 +235,9 @@ def read_tokens(spark, path: str) -> DataFrame:
         .select("path", "content")
         .mapInArrow(tidy(documents), "part bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     )
-    return read.join(totals, F.col("part") == F.col("p")).select(
-        "doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32"
+    lost = F.raise_error(F.concat(F.lit("no total for shard "), F.col("part"))).cast("bigint")
+    return read.join(totals, F.col("part") == F.col("p"), "left").select(
+        "doc_id", (F.col("start") + F.coalesce("shard_start", lost)).alias("start"), "n_tokens", "ids_crc32"
     )
 
 

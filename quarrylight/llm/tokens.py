@@ -4,16 +4,22 @@ The library's merges work inside one piece of its split pattern at a time, so th
 in a row. Pieces repeat far more than texts do: texts of plain Latin script are split here, each new piece goes to the
 library's model once (in the byte alphabet of byte-level BPE), and its ids are kept in a bounded table. Any other text
 goes to the library whole, and so does a text that holds the string of an added token: the library makes it that token's id.
+So do all texts where the vocabulary's file states another normalizer, splitting or kind of model than this way stands for.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import unicodedata
 from array import array
 from functools import lru_cache
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 CACHE_PIECES = 150_000
@@ -46,6 +52,17 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+def splits_by_bytes(library: Tokenizer) -> bool:
+    """Whether a tokenizer is plain byte-level BPE: no normalizer, the usual pattern without a leading space, merges only."""
+    stated = json.loads(library.to_str())
+    first, bpe = stated["pre_tokenizer"] or {}, stated["model"]
+    own = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return (
+        stated["normalizer"] is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        and bpe["type"] == "BPE" and not any(bpe.get(k) for k in own) and not stated.get("truncation") and not stated.get("padding")
+    )
+
+
 def packed(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -65,6 +82,7 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.model, self.alphabet, self.old = self.library.model, byte_alphabet(), {}
         self.split, self.other = _patterns()
+        self.by_piece = splits_by_bytes(self.library)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
@@ -85,7 +103,7 @@ class Encoder(dict):
         """The ids of a text; null counts as empty."""
         if not text:
             return b""
-        if self.other.search(text) or any(a in text for a in self.added):
+        if not self.by_piece or self.other.search(text) or any(a in text for a in self.added):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.split.findall(text)))
 

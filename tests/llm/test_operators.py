@@ -108,6 +108,31 @@ def test_token_blocks(docs, none):
     assert tokenbin.encode_and_read(none).count() == 0
 
 
+def test_token_blocks_under_any_folder(spark, docs, tmp_path):
+    """The number of a shard is in its own name, not in those of the folders above it; a shard without a total fails."""
+    path = f"file://{tmp_path}/part-7/kind=part-3"
+    tokenbin.write_tokens(docs, path, tokens.tokenizer_path())
+    read = sorted(tuple(r) for r in tokenbin.read_tokens(spark, path).fillna(-1, "doc_id").collect())
+    assert read == sorted(tuple(r) for r in tokenbin.encode_and_read(docs).fillna(-1, "doc_id").collect()) and len(read) == len(TEXTS)
+    for f in sorted((tmp_path / "part-7" / "kind=part-3" / "kind=totals").glob("part-*"))[:1]:
+        f.unlink()
+    with pytest.raises(Exception, match="no total for shard"):
+        tokenbin.read_tokens(spark, path).collect()
+
+
+def test_another_vocabulary(docs):
+    """Another tokenizer splits and normalises otherwise: its texts go to the library whole."""
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    other, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert not enc.by_piece and tokens.Encoder(tokens.tokenizer_path()).by_piece
+    want = {(d, len(ids := [*other.encode(t or "", add_special_tokens=False).ids, 0]), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, t in TEXTS}
+    assert {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenbin.encode_and_read(docs, path).collect()} == want
+    tokens_in = {r["doc_tokens"] for r in packing.pack(docs, path, length=64).collect()}
+    assert tokens_in == {n for _, n, _ in want}
+
+
 def test_encoder_is_the_library():
     enc = tokens.Encoder(tokens.tokenizer_path())
     rng = np.random.default_rng(2)
