@@ -77,26 +77,63 @@ def _matches(chunks: DataFrame, wanted: pa.Array, stop: tuple[str, ...]) -> Data
     return written(terms.mapInArrow(run, f"{kinds}, length bigint, ids array<int>, tfs array<int>"), "matches")
 
 
+class _Best:
+    """The k best rows (query_id, keys, score) of each query that a task has met, in the order of `top`: tiles are merged as they come,
+    and a task sends k rows a query at most. once: whether rows of the same keys count once, at their best."""
+
+    def __init__(self, k: int, once: bool):
+        self.k, self.once, self.held, self.rows, self.limit = k, once, [], 0, 1 << 16
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.held.append(batch)
+        self.rows += batch.num_rows
+        if self.rows > self.limit:
+            self.held = self._cut().to_batches()
+            self.rows = sum(b.num_rows for b in self.held)
+            self.limit = max(1 << 16, 4 * self.rows)
+
+    def _cut(self) -> pa.Table:
+        table = pa.Table.from_batches(self.held)
+        if self.once:
+            table = table.group_by(["query_id", *_KEYS]).aggregate([("score", "max")]).rename_columns({"score_max": "score"}).select(["query_id", *_KEYS, "score"])
+        keys = [("query_id", "ascending"), ("score", "descending"), *((c, "ascending") for c in ("document_id", "chunk_index", "chunk_id"))]
+        table = table.take(pc.sort_indices(table, keys, null_placement="at_start")).combine_chunks()
+        query = table.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        nth = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
+        return table.filter(pa.array(nth < self.k))
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        yield from self._cut().to_batches() if self.held else ()
+
+
 class _Scores:
-    """A task's part of BM25: batches of matches to the best chunks in them for each query."""
+    """A task's part of BM25: batches of matches to the best chunks for each query."""
 
     def __init__(self, rows: pa.Table, idf: np.ndarray, mean: float, k: int, once: bool):
         """rows: query_id, id (place of a token), qtf. once: whether a chunk id that occurs twice counts once."""
         codes = rows.column("query_id").combine_chunks().dictionary_encode()
         self.names, self.mean, self.k, self.once, self.size = codes.dictionary, mean, k, once, len(idf)
-        query, token, qtf = codes.indices.to_numpy(), rows.column("id").to_numpy(), rows.column("qtf").to_numpy()
-        self.tiles = []
+        query, token, worth = codes.indices.to_numpy(), rows.column("id").to_numpy(), rows.column("qtf").to_numpy() * idf[rows.column("id").to_numpy()]
+        order = np.argsort(query, kind="stable")
+        self.query, self.token, self.worth = query[order], token[order], worth[order]
+
+    def _tiles(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First query, places of tokens and their weights for each QUERY_TILE queries: made where they are used, from sparse rows."""
         for at in range(0, len(self.names), QUERY_TILE):
-            mine = (query >= at) & (query < at + QUERY_TILE)
-            local, column = np.unique(token[mine], return_inverse=True)
+            mine = slice(*np.searchsorted(self.query, (at, at + QUERY_TILE)))
+            local, column = np.unique(self.token[mine], return_inverse=True)
             weights = np.zeros((len(local), min(QUERY_TILE, len(self.names) - at)))
-            weights[column, query[mine] - at] = qtf[mine] * idf[token[mine]]
-            self.tiles.append((at, local, weights))
+            weights[column, self.query[mine] - at] = self.worth[mine]
+            yield at, local, weights
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(self.k, self.once)
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK_TILE):
-                yield from self._tile(batch.slice(lo, CHUNK_TILE))
+                for found in self._tile(batch.slice(lo, CHUNK_TILE)):
+                    best.add(found)
+        yield from best
 
     def _tile(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, tf = (part.column(c).flatten().to_numpy() for c in ("ids", "tfs"))
@@ -105,7 +142,7 @@ class _Scores:
         weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (self.mean or 1.0)))
         cut = self.k if not self.once or len(pc.unique(part.column("chunk_id"))) == part.num_rows else None
         place = np.full(self.size, -1)
-        for at, local, weights in self.tiles:
+        for at, local, weights in self._tiles():
             place[local] = np.arange(len(local))
             column = place[ids]
             place[local] = -1
@@ -151,8 +188,8 @@ def _ranked(chunks: DataFrame, queries: DataFrame, k: int, stop: tuple[str, ...]
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 3, stop: tuple[str, ...] = STOP_TOKENS) -> DataFrame:
     """The k best chunks of each query with a positive score.
 
-    Texts are read once, without a shuffle; a task scores its chunks by matrix products and keeps the best k of each tile (and what
-    ties with the last), so rows that move grow with tiles, not with matches.
+    Texts are read once, without a shuffle; a task scores its chunks by matrix products, merges the best of its tiles and sends k rows
+    a query at most, so rows that move grow with tasks, not with matches.
     """
     idf = lambda df, n: np.log1p((n - df + 0.5) / (df + 0.5))
     scored = _ranked(chunks, queries, k, stop, idf, once=True)
@@ -196,8 +233,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, least: float = 0
     """The k vectors of the largest cosine, above `least`, for each query (query_id, embedding): exact.
 
     Queries are a stated set: at most BROADCAST_QUERIES of them go to the tasks at once, more take another pass over the vectors
-    each. A task multiplies matrices batch by batch and keeps the best k of a batch (and what ties with the last) for each query,
-    so rows that move grow with batches, not with vectors times queries. Vectors of another size than a query's are not compared
+    each. A task multiplies matrices batch by batch, merges the best of its batches and sends k rows a query at most, so rows that
+    move grow with tasks, not with vectors times queries. Vectors of another size than a query's are not compared
     with it. Set `repeated` if chunk ids can occur twice; then each counts once, at its best, and batches are not cut.
     """
     spark = vectors.sparkSession
@@ -238,6 +275,15 @@ class _Neighbours:
         self.queries, self.k, self.least = _matrices(queries.column("v")), k, least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if self.k is None:
+            yield from self._found(batches)
+            return
+        best = _Best(self.k, False)
+        for found in self._found(batches):
+            best.add(found)
+        yield from best
+
+    def _found(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrices(batch.column("v"))
             for size, (q_rows, q) in self.queries.items():
