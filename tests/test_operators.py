@@ -204,6 +204,38 @@ def test_dedup_in_blocks_is_the_sequential_fold(spark):
         found = spark.createDataFrame([(p, n, u, s, k, e[0], e[1]) for p, n, _, u, _, k, s, e in rows], "pos bigint, name string, primary_url string, score double, source_type string, url string, snippet string")
         got = sorted((r["pos"], sorted(r["members"]), r["name"], r["primary_url"], round(r["score"], 2)) for r in entities.deduplicate(found).collect())
         assert got == fold_all(rows)
+        cut = rng.randint(0, 29)
+        members = entities.extend(entities.resolve(found.where(f"pos < {cut}")), found.where(f"pos >= {cut}"))
+        assert sorted((r["pos"], sorted(r["members"]), r["name"], r["primary_url"], round(r["score"], 2)) for r in entities.merged(members).collect()) == fold_all(rows)
+        assert members.count() == 30 and members.select("pos").distinct().count() == 30
+
+
+def test_new_results_fold_only_what_they_reach(spark):
+    row = "pos bigint, name string, primary_url string, score double, source_type string, url string, snippet string"
+    old = spark.createDataFrame([(k, f"Name{k} Co{k % 50}", f"https://s{k}.com", 0.9, "company", "https://e.io", str(k)) for k in range(100)], row)
+    members = entities.resolve(old)
+    more = spark.createDataFrame([(100, "Name3", "https://s3.com", 0.9, "company", "https://e.io", "new"), (101, "Other", "https://o.com", 0.9, "company", "https://e.io", "o")], row)
+    now = {r["pos"]: r["entity"] for r in entities.extend(members, more).collect()}
+    assert now == {k: k for k in range(100)} | {100: 3, 101: 101}
+
+
+def test_many_articles_of_one_domain_are_no_all_pairs():
+    """What a hundred thousand newcomers that share a site, and few names, take is no square of their number."""
+    import time
+
+    roster, rng, began = entities.Roster(), random.Random(3), time.process_time()
+    for k in range(100_000):
+        name = f"name{rng.randint(0, 60_000)} of {rng.randint(0, 9)}"
+        row = (name, name, name, "news.com" if k % 3 else "unknown", k % 5 == 0)
+        roster.admit(roster.find(*row[1:]), row)
+    assert len(roster.facts) > 1000 and time.process_time() - began < 20
+
+
+def test_rank_without_one_task(spark):
+    rows = spark.range(500).select((F.col("id") % 9 / 10).alias("score"), (F.col("id") % 4).cast("string").alias("name"), F.col("id").alias("pos"))
+    got = {r["pos"]: r["rank"] for r in entities.best_candidates(rows).collect()}
+    assert got == {p: k + 1 for k, p in enumerate(sorted(range(500), key=lambda p: (-(p % 9), str(p % 4), p)))}
+    assert {r["pos"]: r["rank"] for r in entities.best_candidates(rows, 7).collect()} == {p: k for p, k in got.items() if k <= 7}
 
 
 def test_components(spark):
