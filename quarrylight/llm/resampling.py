@@ -38,21 +38,22 @@ MIN_WORDS, PERCENT, SEED = 20, 25, 7
 TOGETHER = 2 << 20
 #: Rows of a partition of the ranking.
 RANKED = 1_000_000
-_GAPS = np.ones(256, bool)
-_GAPS[0x30:0x3A] = _GAPS[0x61:0x7B] = _GAPS[0x80:] = False
+#: Bytes of words as they are, all others as spaces.
+_LETTERS = np.full(256, 0x20, np.uint8)
+for _run in (slice(0x30, 0x3A), slice(0x61, 0x7B), slice(0x80, 0x100)):
+    _LETTERS[_run] = np.arange(256, dtype=np.uint8)[_run]
 
 
 class LetterTexts(Texts):
     """Words are runs of digits, a-z (after A-Z are lower-cased) and anything beyond ASCII."""
 
-    gaps = _GAPS
-
     def __init__(self, column: pa.Array):
         super().__init__(column, lower=True)
+        self.bytes = _LETTERS[self.bytes]
 
     def word_ids(self) -> tuple[np.ndarray, list[bytes]]:
         """The number of each word among the distinct words, and these."""
-        kept = self.bytes[~self.gaps[self.bytes]]
+        kept = self.bytes[self.bytes != 0x20]
         ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(kept))])
         coded = words.dictionary_encode()
