@@ -75,6 +75,19 @@ def gate(blocked: Column, evidences: Column, gap_type: Column, official: Column,
     )
 
 
+def program_gate(blocked: Column, evidences: Column, opportunity_type: Column, official: Column, confidence: Column) -> Column:
+    """struct(state, reason) of a program opportunity: as `gate`, by the rules for programs."""
+    result = lambda s, r: F.struct(F.lit(s).alias("state"), F.lit(r).cast("string").alias("reason"))
+    return (
+        F.when(F.size(blocked) > 0, F.struct(F.lit("blocked").alias("state"), F.get(blocked, F.lit(0)).alias("reason")))
+        .when(evidences == 0, result("blocked", "missing_startup_opportunity_evidence"))
+        .when(~opportunity_type.isin(*COVERED_PROGRAMS), result("hypothesis", "opportunity_type_not_covered_by_program_rules"))
+        .when(~F.coalesce(official, F.lit(False)), result("hypothesis", "missing_official_citation"))
+        .when(confidence < LEAST_CONFIDENCE, result("hypothesis", "low_opportunity_confidence"))
+        .otherwise(result("supported", None))
+    )
+
+
 def rank_recommendations(scored: DataFrame, by: str = "startup") -> DataFrame:
     """rank of each supported recommendation: by score, then gap type, document and chunk."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "gap_type", "document_id", "chunk_index")
