@@ -13,7 +13,9 @@ from quarrylight.operators import assessment, corpus, entities, profiles, recomm
 from quarrylight.operators.assessment import Vocabulary
 from quarrylight.operators.pages import extract
 from quarrylight.operators.policy import OfficialSources, scrape_reason
+from quarrylight.plans import downstream
 from quarrylight.sources.connectors import fetch, http_get
+from quarrylight.tables import written
 
 
 def profile_pages(html: DataFrame) -> DataFrame:
@@ -41,34 +43,24 @@ def controlled_run(spark: SparkSession, url: str, name: str = UNKNOWN, get: Call
     }
 
 
-def run_intelligence(
-    results: DataFrame,
-    pages: DataFrame,
-    documents: DataFrame,
-    chunks: DataFrame,
-    official: OfficialSources,
-    words: Vocabulary = assessment.DEFAULT,
-    k: int = 3,
-    stored: dict[str, DataFrame] | None = None,
-) -> dict[str, DataFrame]:
-    """All artifacts of a run by name. `stored` ones are taken as they are and not computed again.
+def _stages(out: dict[str, DataFrame]) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
+    """Makes a stage by name unless it is there, and writes it: later stages and readers share one pass."""
 
-    results: see entities.candidates; pages: see profiles.profile_fields (key: the candidate's pos); documents, chunks: see
-    corpus.read_corpus. Assessments need a run that is ready; otherwise they have no rows.
-    """
-    out = dict(stored or {})
-
-    def stage(name: str, make) -> DataFrame:  # noqa: ANN001
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in out:
-            out[name] = make()
+            out[name] = written(make(), f"run-{name}")
         return out[name]
 
+    return stage
+
+
+def _assessed(stage: Callable[[str, Callable[[], DataFrame]], DataFrame], results: DataFrame, pages: DataFrame, words: Vocabulary) -> tuple[DataFrame, ...]:
+    """Profile fields, evidence groups, texts, classified startups, wrapper risks and technical gaps of a run."""
     found = stage("candidates", lambda: entities.deduplicate(entities.candidates(results)))
     fields = stage("profile_fields", lambda: profiles.profile_fields(pages))
     n = found.agg(F.count("*").alias("candidates"))
     quality = stage("quality", lambda: profiles.collection_quality(n, fields))
-    claims = fields.withColumn("pos", F.lit(0))
-    groups = stage("evidence_groups", lambda: profiles.evidence_groups(claims))
+    groups = stage("evidence_groups", lambda: profiles.evidence_groups(fields.withColumn("pos", F.lit(0))))
     said = F.concat(F.array("value"), F.transform("evidences", lambda e: e["snippet"]))
     texts = (
         fields.where(F.col("value") != UNKNOWN)
@@ -85,6 +77,68 @@ def run_intelligence(
     )
     risks = stage("wrapper_risks", lambda: assessment.wrapper_risks(classified, "startup"))
     gaps = stage("technical_gaps", lambda: assessment.technical_gaps(classified, "startup", words=words))
+    return fields, groups, texts, classified, risks, gaps
+
+
+SOURCED = ("product", "sector", "technologies_used", "ai_signals")
+
+
+def run_startups(
+    results: DataFrame,
+    pages: DataFrame,
+    knowledge: downstream.Knowledge,
+    words: Vocabulary = assessment.DEFAULT,
+    stored: dict[str, DataFrame] | None = None,
+    earlier: dict[str, DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """A whole run: upstream stages from search results and pages, then each startup through the downstream workflow. stored: upstream
+    artifacts that are taken as they are; earlier: downstream tables of a run before, reused for startups whose inputs are the same.
+
+    A startup that was not assessed (its run was not ready) does not go downstream.
+    """
+    out = dict(stored or {})
+    stage = _stages(out)
+    fields, groups, texts, classified, risks, gaps = _assessed(stage, results, pages, words)
+    conflicts = groups.where("has_conflict").select(F.col("key").alias("startup"), "field")
+    judged = stage("diagnosis", lambda: assessment.diagnosis(classified, gaps, risks, conflicts, "startup"))
+    high = risks.groupBy("startup").agg(F.bool_or(F.col("severity") == "high").alias("high_risk"))
+    sourced = fields.where(F.col("field").isin(*SOURCED)).groupBy(F.col("key").alias("startup")).agg(F.sum(F.size("evidences")).cast("bigint").alias("evidences"))
+    run_quality = F.broadcast(out["quality"].select(F.col("ready").alias("collection_ready"), F.col("reasons").alias("collection_reasons")))  # one row
+    told = judged.select("startup", "classification", "confidence", F.col("ready").alias("diagnosis_ready"), F.col("reasons").alias("diagnosis_reasons"))
+    states = told.join(high, "startup", "left").join(texts.select("startup", F.coalesce("signals", F.lit("")).alias("signals")), "startup", "left").crossJoin(run_quality)
+    sold = assessment.opportunities(classified.join(judged.select("startup", F.col("ready").alias("is_ready")), "startup"), "startup", "is_ready", words)
+    held = {
+        "profiles": states,
+        "gaps": gaps.join(sourced, "startup", "left").withColumns({"evidences": F.coalesce("evidences", F.lit(0)), "description": F.col("gap_type")}),
+        "opportunities": sold.join(sourced, "startup", "left").withColumn("evidences", F.coalesce("evidences", F.lit(0))),
+        "fields": fields.select(F.col("key").alias("startup"), "field", F.row_number().over(Window.partitionBy("key").orderBy("field")).alias("pos"), "value", F.transform("evidences", lambda e: e["url"]).alias("evidences")),
+        "groups": groups.select(F.col("key").alias("startup"), "field", "has_conflict"),
+    }
+    assessed = judged.select("startup")
+    inputs = downstream.Inputs(**{k: written(v.join(assessed, "startup", "left_semi"), f"inputs-{k}") for k, v in held.items()})
+    out |= downstream.run(inputs, knowledge, earlier)
+    out["events"], out["outcome"] = downstream.events(out["states"]), downstream.outcome(out["states"])
+    return out
+
+
+def run_intelligence(
+    results: DataFrame,
+    pages: DataFrame,
+    documents: DataFrame,
+    chunks: DataFrame,
+    official: OfficialSources,
+    words: Vocabulary = assessment.DEFAULT,
+    k: int = 3,
+    stored: dict[str, DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """All artifacts of a run by name. `stored` ones are taken as they are and not computed again.
+
+    results: see entities.candidates; pages: see profiles.profile_fields (key: the candidate's pos); documents, chunks: see
+    corpus.read_corpus. Assessments need a run that is ready; otherwise they have no rows.
+    """
+    out = dict(stored or {})
+    stage = _stages(out)
+    fields, groups, texts, classified, risks, gaps = _assessed(stage, results, pages, words)
     conflicts = groups.where("has_conflict").select(F.col("key").alias("startup"), "field")
     diagnosis = stage("diagnosis", lambda: assessment.diagnosis(classified, gaps, risks, conflicts, "startup"))
     sourced = fields.where(F.col("field").isin("product", "sector", "technologies_used", "ai_signals")).groupBy(F.col("key").alias("startup")).agg(F.sum(F.size("evidences")).alias("evidences"))
