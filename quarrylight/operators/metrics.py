@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,20 +16,40 @@ def match_retrievals(expectations: DataFrame, retrievals: DataFrame) -> DataFram
     topics), then the only retrieval there is; earlier retrievals (pos) first. retrievals: query_id, pos, query, chunk_ids,
     document_ids, topics.
     """
-    alone = retrievals.agg(F.count("*").alias("retrievals"))
-    both = expectations.crossJoin(F.broadcast(alone)).crossJoin(F.broadcast(retrievals))  # expectations are reviewed by hand
-    query = fold(F.col("query"))
-    by_terms = (F.size("retrieval_query_terms") > 0) & F.forall("retrieval_query_terms", lambda t: F.contains(query, fold(t)))
-    target = fold(F.replace(F.col("target"), F.lit("_"), F.lit(" ")))
-    by_target = (
-        ((target != "") & F.contains(query, target))
-        | F.array_contains("topics", F.col("target"))
-        | F.arrays_overlap("chunk_ids", "expected_chunk_ids")
-        | F.arrays_overlap("document_ids", "expected_document_ids")
-    )
-    tier = F.when(by_terms, 1).when(by_target, 2).when(F.col("retrievals") == 1, 3)
-    chosen = both.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("expectation_id").agg(F.min_by("query_id", F.struct("tier", "pos")).alias("query_id"))
-    return expectations.select("expectation_id").join(chosen, "expectation_id", "left")
+    asked = retrievals.select("query_id", "pos", fold(F.col("query")).alias("said"), "chunk_ids", "document_ids", "topics")
+    said = asked.select("query_id", "pos", "said", F.explode(F.array_distinct(grams(F.col("said")))).alias("gram"))
+    # (1) by terms, and (2) by target in the query: a term's first letters meet the query's, then the text is read. Ids and topics are equal.
+    terms = F.transform("retrieval_query_terms", lambda t: fold(t))
+    wanted = expectations.select("expectation_id", terms.alias("terms"), fold(F.replace(F.col("target"), F.lit("_"), F.lit(" "))).alias("words"))
+    longest = F.element_at(F.array_sort(F.transform("terms", lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))), 1)["t"]
+    by_terms = _read(wanted.where(F.size("terms") > 0).withColumn("key", longest), said, F.forall("terms", lambda t: F.contains("said", t)))
+    by_words = _read(wanted.where(F.col("words") != "").withColumn("key", F.col("words")), said, F.contains("said", F.col("words")))
+    equal = None
+    for mine, theirs in ((F.array("target"), "topics"), (F.col("expected_chunk_ids"), "chunk_ids"), (F.col("expected_document_ids"), "document_ids")):
+        a = expectations.select("expectation_id", F.explode(mine).alias("x"))
+        part = a.join(asked.select("query_id", "pos", F.explode(theirs).alias("x")), "x").select("expectation_id", "query_id", "pos")
+        equal = part if equal is None else equal.unionByName(part)
+    tier = lambda df, n: df.groupBy("expectation_id").agg(F.min(F.struct(F.lit(n).alias("tier"), "pos", "query_id")).alias("best"))
+    found = tier(by_terms, 1).union(tier(by_words.unionByName(equal), 2)).groupBy("expectation_id").agg(F.min("best").alias("best"))
+    only = F.broadcast(retrievals.agg(F.count("*").alias("retrievals"), F.min("query_id").alias("only")))  # one row
+    out = expectations.select("expectation_id").join(found, "expectation_id", "left").crossJoin(only)
+    return out.select("expectation_id", F.coalesce(F.col("best.query_id"), F.when(F.col("retrievals") == 1, F.col("only"))).alias("query_id"))
+
+
+#: Letters of a term that bring it together with texts that may hold it.
+GRAM = 4
+
+
+def grams(text: Column) -> Column:
+    """Runs of GRAM characters of a text, those of its end shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
+
+
+def _read(wanted: DataFrame, said: DataFrame, holds: Column) -> DataFrame:
+    """expectation_id, query_id, pos where `holds`: candidates share the first letters of the expectation's key. A key shorter than a gram
+    meets the grams that begin with it: all its lengths are keys of a text too."""
+    short = said.select("query_id", "pos", "said", F.explode(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring("gram", F.lit(1), n))).alias("gram")).distinct()
+    return wanted.withColumn("gram", F.substring("key", 1, GRAM)).join(short, "gram").where(holds).select("expectation_id", "query_id", "pos")
 
 
 def cases(expectations: DataFrame, results: DataFrame) -> DataFrame:

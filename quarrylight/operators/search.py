@@ -37,21 +37,52 @@ def result_limit(limit: Column) -> Column:
     return F.when(limit.isNull(), DEFAULT_LIMIT).when(limit < 1, wrong).otherwise(limit.cast("int"))
 
 
-def parse_queries(queries: DataFrame, regions: DataFrame) -> DataFrame:
-    """query_id, query with region, region_type, theme, stage and limit (queries may have a column limit).
+# Words that say of what kind the place after them is, and words that may stand between.
+CITY_QUALIFIERS = ("cidade", "municipio")
+STATE_QUALIFIERS = ("estado", "uf")
+LOCATION_PREPOSITIONS = ("de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas")
+#: Kinds of places in order of trial; a place that its qualifier names comes before all others.
+PLACES = ("city", "state", "state_code", "macro_region", "country")
+#: Words of a place's name at most.
+PLACE_WORDS = 6
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)[^\w]+"), lambda w: w != "")
+
 
-    regions: alias, region, region_type, priority — a dimension in the order of trial (qualified places first), since aliases
-    overlap; the first that stands in the query as whole words wins.
+def place_of(queries: DataFrame, regions: DataFrame) -> DataFrame:
+    """query_id, region, region_type: the place that a query names, by kind in the order of trial, then by priority.
+
+    regions: alias (folded), region, region_type (PLACES), priority. A query's runs of words meet the aliases by equality, so a dimension
+    of any size is no loop; what meets is held against the folded text: whole words, and for cities and states whether "city
+    of", "state of" stand before.
     """
-    plain = F.concat(F.lit(" "), F.regexp_replace(fold(F.col("query")), r"[^\w-]+", " "), F.lit(" "))
-    hits = queries.join(F.broadcast(regions), F.contains(plain, F.concat(F.lit(" "), F.col("alias"), F.lit(" "))), "left")
-    best = hits.groupBy("query_id").agg(F.min_by(F.struct("region", "region_type"), "priority").alias("r"))
+    plain = queries.select("query_id", fold(collapse(F.col("query"))).alias("plain")).withColumn("ws", _words(F.col("plain")))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PLACE_WORDS)), lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size("ws"), F.lit(1))), lambda i: i + n - 1 <= F.size("ws")), lambda i: F.array_join(F.slice("ws", i, n), " "))))
+    said = plain.select("query_id", "plain", F.explode(F.array_distinct(runs)).alias("run"))
+    named = regions.select("alias", "region", "region_type", "priority", F.array_join(_words(F.col("alias")), " ").alias("run"))
+    literal = F.concat(F.lit(r"\Q"), "alias", F.lit(r"\E"))
+    whole = F.concat(F.lit(r"(?U)\b"), literal, F.lit(r"\b"))
+    between = rf"\s+(?:{'|'.join(LOCATION_PREPOSITIONS)})?\s*"
+    before = F.when(F.col("region_type") == "city", "|".join(CITY_QUALIFIERS)).when(F.col("region_type").isin("state", "state_code"), "|".join(STATE_QUALIFIERS))
+    qualified = F.coalesce(F.regexp_like("plain", F.concat(F.lit(r"(?U)\b(?:"), before, F.lit(rf"){between}"), literal, F.lit(r"\b"))), F.lit(False))
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, PLACES)), F.col("region_type")), F.lit(0)).cast("int")
+    rank = F.struct(F.when(qualified, kind).otherwise(kind + len(PLACES)).alias("tier"), "priority", "alias")
+    hits = said.join(named, "run").where(F.regexp_like("plain", whole)).select("query_id", F.struct("region", "region_type").alias("r"), rank.alias("rank"))
+    best = hits.groupBy("query_id").agg(F.min_by("r", "rank").alias("r"))
+    return best.select("query_id", "r.region", F.when(F.col("r.region_type") == "state_code", "state").otherwise(F.col("r.region_type")).alias("region_type"))
+
+
+def parse_queries(queries: DataFrame, regions: DataFrame) -> DataFrame:
+    """query_id, query with region, region_type (see `place_of`), theme, stage and limit (queries may have a column limit)."""
     limit = F.col("limit") if "limit" in queries.columns else F.lit(None).cast("int")
-    return queries.join(best, "query_id").select(
+    return queries.join(place_of(queries, regions), "query_id", "left").select(
         "query_id",
         collapse(F.col("query")).alias("query"),
-        F.coalesce("r.region", F.lit(UNKNOWN)).alias("region"),
-        F.coalesce("r.region_type", F.lit(UNKNOWN)).alias("region_type"),
+        F.coalesce("region", F.lit(UNKNOWN)).alias("region"),
+        F.coalesce("region_type", F.lit(UNKNOWN)).alias("region_type"),
         first_alias(F.col("query"), THEMES | BARE_THEMES).alias("theme"),
         first_alias(F.col("query"), STAGES).alias("stage"),
         result_limit(limit).alias("limit"),

@@ -6,11 +6,14 @@ Changes to any number of tables become visible in one commit.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def replace_by_key(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -59,25 +62,30 @@ def reusable(artifacts: DataFrame, corpus_version: str, wanted: str | None = Non
     return artifacts.crossJoin(F.broadcast(verdict)).where("ok").drop("ok")
 
 
+#: Versions are folders of a partition column, so that one scan reads them all; no table may have a column of this name.
+VERSION = "store_version"
+
+
 class RunStore:
     """Tables under one folder, in numbered commits that span tables.
 
-    <root>/<table>/v-<id>/...     versions of a table's partitions, written before the commit that names them
-    <root>/_commits/<n>.json      for each table the folders that make it up after commit n
+    <root>/<table>/store_version=v-<id>/...   versions of a table's partitions, written before the commit that names them
+    <root>/_commits/<n>.json      for each table the folders that make it up after commit n, and its columns
 
-    A commit file is written under another name and renamed to the next number, which fails if that number is taken: of two
-    writers one has to try again, a reader sees all of a commit or nothing, and a writer that dies leaves the old state. Versions
-    that no commit names are litter that `vacuum` removes.
+    A writer claims a number by creating <n>.claim, which fails where it is there, and then renames its draft to <n>.json: of two
+    writers one has to try again on what the other has made, a reader sees all of a commit or nothing, and a writer that dies
+    leaves the old state. A claim without a commit for longer than PATIENCE seconds is taken for dead. Versions that no commit names
+    are litter that `vacuum` removes. A table is read by one scan, however many versions make it up.
     """
 
-    ATTEMPTS = 20
+    ATTEMPTS, PATIENCE = 200, 60
+    COLUMNS = "#columns"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._rename_mode = jvm.org.apache.hadoop.fs.Options
 
     # commits
 
@@ -88,8 +96,9 @@ class RunStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def _state(self, number: int | None = None) -> tuple[int, dict[str, list[str]]]:
-        """The last commit's number and, by table, its folders; 0 and nothing before the first."""
+    def _state(self, number: int | None = None) -> tuple[int, dict]:
+        """The last commit's number and, by table, its folders (and under COLUMNS, by table, their schema); 0 and nothing before the
+        first."""
         number = max(self._numbers(), default=0) if number is None else number
         if not number:
             return 0, {}
@@ -99,17 +108,35 @@ class RunStore:
         finally:
             stream.close()
 
-    def _commit(self, number: int, state: dict[str, list[str]]) -> bool:
+    def _claim(self, number: int) -> bool:
+        """Whether this writer has the number. Local file systems create exclusively by their own call only."""
+        name = f"{self.root}/_commits/{number}.claim"
+        self._fs.mkdirs(self._path(f"{self.root}/_commits"))
+        try:
+            if self._fs.getScheme() == "file":
+                files = self.spark._jvm.java.nio.file
+                files.Files.createFile(files.Paths.get(self._path(name).toUri().getPath(), self.spark._sc._gateway.new_array(self.spark._jvm.java.lang.String, 0)), self.spark._sc._gateway.new_array(files.attribute.FileAttribute, 0))
+            else:
+                self._fs.create(self._path(name), False).close()
+        except Py4JJavaError:
+            if not self._fs.exists(self._path(name)):
+                raise
+            made = self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+            if time.time() - made > self.PATIENCE and not self._fs.exists(self._path(f"{self.root}/_commits/{number}.json")):
+                self._fs.delete(self._path(name), False)
+            return False
+        return True
+
+    def _commit(self, number: int, state: dict) -> bool:
         """Whether commit `number` could be made."""
-        draft = self._path(f"{self.root}/_commits/draft-{uuid.uuid4().hex}")
         final = self._path(f"{self.root}/_commits/{number}.json")
+        if self._fs.exists(final) or not self._claim(number):
+            return False
+        draft = self._path(f"{self.root}/_commits/draft-{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         stream.close()
-        done = not self._fs.exists(final) and self._fs.rename(draft, final)
-        if not done:
-            self._fs.delete(draft, False)
-        return done
+        return bool(self._fs.rename(draft, final))
 
     def transaction(self) -> Transaction:
         """with store.transaction() as t: t.replace(...); ... — all tables change in one commit, or none if the block fails."""
@@ -118,30 +145,29 @@ class RunStore:
     def vacuum(self) -> int:
         """Remove versions that the last commit does not name; returns how many. Not beside running writers or readers."""
         _, state = self._state()
-        kept, gone = {f.split("/")[0] for folders in state.values() for f in folders}, 0
+        kept, gone = {f.split("/")[0] for t in self.tables(state) for f in state[t]}, 0
         for table in self.tables(state):
             for f in self._fs.listStatus(self._path(f"{self.root}/{table}")):
                 name = f.getPath().getName()
-                if name.startswith("v-") and name not in kept:
+                if name.startswith(f"{VERSION}=") and name not in kept:
                     gone += bool(self._fs.delete(f.getPath(), True))
         return gone
 
     # tables
 
-    def tables(self, state: dict[str, list[str]] | None = None) -> list[str]:
-        return sorted(self._state()[1] if state is None else state)
+    def tables(self, state: dict | None = None) -> list[str]:
+        return sorted(t for t in (self._state()[1] if state is None else state) if t != self.COLUMNS)
 
     def read(self, table: str, **where: object) -> DataFrame:
         """A table as of the last commit, with the rows that have the given values; partitions without them are not read."""
         return self._read(self._state()[1], table, **where)
 
-    def _read(self, state: dict[str, list[str]], table: str, **where: object) -> DataFrame:
+    def _read(self, state: dict, table: str, **where: object) -> DataFrame:
         if table not in state:
             raise KeyError(table)
-        out = None
-        for folder in state[table]:
-            part = self.spark.read.option("basePath", f"{self.root}/{table}/{folder.split('/')[0]}").parquet(f"{self.root}/{table}/{folder}")
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        columns = T.StructType.fromJson(state[self.COLUMNS][table])
+        paths = [f"{self.root}/{table}/{folder}" for folder in state[table]]
+        out = self.spark.read.schema(columns).option("basePath", f"{self.root}/{table}").parquet(*paths).select(*columns.names)
         for column, value in where.items():
             out = out.where(F.col(column) == F.lit(value))
         return out
@@ -179,6 +205,10 @@ class Transaction:
     def upsert(self, table: str, rows: DataFrame, *keys: str, partitions: tuple[str, ...] = ()) -> None:
         self.steps.append((table, rows, keys, partitions, "upsert"))
 
+    def insert(self, table: str, rows: DataFrame, *keys: str, partitions: tuple[str, ...] = ()) -> None:
+        """Adds rows of new keys; fails where the table has one of them when the commit is made. Nothing is written again."""
+        self.steps.append((table, rows, keys, partitions, "insert"))
+
     def __exit__(self, kind, value, trace) -> None:  # noqa: ANN001
         if kind is not None:
             return
@@ -188,31 +218,49 @@ class Transaction:
                 self._apply(state, *step)
             if self.store._commit(number + 1, state):
                 return
+            time.sleep(0.05)
         raise RuntimeError(f"{self.store.ATTEMPTS} other writers were faster")
 
-    def _apply(self, state: dict[str, list[str]], table: str, rows: DataFrame, keys: tuple[str, ...], partitions: tuple[str, ...], how: str) -> None:
+    def _apply(self, state: dict, table: str, rows: DataFrame, keys: tuple[str, ...], partitions: tuple[str, ...], how: str) -> None:
         """Writes the table's next version; where it is partitioned by its first key, only the partitions that `rows` touches."""
         if how == "create" and table in state:
             raise FileExistsError(f"{table} exists in {self.store.root}")
-        name = f"v-{uuid.uuid4().hex}"
+        name = f"{VERSION}=v-{uuid.uuid4().hex}"
         folders = state.get(table, [])
-        if how == "create" or not folders:
+        if how == "insert":
+            if folders and not self.store._read(state, table).join(rows.select(*keys), list(keys), "left_semi").isEmpty():
+                raise FileExistsError(f"{table} has a row of these keys")
+            fresh, kept = rows, folders
+        elif how == "create" or not folders:
             fresh, kept = (upsert(rows.limit(0), rows, *keys) if how == "upsert" else rows), []
         elif partitions and partitions[0] in keys:
-            column = partitions[0]
-            touched = {f"{column}={_folder(v[0])}" for v in rows.select(F.col(column).cast("string")).distinct().collect()}  # a run or two
-            whole = [f for f in folders if "/" not in f]
-            split = [f"{f}/{p}" for f in whole for p in self._parts(table, f)] + [f for f in folders if "/" in f]
-            kept = [f for f in split if f.split("/")[1] not in touched]
-            old = [f for f in split if f.split("/")[1] in touched]
-            fresh = rows if not old else self._merged(state, table, old, rows, keys, how)
+            fresh, kept = self._partly(state, table, rows, keys, partitions[0], how)
         else:
             kept, fresh = [], self._merged(state, table, folders, rows, keys, how)
         writer = fresh.write.partitionBy(*partitions) if partitions else fresh.write
         writer.parquet(f"{self.store.root}/{table}/{name}")
         state[table] = [*kept, name]
-
-    def _merged(self, state: dict[str, list[str]], table: str, folders: list[str], rows: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+        known = state.setdefault(self.store.COLUMNS, {})
+        have = T.StructType.fromJson(known[table]).fields if table in known and kept else []
+        more = [f for f in fresh.schema.fields if f.name not in {h.name for h in have}]
+        known[table] = json.loads(T.StructType([T.StructField(f.name, f.dataType, True) for f in (*have, *more)]).json())
+
+    #: Partitions that a change may name one by one; one of more rewrites the table.
+    NAMED = 10_000
+
+    def _partly(self, state: dict, table: str, rows: DataFrame, keys: tuple[str, ...], column: str, how: str) -> tuple[DataFrame, list[str]]:
+        """The rows of the partitions that `rows` touches, as they become, and the folders of the others."""
+        folders = state[table]
+        values = rows.select(F.col(column).cast("string")).distinct().limit(self.NAMED + 1).collect()
+        if len(values) > self.NAMED:
+            return self._merged(state, table, folders, rows, keys, how), []
+        touched = {f"{column}={_folder(v[0])}" for v in values}
+        whole = [f for f in folders if "/" not in f]
+        split = [f"{f}/{p}" for f in whole for p in self._parts(table, f)] + [f for f in folders if "/" in f]
+        old = [f for f in split if f.split("/")[1] in touched]
+        return (rows if not old else self._merged(state, table, old, rows, keys, how)), [f for f in split if f.split("/")[1] not in touched]
+
+    def _merged(self, state: dict, table: str, folders: list[str], rows: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
         have = self.store._read(state | {table: folders}, table)
         return upsert(have, rows, *keys) if how == "upsert" else replace_by_key(have, rows, *keys)
 
@@ -256,9 +304,8 @@ def new_run(store: RunStore, run_id: str | None = None, **about: object) -> str:
     """Append a run to the table `runs` and return its id: a given one, which must be new, or one of the time and a random part."""
     name = run_id or f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:12]}"
     row = store.spark.range(1).select(F.lit(name).alias("run_id"), F.current_timestamp().alias("created_at"), *[F.lit(v).alias(k) for k, v in about.items()])
-    if "runs" in store.tables() and not store.read("runs", run_id=name).isEmpty():
-        raise FileExistsError(name)
-    store.upsert("runs", row, "run_id")
+    with store.transaction() as t:
+        t.insert("runs", row, "run_id")
     return name
 
 

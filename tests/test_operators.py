@@ -298,6 +298,45 @@ def test_search(spark):
     assert {r["query_id"]: (r["region"], r["theme"], r["stage"]) for r in search.parse_queries(asked, regions).collect()} == {1: ("SP", "generative_ai", "early_stage"), 2: ("unknown", "unknown", "unknown")}
 
 
+def test_places_by_kind_and_qualifier(spark):
+    kind = "alias string, region string, region_type string, priority int"
+    some = [("sao paulo", "SP-city", "city", 1), ("rio de janeiro", "RJ-city", "city", 2), ("sao paulo", "SP", "state", 1), ("bahia", "BA", "state", 2), ("ba", "BA", "state_code", 1),
+            ("nordeste", "NE", "macro_region", 1), ("brasil", "BR", "country", 1), ("c++ (vila)", "odd", "city", 3), ("a.b", "dot", "city", 4)]
+    regions = spark.createDataFrame([*some, *((f"lugar {k}", f"L{k}", "city", 100 + k) for k in range(5000))], kind)
+    said = {
+        "fintechs em São Paulo": "SP-city", "fintechs no estado de São Paulo": "SP", "estado São Paulo, cidade do Rio de Janeiro": "RJ-city", "uf BA e nordeste": "BA",
+        "no nordeste do Brasil": "NE", "Brasil": "BR", "bar na praia": None, "Bahia ou São  Paulo": "SP-city", "lugar 4321 da bahia": "L4321", "lugar 43": "L43", "a.b": "dot", "axb": None, "": None, None: None,
+    }
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(said)], "query_id int, query string")
+    got = {r["query_id"]: r["region"] for r in search.place_of(asked, regions).collect()}
+    assert {q: got.get(i) for i, q in enumerate(said)} == said
+    plan = search.parse_queries(asked, regions)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_expectations_meet_retrievals_without_all_pairs(spark):
+    import unicodedata
+
+    def plain(t):
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().strip()
+
+    rng = random.Random(4)
+    words = ["model", "serving", "voz", "ai", "é", "data lake", "x"]
+    runs = [(k, k, " ".join(rng.choices(words, k=rng.randint(0, 4))), [f"c{rng.randint(0, 9)}"], [f"d{rng.randint(0, 30)}"], [rng.choice(["model_serving", "voz"])]) for k in range(40)]
+    wanted = [(f"e{k}", rng.choice(["model_serving", "data_lake", "zzz", "", "voz"]), rng.sample(["c3", "c99"], k % 2), rng.sample(["d7", "d99"], k % 3 // 2), rng.choices([*words, "Serving ", "", "nope"], k=k % 4)) for k in range(60)]
+
+    def best(e):
+        _, target, chunks, documents, terms = e
+        w = plain(target.replace("_", " "))
+        tiers = [(1 if terms and all(plain(t) in plain(q) for t in terms) else 2 if (w and w in plain(q)) or target in topics or set(cs) & set(chunks) or set(ds) & set(documents) else 9, p, i) for i, p, q, cs, ds, topics in runs]
+        return min(tiers)[2] if min(tiers)[0] < 9 else None
+
+    e = spark.createDataFrame(wanted, "expectation_id string, target string, expected_chunk_ids array<string>, expected_document_ids array<string>, retrieval_query_terms array<string>")
+    r = spark.createDataFrame(runs, "query_id bigint, pos int, query string, chunk_ids array<string>, document_ids array<string>, topics array<string>")
+    assert {x["expectation_id"]: x["query_id"] for x in metrics.match_retrievals(e, r).collect()} == {x[0]: best(x) for x in wanted}
+    assert {x["query_id"] for x in metrics.match_retrievals(e, r.where("query_id = 0")).collect()} == {0}
+
+
 def test_secrets():
     env = {"X_API_KEY": " abcd ", "DATABASE_URL": "postgres://u:pass@h/db", "PLAIN": "zzzz", "MY_TOKEN": "abc", "NAMED": "other1"}
     assert secrets.secret_values(env, ("NAMED",)) == ("abcd", "postgres://u:pass@h/db", "pass", "other1")
@@ -386,7 +425,7 @@ def test_store(spark, tmp_path):
     store.replace("p", rows(("c/d", 2, "new"), ("e", 1, "w")), "run", partitions=("run",))
     store.upsert("p", rows(("b", 1, "up"), ("b", 2, "more")), "run", "k", partitions=("run",))
     assert sorted((r["run"], r["k"], r["v"]) for r in store.read("p").collect()) == [("a", 1, "x"), ("b", 1, "up"), ("b", 2, "more"), ("c/d", 2, "new"), ("e", 1, "w")]
-    left = len(list((tmp_path / "store" / "p").glob("v-*/run=a")))
+    left = len(list((tmp_path / "store" / "p").glob("*/run=a")))
     assert left == 1  # an untouched partition is not written again
     held = spark.createDataFrame([("1", "f"), ("1", "f")], "corpus_version string, fingerprint string")
     assert [reusable(held, v, f).count() for v, f in (("1", None), ("1", "f"), ("2", None), ("1", "g"))] == [2, 2, 0, 0]
@@ -431,3 +470,43 @@ def test_corpus_file(spark, tmp_path):
     assert (profile["stack_name"], profile["citation_chunk_ids"]) == ("n", ["d:0"])
     broken = pieces.union(pieces)
     assert {r["reason"] for r in corpus.corpus_issues(head, documents, broken, official).collect()} == {"duplicate_chunk_id:d:0", "non_consecutive_chunk_indices:expected:0,1:actual:0,0"}
+
+
+def test_store_is_one_scan_and_one_of_two_writers_wins(spark, tmp_path):
+    import threading
+
+    store = RunStore(spark, f"file://{tmp_path}/runs")
+    rows = lambda run, n: spark.createDataFrame([(run, k, f"{run}{n}") for k in range(2)], "run_id string, k int, v string")
+    for n in range(12):
+        store.replace("t", rows(f"r{n % 8}", n), "run_id", partitions=("run_id",))
+    plan = store.read("t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert {(r["run_id"], r["v"]) for r in store.read("t").collect()} == {(f"r{n % 8}", f"r{n % 8}{n}") for n in range(4, 12)}
+    assert {r["v"] for r in store.read("t", run_id="r3").collect()} == {"r311"}
+    wider = rows("r0", 99).withColumn("more", F.lit(1))
+    store.replace("t", wider, "run_id", partitions=("run_id",))
+    assert {(r["v"], r["more"]) for r in store.read("t").where("run_id in ('r0', 'r1')").collect()} == {("r099", 1), ("r19", None)}
+    done = []
+
+    def write():
+        try:
+            done.append(new_run(store, "same"))
+        except FileExistsError:
+            done.append(None)
+
+    writers = [threading.Thread(target=write) for _ in range(4)]
+    [w.start() for w in writers]
+    [w.join() for w in writers]
+    assert sorted(done, key=str) == [None, None, None, "same"] and store.read("runs").where("run_id = 'same'").count() == 1
+    others = [threading.Thread(target=lambda k=k: new_run(store, f"n{k}", kind=str(k))) for k in range(4)]
+    [w.start() for w in others]
+    [w.join() for w in others]
+    assert {r["run_id"]: r["kind"] for r in store.read("runs").collect()} == {"same": None} | {f"n{k}": str(k) for k in range(4)}
+
+
+def test_a_dead_claim_holds_nobody_up(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/runs")
+    store.PATIENCE = 0.2
+    (tmp_path / "runs" / "_commits").mkdir(parents=True)
+    (tmp_path / "runs" / "_commits" / "1.claim").touch()
+    assert new_run(store, "a") == "a" and store.read("runs").count() == 1
