@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,15 +171,27 @@ def rerank_topk(spark, sf):
     return _rerank(_hybrid(spark, sf)).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.col("original_rank").cast("bigint").alias("original_rank"), "rerank_score")
 
 
-def _expectations(spark, sf):
-    """Each passage expects the documents that BM25 ranks first to third."""
-    held = bm25_topk(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("expected_chunk_ids"))
-    return held.select(F.col("query_id").alias("expectation_id"), "query_id", "expected_chunk_ids", F.array().cast("array<bigint>").alias("expected_document_ids"))
+@dataclass(frozen=True)
+class _Given:
+    """A retriever of results that are there already."""
+
+    results: DataFrame
+
+    def retrieve(self, queries, k):
+        return self.results.where(F.col("rank") <= k)
+
+
+def _retrieved(spark, sf):
+    """BM25's results and their fusion with the neighbours, from one search of the texts."""
+    lexical = written(retrieval.bm25(_chunks(spark, sf), _asked(spark, sf)), "lexical")
+    return lexical, written(retrieval.Hybrid(_Given(lexical), _ById(spark, sf)).retrieve(_asked(spark, sf), 3), "hybrid")
 
 
-def _cases(spark, sf, *runs):
-    """Cases of each run of results; what is expected is found once."""
-    wanted = written(_expectations(spark, sf), "expectations")
+def _cases(lexical, *runs):
+    """Cases of each run of results; each passage expects the documents that BM25 ranks first to third."""
+    held = lexical.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("expected_chunk_ids"))
+    wanted = held.select(F.col("query_id").alias("expectation_id"), "query_id", "expected_chunk_ids", F.array().cast("array<bigint>").alias("expected_document_ids"))
+    wanted = written(wanted, "expectations")
     return [metrics.cases(wanted, r) for r in runs]
 
 
@@ -186,28 +200,28 @@ def _nearest(spark, sf):
 
 
 def retrieval_cases(spark, sf):
-    return _cases(spark, sf, _hybrid(spark, sf))[0].select(
+    return _cases(*_retrieved(spark, sf))[0].select(
         "expectation_id", "expected", "retrieved", "matched", "top_1", "covered", F.array_join("failure_reasons", ",").alias("failure_reasons"),
         F.array_join(F.col("matched_ids").cast("array<string>"), ",").alias("matched_ids"),
     )
 
 
 def retrieval_summary(spark, sf):
-    return metrics.summary(_cases(spark, sf, _hybrid(spark, sf))[0])
+    return metrics.summary(_cases(*_retrieved(spark, sf))[0])
 
 
 def strategy_comparison(spark, sf):
-    hybrid = _hybrid(spark, sf)
+    lexical, hybrid = _retrieved(spark, sf)
     names = ("vector", "first", "hybrid")
-    found = _cases(spark, sf, _nearest(spark, sf), hybrid.where("rank = 1"), hybrid)
+    found = _cases(lexical, _nearest(spark, sf), hybrid.where("rank = 1"), hybrid)
     rows = [metrics.summary(c).select(F.lit(name).alias("strategy"), F.lit(pos).alias("pos"), "*") for pos, (name, c) in enumerate(zip(names, found, strict=True))]
     return metrics.best_strategies(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 def rerank_delta(spark, sf):
-    hybrid = _hybrid(spark, sf)
+    lexical, hybrid = _retrieved(spark, sf)
     after = _rerank(hybrid).select("query_id", "chunk_id", "document_id", "rank", F.lit("rerank").alias("strategy"))
-    before, then = _cases(spark, sf, hybrid, after)
+    before, then = _cases(lexical, hybrid, after)
     return metrics.rerank_delta(metrics.summary(before), metrics.summary(then))
 
 

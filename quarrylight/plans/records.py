@@ -468,10 +468,16 @@ def run_folder(spark, sf):
     return part("raw_pages", "raw_pages").unionByName(part("downstream/a/quality", "quality"))
 
 
-@query("""SELECT 'a' AS run_id, 2 AS n UNION ALL SELECT 'b', 1""")
+@query("""SELECT source AS kind, count(*) + 1 AS runs, count(*) AS given FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY 1""")
 def run_rows(spark, sf):
-    """Runs are appended under ids of their own; ids that the store gives are new."""
+    """Runs are appended under ids of their own: one for each source and language, all in one commit, and one for each source whose id
+    the store gives; an id that is there is refused."""
     runs = _store(spark)
-    given = [store.new_run(runs, x, kind=x[0]) for x in ("a1", "b1")] + [store.new_run(runs, kind="a")]
-    kept = runs.read("runs")
-    return kept.where(F.col("run_id").isin(given)).groupBy(F.col("kind").alias("run_id")).agg(F.count("*").cast("int").alias("n"))
+    made = _docs(spark, sf).where("source IS NOT NULL AND lang IS NOT NULL").select(F.concat_ws("/", "source", "lang").alias("run_id"), F.col("source").alias("kind")).distinct()
+    with runs.transaction() as t:
+        t.insert("runs", made.withColumn("created_at", F.current_timestamp()).select("run_id", "created_at", "kind"), "run_id")
+    fresh = made.select("kind").distinct().select(F.expr("uuid()").alias("run_id"), F.current_timestamp().alias("created_at"), "kind")
+    with runs.transaction() as t:
+        t.insert("runs", fresh, "run_id")
+    given = F.count_if(F.startswith("run_id", F.concat("kind", F.lit("/")))).alias("given")
+    return runs.read("runs").groupBy("kind").agg(F.count("*").alias("runs"), given)
