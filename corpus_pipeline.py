@@ -2,6 +2,11 @@
 
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
 columns of documents. Stages are written as Parquet and read again in between.
+
+Defined results: a document without text (null or empty) has the weight 0 for the classifier, is linked with nothing, has nothing to
+cut, and is not mixed, since it has no words; null ids are documents like others, null sources a source; of
+repeated rows near-duplicates keep one that has words; ties follow the operators' own orders, so reruns agree; very long texts go through
+whole; an empty table gives no rows of the last stage's columns; further columns of documents go along to the mix, whatever their names.
 """
 
 from __future__ import annotations
