@@ -9,7 +9,8 @@ Template: ``<|im_start|>ROLE\nTEXT<|im_end|>\n`` a turn. In roles and texts a ba
 
 Defined results: null text is empty, null role is empty; turns with the same number are ordered by role, then text;
 repeated rows are repeated turns; records of no known layout are kept apart (layout null) and have no turns; an empty
-table gives no conversations; fields no layout names are ignored.
+table gives no conversations; fields no layout names are ignored. A conversation is one row, its turns an array: one of very
+many turns needs an executor that holds its text.
 """
 
 from __future__ import annotations
