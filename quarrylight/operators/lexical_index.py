@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions.text import STOP_TOKENS, tokens
-from quarrylight.operators.retrieval import _KEYS, K1, QUERY_ROWS, B, index_terms, top
+from quarrylight.operators.retrieval import _KEYS, K1, QUERY_ROWS, B, best_pairs, index_terms, top
 from quarrylight.tables import bounded_batches, partitions_for, written
 
 SPAN_BITS = 9
@@ -306,12 +306,8 @@ class _Spans:
         kept = local[token] >= 0
         matrix = np.zeros((len(places), len(used)))
         matrix[row[kept], local[token[kept]]] = worth[kept]
-        score = np.round(matrix @ weights, 9).T
-        good = score > 0
-        if score.shape[1] > self.k:
-            good &= score >= np.partition(score, -self.k, axis=1)[:, -self.k][:, None]
-        qi, ci = np.nonzero(good)
-        columns = [queries.take(pa.array(qi)), pa.array(np.full(len(qi), span, np.int64)), pa.array(places[ci].astype(np.int32)), pa.array(score[qi, ci])]
+        qi, ci, score = best_pairs(matrix, weights, self.k)
+        columns = [queries.take(pa.array(qi)), pa.array(np.full(len(qi), span, np.int64)), pa.array(places[ci].astype(np.int32)), pa.array(score)]
         return [pa.RecordBatch.from_arrays(columns, schema=self._schema())]
 
     def _schema(self) -> pa.Schema:

@@ -8,6 +8,7 @@ Scores are ranked at nine places, so that a sum in another order can't change a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -107,6 +108,27 @@ class _Best:
         yield from self._cut().to_batches() if self.held else ()
 
 
+def best_pairs(matrix: np.ndarray, weights: np.ndarray, cut: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score above 0 of at least each query's `cut` best rows (all without one) of matrix @ weights.
+
+    The product only picks them: how it adds up depends on what stands beside a row, and the last bit can decide to which ninth place a
+    score goes. What is picked is added up again, rounded once, so equal texts have equal scores wherever they are.
+    """
+    rough = (matrix @ weights).T
+    good = rough > 4e-10
+    if cut is not None and rough.shape[1] > cut:
+        good &= rough >= np.partition(rough, -cut, axis=1)[:, -cut][:, None] - 2e-9
+    q, c = np.nonzero(good)
+    score = np.zeros(len(q))
+    ends = np.searchsorted(q, np.arange(len(rough) + 1))
+    for i in np.unique(q).tolist():
+        mine, held = slice(ends[i], ends[i + 1]), np.flatnonzero(weights[:, i])
+        score[mine] = [math.fsum(x) for x in (matrix[np.ix_(c[mine], held)] * weights[held, i]).tolist()]
+    score = np.round(score, 9)
+    kept = score > 0
+    return q[kept], c[kept], score[kept]
+
+
 class _Scores:
     """A task's part of BM25: batches of matches to the best chunks for each query."""
 
@@ -149,13 +171,9 @@ class _Scores:
             has = column >= 0
             matrix = np.zeros((part.num_rows, len(local)))
             matrix[row[has], column[has]] = weight[has]
-            score = np.round(matrix @ weights, 9).T
-            good = score > 0
-            if cut is not None and part.num_rows > cut:
-                good &= score >= np.partition(score, -cut, axis=1)[:, -cut][:, None]
-            q, c = np.nonzero(good)
+            q, c, score = best_pairs(matrix, weights, cut)
             columns = [part.column(x).take(pa.array(c)) for x in _KEYS]
-            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(at + q)), *columns, pa.array(score[q, c])], names=["query_id", *_KEYS, "score"])
+            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(at + q)), *columns, pa.array(score)], names=["query_id", *_KEYS, "score"])
 
 
 def _ranked(chunks: DataFrame, queries: DataFrame, k: int, stop: tuple[str, ...], weigh: Callable[[np.ndarray, int], np.ndarray], once: bool) -> DataFrame:

@@ -1,6 +1,9 @@
 """What only shows on larger or odder tables: several files, cut entities, many equal rows, what goes to a task."""
 
-from quarrylight.operators import pages
+import numpy as np
+import pyarrow as pa
+
+from quarrylight.operators import pages, retrieval
 from quarrylight.plans import queries
 from quarrylight.streaming import events as stream
 
@@ -21,3 +24,21 @@ def test_cut_references_of_titles(spark, tmp_path):
     assert [r["title"] for r in queries.page_extract(spark, str(tmp_path)).orderBy("page_id").collect()] == ["a & b&amp", '"x" &am', "A&#66 &copy"]
     assert [r["title"] for r in pages.extract(given).orderBy("page_id").collect()] == ["a & b&", '"x" &am', "AB ©"]
     assert pages.read_html(pages.whole_references(html[0]))[1] == "c & d"
+
+
+def test_equal_texts_score_alike_beside_any_others():
+    """Scores at the limit between two ninth places: what else is in a tile may not decide."""
+    rng, n, trials = np.random.default_rng(1), 90, 200
+    asked = pa.table({"query_id": [0] * 60, "id": list(range(60)), "qtf": [1] * 60})
+    for _ in range(trials):
+        tf = rng.integers(1, 5, n)
+        make = lambda ids, tfs: {"ids": ids.astype(np.int32), "tfs": tfs.astype(np.int32), "length": 200}
+        rows = [make(np.arange(n), tf)] + [make(np.sort(rng.choice(n, 40, False)), rng.integers(1, 5, 40)) for _ in range(40)]
+        keys = {k: list(range(len(rows))) for k in ("chunk_id", "document_id", "chunk_index")}
+        part = pa.record_batch(keys | {c: [r[c] for r in rows] for c in ("length", "ids", "tfs")})
+        idf = rng.random(n) * 5
+        weight = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 200 / 150.0))
+        raw = float((weight[:60] * idf[:60]).sum())
+        idf *= (np.floor(raw * 1e9) + 0.5) / 1e9 / raw
+        score = lambda p: next(b["score"][b["chunk_id"].to_pylist().index(0)].as_py() for b in retrieval._Scores(asked, idf, 150.0, 50, True)._tile(p))
+        assert score(part) == score(part.slice(0, 1)) == score(part.slice(0, 3))
