@@ -217,18 +217,20 @@ class VectorIndex:
 
     def _scored(self, asked: pa.Table, names: list[int], pairs: np.ndarray, generations: list[int], k: int, least: float) -> DataFrame:
         """query_id, keys, score of the k best for each query among the clusters it is paired with."""
-        wanted = {names[i]: asked.take(pa.array(np.flatnonzero(pairs[:, i]))) for i in np.flatnonzero(pairs.any(axis=0))}
+        used = np.flatnonzero(pairs.any(axis=0)).tolist()
+        wanted = {names[i]: np.packbits(pairs[:, i]) for i in used}  # a bit a query: vectors of queries go to a task once, not for each cluster
         held = self._rows(generations, list(wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, kernels = _Best(k, False), {}
+            best, now, kernel = _Best(k, False), None, None
             for batch in batches:
                 clusters = batch.column("cluster").to_numpy()
                 for c in np.unique(clusters).tolist():
-                    if c not in kernels:
-                        kernels[c] = _Neighbours(wanted[c], k, least)
+                    if c != now:  # rows come cluster by cluster; one cluster's queries are held at a time
+                        now, kernel = c, None
+                        kernel = _Neighbours(asked.take(pa.array(np.flatnonzero(np.unpackbits(wanted[c], count=asked.num_rows)))), k, least)
                     rows = batch.take(pa.array(np.flatnonzero(clusters == c)))
-                    for found in kernels[c]._found([rows]):
+                    for found in kernel._found([rows]):
                         best.add(found)
             yield from best
 

@@ -3,7 +3,10 @@
 import numpy as np
 import pyarrow as pa
 
+from pyspark import cloudpickle
+
 from quarrylight.operators import pages, retrieval
+from quarrylight.operators.vector_index import VectorIndex
 from quarrylight.plans import queries
 from quarrylight.streaming import events as stream
 
@@ -42,3 +45,19 @@ def test_equal_texts_score_alike_beside_any_others():
         idf *= (np.floor(raw * 1e9) + 0.5) / 1e9 / raw
         score = lambda p: next(b["score"][b["chunk_id"].to_pylist().index(0)].as_py() for b in retrieval._Scores(asked, idf, 150.0, 50, True)._tile(p))
         assert score(part) == score(part.slice(0, 1)) == score(part.slice(0, 3))
+
+
+def test_queries_go_to_a_task_once(spark, tmp_path, monkeypatch):
+    """What a search sends to a task is about the block's vectors, however many clusters each query reads."""
+    rng = np.random.default_rng(2)
+    rows = [(i, i, 0, rng.normal(size=16).tolist()) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "chunk_id bigint, document_id bigint, chunk_index int, embedding array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}/index")
+    index.build(vectors, {"dimension": 16}, pivots=24)
+    sent, real = [], type(vectors).mapInArrow
+    monkeypatch.setattr(type(vectors), "mapInArrow", lambda df, f, *a, **kw: (sent.append(len(cloudpickle.dumps(f))), real(df, f, *a, **kw))[1])
+    asked = vectors.selectExpr("chunk_id AS query_id", "embedding")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect())
+    found = key(index.search(asked))
+    assert max(sent) < 4 * 600 * 16 * 8
+    assert found == key(retrieval.nearest(vectors, asked))
