@@ -39,7 +39,7 @@ BROADCAST_ROWS = 1_000_000
 #: Queries of a span that are scored by one matrix product.
 TILE = 64
 #: Bytes of forward rows whose postings are made together, and of a row group of postings.
-TOGETHER, ROW_GROUP = 32 << 20, 8 << 20
+TOGETHER, ROW_GROUP = 8 << 20, 8 << 20
 GENERATION = 48
 
 

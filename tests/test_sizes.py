@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from pyspark import cloudpickle
 
-from quarrylight.operators import pages, retrieval
+from quarrylight.operators import lexical_index, pages, retrieval
 from quarrylight.operators.vector_index import VectorIndex
 from quarrylight.plans import queries
 from quarrylight.streaming import events as stream
@@ -73,3 +73,18 @@ def test_pages_come_in_bounded_batches(spark):
             assert int(spark.conf.get(key)) <= 2000
     finally:
         spark.conf.set(key, before)
+
+
+def test_postings_are_made_of_bounded_groups():
+    """A task that turns rows into postings holds a few MB of them, however many rows it gets."""
+    names = [f"w{i}" for i in range(400)]
+    row = {"terms": [names] * 100, "tfs": pa.array([[1] * 400] * 100, pa.list_(pa.int32())), "length": pa.array([400] * 100, pa.int64())}
+    given, taken = 60, []
+
+    def batches():
+        for b in range(given):
+            taken.append(b)
+            yield pa.record_batch({"span": pa.array([b] * 100, pa.int64()), "place": pa.array(range(100), pa.int32())} | row)
+
+    first = next(iter(lexical_index._inverted(batches())))
+    assert len(taken) < given / 2 and first.num_rows == 400 * len(taken)
