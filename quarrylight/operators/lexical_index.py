@@ -40,6 +40,8 @@ BROADCAST_ROWS = 1_000_000
 TILE = 64
 #: Bytes of forward rows whose postings are made together, and of a row group of postings.
 TOGETHER, ROW_GROUP = 8 << 20, 8 << 20
+#: MB of stored rows for each task that sorts postings or scores spans: in memory they are several times that.
+TASK_MB = 16
 GENERATION = 48
 
 
@@ -175,7 +177,7 @@ class LexicalIndex:
 
     def _finish(self, at: str, fresh: DataFrame, replaced: DataFrame) -> None:
         postings = fresh.select("span", "place", "length", "terms", "tfs").mapInArrow(_inverted, POSTINGS)
-        postings = postings.repartitionByRange(partitions_for(fresh, 64), "token", "span").sortWithinPartitions("token", "span")
+        postings = postings.repartitionByRange(partitions_for(fresh, TASK_MB), "token", "span").sortWithinPartitions("token", "span")
         postings.write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/postings")
         more = self.spark.read.parquet(f"{at}/postings").groupBy("token").agg(F.sum("n").alias("df"))
         less = replaced.select(F.explode("terms").alias("token")).groupBy("token").agg((-F.count("*")).alias("df"))
@@ -252,7 +254,8 @@ class LexicalIndex:
         gone = self._read("dead").groupBy("span").agg(F.collect_list("place").alias("gone"))
         by_span = by_span.join(gone, "span", "left").select("span", "queries", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
         kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, span bigint, place int, score double"
-        best = _Spans(arrow, mean, k)
+        best, n = _Spans(arrow, mean, k), partitions_for(held, TASK_MB)
+        held, by_span = held.repartition(n, "span"), by_span.repartition(n, "span")
         return held.groupBy("span").cogroup(by_span.groupBy("span")).applyInArrow(lambda posts, wanted: best(posts, wanted), kind)
 
 

@@ -88,3 +88,14 @@ def test_postings_are_made_of_bounded_groups():
 
     first = next(iter(lexical_index._inverted(batches())))
     assert len(taken) < given / 2 and first.num_rows == 400 * len(taken)
+
+
+def test_a_larger_index_is_more_tasks_not_larger_ones(spark, tmp_path, monkeypatch):
+    """Tasks that sort postings and score spans follow the size of what is stored, whatever the session's number of partitions."""
+    monkeypatch.setattr(lexical_index, "TASK_MB", 0.002, raising=False)
+    chunks = spark.range(1500).selectExpr("id AS chunk_id", "id AS document_id", "0 AS chunk_index", "'' AS topic", "concat('w', id % 7, ' x', id, ' y', id % 100) AS text")
+    index, asked = lexical_index.LexicalIndex(spark, f"file://{tmp_path}/index"), spark.createDataFrame([(1, "w3 y17"), (2, "x40 w5")], "query_id bigint, query string")
+    index.upsert(chunks)
+    assert len(list((tmp_path / "index/gen=0/postings").glob("*.parquet"))) > 8
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
+    assert key(index.search(asked)) == key(retrieval.bm25(chunks, asked))
