@@ -47,11 +47,11 @@ def _knowledge(spark, sf):
 def _inputs(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("startup"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce("n_chars", F.lit(0)).alias("n"))
     classified = written(assessment.classify(assessment.criteria(docs, words=WORDS)), "classified")
-    gaps = assessment.technical_gaps(classified, "startup", words=WORDS)
+    gaps = written(assessment.technical_gaps(classified, "startup", words=WORDS), "gaps")  # three steps read them; terms are searched for once
     risks = assessment.wrapper_risks(classified, "startup")
     toxic = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("startup")).agg(F.max("toxic").alias("toxic")).where("toxic = 1")
     groups = toxic.join(docs.select("startup"), "startup", "left_semi").select("startup", F.lit("product").alias("field"), F.lit(True).alias("has_conflict"))
-    judged = assessment.diagnosis(classified, gaps, risks, groups.select("startup", "field"), "startup")
+    judged = written(assessment.diagnosis(classified, gaps, risks, groups.select("startup", "field"), "startup"), "judged")
     mean = docs.agg(F.avg("n").alias("mean"))  # one row
     runs = docs.groupBy("source").agg(F.avg("n").alias("own")).crossJoin(F.broadcast(mean)).select(F.col("source").alias("run"), (F.col("own") >= F.col("mean")).alias("collection_ready"))
     per = classified.select("startup", "source", F.lit("").alias("signals")).join(runs, F.col("source").eqNullSafe(F.col("run")))

@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 
 from quarrylight.operators import lexical_index, pages, retrieval
 from quarrylight.operators.vector_index import VectorIndex
-from quarrylight.plans import queries
+from quarrylight.plans import queries, states
 from quarrylight.streaming import events as stream
 
 
@@ -99,3 +99,11 @@ def test_a_larger_index_is_more_tasks_not_larger_ones(spark, tmp_path, monkeypat
     assert len(list((tmp_path / "index/gen=0/postings").glob("*.parquet"))) > 8
     key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
     assert key(index.search(asked)) == key(retrieval.bm25(chunks, asked))
+
+
+def test_workflow_searches_texts_for_gaps_once(spark, small, monkeypatch):
+    """Of the workflow's inputs only classes, gaps and opportunities read texts; what is derived from gaps does not search again."""
+    plans, real = {}, states.written
+    monkeypatch.setattr(states, "written", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1])
+    states._inputs(spark, small)
+    assert not [n for n in ("inputs-gaps", "inputs-profiles") if "contains(" in plans[n].lower()]
