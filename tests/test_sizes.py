@@ -106,4 +106,5 @@ def test_workflow_searches_texts_for_gaps_once(spark, small, monkeypatch):
     plans, real = {}, states.written
     monkeypatch.setattr(states, "written", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1])
     states._inputs(spark, small)
+    assert {"gaps", "judged"} <= set(plans)  # each is written once, before what reads it
     assert not [n for n in ("inputs-gaps", "inputs-profiles") if "contains(" in plans[n].lower()]
