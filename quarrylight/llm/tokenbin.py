@@ -154,8 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, partition_mb: float
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([data], pa.binary())], names=["kind", "frame"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 counts.append(len(ids) // 4 + 1)
                 held += [ids, end]

@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
 The library's merges work inside one piece of its split pattern at a time, so the ids of a text are those of its pieces
-in a row. Pieces repeat far more than texts do: texts of plain Latin script are split here, each new piece goes to the
-library's model once (in the byte alphabet of byte-level BPE), and its ids are kept in a bounded table. Any other text
-goes to the library whole, and so does a text that holds the string of an added token: the library makes it that token's id.
-So do all texts where the vocabulary's file states another normalizer, splitting or kind of model than this way stands for.
+in a row. Pieces repeat far more than texts do: the texts of plain Latin script in an Arrow batch are cut into segments between
+places that surely end a piece, Arrow finds the distinct ones, and only those not met before are split by the pattern, go to
+the library's model (in the byte alphabet of byte-level BPE) and enter a bounded table. Any other text goes to the library
+whole, and so does a text that holds the string of an added token: the library makes it that token's id. So do all texts
+where the vocabulary's file states another normalizer, splitting or kind of model than this way stands for.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import unicodedata
-from array import array
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 150_000
+#: Segments and ids that are kept from batch to batch, in Arrow's own buffers.
+CACHE_BYTES = 24 << 20
 #: Ranges whose letters, digits and white space have been settled for long: Latin and general punctuation.
 PLAIN = ((0x0000, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E))
 
@@ -45,6 +49,37 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(split), re.compile(other)
 
 
+#: Kinds of bytes. OTHER are those outside ASCII; LATIN1 is the first byte of U+0080 to U+00BF, where NEL and NBSP are.
+LETTER, DIGIT, MARK, QUOTE, SPACE, BREAK, OTHER, LATIN1 = range(8)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[:128] = [LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK for c in range(128)]
+_KIND[ord("'")], _KIND[ord(" ")], _KIND[0x09:0x0E], _KIND[0xC2] = QUOTE, SPACE, BREAK, LATIN1
+#: Neighbours between which a piece always ends: a change of kind, but not after a quote, which takes the letters of 's or 're.
+_ENDS = np.zeros((8, 8), bool)
+_ENDS[LETTER, [DIGIT, MARK, QUOTE, SPACE, BREAK]] = _ENDS[DIGIT, [LETTER, MARK, QUOTE, SPACE, BREAK]] = True
+_ENDS[MARK, [LETTER, DIGIT, SPACE, BREAK]] = _ENDS[QUOTE, [DIGIT, SPACE, BREAK]] = True
+#: What a space before it belongs to: all but white space.
+_TAKES_SPACE = np.ones(8, bool)
+_TAKES_SPACE[[SPACE, BREAK, LATIN1]] = False
+
+
+def segment_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where segments of plain texts start, and the end. raw: the texts' bytes in a row, text i at offsets[i]:offsets[i + 1].
+
+    Not every piece's end is found, but what is found is one, whatever stands on the other side of it: the pieces of a text
+    are those of its segments.
+    """
+    kind = _KIND[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[1:-1] = _ENDS.ravel()[(kind[:-1] << 3) | kind[1:]]
+    led = (kind[:-1] == SPACE) & _TAKES_SPACE[kind[1:]]
+    borders = offsets[(offsets > 0) & (offsets < len(raw))]
+    led[borders - 1] = False  # a text's last space goes with the white space before it
+    cut[:-2] |= led
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes each byte as a visible character: itself if it is one, else one from U+0100 on."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -63,49 +98,79 @@ def splits_by_bytes(library: Tokenizer) -> bool:
     )
 
 
-def packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+def binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Stretches of `data` from each offset to the next."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), data])
 
 
-class Encoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes. Holds at most two generations of CACHE_PIECES: a full one
-    becomes the old one, from which pieces in use come back."""
+class Encoder:
+    """Ids as little-endian unsigned 32-bit bytes. Segments met are kept with their ids up to CACHE_BYTES; a full table gives
+    way to the segments of the batch at hand."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.model, self.alphabet, self.old = self.library.model, byte_alphabet(), {}
+        self.model, self.alphabet = self.library.model, byte_alphabet()
         self.split, self.other = _patterns()
         self.by_piece = splits_by_bytes(self.library)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(piece)
-        if ids is None:
-            symbols = piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = packed([t.id for t in self.model.tokenize(symbols)])
-        self[piece] = ids
-        return ids
+        self.met = self.met_ids = pa.array([], pa.large_binary())
 
     def whole(self, text: str) -> bytes:
-        return packed(self.library.encode(text, add_special_tokens=False).ids)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, text: str) -> bool:
+        return self.by_piece and (text.isascii() or not self.other.search(text)) and not any(a in text for a in self.added)
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text; null counts as empty."""
-        if not text:
-            return b""
-        if not self.by_piece or self.other.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.split.findall(text)))
+        return bytes(self.batch(pa.array([text], pa.string()))[0])
+
+    def batch(self, texts: pa.Array) -> list[bytes | memoryview]:
+        """The ids of each text of a batch; null counts as empty."""
+        out: list[bytes | memoryview] = [b""] * len(texts)
+        by_piece = np.zeros(len(texts), bool)
+        for i, scalar in enumerate(texts):
+            if text := scalar.as_py():
+                by_piece[i] = self.plain(text)
+                if not by_piece[i]:
+                    out[i] = self.whole(text)
+        rows = np.flatnonzero(by_piece)
+        if len(rows):
+            for i, ids in zip(rows, self._by_segment(texts.take(pa.array(rows)).cast(pa.large_binary())), strict=True):
+                out[i] = ids
+        return out
+
+    def _by_segment(self, texts: pa.Array) -> list[memoryview]:
+        offsets, data = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8), texts.buffers()[2]
+        data, offsets = data.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
+        starts = segment_starts(np.frombuffer(data, np.uint8), offsets)
+        segments = binary(starts, data).dictionary_encode()
+        places = pc.index_in(segments.dictionary, value_set=self.met).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(places < 0)
+        places[new] = len(self.met) + np.arange(len(new))
+        fresh = segments.dictionary.take(pa.array(new))
+        met, met_ids = pa.concat_arrays([self.met, fresh]), pa.concat_arrays([self.met_ids, self._new_ids(fresh)])
+        found = met_ids.take(pa.array(places[segments.indices.to_numpy()]))
+        if met.nbytes + met_ids.nbytes > CACHE_BYTES:
+            met, met_ids = segments.dictionary, met_ids.take(pa.array(places))
+        self.met, self.met_ids = met, met_ids
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[np.searchsorted(starts, offsets)].tolist()
+        flat = memoryview(found.buffers()[2])
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _new_ids(self, segments: pa.Array) -> pa.Array:
+        """The ids of segments, from the library's model."""
+        ids: list[int] = []
+        ends = [0]
+        for segment in segments.cast(pa.large_string()).to_pylist():
+            for piece in self.split.findall(segment):
+                symbols = piece.encode().decode("latin-1").translate(self.alphabet)
+                ids += [t.id for t in self.model.tokenize(symbols)]
+            ends.append(4 * len(ids))
+        return binary(np.array(ends), pa.py_buffer(np.array(ids, "<u4")))
 
 
 @lru_cache(2)

@@ -142,6 +142,40 @@ def test_encoder_is_the_library():
         assert enc.ids(text) == library(text)[:-1].tobytes()
 
 
+def test_encoder_of_a_batch():
+    """Texts of a batch are cut at places that surely end a piece; each has the library's ids, also when the table of segments is full."""
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    rng = np.random.default_rng(4)
+    pool = [*"ab9.('’é÷\x1c\x85\xa0\u2014", "'s", "'re", "'ll", "it's", " (", "', ", *" \n\t" * 5, "  ", " \n", "\r\n    ", "<|endoftext|>", "漢"]
+    for size in (0, 1 << 12, tokens.CACHE_BYTES):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tokens, "CACHE_BYTES", size)
+            for k in (3, 12, 60):
+                weights = np.array([1.0] * (len(pool) - 2) + [0.02, 0.02])
+                texts = ["".join(rng.choice(pool, rng.integers(0, k), p=weights / weights.sum())) for _ in range(1500)] + [None, "", "  "]
+                column = pa.array([None, "lead ", *texts], pa.string())
+                got = [bytes(x) for x in enc.batch(column.slice(2))]
+                assert got == [enc.whole(t or "") for t in texts]
+    assert enc.batch(pa.array([], pa.string())) == []
+
+
+def test_encoder_meets_a_segment_once(monkeypatch):
+    """What repeats costs no work in Python: the pattern and the model see each segment of a batch once, whatever texts it is in."""
+    enc, seen = tokens.Encoder(tokens.tokenizer_path()), []
+
+    class Split:
+        def findall(self, text, real=enc.split.findall):
+            seen.append(text)
+            return real(text)
+
+    monkeypatch.setattr(enc, "split", Split())
+    text = "the same few words, said by the same few people and said again\n" * 20
+    texts = pa.array([f"{text}{i % 7}" for i in range(300)])
+    want = library(f"{text}3")[:-1].tobytes()
+    assert bytes(enc.batch(texts)[3]) == want and bytes(enc.ids(f"{text}3")) == want
+    assert len(seen) == len(set(seen)) < 40
+
+
 def test_mix(spark, docs, none):
     items = mixing.mix(docs)
     got = mixing.taken_per_document(items).collect()
