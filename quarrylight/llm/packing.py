@@ -80,8 +80,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataF
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(enc.ids(text.as_py()) + end)
+            for doc_id, coded in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1)), strict=True):
+                ids = memoryview(b"".join((coded, end)))
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     size = min(length, total - start)

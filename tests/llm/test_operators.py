@@ -316,6 +316,31 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_encodes_whole_batches(spark, monkeypatch):
+    """A batch goes to the encoder at once, not text by text; its pieces are the library's."""
+    enc, calls = tokens.Encoder(tokens.tokenizer_path()), []
+
+    class Counting:
+        def batch(self, texts):
+            calls.append(len(texts))
+            return enc.batch(texts)
+
+    class Docs:
+        sparkSession = None
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Counting())
+    monkeypatch.setattr(packing, "bounded_batches", lambda session: None)
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 5})())}))
+    texts = [PASSAGE, None, "", "tail  ", PASSAGE]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for out in packing.cut_pieces(Docs(), "", 64)(iter([batch, batch])) for r in out.to_pylist()]
+    want = [(d, s, zlib.crc32(ids[4 * s : 4 * s + 256]), len(ids) // 4) for d, t in enumerate(texts) for ids in [enc.whole(t or "") + bytes(4)] for s in range(0, len(ids) // 4, 64)]
+    assert [(r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in rows] == want * 2
+    assert calls == [5, 5] and {r["part"] for r in rows} == {5}
+
+
 def test_pack_histogram_uses_all_once():
     rng = np.random.default_rng(3)
     for _ in range(50):
