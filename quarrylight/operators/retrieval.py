@@ -288,9 +288,10 @@ def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 class _Neighbours:
     """A task's part of `nearest`: batches of vectors to the queries' best among them."""
 
-    def __init__(self, queries: pa.Table, k: int | None, least: float):
+    def __init__(self, queries: pa.Table, k: int | None, least: float, undefined: float = 0.0):
+        """undefined: what the cosine of a zero vector counts as."""
         self.ids = queries.column("query_id").combine_chunks()
-        self.queries, self.k, self.least = _matrices(queries.column("v")), k, least
+        self.queries, self.k, self.least, self.undefined = _matrices(queries.column("v")), k, least, undefined
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if self.k is None:
@@ -313,7 +314,7 @@ class _Neighbours:
 
     def _best(self, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-        score = np.where(norms == 0, 0.0, np.round((q @ v.T) / np.where(norms == 0, 1.0, norms), 9))
+        score = np.where(norms == 0, self.undefined, np.round((q @ v.T) / np.where(norms == 0, 1.0, norms), 9))
         good = score > self.least
         if self.k is not None and score.shape[1] > self.k:
             good &= score >= np.partition(score, -self.k, axis=1)[:, -self.k][:, None]

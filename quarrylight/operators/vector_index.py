@@ -169,9 +169,10 @@ class VectorIndex:
             mine, stored = mine.withColumn(c, F.lit(None).cast("string")), stored.withColumn(c, F.lit(None).cast("string"))
         check_index(stored, mine).collect()  # one row
 
-    def search(self, queries: DataFrame, k: int = 3, least: float = 0.0, report: dict[str, int] | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 3, least: float = 0.0, report: dict[str, int] | None = None, undefined: float = 0.0) -> DataFrame:
         """The k vectors of the largest cosine above `least` for each query (query_id, embedding), as `retrieval.nearest` of the live
-        vectors gives them. report: gets the numbers of pairs of a query and a cluster with rows, and of those that were read."""
+        vectors gives them. report: gets the numbers of pairs of a query and a cluster with rows, and of those that were read.
+        undefined: what the cosine of a zero vector counts as; infinite, it comes first, as NaN does in SQL."""
         generations = self.generations()
         if not generations:
             raise ValueError(f"no index at {self.path}")
@@ -181,16 +182,16 @@ class VectorIndex:
         radii = {r["cluster"]: (r["n"], r["near"], r["far"]) for r in self._radii(generations).collect()}  # a row a cluster
         for block in range(blocks):
             part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-            hits = self._search(part.toArrow(), generations, radii, k, least, report)
+            hits = self._search(part.toArrow(), generations, radii, k, least, report, undefined)
             out = hits if out is None else out.unionByName(hits)
         return top(out, k, "document_id", "chunk_index", "chunk_id").withColumn("strategy", F.lit("vector_similarity"))
 
-    def _search(self, asked: pa.Table, generations: list[int], radii: dict, k: int, least: float, report: dict[str, int] | None) -> DataFrame:  # noqa: ANN001
+    def _search(self, asked: pa.Table, generations: list[int], radii: dict, k: int, least: float, report: dict[str, int] | None, undefined: float) -> DataFrame:  # noqa: ANN001
         pivots, names = self.pivots(), sorted(radii)
         found = _matrices(asked.column("v")).get(pivots.shape[1], (np.zeros(0, np.int64), np.zeros((0, pivots.shape[1]))))
         rows, q = found[0], units(found[1])
         asked = asked.take(pa.array(rows))
-        bound = np.zeros((len(q), len(names)))  # of the cosine; a zero vector's is 0 on either side
+        bound = np.full((len(q), len(names)), undefined)  # of the cosine; a zero vector has none on either side
         some = (q != 0).any(axis=1)
         placed = [i for i, c in enumerate(names) if c != ZERO]
         if placed and some.any():
@@ -202,7 +203,7 @@ class VectorIndex:
         first = np.zeros(bound.shape, bool)
         np.put_along_axis(first, order[:, :FIRST], True, axis=1)
         first &= bound + SLACK > least
-        early = written(self._scored(asked, names, first, generations, k, least), "nearest-first")
+        early = written(self._scored(asked, names, first, generations, k, least, undefined), "nearest-first")
         ranks = Window.partitionBy("query_id").orderBy(F.desc("score"))
         known = early.withColumn("nth", F.row_number().over(ranks)).where(F.col("nth") == k).select("query_id", "score").toArrow()  # a row a query of the block
         threshold = np.full(len(q), -np.inf)
@@ -213,9 +214,9 @@ class VectorIndex:
         if report is not None:
             for name, value in {"pairs": bound.size, "pairs_read": int(first.sum() + more.sum())}.items():
                 report[name] = report.get(name, 0) + value
-        return early.unionByName(self._scored(asked, names, more, generations, k, least))
+        return early.unionByName(self._scored(asked, names, more, generations, k, least, undefined))
 
-    def _scored(self, asked: pa.Table, names: list[int], pairs: np.ndarray, generations: list[int], k: int, least: float) -> DataFrame:
+    def _scored(self, asked: pa.Table, names: list[int], pairs: np.ndarray, generations: list[int], k: int, least: float, undefined: float) -> DataFrame:
         """query_id, keys, score of the k best for each query among the clusters it is paired with."""
         used = np.flatnonzero(pairs.any(axis=0)).tolist()
         wanted = {names[i]: np.packbits(pairs[:, i]) for i in used}  # a bit a query: vectors of queries go to a task once, not for each cluster
@@ -228,7 +229,7 @@ class VectorIndex:
                 for c in np.unique(clusters).tolist():
                     if c != now:  # rows come cluster by cluster; one cluster's queries are held at a time
                         now, kernel = c, None
-                        kernel = _Neighbours(asked.take(pa.array(np.flatnonzero(np.unpackbits(wanted[c], count=asked.num_rows)))), k, least)
+                        kernel = _Neighbours(asked.take(pa.array(np.flatnonzero(np.unpackbits(wanted[c], count=asked.num_rows)))), k, least, undefined)
                     rows = batch.take(pa.array(np.flatnonzero(clusters == c)))
                     for found in kernel._found([rows]):
                         best.add(found)

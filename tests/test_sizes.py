@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 
 from quarrylight.operators import lexical_index, pages, retrieval
 from quarrylight.operators.vector_index import VectorIndex
-from quarrylight.plans import oracles, queries, states
+from quarrylight.plans import indexes, oracles, queries, registry, states
 from quarrylight.streaming import events as stream
 
 
@@ -76,6 +76,21 @@ def test_queries_go_to_a_task_once(spark, tmp_path, monkeypatch):
     assert found == key(retrieval.nearest(vectors, asked))
 
 
+def test_texts_without_a_direction_are_first_as_in_sql(spark, tmp_path):
+    """A text, or a passage, without any letter of the model has a zero vector: in SQL its cosine is NaN, which is above all numbers."""
+    texts = ["the house of reeds", "çé", "a red tent", "7567 | 55", "the house", "other lands", None, "a red tent", "und", "çé"]
+    asked = ["the red house", "éç", "lands", "", "tent of reeds"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = indexes.hybrid_store(spark, str(tmp_path)).collect()
+    want = con.execute(registry.ORACLES["hybrid_store"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert [r["chunk_id"] for r in got if r["query_id"] == 0 and r["vector_rank"] == 1] == [1]
+
+
 def test_pages_come_in_bounded_batches(spark):
     key, given = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([("https://a.io", "<p>x")], "url string, html string")
     before = spark.conf.get(key)
