@@ -135,7 +135,7 @@ def diagnosis(classified: DataFrame, gaps: DataFrame, risks: DataFrame, conflict
     )
     r = risks.groupBy(key).agg(F.bool_or(F.col("severity") == "high").alias("high_risk"))
     c = conflicts.where(F.col("field").isin(*CRITICAL_FIELDS)).groupBy(key).agg(F.array_sort(F.collect_set(F.concat(F.lit("conflicting_"), "field"))).alias("cs"))
-    joined = classified.join(g, key, "left").join(r, key, "left").join(c, key, "left")
+    joined = classified.join(g.hint("merge"), key, "left").join(r.hint("merge"), key, "left").join(c.hint("merge"), key, "left")
     kind, sure = F.col("classification"), F.col("confidence")
     unsure = F.exists(F.array(*CRITERIA), lambda s: s == UNKNOWN) & (kind != "non_ai")
     rules = F.array_compact(F.array(
@@ -182,7 +182,7 @@ def gap_space(gaps: DataFrame, targets: DataFrame, context: DataFrame, key: str,
     """key, gap_type, targets, review_reasons, support_status. gaps: with evidences (n); targets: gap_type, document_id;
     context: key, reasons that hold for all of a key's gaps."""
     held = targets.groupBy("gap_type").agg(F.array_sort(F.collect_set("document_id")).alias("targets"))
-    joined = gaps.where(F.col("gap_type") != UNKNOWN).join(held, "gap_type", "left").join(context, key, "left")
+    joined = gaps.where(F.col("gap_type") != UNKNOWN).join(held, "gap_type", "left").join(context.hint("merge"), key, "left")
     own = F.array_compact(F.array(
         F.when(F.col("targets").isNull(), "unsupported_gap_type"),
         F.when(F.col("evidences") == 0, "missing_observed_gap_evidence"),
@@ -200,5 +200,5 @@ def retrieval_requests(mappings: DataFrame, signals: DataFrame, key: str) -> Dat
     """key, gap_type, query: what to ask the knowledge base for each gap that the taxonomy covers; signals: key, signals (text).
     Gaps that are not supported ask nothing."""
     words = F.replace(F.col("gap_type"), F.lit("_"), F.lit(" "))
-    asked = mappings.where((F.col("support_status") != "unsupported") & (F.size("targets") > 0)).join(signals, key, "left")
+    asked = mappings.where((F.col("support_status") != "unsupported") & (F.size("targets") > 0)).join(signals.hint("merge"), key, "left")
     return asked.select(key, "gap_type", F.concat_ws(" ", words, F.nullif("signals", F.lit(""))).alias("query"))

@@ -39,7 +39,7 @@ def executive(all_claims: DataFrame, outcome: DataFrame, questions: DataFrame) -
     held = once.groupBy("startup").agg(F.array_sort(F.collect_list(F.struct("order", "claim_type", "text", "evidences", "citations"))).alias("claims"))
     refs = lambda f: F.array_distinct(F.flatten(F.transform("claims", lambda c: c[f])))
     asked = questions.groupBy("startup").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "question"))), lambda q: q["question"])).alias("questions"))
-    joined = outcome.join(held, "startup", "left").join(asked, "startup", "left")
+    joined = outcome.join(held.hint("merge"), "startup", "left").join(asked.hint("merge"), "startup", "left")
     summary = F.concat("startup", F.lit(": "), "classification", F.lit(", priority "), "final_priority", F.lit(", next "), "next_action")
     return joined.select(
         "startup", F.when(F.col("ready"), "ready_for_use").otherwise("ready_for_human_review").alias("status"), summary.alias("summary"),
@@ -67,7 +67,7 @@ def human_review(outcome: DataFrame, reasons: DataFrame, fields: DataFrame, grou
     ]
     out, names = outcome, ("reasons", "unknowns", "conflicts", "suspected_gaps", "supported", "hypothesis", "blocked")
     for p in parts:
-        out = out.join(p, "startup", "left")
+        out = out.join(p.hint("merge"), "startup", "left")
     out = out.withColumns({n: F.coalesce(n, F.array().cast(_NONE)) for n in names})
     ask = F.concat(
         F.transform("unknowns", lambda f: F.concat(F.lit("What is known about "), f, F.lit("?"))),

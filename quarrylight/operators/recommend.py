@@ -205,7 +205,7 @@ def program_opportunities(gaps: DataFrame, opportunities: DataFrame, retrievals:
     kind = "inception_program_fit"
     ready = retrievals.where("has_program").select(key).distinct()
     already = opportunities.where(F.col("opportunity_type") == kind).select(key).distinct()
-    able = gaps.where((F.col("gap_type") != UNKNOWN) & (F.col("evidences") > 0)).join(ready, key, "left_semi").join(already, key, "left_anti")
+    able = gaps.where((F.col("gap_type") != UNKNOWN) & (F.col("evidences") > 0)).join(ready.hint("merge"), key, "left_semi").join(already.hint("merge"), key, "left_anti")
     text = F.concat(F.lit("Program support for "), "gap_type", F.lit(": "), "description")
     return able.select(key, F.lit(kind).alias("opportunity_type"), "gap_type", text.alias("description"), "confidence", "is_hypothesis")
 

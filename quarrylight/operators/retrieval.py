@@ -435,10 +435,10 @@ def routed(queries: DataFrame, kept: DataFrame, preset: DataFrame, retriever: Re
 
     kept, preset: results stored for some queries. Only queries that need it go to the retriever.
     """
-    has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
+    has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True)).hint("merge")
     marked = queries.join(has(kept, "has_kept"), "query_id", "left").join(has(preset, "has_preset"), "query_id", "left")
     marked = marked.withColumn("route", route(F.col("skip"), F.col("has_kept"), F.col("has_preset"), F.lit(retriever is not None)))
-    on = lambda name: marked.where(F.col("route") == name).select("query_id", "route")
+    on = lambda name: marked.where(F.col("route") == name).select("query_id", "route").hint("merge")
     out = kept.join(on("kept"), "query_id").unionByName(preset.join(on("preset"), "query_id"), allowMissingColumns=True)
     if retriever is not None:
         found = retriever.retrieve(marked.where("route = 'retrieved'").select("query_id", "query"), k)

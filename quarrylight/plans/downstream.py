@@ -1,7 +1,8 @@
 """The downstream workflow, startup by startup, as one state table: readiness, gap space, retrieval, recommendations, briefing, outcome.
 
 A node is a transform of the rows that are routed to it; what a startup went through is its branches and errors, in order. All startups go
-through a node together, each node's result is written once, and no node is run for rows that took another branch:
+through a node together, each node's result is written once, and no node is run for rows that took another branch. Joins by startup or
+query are merges: a table of startups that is small as Parquet is many times that as a broadcast, in the driver too.
 
   ready_for_recommendation                 gap space and retrieval, then recommendations
   needs_more_collection_or_human_review    recommendations without retrievals (all of them blocked), then a review
@@ -49,7 +50,7 @@ class Inputs:
     groups: DataFrame
 
     def only(self, startups: DataFrame) -> Inputs:
-        return replace(self, **{n: getattr(self, n).join(startups, "startup", "left_semi") for n in self.__dataclass_fields__})
+        return replace(self, **{n: getattr(self, n).join(startups.hint("merge"), "startup", "left_semi") for n in self.__dataclass_fields__})
 
     def fingerprints(self, knowledge_version: str) -> DataFrame:
         """startup, fingerprint over all its rows, whatever their order, and the version of what is asked."""
@@ -91,7 +92,7 @@ def readiness(profiles: DataFrame) -> DataFrame:
 
 def gap_spaces(states: DataFrame, inputs: Inputs, knowledge: Knowledge) -> DataFrame:
     """Gap spaces of the startups on the ready route; none where there is nothing to map to."""
-    gaps = inputs.gaps.join(states.where("route = 'ready'").select("startup"), "startup", "left_semi")
+    gaps = inputs.gaps.join(states.where("route = 'ready'").select("startup").hint("merge"), "startup", "left_semi")
     if knowledge.documents is None or knowledge.chunks is None:
         return assessment.gap_space(gaps.limit(0), gaps.limit(0).select("gap_type", F.lit("").alias("document_id")), gaps.limit(0).select("startup", F.array().cast(_STRINGS).alias("reasons")), "startup")
     targets = corpus.stack_targets(gaps.select("gap_type").distinct(), corpus.stack_profiles(knowledge.documents, knowledge.chunks))
@@ -105,9 +106,9 @@ def queries(states: DataFrame, space: DataFrame, inputs: Inputs, knowledge: Know
     if knowledge.documents is not None:
         asked = assessment.retrieval_requests(space, signals, "startup")
     else:
-        gaps = inputs.gaps.where(F.col("gap_type") != UNKNOWN).join(states.where("route = 'ready'").select("startup"), "startup", "left_semi")
+        gaps = inputs.gaps.where(F.col("gap_type") != UNKNOWN).join(states.where("route = 'ready'").select("startup").hint("merge"), "startup", "left_semi")
         none = F.lit("")
-        asked = gaps.join(signals, "startup").select("startup", "gap_type", retrieval.query_text(F.col("gap_type"), none, none, F.coalesce("signals", none), none).alias("query"))
+        asked = gaps.join(signals.hint("merge"), "startup").select("startup", "gap_type", retrieval.query_text(F.col("gap_type"), none, none, F.coalesce("signals", none), none).alias("query"))
     return asked.select(F.concat_ws("/", F.col("startup").cast("string"), "gap_type").alias("query_id"), "startup", "gap_type", "query")
 
 
@@ -120,8 +121,8 @@ def retrieve(asked: DataFrame, knowledge: Knowledge) -> tuple[DataFrame, DataFra
     none = asked.limit(0).select("query_id", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_id", "string"), ("document_id", "string"), ("chunk_index", "int"), ("score", "double"), ("rank", "int"))])
     marked = asked.select("query_id", "query", F.lit(False).alias("skip"))
     found, missing = retrieval.routed(marked, none, knowledge.preset if knowledge.preset is not None else none, retriever, knowledge.k)
-    errors = asked.join(missing, "query_id").select("startup", F.lit("retrieve_knowledge").alias("step"), "error_type", F.col("reason").alias("audit_reason")).distinct()
-    found = found.select("query_id", "chunk_id", "score", "rank").join(asked.select("query_id", "startup", "gap_type"), "query_id")
+    errors = asked.join(missing.hint("merge"), "query_id").select("startup", F.lit("retrieve_knowledge").alias("step"), "error_type", F.col("reason").alias("audit_reason")).distinct()
+    found = found.select("query_id", "chunk_id", "score", "rank").join(asked.select("query_id", "startup", "gap_type").hint("merge"), "query_id")
     if knowledge.documents is None or knowledge.chunks is None:
         blank = {c: F.lit(None).cast("string") for c in ("document_id", "source_url", "source_type")} | {"chunk_index": F.lit(None).cast("int"), "topics": F.array().cast(_STRINGS)}
         return found.withColumns(blank).select(*CITED), errors
@@ -135,11 +136,11 @@ def recommendations(states: DataFrame, inputs: Inputs, space: DataFrame, hits: D
     unknown = inputs.fields.groupBy("startup").agg(F.count_if(F.col("value") == UNKNOWN).alias("unknown"), F.array_sort(F.collect_set(F.when(F.col("value") == UNKNOWN, F.col("field")))).alias("unknown_names"))
     conflict = inputs.groups.groupBy("startup").agg(F.bool_or("has_conflict").alias("conflict"))
     facts = states.select("startup", "collection_ready", "diagnosis_ready", "high_risk", F.col("confidence").alias("sure"), "route")
-    facts = facts.join(unknown, "startup", "left").join(conflict, "startup", "left")
+    facts = facts.join(unknown.hint("merge"), "startup", "left").join(conflict.hint("merge"), "startup", "left").hint("merge")
     mapped = space.select("startup", "gap_type", "support_status", "review_reasons")
     cited = hits.withColumn("official", knowledge.official.accepts(F.col("source_url"))).drop("query_id")
     no, none = F.lit(False), F.array().cast(_STRINGS)
-    gaps = inputs.gaps.where(F.col("gap_type") != UNKNOWN).join(facts, "startup").join(mapped, ["startup", "gap_type"], "left").join(cited, ["startup", "gap_type"], "left")
+    gaps = inputs.gaps.where(F.col("gap_type") != UNKNOWN).join(facts, "startup").join(mapped.hint("merge"), ["startup", "gap_type"], "left").join(cited.hint("merge"), ["startup", "gap_type"], "left")
     unready = (F.col("support_status") == "unsupported") if knowledge.documents is not None else no
     blocked = recommend.blocking_reasons(
         F.col("collection_ready"), F.col("diagnosis_ready"), F.coalesce("conflict", no), F.coalesce("high_risk", no), F.coalesce("unknown", F.lit(0)),
@@ -160,7 +161,7 @@ def recommendations(states: DataFrame, inputs: Inputs, space: DataFrame, hits: D
     )
     best = F.min_by(F.struct("document_id", "chunk_index", "source_url", "source_type", "official", "score"), F.struct("rank", "document_id", "chunk_index"))
     offered = programs.where("has_program").groupBy("startup").agg(best.alias("p")).select("startup", "p.*")
-    sold = sold.join(facts, "startup").join(offered, "startup", "left")
+    sold = sold.join(facts, "startup").join(offered.hint("merge"), "startup", "left")
     base = recommend.blocking_reasons(F.col("collection_ready"), F.col("diagnosis_ready"), F.coalesce("conflict", no), F.coalesce("high_risk", no), F.coalesce("unknown", F.lit(0)), F.coalesce("unknown_names", none), F.lit(True))
     gate = recommend.program_gate(base, F.coalesce("evidences", F.lit(0)), F.col("opportunity_type"), F.col("official"), F.col("confidence"))
     program = sold.select(
@@ -176,7 +177,7 @@ def briefing_readiness(states: DataFrame, recommended: DataFrame) -> DataFrame:
     has = lambda s: F.coalesce(F.bool_or(F.col("state") == s), F.lit(False))
     gates = F.array_sort(F.collect_set(F.when(F.col("reason").rlike("^(missing_|low_)|_not_covered_by_"), F.col("reason"))))
     seen = recommended.groupBy("startup").agg(has("supported").alias("s"), has("hypothesis").alias("h"), has("blocked").alias("b"), gates.alias("gates"))
-    out = states.join(seen, "startup", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("s", "h", "b")})
+    out = states.join(seen.hint("merge"), "startup", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("s", "h", "b")})
     why = F.array_compact(F.array(
         F.when(F.col("h"), "recommendation_hypothesis_requires_human_review"), F.when(F.col("b"), "blocked_recommendation_requires_human_review"),
         F.when(~(F.col("s") | F.col("h") | F.col("b")), "no_recommendation_candidate"),
@@ -193,7 +194,7 @@ def briefings(states: DataFrame, inputs: Inputs, space: DataFrame, recommended:
     """Executive briefings of the startups that are ready for one, review briefings of the others."""
     action = states.select("startup", F.col("briefing_ready").alias("ready"), "classification", "final_priority", "next_action")
     is_ready = action.where("ready").select("startup")
-    of = lambda df: df.join(is_ready, "startup", "left_semi")
+    of = lambda df: df.join(is_ready.hint("merge"), "startup", "left_semi")
     made = of(recommended)
     url = F.array_compact(F.array("source_url"))
     claims = briefing.profile_claims(of(inputs.fields))
@@ -216,8 +217,8 @@ def _through(inputs: Inputs, knowledge: Knowledge) -> dict[str, DataFrame]:
     hits = written(hits, "retrievals")
     failed = errors.groupBy("startup").agg(F.array_sort(F.collect_list(F.struct("step", "error_type", "audit_reason"))).alias("failed"))
     made = written(recommendations(states, inputs, space, hits, knowledge), "recommendations")
-    states = states.join(failed, "startup", "left").withColumn("errors", F.coalesce(F.col("failed").cast(ERROR), F.col("errors"))).drop("failed")
-    states = briefing_readiness(states, made).join(recommend.final_priority(made), "startup", "left")
+    states = states.join(failed.hint("merge"), "startup", "left").withColumn("errors", F.coalesce(F.col("failed").cast(ERROR), F.col("errors"))).drop("failed")
+    states = briefing_readiness(states, made).join(recommend.final_priority(made).hint("merge"), "startup", "left")
     late = F.when(F.col("briefing_ready"), "briefing_generated").when(F.col("route") == "review", "needs_more_collection_or_human_review").otherwise("human_review_requested")
     states = states.withColumns({"final_priority": F.coalesce("final_priority", F.lit("low")), "next_action": F.coalesce("next_action", F.lit("deprioritize_for_now")), "outcome": late})
     states = written(states, "states")
@@ -228,19 +229,19 @@ def _through(inputs: Inputs, knowledge: Knowledge) -> dict[str, DataFrame]:
 def run(inputs: Inputs, knowledge: Knowledge, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The tables of a run (TABLES). stored: those of an earlier one, whose rows are kept for startups with the same fingerprint;
     states say of each startup whether it was `reused`."""
-    prints = written(inputs.fingerprints(knowledge.version), "fingerprints").join(inputs.profiles.select("startup"), "startup", "left_semi")
+    prints = written(inputs.fingerprints(knowledge.version), "fingerprints").join(inputs.profiles.select("startup").hint("merge"), "startup", "left_semi")
     if stored is None:
         todo, kept = prints, None
     else:
         before = stored["states"].select("startup", F.col("fingerprint").alias("had"))
-        todo = prints.join(before, "startup", "left").where(~F.col("fingerprint").eqNullSafe(F.col("had"))).drop("had")
+        todo = prints.join(before.hint("merge"), "startup", "left").where(~F.col("fingerprint").eqNullSafe(F.col("had"))).drop("had")
         todo = written(todo, "changed")
-        kept = prints.join(todo.select("startup"), "startup", "left_anti").select("startup")
+        kept = prints.join(todo.select("startup").hint("merge"), "startup", "left_anti").select("startup")
     out = _through(inputs.only(todo.select("startup")), knowledge)
-    out["states"] = out["states"].join(todo, "startup").withColumn("reused", F.lit(False))
+    out["states"] = out["states"].join(todo.hint("merge"), "startup").withColumn("reused", F.lit(False))
     if kept is not None:
         for name in TABLES:
-            old = stored[name].join(kept, "startup", "left_semi")
+            old = stored[name].join(kept.hint("merge"), "startup", "left_semi")
             old = old.withColumn("reused", F.lit(True)) if name == "states" else old
             out[name] = out[name].unionByName(old.select(*out[name].columns))
     return out

@@ -50,20 +50,21 @@ def _inputs(spark, sf):
     gaps = written(assessment.technical_gaps(classified, "startup", words=WORDS), "gaps")  # three steps read them; terms are searched for once
     risks = assessment.wrapper_risks(classified, "startup")
     toxic = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("startup")).agg(F.max("toxic").alias("toxic")).where("toxic = 1")
-    groups = toxic.join(docs.select("startup"), "startup", "left_semi").select("startup", F.lit("product").alias("field"), F.lit(True).alias("has_conflict"))
+    groups = toxic.join(docs.select("startup").hint("merge"), "startup", "left_semi").select("startup", F.lit("product").alias("field"), F.lit(True).alias("has_conflict"))
     judged = written(assessment.diagnosis(classified, gaps, risks, groups.select("startup", "field"), "startup"), "judged")
     mean = docs.agg(F.avg("n").alias("mean"))  # one row
     runs = docs.groupBy("source").agg(F.avg("n").alias("own")).crossJoin(F.broadcast(mean)).select(F.col("source").alias("run"), (F.col("own") >= F.col("mean")).alias("collection_ready"))
+    runs = written(runs, "runs")  # so that the join knows it is small, and does not broadcast the startups
     per = classified.select("startup", "source", F.lit("").alias("signals")).join(runs, F.col("source").eqNullSafe(F.col("run")))
     high = risks.groupBy("startup").agg(F.bool_or(F.col("severity") == "high").alias("high_risk"))
     reasons = F.when(F.col("collection_ready"), F.array().cast("array<string>")).otherwise(F.array(F.lit("average_evidence_below_threshold")))
     told = judged.select("startup", "classification", "confidence", F.col("ready").alias("diagnosis_ready"), F.col("reasons").alias("diagnosis_reasons"))
-    profiles = per.join(told, "startup").join(high, "startup", "left").select(
+    profiles = per.join(told.hint("merge"), "startup").join(high.hint("merge"), "startup", "left").select(
         "startup", "collection_ready", reasons.alias("collection_reasons"), "classification", "confidence", "diagnosis_ready", "diagnosis_reasons", "high_risk", "signals"
     )
     seen = docs.select("startup", F.floor(F.col("n") / 500).alias("evidences"))
-    gaps = gaps.join(seen, "startup").withColumn("description", F.col("gap_type"))
-    sold = assessment.opportunities(classified.join(judged.select("startup", F.col("ready").alias("is_ready")), "startup"), "startup", "is_ready", WORDS).withColumn("evidences", F.lit(1).cast("bigint"))
+    gaps = gaps.join(seen.hint("merge"), "startup").withColumn("description", F.col("gap_type"))
+    sold = assessment.opportunities(classified.join(judged.select("startup", F.col("ready").alias("is_ready")).hint("merge"), "startup"), "startup", "is_ready", WORDS).withColumn("evidences", F.lit(1).cast("bigint"))
     value = lambda c: F.coalesce(c, F.lit("unknown"))
     fields = docs.select("startup", F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(c).alias("field"), value(c).alias("value")) for p, c in enumerate(("lang", "source"))])).alias("x"))
     fields = fields.select("startup", "x.*", F.array().cast("array<string>").alias("evidences"))
@@ -76,7 +77,7 @@ def _shown(out):
     made = out["recommendations"].groupBy("startup").agg(count("supported"), count("hypothesis"), count("blocked"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("supported", "hypothesis", "blocked")]
     path = F.array_join(F.transform("branches", lambda b: b["branch"]), ">").alias("path")
-    return out["states"].join(made, "startup", "left").select("startup", path, F.get("branches", F.lit(0))["audit_reason"].alias("reason"), "outcome", "final_priority", "next_action", *counts, "reused")
+    return out["states"].join(made.hint("merge"), "startup", "left").select("startup", path, F.get("branches", F.lit(0))["audit_reason"].alias("reason"), "outcome", "final_priority", "next_action", *counts, "reused")
 
 
 def _states(evidences: str, reused: str) -> str:
@@ -141,4 +142,4 @@ def workflow_outcomes(spark, sf):
     out = downstream.run(_inputs(spark, sf), _knowledge(spark, sf))
     executive = out["executive_briefings"].select("startup", F.lit(1).alias("e"))
     review = out["review_briefings"].select("startup", F.lit(1).alias("r"))
-    return out["states"].join(executive, "startup", "left").join(review, "startup", "left").groupBy("outcome").agg(F.count("*").alias("startups"), F.count("e").alias("executive"), F.count("r").alias("review"))
+    return out["states"].join(executive.hint("merge"), "startup", "left").join(review.hint("merge"), "startup", "left").groupBy("outcome").agg(F.count("*").alias("startups"), F.count("e").alias("executive"), F.count("r").alias("review"))

@@ -1,14 +1,17 @@
 """What only shows on larger or odder tables: several files, cut entities, many equal rows, what goes to a task."""
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 
 from pyspark import cloudpickle
 
+from quarrylight import tables
 from quarrylight.operators import lexical_index, pages, retrieval
 from quarrylight.operators.vector_index import VectorIndex
-from quarrylight.plans import indexes, oracles, queries, registry, states
+from quarrylight.plans import downstream, indexes, oracles, queries, registry, states
 from quarrylight.streaming import events as stream
 
 
@@ -136,3 +139,15 @@ def test_workflow_searches_texts_for_gaps_once(spark, small, monkeypatch):
     states._inputs(spark, small)
     assert {"gaps", "judged"} <= set(plans)  # each is written once, before what reads it
     assert not [n for n in ("inputs-gaps", "inputs-profiles") if "contains(" in plans[n].lower()]
+
+
+def test_workflow_broadcasts_no_table_of_startups(spark, small, monkeypatch):
+    """A broadcast of startups is built in the driver; small tables would get one by their size on disk, so joins by startup are merges."""
+    plans = []
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (states, downstream):
+        monkeypatch.setattr(module, "written", lambda df, name: (note(df), tables.written(df, name))[1])
+    note(states.workflow_resume(spark, small))
+    joins = [line for p in plans for line in p.splitlines() if "Join [" in line]
+    assert [j for j in joins if "SortMergeJoin [startup#" in j]
+    assert not [j for j in joins if re.search(r"Broadcast\w*Join \[(startup|query_id)#|Broadcast\w*Join \[coalesce\(source.*BuildLeft", j)]
